@@ -74,6 +74,11 @@ class Stage:
         clean_shuffles(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def adopt(self, name: str, path: str) -> None:
+        """Take charge of a folder that another writer fills."""
+        _staged.append((self.spark, path))
+        self.paths[name] = path
+
     def drop(self, *names: str) -> None:
         release(self.spark, [self.paths.pop(n) for n in names if n in self.paths])
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, secrets
+from . import exact_dedup, language_id, mixing, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -27,8 +31,9 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op5_secrets, op6_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_exact_dedup, op5_secrets, op6_mixing)}
 
 SQL: dict[str, str] = {
+    "op4_exact_dedup": exact_dedup.REPORT_SQL,
     "op6_mixing": mixing.MIX_SQL.format(own="doc_id", docs="documents"),
 }
