@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, secrets
+from . import exact_dedup, language_id, mixing, ngram_jaccard, secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +31,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_exact_dedup, op5_secrets, op6_mixing)}
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard.report(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_exact_dedup, op5_secrets, op6_mixing, op7_ngram_jaccard)}
 
 SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.REPORT_SQL,
