@@ -16,6 +16,8 @@ _LOWER[65:91] += 32
 _BYTE_LOWER = _BYTE[_LOWER]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Further separators for tokens: ASCII but letters and digits; bytes of other characters are parts of tokens.
+TOKEN_ENDS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _MUL = (_rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2)) + np.uint64(1)
@@ -80,16 +82,17 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, ends: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end) of every word and, per text, where its words begin (n + 1 entries).
 
-    A word is a longest run of bytes other than \\x20 and \\x09 to \\x0D; `lower` folds A-Z. Words don't reach over texts.
+    A word is a longest run of bytes other than \\x20 and \\x09 to \\x0D; `lower` folds A-Z; `ends`: other bytes
+    that part words, white space among them. Words don't reach over texts.
     """
     table = _BYTE_LOWER if lower else _BYTE
-    hashes, starts, ends = [], [], []
+    hashes, starts, stops = [], [], []
     for a, b in _cuts(data, offsets):
         piece = data[a:b]
-        full = ~_SPACE[piece]
+        full = ~ends[piece]
         inner = offsets[np.searchsorted(offsets, a, "right") : np.searchsorted(offsets, b, "left")] - a
         first = full.copy()
         first[1:] &= ~full[:-1]
@@ -112,12 +115,12 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
         h *= down[s]
         hashes.append(mix(h + (e - s).astype(np.uint64)))
         starts.append(s + a)
-        ends.append(e + a + 1)
+        stops.append(e + a + 1)
     if not hashes:
         z = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), z, z, np.zeros(len(offsets), np.int64)
     start = np.concatenate(starts)
-    return np.concatenate(hashes), start, np.concatenate(ends), np.searchsorted(start, offsets, "left")
+    return np.concatenate(hashes), start, np.concatenate(stops), np.searchsorted(start, offsets, "left")
 
 
 def ngrams(hashes: np.ndarray, k: int) -> np.ndarray:

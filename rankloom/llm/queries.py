@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, language_id, mixing, ngram_jaccard, secrets
+from . import decontaminate, exact_dedup, language_id, mixing, ngram_jaccard, secrets, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,7 +35,15 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard.report(table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_exact_dedup, op5_secrets, op6_mixing, op7_ngram_jaccard)}
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_exact_dedup, op5_secrets, op6_mixing, op7_ngram_jaccard, op8_toxicity, op9_decontamination)}
 
 SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.REPORT_SQL,
