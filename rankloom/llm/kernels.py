@@ -123,6 +123,21 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, ends: np.nd
     return np.concatenate(hashes), start, np.concatenate(stops), np.searchsorted(start, offsets, "left")
 
 
+def prefixes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lengths: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each length, ascending, the hashes of the first so many bytes of the longer words, and which words these are."""
+    power, done = np.uint64(1), 0
+    which = np.arange(len(start))
+    h = np.zeros(len(start), np.uint64)
+    for n in lengths:
+        longer = end[which] - start[which] > n
+        which, h = which[longer], h[longer]
+        for i in range(done, n):
+            h = h + _BYTE_LOWER[data[start[which] + i]] * power
+            power = np.uint64(int(power) * _P & _M64)
+        done = n
+        yield mix(h ^ np.uint64(n)), which
+
+
 def ngrams(hashes: np.ndarray, k: int) -> np.ndarray:
     """The hash of every k consecutive words, over the limits of texts too."""
     n = len(hashes) - k + 1

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, ngram_jaccard, secrets, toxicity
+from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, secrets, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,16 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    host = F.when(F.instr("url", "://") > 0, url_filter.host_of(F.col("url")))
+    return line_dedup.site_line_dedup(pages, "page_id", host, line_dedup.html_lines(F.col("html")))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -43,9 +54,30 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_language_id, op4_exact_dedup, op5_secrets, op6_mixing, op7_ngram_jaccard, op8_toxicity, op9_decontamination)}
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_url_filter,
+        op3_line_dedup,
+        op4_exact_dedup,
+        op5_secrets,
+        op6_mixing,
+        op7_ngram_jaccard,
+        op8_toxicity,
+        op9_decontamination,
+        op10_chat_format,
+    )
+}
 
 SQL: dict[str, str] = {
+    "op2_url_filter": url_filter.REPORT_SQL,
+    "op3_line_dedup": line_dedup.REPORT_SQL,
     "op4_exact_dedup": exact_dedup.REPORT_SQL,
     "op6_mixing": mixing.MIX_SQL.format(own="doc_id", docs="documents"),
+    "op10_chat_format": chat_format.REPORT_SQL,
 }

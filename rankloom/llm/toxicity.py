@@ -1,6 +1,6 @@
 """Toxicity by a chain of linear classifiers.
 
-Categories are predicted in order. The model of each sees which of its chosen tokens a text has and the probabilities of the categories
+Categories are predicted in order. The model of each sees which of its chosen tokens (words and beginnings of words) a text has and the probabilities of the categories
 before it; in training these are out-of-fold, from models that did not see the text. The models are fitted on a bounded sample of
 labelled texts (`max_labels`), drawn by hash; tokens are counted in Spark and the `max_tokens` with the largest chi-square are
 chosen a category, so the driver holds max_labels x max_tokens numbers at most. Judging is map-only over whole texts.
@@ -26,12 +26,29 @@ from ._common import Stage, pick, small_batches
 from .decontaminate import _Filter
 
 FOLDS = 5
+#: Beginnings of tokens, in bytes, that are tokens too: they stand for inflected forms.
+PREFIXES = (4, 5, 6)
 
 
 def _tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all tokens and of their beginnings, and the text that each is from."""
     data, offsets = kernels.text_buffers(column)
-    h, _, _, at = kernels.words(data, offsets, ends=kernels.TOKEN_ENDS)
-    return h, at
+    h, start, end, at = kernels.words(data, offsets, ends=kernels.TOKEN_ENDS)
+    text = np.repeat(np.arange(len(column)), np.diff(at))
+    hashes, texts = [h], [text]
+    for p, which in kernels.prefixes(data, start, end, PREFIXES):
+        hashes.append(p)
+        texts.append(text[which])
+    return np.concatenate(hashes), np.concatenate(texts)
+
+
+def _distinct(h: np.ndarray, text: np.ndarray, n: int) -> list[np.ndarray]:
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    h, text = h[first], text[first]
+    return np.split(h, np.searchsorted(text, np.arange(1, n))) if n else []
 
 
 @dataclass
@@ -50,11 +67,11 @@ class Chain:
 
     def predict(self, column: pa.Array) -> np.ndarray:
         """(texts, categories) probabilities."""
-        h, at = _tokens(column)
+        h, owner = _tokens(column)
         out = np.zeros((len(column), len(self.links)))
         for c, link in enumerate(self.links):
             hit = _Filter(link.tokens).find(h)
-            text, token = np.searchsorted(at, hit, "right") - 1, np.searchsorted(link.tokens, h[hit])
+            text, token = owner[hit], np.searchsorted(link.tokens, h[hit])
             once = np.unique(text * (len(link.tokens) + 1) + token)
             text, token = once // (len(link.tokens) + 1), once % (len(link.tokens) + 1)
             z = link.bias + np.bincount(text, link.weights[token], len(column)) + out[:, :c] @ link.weights[len(link.tokens) :]
@@ -62,7 +79,7 @@ class Chain:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 25) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 25) -> np.ndarray:
     """Weights, the bias last, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -78,7 +95,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 25)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], id_col: str = "doc_id", text_col: str = "text", max_labels: int = 20_000, max_tokens: int = 256, least_chi2: float = 24.0) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], id_col: str = "doc_id", text_col: str = "text", max_labels: int = 20_000, max_tokens: int = 256, least_chi2: float = 30.0) -> Chain:
     """A chain over `categories`: name to (column of `labels`, value that means yes), in order."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -133,8 +150,7 @@ def _token_sets(texts: DataFrame, ys: list[str]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, at = _tokens(batch.column(batch.num_columns - 1))
-            sets = [np.unique(h[a:b]).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+            sets = [s.view(np.int64) for s in _distinct(*_tokens(batch.column(batch.num_columns - 1)), batch.num_rows)]
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(s) for s in sets]]).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], flat], names=[*batch.schema.names[:-1], "tokens"])
 
@@ -147,7 +163,7 @@ def _choose(sample: DataFrame, y: str, most: int, least_chi2: float) -> np.ndarr
     n, pos = known.agg(F.count("*"), F.coalesce(F.sum(y), F.lit(0.0))).first()
     if not n or not 0 < pos < n:
         return np.zeros(0, np.uint64)
-    counts = known.select(F.col(y).alias("y"), F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where("n >= 3")
+    counts = known.select(F.col(y).alias("y"), F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where("n >= 5")
     a, b = F.col("p"), F.col("n") - F.col("p")
     c, d = F.lit(pos) - a, F.lit(n - pos) - b
     chi2 = F.lit(float(n)) * F.pow(a * d - b * c, F.lit(2.0)) / (F.col("n") * (n - F.col("n") + 1e-9) * pos * (n - pos))
