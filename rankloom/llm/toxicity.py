@@ -79,7 +79,7 @@ class Chain:
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 25) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 25) -> np.ndarray:
     """Weights, the bias last, by Newton's method."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -95,7 +95,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.3, steps: int = 25)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], id_col: str = "doc_id", text_col: str = "text", max_labels: int = 20_000, max_tokens: int = 256, least_chi2: float = 30.0) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], id_col: str = "doc_id", text_col: str = "text", max_labels: int = 20_000, max_tokens: int = 256, least_chi2: float = 20.0) -> Chain:
     """A chain over `categories`: name to (column of `labels`, value that means yes), in order."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -163,7 +163,7 @@ def _choose(sample: DataFrame, y: str, most: int, least_chi2: float) -> np.ndarr
     n, pos = known.agg(F.count("*"), F.coalesce(F.sum(y), F.lit(0.0))).first()
     if not n or not 0 < pos < n:
         return np.zeros(0, np.uint64)
-    counts = known.select(F.col(y).alias("y"), F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where("n >= 5")
+    counts = known.select(F.col(y).alias("y"), F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where("n >= 4")
     a, b = F.col("p"), F.col("n") - F.col("p")
     c, d = F.lit(pos) - a, F.lit(n - pos) - b
     chi2 = F.lit(float(n)) * F.pow(a * d - b * c, F.lit(2.0)) / (F.col("n") * (n - F.col("n") + 1e-9) * pos * (n - pos))
