@@ -30,7 +30,9 @@ from ._common import LOCATOR, Stage, pick, small_batches, with_locator
 from .components import components
 from .exact_dedup import keep_rows
 
-BITS = 1024
+BITS = 4096
+#: The first look in a tile is at the bitmap folded this many times.
+FOLDS = 4
 BLOCK = 512
 #: (key, node) pairs that a task gathers before it sends on one row a key.
 GATHER = 1 << 21
@@ -87,7 +89,7 @@ def set_hash(s: np.ndarray) -> int:
 
 def bitmap(s: np.ndarray) -> bytes:
     bits = np.zeros(BITS, np.uint8)
-    bits[(s * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(54)] = 1
+    bits[(s * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - BITS.bit_length() + 1)] = 1
     return np.packbits(bits).tobytes()
 
 
@@ -263,14 +265,18 @@ def _open_pairs(sets: DataFrame, bands: Bands, stage: Stage) -> DataFrame:
         left = np.flatnonzero(own == i)
         right = np.flatnonzero(own == j)
         found = [np.zeros((0, 2), np.int64)]
+        short = np.bitwise_or.reduce(bits.reshape(len(bits), FOLDS, -1), axis=1)
         step = max(1, (1 << 19) // max(1, len(right)))
         for at in range(0, len(left), step):
             l = left[at : at + step]
             total = n[l][:, None] + n[right][None, :]
-            differ = np.bitwise_count(bits[l][:, None, :] ^ bits[right][None, :, :]).sum(2, dtype=np.int64)
+            differ = np.bitwise_count(short[l][:, None, :] ^ short[right][None, :, :]).sum(2, dtype=np.int64)
             overlap = np.minimum((total - differ) // 2, np.minimum(n[l][:, None], n[right][None, :]))
             ok = bands.near(overlap, total) & (comp[l][:, None] != comp[right][None, :])
             x, y = np.nonzero(ok)
+            differ = np.bitwise_count(bits[l[x]] ^ bits[right[y]]).sum(1, dtype=np.int64)
+            ok = bands.near((total[x, y] - differ) // 2, total[x, y])
+            x, y = x[ok], y[ok]
             found.append(np.stack([node[l[x]], node[right[y]]], 1))
         both = np.concatenate(found)
         both = np.unique(np.stack([both.max(1), both.min(1)], 1), axis=0)
