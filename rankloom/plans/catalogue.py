@@ -384,3 +384,6 @@ def hash_rate_sample(spark, d):
 SELECT doc_id, CASE WHEN r <= greatest(1, round_even(0.2::DOUBLE * n, 0)) THEN 'confirmation' ELSE 'development' END AS partition FROM r""")
 def holdout_split(spark, d):
     return sampling.holdout(table(spark, d, "documents").select("doc_id"), "doc_id", "confirmation:")
+
+
+from . import corpus_queries  # noqa: E402, F401  (registers its queries)
