@@ -19,7 +19,8 @@ def wilson(successes: Column, total: Column, z: float = Z95) -> tuple[Column, Co
     n = F.nullif(total.cast("double"), F.lit(0.0))
     middle = (p + z * z / (F.lit(2.0) * n)) / (1 + z * z / n)
     half = z / (1 + z * z / n) * F.sqrt(p * (1 - p) / n + z * z / (F.lit(4.0) * n * n))
-    return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
+    some = total > 0  # greatest and least pass over nulls
+    return F.when(some, F.greatest(F.lit(0.0), middle - half)), F.when(some, F.least(F.lit(1.0), middle + half))
 
 
 def wilson_upper(failures: Column, total: Column) -> Column:
