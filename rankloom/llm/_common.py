@@ -103,6 +103,15 @@ def with_locator(docs: DataFrame, columns: list[Column] | None = None, stage: St
         return stage.write("rows", docs.select(*columns)).select("*", place)
 
 
+def settled(docs: DataFrame) -> DataFrame:
+    """`docs` if its rows have a place (a plain file scan), else a copy of it in the shared folder: two readings then name the same rows alike."""
+    try:
+        docs.select("_metadata.file_path")
+        return docs
+    except AnalysisException:
+        return Stage(docs.sparkSession, "rows").write("rows", docs)
+
+
 def pick(docs: DataFrame, column: str) -> Column:
     """A column by its exact name, also if the name holds dots."""
     return docs["`" + column.replace("`", "``") + "`"]

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from ._common import LOCATOR, Stage, pick, small_batches, with_locator
+from ._common import LOCATOR, Stage, pick, settled, small_batches, with_locator
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: n-grams of one benchmark block: what is sent to every task is at most about 24 bytes for each.
@@ -255,6 +255,7 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_c
 
 def filter_documents(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """`docs` without the rows that hold a benchmark item."""
+    docs = settled(docs)
     found = contaminated(docs, benchmark, **how).select(F.col("loc").alias(LOCATOR)).distinct()
     placed = with_locator(docs)
     return placed.join(found, LOCATOR, "left_anti").select(*[pick(placed, c) for c in docs.columns])

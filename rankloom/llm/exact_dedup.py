@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOCATOR, WS, Stage, clean_text, pick, with_locator
+from ._common import LOCATOR, WS, Stage, clean_text, pick, settled, with_locator
 
 SALT_ROWS = 2000
 _STATE = {
@@ -116,13 +116,14 @@ def report(docs: DataFrame, **columns: str) -> DataFrame:
 
 
 def keep_rows(docs: DataFrame, decisions: DataFrame, condition: Column) -> DataFrame:
-    """The rows of `docs` at the locators of those decisions that meet the condition."""
+    """The rows of `docs`, which must be settled, at the locators of those decisions that meet the condition."""
     placed = with_locator(docs)
     return placed.join(decisions.where(condition).select(LOCATOR), LOCATOR, "left_semi").select(*[pick(placed, c) for c in docs.columns])
 
 
 def filter_documents(docs: DataFrame, **columns: str) -> DataFrame:
     """`docs` without the rows whose text another row already has."""
+    docs = settled(docs)
     return keep_rows(docs, decide(docs, **columns), F.col("kept"))
 
 

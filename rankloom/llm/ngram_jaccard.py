@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from ._common import LOCATOR, Stage, pick, small_batches, with_locator
+from ._common import LOCATOR, Stage, pick, settled, small_batches, with_locator
 from .components import components
 from .exact_dedup import keep_rows
 
@@ -325,6 +325,7 @@ def report(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
 
 def filter_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """One row of each component: the one with the least id, then locator. Rows without words stay."""
+    docs = settled(docs)
     rows = classes(docs, id_col=id_col, **how)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "loc")
     first = rows.where("comp is not null").groupBy("comp").agg(F.min(order)["loc"].alias(LOCATOR))
