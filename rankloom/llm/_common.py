@@ -69,7 +69,13 @@ class Stage:
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         path = new_path(self.spark, f"{self.tag}-{name}")
-        df.write.parquet(path)
+        tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = self.spark.conf.get(tidy, None)
+        self.spark.conf.set(tidy, "true")  # what this plan shuffles goes when its table is written
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(tidy) if before is None else self.spark.conf.set(tidy, before)
         self.paths[name] = path
         clean_shuffles(self.spark)
         return self.spark.read.schema(df.schema).parquet(path)

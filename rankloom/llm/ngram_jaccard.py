@@ -3,7 +3,7 @@
 Sets are sorted arrays of 64-bit shingle hashes; texts with the same set are one node. Sizes fall into bands, and two sets of a
 band (or of adjoining ones) that reach the threshold differ in at most D elements. Each set is cut by hash range into D + 2 parts, so at
 least two parts of such a pair are identical; the digest of a part, with its band, names the tile where the two meet. In a tile every member
-is compared with the least one; where that does not settle the tile (its members still lie in several components),
+is screened against the least one, and the nearest of these is counted; where that does not settle the tile (its members still lie in several components),
 the tile is dealt into blocks of bounded size and the blocks' pairs of different components are
 screened. A screen compares hashed bitmaps: bits that differ bound the difference from below, hence the overlap from above. What
 is left is counted exactly on the sorted arrays. Links go to components.
@@ -93,14 +93,16 @@ def bitmap(s: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def _batch(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if not isinstance(columns[f.name], (pa.Array, pa.ChunkedArray)) else columns[f.name] for f in schema], schema=schema)
-
-
 def _shingle_pass(rows: DataFrame, k: int, bands: Bands) -> DataFrame:
-    """kind 0: a text (loc, id, a = node, n). kind 1: an edge a to b. kind 2: node a is in tile `key` and is the least that this task has seen there."""
-    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("loc", T.StringType()), T.StructField("id", rows.schema["id"].dataType)])
-    out = pa.schema([("kind", pa.int32()), ("key", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("loc", pa.string())])
+    """Rows of four kinds. 0: a text (loc, id, a = node, b = size, bits). 1: an edge a to b. 2: node a is the least that this task has seen in tile
+    `key`, b the number of nodes seen there. 3: node a, another one, lies in tile b. All but kind 2 have a `key` that only spreads them."""
+    schema = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), T.StructField("loc", T.StringType()), T.StructField("id", rows.schema["id"].dataType), T.StructField("bits", T.BinaryType())])
+    names = [f.name for f in schema]
+
+    def block(kind: int, key: np.ndarray, a: np.ndarray, b: np.ndarray, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(a), 65536):
+            m = len(a[i : i + 65536])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(key[i : i + m]), pa.array(a[i : i + m]), pa.array(b[i : i + m]), pa.nulls(m, pa.string()), pa.nulls(m, id_type), pa.nulls(m, pa.binary())], names=names)
 
     def flush(keys: list[np.ndarray], nodes: list[np.ndarray], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         if not keys:
@@ -111,24 +113,25 @@ def _shingle_pass(rows: DataFrame, k: int, bands: Bands) -> DataFrame:
         lead = np.concatenate(([True], key[1:] != key[:-1]))
         least = node[lead][np.cumsum(lead) - 1]
         tied = ~lead & (node != least)
+        count = np.diff(np.append(np.flatnonzero(lead), len(key)))
         edges = np.unique(np.stack([node[tied], least[tied]], 1), axis=0) if tied.any() else np.zeros((0, 2), np.int64)
-        for kind, ks, xs, ys in ((2, key[lead], node[lead], None), (1, edges[:, 0] * 31 + edges[:, 1], edges[:, 0], edges[:, 1])):
-            for i in range(0, len(xs), 65536):
-                m = len(xs[i : i + 65536])
-                none = pa.nulls(m, pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(ks[i : i + m]), pa.array(xs[i : i + m]), pa.nulls(m, pa.int64()) if ys is None else pa.array(ys[i : i + m]), none, pa.nulls(m, id_type)], schema=out.append(pa.field("id", id_type)))
+        yield from block(1, _spread(edges[:, 0], edges[:, 1]), edges[:, 0], edges[:, 1], id_type)
+        yield from block(2, key[lead], node[lead], count, id_type)
+        yield from block(3, _spread(node[tied], key[tied]), node[tied], key[tied], id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         keys, nodes, held, id_type = [], [], 0, None
         for batch in batches:
             id_type = batch.column(1).type
-            names, sizes = [], []
+            found, sizes, bits = [], [], []
             for s in kernels.shingle_sets(batch.column(2), k):
                 sizes.append(len(s))
                 name = set_hash(s) if len(s) else None
-                names.append(name)
-                if name is not None and name not in seen:
+                found.append(name)
+                fresh = name is not None and name not in seen
+                bits.append(bitmap(s) if fresh else None)
+                if fresh:
                     seen.add(name)
                     got = bands.keys(s).view(np.int64)
                     keys.append(got)
@@ -136,7 +139,7 @@ def _shingle_pass(rows: DataFrame, k: int, bands: Bands) -> DataFrame:
                     held += len(got)
             m = batch.num_rows
             spread = kernels.mix(np.arange(m, dtype=np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(spread), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), batch.column(0), batch.column(1)], schema=out.append(pa.field("id", id_type)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int32)), pa.array(spread), pa.array(found, pa.int64()), pa.array(sizes, pa.int64()), batch.column(0), batch.column(1), pa.array(bits, pa.binary())], names=names)
             if held > GATHER:
                 yield from flush(keys, nodes, id_type)
                 keys, nodes, held = [], [], 0
@@ -145,37 +148,55 @@ def _shingle_pass(rows: DataFrame, k: int, bands: Bands) -> DataFrame:
     return rows.select("loc", "id", "text").mapInArrow(run, schema)
 
 
+def _spread(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return kernels.mix(x.view(np.uint64) * np.uint64(31) + y.view(np.uint64)).view(np.int64) if len(x) else np.zeros(0, np.int64)
+
+
 def _lead_tiles(sent: DataFrame) -> DataFrame:
-    """Texts and edges pass; in each tile the members are linked to the least one."""
+    """Kinds 0, 1 and 3 pass; of kind 2, in each tile the nodes become edges to the least one, and members (kind 3) if there are several."""
     schema = T.StructType([f for f in sent.schema if f.name != "key"])
+    names = [f.name for f in schema]
+
+    def block(kind: int, a: np.ndarray, b: np.ndarray, id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        m = len(a)
+        if m:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(a), pa.array(b), pa.nulls(m, pa.string()), pa.nulls(m, id_type), pa.nulls(m, pa.binary())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key = least = None
+        tile = least = None
+        told = True  # whether the tile's least node is out as a member
         for batch in batches:
-            kind = batch.column(0).to_numpy()
-            tiles = kind == 2
+            tiles = batch.column(0).to_numpy() == 2
             other = batch.filter(pa.array(~tiles))
             if other.num_rows:
                 yield other.drop_columns(["key"])
             if not tiles.any():
                 continue
-            key, node = batch.column(1).to_numpy()[tiles], batch.column(2).to_numpy(zero_copy_only=False)[tiles].astype(np.int64)
-            lead = np.concatenate(([last_key is None or key[0] != last_key], key[1:] != key[:-1]))
-            first = node[lead]
-            at = np.cumsum(lead)
-            leads = np.concatenate((np.array([least if least is not None else 0], np.int64), first))[at]
+            own = batch.filter(pa.array(tiles))
+            id_type = own.column(5).type
+            key, node, count = (own.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+            goes_on = tile is not None and key[0] == tile
+            if goes_on and not told:
+                yield from block(3, np.array([least], np.int64), np.array([tile], np.int64), id_type)
+                told = True
+            lead = np.concatenate(([not goes_on], key[1:] != key[:-1]))
+            leads = np.concatenate((np.array([least if least is not None else 0], np.int64), node[lead]))[np.cumsum(lead)]
+            followed = np.append(key[1:] == key[:-1], False)
+            member = ~lead | followed | (count > 1)
             tied = node != leads
-            last_key, least = int(key[-1]), int(leads[-1])
-            m = int(tied.sum())
-            if m:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, 1, np.int32)), pa.array(node[tied]), pa.array(leads[tied]), pa.nulls(m, pa.string()), pa.nulls(m, batch.column(5).type)], names=["kind", "a", "b", "loc", "id"])
+            yield from block(1, node[tied], leads[tied], id_type)
+            yield from block(3, node[member], key[member], id_type)
+            if lead[-1]:
+                told = bool(member[-1])
+            elif lead.any():
+                told = True
+            tile, least = int(key[-1]), int(leads[-1])
 
     return sent.repartition("key").sortWithinPartitions("key", "a").mapInArrow(run, schema)
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
-    """(node, n, elements, bits) of texts."""
-    schema = "node long, n long, elements array<long>, bits binary"
+    """(node, elements) of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -184,9 +205,9 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
             got = [(h, s) for h, s in got if not (h in seen or seen.add(h))]
             offsets = np.cumsum([0, *[len(s) for _, s in got]]).astype(np.int32)
             flat = np.concatenate([s.view(np.int64) for _, s in got]) if got else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in got], pa.int64()), pa.array([len(s) for _, s in got], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)), pa.array([bitmap(s) for _, s in got], pa.binary())], names=["node", "n", "elements", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in got], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["node", "elements"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, "node long, elements array<long>")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -194,7 +215,7 @@ def _bits(column: pa.Array) -> np.ndarray:
 
 
 def _screen(pairs: DataFrame, bands: Bands) -> DataFrame:
-    """(a, b, an, bn, abits, bbits) to the (a, b) that the bitmaps let reach the threshold."""
+    """(a, b, an, bn, abits, bbits) to the (a, b, differ) that the bitmaps let reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,9 +223,9 @@ def _screen(pairs: DataFrame, bands: Bands) -> DataFrame:
             differ = np.bitwise_count(_bits(batch.column(4)) ^ _bits(batch.column(5))).sum(1, dtype=np.int64) if len(a) else np.zeros(0, np.int64)
             overlap = np.minimum((an + bn - differ) // 2, np.minimum(an, bn))
             ok = bands.near(overlap, an + bn)
-            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok])], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(differ[ok])], names=["a", "b", "differ"])
 
-    return pairs.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(run, "a long, b long, differ long")
 
 
 def _exact(pairs: DataFrame, bands: Bands) -> DataFrame:
@@ -224,37 +245,32 @@ def _exact(pairs: DataFrame, bands: Bands) -> DataFrame:
     return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, bands: Bands, stage: Stage, name: str) -> DataFrame:
-    """Those pairs that reach the threshold: first by bitmap, then by sorted arrays."""
-    small = sets.select("node", "n", "bits")
-    joined = pairs.join(small.toDF("a", "an", "abits"), "a").join(small.toDF("b", "bn", "bbits"), "b")
-    left = stage.write(f"{name}-screened", _screen(joined, bands))
-    full = sets.select("node", "elements")
-    joined = left.join(full.toDF("a", "x"), "a").join(full.toDF("b", "y"), "b")
-    return stage.write(f"{name}-links", _exact(joined, bands))
-
-
-def _tiles(sets: DataFrame, bands: Bands) -> DataFrame:
-    """(key, node, comp, n, bits) of every set in every one of its tiles."""
+def _verified(pairs: DataFrame, nodes: DataFrame, placed: DataFrame, k: int, bands: Bands, stage: Stage, name: str) -> DataFrame:
+    """Those pairs that reach the threshold, by the sorted arrays of their texts, which are read again for these nodes only."""
+    need = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    places = nodes.select("node", "loc").join(need, "node", "left_semi").select("loc")
+    sets = stage.write(f"{name}-sets", _sets(placed.join(places, "loc", "left_semi").select("text"), k))
+    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    links = stage.write(f"{name}-links", _exact(joined, bands))
+    stage.drop(f"{name}-sets")
+    return links
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [bands.keys(np.sort(v.values.to_numpy().view(np.uint64))).view(np.int64) for v in batch.column(4)]
-            take = pa.array(np.repeat(np.arange(batch.num_rows), [len(g) for g in got]))
-            rest = batch.select([0, 1, 2, 3]).take(take) if len(take) else batch.select([0, 1, 2, 3]).slice(0, 0)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got) if got else np.zeros(0, np.int64)), *rest.columns], names=["key", "node", "comp", "n", "bits"])
 
-    return sets.select("node", "comp", "n", "bits", "elements").mapInArrow(run, "key long, node long, comp long, n long, bits binary")
+def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """Those pairs whose nodes lie in different components."""
+    ca, cb = comps.toDF("a", "ca"), comps.toDF("b", "cb")
+    both = pairs.join(ca, "a", "left").join(cb, "b", "left")
+    return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _open_pairs(sets: DataFrame, bands: Bands, stage: Stage) -> DataFrame:
+def _open_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Bands, stage: Stage) -> DataFrame:
     """Pairs of different components that meet in a tile which its least member did not settle, after the bitmap screen."""
-    rows = _tiles(sets, bands)
+    rows = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # three members at least: the pairs with the least one are known
-    unsettled = rows.select("key", "comp").groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("m > 2 and c0 < c1")
+    unsettled = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("m > 2 and c0 < c1")
     unsettled = unsettled.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks"))
     open_rows = rows.join(unsettled, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    open_rows = stage.write("open", open_rows)
+    open_rows = open_rows.join(nodes.select("node", "n", "bits"), "node")
     dealt = open_rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "comp", "n", "bits")
 
@@ -296,22 +312,24 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     pairs = stage.write("pairs", found.where("kind = 1").select("a", "b").distinct())
     if pairs.isEmpty():
         return texts.withColumn("comp", F.col("node"))
-    # the sets of nodes in any pair, from one text of each
-    members = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    one = texts.join(members, "node", "left_semi").groupBy("node").agg(F.min("loc").alias("loc"))
-    sets = stage.write("sets", _sets(placed.join(one.select("loc"), "loc", "left_semi").select("text"), k))
-    links = _verified(pairs, sets, bands, stage, "lead")
+    cited = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    named = found.where("kind = 0").select(F.col("a").alias("node"), "loc", F.col("b").alias("n"), "bits").join(cited, "node", "left_semi")
+    nodes = stage.write("nodes", named.groupBy("node").agg(F.min("loc").alias("loc"), F.max("n").alias("n"), F.max("bits").alias("bits")))
+    small = nodes.select("node", "n", "bits")
+    screened = stage.write("screened", _screen(pairs.join(small.toDF("a", "an", "abits"), "a").join(small.toDF("b", "bn", "bbits"), "b"), bands))
+    # most nodes belong where their nearest least member does: that link first, and of the others those that components leave open
+    best = stage.write("best", screened.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b")))
+    links = _verified(best, nodes, placed, k, bands, stage, "best")
     comps = stage.write("comps", components(links, stage, "first"))
-    known = sets.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    # texts that meet in one tile and are not yet in one component
-    more = _open_pairs(known, bands, stage).join(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = stage.write("more", more)
+    members = found.where("kind = 3").select(F.col("b").alias("key"), F.col("a").alias("node")).distinct()
+    met = stage.write("met", _open_pairs(members, nodes, comps, bands, stage))
+    more = stage.write("more", _across(met.union(screened.select("a", "b")), comps).distinct().join(best, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        late = _verified(more, sets, bands, stage, "open")
+        late = _verified(more, nodes, placed, k, bands, stage, "open")
         if not late.isEmpty():
             both = late.union(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
             comps = stage.write("comps-2", components(both, stage, "second"))
-    stage.drop("sets", "pairs", "open")
+    stage.drop("pairs", "nodes", "screened", "best", "met", "more")
     return texts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
