@@ -6,18 +6,19 @@ import unicodedata
 
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def full_casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else t.casefold())

@@ -65,10 +65,20 @@ def _scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that contain an item, found by an equi-join on the item's rarest look: its first 24 characters stand in the text."""
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
+    """Documents that contain an item word for word.
+
+    A document that contains an item has each of its inner words as a word, so the item's longest inner word finds candidates by an equi-join, and only
+    these are searched. Items of two words or less have no inner word; they are a stated query set against all rows.
+    """
+    words = tx.tokens(F.col("passage"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).withColumn("inner", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return docs.join(items, F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    anchor = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    anchors = items.where(F.size("inner") > 0).select("query_id", anchor.alias("word"))
+    found = docs.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("word")).join(anchors, "word").select("query_id", "doc_id")
+    both = found.join(items.select("query_id", "passage"), "query_id").join(docs, "doc_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    short = items.where(F.size("inner") == 0).select("query_id", "passage")
+    return both.unionByName(docs.join(short, F.col("text").contains(F.col("passage"))).select("query_id", "doc_id"))
 
 
 def _bm25_ranks(spark: SparkSession, d: str, k: int) -> DataFrame:
