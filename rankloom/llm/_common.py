@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch handed to Python: long texts make large batches, so it stays far below Spark's default.
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 LOCATOR = "__rl_locator"
 WS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -95,6 +95,23 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def tidy(run):
+    """A map over Arrow batches that gives its memory back when a task ends: Python workers outlive their tasks."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return wrapped
+
+
 def with_locator(docs: DataFrame, columns: list[Column] | None = None, stage: Stage | None = None) -> DataFrame:
     """`docs` (or `columns` of it) and where each row lies: file and row index, the same at every reading.
 

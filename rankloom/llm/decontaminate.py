@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from ._common import LOCATOR, Stage, pick, settled, small_batches, with_locator
+from ._common import LOCATOR, Stage, pick, settled, small_batches, tidy, with_locator
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: n-grams of one benchmark block: what is sent to every task is at most about 24 bytes for each.
@@ -135,7 +135,7 @@ def _noted(rows: DataFrame, items: Items) -> DataFrame:
             gram = pa.concat_arrays([pa.array(both[:, 1].view(np.int64)), pa.nulls(len(short), pa.int64())])
             yield pa.RecordBatch.from_arrays([loc, gram], names=["loc", "gram"])
 
-    return rows.select("loc", "text").mapInArrow(run, "loc string, gram long")
+    return rows.select("loc", "text").mapInArrow(tidy(run), "loc string, gram long")
 
 
 def _windows(hits: np.ndarray, places: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
@@ -188,7 +188,7 @@ def _aligned(rows: DataFrame, items: Items, threshold: float, id_type: T.DataTyp
     from pyspark.sql.pandas.types import to_arrow_type
 
     item_arrow = to_arrow_type(item_type)
-    return rows.select("loc", "id", "text").mapInArrow(run, schema)
+    return rows.select("loc", "id", "text").mapInArrow(tidy(run), schema)
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, k: int) -> Iterator[Items]:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import pick, small_batches
+from ._common import pick, small_batches, tidy
 
 UNKNOWN = "und"
 
@@ -84,7 +84,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_
             found = [model.best(t.as_buffer().to_pybytes()) if t.is_valid else (UNKNOWN, 0.0) for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[1] < min_margin or f[0] == UNKNOWN for f in found], pa.bool_())], names=[id_col, "held_out", "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(judge, schema)
+    return rows.mapInArrow(tidy(judge), schema)
 
 
 def identify(docs: DataFrame, **columns: str) -> DataFrame:

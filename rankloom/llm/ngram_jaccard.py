@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from ._common import LOCATOR, Stage, pick, settled, small_batches, with_locator
+from ._common import LOCATOR, Stage, pick, settled, small_batches, tidy, with_locator
 from .components import components
 from .exact_dedup import keep_rows
 
@@ -50,6 +50,7 @@ class Bands:
                 end = end * den // num
             starts.append(end + 1)
         self.starts = np.array(starts, np.int64)
+        self._edges: dict[int, np.ndarray] = {}
 
     def of(self, n: int) -> int:
         return int(np.searchsorted(self.starts, n, "right")) - 1
@@ -66,7 +67,9 @@ class Bands:
             if differ == 0:
                 continue  # only equal sets reach the threshold
             parts = differ + 2
-            edge = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64) if parts > 1 else np.zeros(0, np.uint64)
+            if b not in self._edges:
+                self._edges[b] = (np.arange(1, parts, dtype=object) * (1 << 64) // parts).astype(np.uint64)
+            edge = self._edges[b]
             at = np.concatenate(([0], np.searchsorted(s, edge), [n]))
             total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(kernels.mix(s))))
             sums, full = total[at[1:]] - total[at[:-1]], at[1:] > at[:-1]
@@ -145,7 +148,7 @@ def _shingle_pass(rows: DataFrame, k: int, bands: Bands) -> DataFrame:
                 keys, nodes, held = [], [], 0
         yield from flush(keys, nodes, id_type)
 
-    return rows.select("loc", "id", "text").mapInArrow(run, schema)
+    return rows.select("loc", "id", "text").mapInArrow(tidy(run), schema)
 
 
 def _spread(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -192,7 +195,7 @@ def _lead_tiles(sent: DataFrame) -> DataFrame:
                 told = True
             tile, least = int(key[-1]), int(leads[-1])
 
-    return sent.repartition("key").sortWithinPartitions("key", "a").mapInArrow(run, schema)
+    return sent.repartition("key").sortWithinPartitions("key", "a").mapInArrow(tidy(run), schema)
 
 
 def _sets(rows: DataFrame, k: int) -> DataFrame:
@@ -207,7 +210,7 @@ def _sets(rows: DataFrame, k: int) -> DataFrame:
             flat = np.concatenate([s.view(np.int64) for _, s in got]) if got else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in got], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], names=["node", "elements"])
 
-    return rows.mapInArrow(run, "node long, elements array<long>")
+    return rows.mapInArrow(tidy(run), "node long, elements array<long>")
 
 
 def _bits(column: pa.Array) -> np.ndarray:
@@ -225,7 +228,7 @@ def _screen(pairs: DataFrame, bands: Bands) -> DataFrame:
             ok = bands.near(overlap, an + bn)
             yield pa.RecordBatch.from_arrays([pa.array(a[ok]), pa.array(b[ok]), pa.array(differ[ok])], names=["a", "b", "differ"])
 
-    return pairs.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(run, "a long, b long, differ long")
+    return pairs.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(tidy(run), "a long, b long, differ long")
 
 
 def _exact(pairs: DataFrame, bands: Bands) -> DataFrame:
@@ -242,7 +245,7 @@ def _exact(pairs: DataFrame, bands: Bands) -> DataFrame:
                 keep.append(bool(bands.near(overlap, len(x) + len(y))))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "x", "y").mapInArrow(tidy(run), "a long, b long")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, placed: DataFrame, k: int, bands: Bands, stage: Stage, name: str) -> DataFrame:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import pick, small_batches
+from ._common import pick, small_batches, tidy
 
 KINDS = ("assign", "access", "hex", "opaque", "endpoint")
 BASE = KINDS[:3]
@@ -102,4 +102,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
                 spans.append(listed(base + linked_spans(text, base, scope)))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()), pa.array(spans, pa.string())], names=[id_col, *names, "base_sha256", "spans"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from ._common import Stage, pick, small_batches
+from ._common import Stage, pick, small_batches, tidy
 from .decontaminate import _Filter
 
 FOLDS = 5
@@ -154,7 +154,7 @@ def _token_sets(texts: DataFrame, ys: list[str]) -> DataFrame:
             flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(s) for s in sets]]).astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], flat], names=[*batch.schema.names[:-1], "tokens"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def _choose(sample: DataFrame, y: str, most: int, least_chi2: float) -> np.ndarray:
@@ -183,7 +183,7 @@ def _matrix_rows(sample: DataFrame, every: np.ndarray, ys: list[str]) -> DataFra
                 found.append(at[every[np.minimum(at, len(every) - 1)] == t].tolist() if len(every) else [])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(pa.int32()))], names=[*batch.schema.names[:-1], "at"])
 
-    return sample.mapInArrow(run, schema)
+    return sample.mapInArrow(tidy(run), schema)
 
 
 def judge(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.5, keep_columns: bool = False) -> DataFrame:
@@ -210,7 +210,7 @@ def judge(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
             else:
                 yield pa.RecordBatch.from_arrays([batch.column(1), *[pa.array(p[:, c]) for c in range(p.shape[1])], pa.array(toxic)], names=schema.names)
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)
 
 
 #: The chain over the synthetic labels: whether a text is of low quality, then whether it is toxic.
