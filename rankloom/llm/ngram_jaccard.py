@@ -266,8 +266,11 @@ def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
     return both.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
 
-def _open_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Bands, stage: Stage) -> DataFrame:
-    """Pairs of different components that meet in a tile which its least member did not settle, after the bitmap screen."""
+def _open_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, bands: Bands, nearest: bool) -> DataFrame:
+    """Pairs of different components that meet in a tile which its least member did not settle, after the bitmap screen.
+
+    `nearest`: of each node in each block's tile only the nearest partner; a first round of these leaves few components for the whole second one.
+    """
     rows = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # three members at least: the pairs with the least one are known
     unsettled = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("m > 2 and c0 < c1")
@@ -296,6 +299,13 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, bands: B
             differ = np.bitwise_count(bits[l[x]] ^ bits[right[y]]).sum(1, dtype=np.int64)
             ok = bands.near((total[x, y] - differ) // 2, total[x, y])
             x, y = x[ok], y[ok]
+            if nearest:
+                differ = differ[ok]
+                order = np.lexsort((y, differ, x))
+                x, y = x[order], y[order]
+                first = np.ones(len(x), bool)
+                first[1:] = x[1:] != x[:-1]
+                x, y = x[first], y[first]
             found.append(np.stack([node[l[x]], node[right[y]]], 1))
         both = np.concatenate(found)
         both = np.unique(np.stack([both.max(1), both.min(1)], 1), axis=0)
@@ -325,14 +335,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     links = _verified(best, nodes, placed, k, bands, stage, "best")
     comps = stage.write("comps", components(links, stage, "first"))
     members = found.where("kind = 3").select(F.col("b").alias("key"), F.col("a").alias("node")).distinct()
-    met = stage.write("met", _open_pairs(members, nodes, comps, bands, stage))
-    more = stage.write("more", _across(met.union(screened.select("a", "b")), comps).distinct().join(best, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        late = _verified(more, nodes, placed, k, bands, stage, "open")
+    left = screened.join(best, ["a", "b"], "left_anti")
+    known = best
+    for name, nearest in (("near", True), ("open", False)):
+        met = stage.write(f"met-{name}", _open_pairs(members, nodes, comps, bands, nearest))
+        rest = left.join(_across(left, comps), ["a", "b"], "left_semi")
+        rest = rest.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b")) if nearest else rest.select("a", "b")
+        more = stage.write(f"more-{name}", _across(met, comps).union(rest).distinct().join(known, ["a", "b"], "left_anti"))
+        if more.isEmpty():  # a nearest partner may be one that was counted before, so the whole round still comes
+            continue
+        late = _verified(more, nodes, placed, k, bands, stage, name)
         if not late.isEmpty():
             both = late.union(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
-            comps = stage.write("comps-2", components(both, stage, "second"))
-    stage.drop("pairs", "nodes", "screened", "best", "met", "more")
+            comps = stage.write(f"comps-{name}", components(both, stage, name))
+        known = known.union(more)
+    stage.drop("pairs", "nodes", "screened", "best", "met-near", "met-open", "more-near", "more-open")
     return texts.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
 
 
