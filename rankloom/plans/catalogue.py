@@ -49,7 +49,7 @@ bm AS (SELECT query_id, tf.doc_id, any_value(source) AS source, sum(ln(1 + (n_do
 bmr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm)"""
 _GOLD = "gold AS (SELECT item_id AS query_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 _DENSE = """
-qv AS (SELECT vec_id AS query_id, label AS ql, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0),
+qv AS (SELECT vec_id AS query_id, label AS ql, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 100 = 0),
 de AS (SELECT query_id, ql, vec_id AS doc_id, label, list_dot_product(q, embedding::DOUBLE[]) AS score FROM qv, embeddings WHERE vec_id <> query_id),
 der AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM de)"""
 _RMETRICS = """
@@ -87,7 +87,7 @@ def _bm25_ranks(spark: SparkSession, d: str, k: int) -> DataFrame:
 
 def _dense(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
-    q = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"), F.col("label").alias("ql"))
+    q = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"), F.col("label").alias("ql"))
     return v.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", "ql", "doc_id", "label", ranking.dot(F.col("query"), F.col("vector")).alias("score"))
 
 
@@ -100,12 +100,12 @@ def bm25_topk_global(spark, d):
 
 
 @named(f"""WITH {_BM25.replace("df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)", "df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL)").replace("st AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avg_dl FROM dw)", "st AS (SELECT source, count(*) AS n_docs, avg(len(ws)) AS avg_dl FROM dw GROUP BY source)").replace("JOIN df USING (term), st GROUP BY", "JOIN df ON df.term = tf.term AND df.source = tf.source JOIN st ON st.source = tf.source GROUP BY").replace("any_value(source)", "any_value(tf.source)")},
-al AS (SELECT item_id AS query_id, source, doc_id, coalesce(bm.score, 0) AS score FROM benchmark, documents LEFT JOIN bm ON bm.doc_id = documents.doc_id AND bm.query_id = item_id WHERE item_id % 10 = 0),
+al AS (SELECT item_id AS query_id, source, doc_id, coalesce(bm.score, 0) AS score FROM benchmark, documents LEFT JOIN bm ON bm.doc_id = documents.doc_id AND bm.query_id = item_id),
 rr AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, doc_id) AS rank FROM al)
 SELECT query_id, source, doc_id, round(score, 6) AS score, rank FROM rr WHERE rank <= 2""".replace("source, doc_id, coalesce", "documents.source, documents.doc_id, coalesce"))
 def bm25_topk_per_source(spark, d):
-    """Ranks within each source as candidate set; documents without a query term rank last and are kept. Every tenth item is a query."""
-    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark").where("item_id % 10 = 0")
+    """Ranks within each source as candidate set; documents without a query term rank last and are kept."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
     scores = ranking.bm25_scores(docs, "doc_id", F.col("text"), ranking.query_terms(items, "item_id", F.col("text")), group="source")
     # of documents without a query term only the first two of a source can be ranked: add those
     blank = docs.select("source", "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
@@ -202,7 +202,7 @@ def recall_mrr_at_k(spark, d):
 @named(f"WITH {_DENSE}, gold AS (SELECT query_id, doc_id FROM de WHERE label = ql), r AS (SELECT * FROM der), " + _RMETRICS.format(ks="1, 5, 10, 20"))
 def recall_mrr_at_k_dense(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    gold = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), "label").join(v, "label").where("doc_id <> query_id").select("query_id", "doc_id")
+    gold = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "label").join(v, "label").where("doc_id <> query_id").select("query_id", "doc_id")
     return metrics.retrieval_at_k(ranking.top_k(_dense(spark, d), 20), gold, (1, 5, 10, 20))
 
 

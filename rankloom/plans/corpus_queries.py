@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import stats
+from ..functions import anchors, stats
 from ..functions import text as tx
-from ..operators import contracts, corpus, metrics, policy, ranking
+from ..operators import contracts, corpus, evidence, metrics, policy, ranking
 from ..streaming import telemetry
 from .catalogue import _BM25, _DENSE, _TFR, _TOK, _bm25_ranks, _dense, _labelled, _tf_ranks, named, table
 
@@ -238,3 +238,32 @@ def dense_label_purity(spark, d):
     t = ranking.top_k(_dense(spark, d), 20)
     same = F.col("label") == F.col("ql")
     return t.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(same).alias("relevant"), F.round(F.avg(F.when(same, F.col("score"))), 6).alias("mean_relevant"))
+
+
+@named(f"WITH {_DENSE}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) = 1 AS first FROM der WHERE rank <= 60), s AS (SELECT *, sum(first::INT) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM f) SELECT query_id, CAST(min(rank) FILTER (WHERE seen >= 5) AS INT) AS raw_needed FROM s GROUP BY query_id")
+def distinct_prefix_length(spark, d):
+    """How many vectors hold five distinct labels."""
+    t = ranking.top_k(_dense(spark, d), 60).select("query_id", F.col("label").alias("heading"), "rank")
+    return evidence.distinct_prefix(t, 5)
+
+
+@named(f"WITH {_BM25}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, rank) AS r FROM bmr WHERE rank <= 6) SELECT query_id AS case_id, arg_min(doc_id, rank) AS \"left\", arg_max(doc_id, rank) AS \"right\", round(sum(round(score, 6)), 6) AS score FROM t WHERE r <= 2 GROUP BY query_id HAVING count(*) = 2")
+def best_document_pair(spark, d):
+    s = _bm25_ranks(spark, d, 6).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("document_id"), F.col("rank").alias("position"), F.round("score", 6).alias("score"))
+    return evidence.best_pair(s).withColumn("score", F.round("score", 6))
+
+
+@named(f"WITH {_BM25} SELECT query_id, CASE WHEN round(score, 6) < 60 THEN 'not enough information' ELSE doc_id::VARCHAR END AS prediction, CASE WHEN round(score, 6) < 60 THEN 0 ELSE 1 END AS n_citations FROM bmr WHERE rank = 1")
+def abstention_by_threshold(spark, d):
+    p = _bm25_ranks(spark, d, 1).select("query_id", F.round("score", 6).alias("s"), F.col("doc_id").cast("string").alias("prediction"), F.array(F.col("doc_id").cast("string")).alias("citations"))
+    return evidence.abstain_below(p, F.col("s"), 60.0, "not enough information").select("query_id", "prediction", F.size("citations").alias("n_citations"))
+
+
+@named()
+def lost_anchors(spark, d):
+    """Exact anchors of each user turn that the answer after it lacks."""
+    c = table(spark, d, "conversations")
+    u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
+    a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    both = u.join(a, ["conv_id", "turn"])
+    return both.select("conv_id", "turn", F.array_join(anchors.missing_anchors("question", "answer"), " ").alias("missing"), tx.loses_negation(F.col("question"), F.col("answer")).alias("lost_negation"))
