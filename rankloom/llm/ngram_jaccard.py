@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -286,7 +286,7 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, bands: B
         node, comp, n, bits = table.column("node").to_numpy(), table.column("comp").to_numpy(), table.column("n").to_numpy(), _bits(table.column("bits"))
         left = np.flatnonzero(own == i)
         right = np.flatnonzero(own == j)
-        found = [np.zeros((0, 2), np.int64)]
+        found = [np.zeros((0, 3), np.int64)]
         short = np.bitwise_or.reduce(bits.reshape(len(bits), FOLDS, -1), axis=1)
         step = max(1, (1 << 19) // max(1, len(right)))
         for at in range(0, len(left), step):
@@ -299,19 +299,19 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, comps: DataFrame, bands: B
             differ = np.bitwise_count(bits[l[x]] ^ bits[right[y]]).sum(1, dtype=np.int64)
             ok = bands.near((total[x, y] - differ) // 2, total[x, y])
             x, y = x[ok], y[ok]
+            differ = differ[ok]
             if nearest:
-                differ = differ[ok]
                 order = np.lexsort((y, differ, x))
-                x, y = x[order], y[order]
+                x, y, differ = x[order], y[order], differ[order]
                 first = np.ones(len(x), bool)
                 first[1:] = x[1:] != x[:-1]
-                x, y = x[first], y[first]
-            found.append(np.stack([node[l[x]], node[right[y]]], 1))
+                x, y, differ = x[first], y[first], differ[first]
+            found.append(np.stack([node[l[x]], node[right[y]], differ], 1))
         both = np.concatenate(found)
-        both = np.unique(np.stack([both.max(1), both.min(1)], 1), axis=0)
-        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1])})
+        both = np.unique(np.stack([both[:, :2].max(1), both[:, :2].min(1), both[:, 2]], 1), axis=0)
+        return pa.table({"a": pa.array(both[:, 0]), "b": pa.array(both[:, 1]), "differ": pa.array(both[:, 2])})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long").distinct()
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a long, b long, differ long").distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -339,9 +339,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     known = best
     for name, nearest in (("near", True), ("open", False)):
         met = stage.write(f"met-{name}", _open_pairs(members, nodes, comps, bands, nearest))
-        rest = left.join(_across(left, comps), ["a", "b"], "left_semi")
-        rest = rest.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b")) if nearest else rest.select("a", "b")
-        more = stage.write(f"more-{name}", _across(met, comps).union(rest).distinct().join(known, ["a", "b"], "left_anti"))
+        both = met.unionByName(left.select("a", "b", "differ"))
+        both = both.join(_across(both, comps).distinct(), ["a", "b"], "left_semi").distinct().join(known, ["a", "b"], "left_anti")
+        if nearest:  # what is counted ships a set a pair: two partners a node here, all that are still apart in the second round
+            both = both.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("differ", "b"))).where("r <= 2")
+        more = stage.write(f"more-{name}", both.select("a", "b"))
         if more.isEmpty():  # a nearest partner may be one that was counted before, so the whole round still comes
             continue
         late = _verified(more, nodes, placed, k, bands, stage, name)
