@@ -138,9 +138,13 @@ def _noted(rows: DataFrame, items: Items) -> DataFrame:
     return rows.select("loc", "text").mapInArrow(tidy(run), "loc string, gram long")
 
 
-def _windows(hits: np.ndarray, places: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
+def _reach(size: int, threshold: float) -> int:
+    """How many words a copy that reaches the threshold can have between the item's words."""
+    return int(MATCH * size * (1 - threshold) / -GAP + 1e-6)
+
+
+def _windows(hits: np.ndarray, places: np.ndarray, size: int, length: int, slack: int) -> list[tuple[int, int]]:
     """Word ranges to align: seeds whose item would begin near one another share a range."""
-    slack = size // 4 + 4
     begin = np.sort(hits - places)
     cut = np.flatnonzero(np.diff(begin) > slack) + 1
     out = []
@@ -162,9 +166,10 @@ def _aligned(rows: DataFrame, items: Items, threshold: float, id_type: T.DataTyp
         for i in np.unique(item).tolist():
             mine = item == i
             words, best = items.words[i], (0.0, 0, 0)
-            for a, b in _windows(at[mine], place[mine], len(words), len(h)):
+            slack = _reach(len(words), threshold)
+            for a, b in _windows(at[mine], place[mine], len(words), len(h), slack):
                 for lo in range(a, b, 8 * len(words) + 4096):  # long runs of seeds go in overlapping pieces
-                    window = h[lo : min(b, lo + 8 * len(words) + 4096 + 2 * len(words))]
+                    window = h[lo : min(b, lo + 8 * len(words) + 4096 + len(words) + slack)]
                     score, end = smith_waterman(words, window)
                     best = max(best, (score / (MATCH * len(words)), lo, lo + end + 1))
             if best[0] >= threshold:

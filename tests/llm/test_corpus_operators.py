@@ -170,6 +170,40 @@ def test_decontamination_finds_edited_copies(spark):
     assert decontaminate.report(docs, bench.limit(0)).count() == 0 and decontaminate.report(docs.limit(0), bench).count() == 0
 
 
+def full_alignment(rows, items):
+    """(doc_id, item_id): score of every pair that reaches 0.6 in the alignment of the whole text."""
+    import numpy as np
+
+    ids = {}
+    number = lambda t: np.array([ids.setdefault(w, len(ids)) for w in (t or "").lower().split()], np.uint64)
+    out = {}
+    for d, t, *_ in rows:
+        for i, x in items:
+            a = number(x)
+            score = decontaminate.smith_waterman(a, number(t))[0] / (2 * len(a))
+            if score >= 0.6:
+                out[d, i] = round(score, 6)
+    return out
+
+
+def found_scores(docs, bench):
+    return {(r.doc_id, r.item_id): r.score for r in decontaminate.report(docs, bench).collect()}
+
+
+def test_decontamination_finds_copies_split_by_foreign_words(spark):
+    rng = random.Random(8)
+    items = [(i, prose(rng, 40)) for i in range(4)]
+    rows = []
+    for n in (10, 14, 15, 20, 24, 28, 30, 31, 32, 33, 36):
+        for cut in (10, 20, 33):
+            w = rng.choice(items)[1].split()
+            filler = [f"zz{rng.randrange(10**6)}" for _ in range(n)]
+            rows.append((len(rows), " ".join([prose(rng, 50), *w[:cut], *filler, *w[cut:], prose(rng, 50)]), "en", "s", 0))
+    want = full_alignment(rows, items)
+    assert 0 < len(want) < len(rows)
+    assert found_scores(docs_of(spark, rows), spark.createDataFrame(items, "item_id int, text string")) == want
+
+
 def test_benchmark_blocks_do_not_change_the_result(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, prose(rng, 30)) for i in range(6)]
