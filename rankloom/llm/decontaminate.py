@@ -1,20 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-The benchmark is a stated set of items, taken in blocks of a bounded number of n-grams. For each block one pass over the corpus notes where a text has
-an n-gram of an item; the texts' counts of these n-grams say which are rare. An item's seeds are its n-grams in at most
-`rare` texts a million (ten at least), or its rarer half if that is more. A second pass, over the texts with a seed only, aligns the
-words round each seed with the item (match 2, mismatch -1, gap -1) and reports the item where the local score reaches
-`threshold` of the item's own score.
+The benchmark is a stated set of items, taken in blocks of a bounded number of n-grams; one pass over the corpus for each block, each text by itself.
+A text's words are aligned with an item (match 2, mismatch -1, gap -1) where enough of the item's word pairs stand near one another, and
+the item is reported where the local score reaches `threshold` of the item's own score. How many pairs are enough, and how near, follows
+from the threshold and the costs alone (see `Items`): a range left out can't reach the threshold, so the result is that of
+aligning every text with every item, whatever the size of the corpus and however often an item or a pair stands in it.
 
 Seeds that lie on near diagonals share one window, so a text costs as much as its seeds span. A text of any length is hashed whole.
 
-Defined cases: null or empty texts and items have no seeds. An item shorter than the n-gram is one seed as a whole sequence and must be found
+Defined cases: null or empty texts and items have no seeds. An item of fewer than `k` words is one seed as a whole sequence and must be found
 word for word. Repeated items are aligned each. A text row that repeats is reported for each row. Further columns are not read.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +28,10 @@ from ._common import LOCATOR, Stage, pick, settled, small_batches, tidy, with_lo
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: n-grams of one benchmark block: what is sent to every task is at most about 24 bytes for each.
 BLOCK_GRAMS = 200_000
+#: Words of the corpus whose seeds are looked up at once.
+PIECE = 16_384
+#: Places of items that the seeds of such a piece can have before it is halved.
+PAIRS = 1_000_000
 
 
 def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
@@ -54,35 +57,42 @@ def smith_waterman(item: np.ndarray, window: np.ndarray) -> tuple[int, int]:
 
 
 class Items:
-    """A block of benchmark items with the sorted n-grams and the (item, place) pairs of each."""
+    """A block of benchmark items with the sorted seeds and the (item, place) pairs of each.
 
-    def __init__(self, ids: list, texts: list[str], k: int):
+    What an alignment of an item of n words must hold to score `need`: it has m <= n matches, and each gap or mismatch that parts two runs of them costs one
+    at least, so it has need - m - 1 pairs of neighbouring matches or more. `least` of these are sure: an item's word pairs are its seeds where this
+    is one or more, else its single words, of which need / MATCH must match.
+    """
+
+    def __init__(self, ids: list, texts: list[str], k: int, threshold: float):
         self.ids, self.k = ids, k
         data, offsets = kernels.text_buffers(pa.array(texts, pa.string()))
         h, _, _, at = kernels.words(data, offsets)
         self.words = [h[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        grams, items, places, self.short = [], [], [], []
-        for i, w in enumerate(self.words):
-            if len(w) >= k:
-                g = kernels.ngrams(w, k)
-                grams.append(g)
-                items.append(np.full(len(g), i))
-                places.append(np.arange(len(g)))
-            elif len(w):
-                self.short.append(i)
-        order_of = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
-        order = np.argsort(order_of, kind="stable")
-        self.grams = order_of[order]
-        self.item = (np.concatenate(items) if items else np.zeros(0, np.int64))[order]
-        self.place = (np.concatenate(places) if places else np.zeros(0, np.int64))[order]
+        size = np.diff(at)
+        self.need = np.maximum(np.ceil(MATCH * size * threshold - 1e-6).astype(np.int64), 1)
+        self.reach = (MATCH * size - self.need) // -GAP  # words that an alignment can have between the item's, and how far its seeds' begins lie apart
+        self.size = size
+        pairs = self.need - size - 1
+        self.least = np.where(pairs > 0, pairs, -(-self.need // MATCH))
+        self.short = [i for i, n in enumerate(size) if 0 < n < k]
+        long = [i for i, n in enumerate(size) if n >= k]
+        self.seeds = [s for s in (_Seeds(self.words, [i for i in long if (pairs[i] > 0) == (length == 2)], length) for length in (1, 2)) if len(s.grams)]
+
+
+class _Seeds:
+    """The n-grams of some items, sorted, with the item and place of each."""
+
+    def __init__(self, words: list[np.ndarray], of: list[int], length: int):
+        self.length = length
+        grams = [kernels.ngrams(words[i], length) for i in of]
+        all_grams = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        order = np.argsort(all_grams, kind="stable")
+        self.grams = all_grams[order]
+        self.item = np.repeat(np.array(of, np.int64), [len(g) for g in grams])[order]
+        self.place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])[order]
         self.distinct = np.unique(self.grams)
 
-    def with_seeds(self, seeds: set[tuple[int, int]]) -> Items:
-        """Only the (item, n-gram) pairs named."""
-        keep = np.array([(int(i), int(g)) in seeds for i, g in zip(self.item, self.grams, strict=True)], bool)
-        self.grams, self.item, self.place = self.grams[keep], self.item[keep], self.place[keep]
-        return self
-
 
 def _isin(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     if not len(sorted_values):
@@ -115,80 +125,101 @@ def _short_places(text: np.ndarray, item: np.ndarray) -> np.ndarray:
     return np.flatnonzero(same)
 
 
-def _noted(rows: DataFrame, items: Items) -> DataFrame:
-    """(loc, gram): the distinct n-grams of the block in each text; null for one with a short item."""
+def _ranges(at: np.ndarray, overlap: int) -> Iterator[tuple[int, int]]:
+    """Word ranges of about PIECE words: whole texts, or overlapping pieces of a long one."""
+    first = 0
+    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+        if b - first <= PIECE:
+            continue
+        if a > first:
+            yield first, a
+        first = a
+        while b - first > PIECE + overlap:
+            yield first, first + PIECE + overlap
+            first += PIECE
+    if at[-1] > first:
+        yield first, int(at[-1])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test = _Filter(items.distinct)
-        for batch in batches:
-            data, offsets = kernels.text_buffers(batch.column(1))
-            h, _, _, at = kernels.words(data, offsets)
-            all_grams = kernels.ngrams(h, items.k)
-            hit = test.find(all_grams)
-            text = np.searchsorted(at, hit, "right") - 1
-            inside = hit + items.k <= at[text + 1]
-            hit, text = hit[inside], text[inside]
-            grams = all_grams[hit]
-            both = np.unique(np.stack([text.astype(np.uint64), grams], 1), axis=0) if len(hit) else np.zeros((0, 2), np.uint64)
-            short = [i for i in range(batch.num_rows) if any(len(_short_places(h[at[i] : at[i + 1]], items.words[s])) for s in items.short)] if items.short else []
-            loc = batch.column(0).take(pa.array(np.concatenate([both[:, 0].astype(np.int64), np.array(short, np.int64)])))
-            gram = pa.concat_arrays([pa.array(both[:, 1].view(np.int64)), pa.nulls(len(short), pa.int64())])
-            yield pa.RecordBatch.from_arrays([loc, gram], names=["loc", "gram"])
-
-    return rows.select("loc", "text").mapInArrow(tidy(run), "loc string, gram long")
-
-
-def _reach(size: int, threshold: float) -> int:
-    """How many words a copy that reaches the threshold can have between the item's words."""
-    return int(MATCH * size * (1 - threshold) / -GAP + 1e-6)
-
-
-def _windows(hits: np.ndarray, places: np.ndarray, size: int, length: int, slack: int) -> list[tuple[int, int]]:
-    """Word ranges to align: seeds whose item would begin near one another share a range."""
-    begin = np.sort(hits - places)
-    cut = np.flatnonzero(np.diff(begin) > slack) + 1
-    out = []
-    for g in np.split(begin, cut):
-        out.append((max(0, int(g[0]) - slack), min(length, int(g[-1]) + size + slack)))
-    return out
 
+def _windows(h: np.ndarray, at: np.ndarray, a: int, b: int, items: Items, tests: list[_Filter]) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, from, to, seeds): the word ranges in a..b that hold an item's least number of seeds and whose item would begin near one another.
 
-def _aligned(rows: DataFrame, items: Items, threshold: float, id_type: T.DataType, item_type: T.DataType) -> DataFrame:
-    schema = T.StructType([T.StructField("loc", T.StringType()), T.StructField("id", id_type), T.StructField("item", item_type), T.StructField("score", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType())])
-
-    def align(h: np.ndarray) -> Iterator[tuple[int, float, int, int]]:
-        grams = kernels.ngrams(h, items.k)
-        hit = np.flatnonzero(_isin(items.grams, grams))
-        left, right = np.searchsorted(items.grams, grams[hit], "left"), np.searchsorted(items.grams, grams[hit], "right")
+    All seeds of an alignment that reaches the threshold begin within the item's reach, so it lies in one range.
+    """
+    found, overlap, total = [], int((items.size + items.reach).max(initial=0)), 0
+    for seeds, test in zip(items.seeds, tests, strict=True):
+        grams = kernels.ngrams(h[a:b], seeds.length)
+        hit = test.find(grams)
+        text = np.searchsorted(at, hit + a, "right") - 1
+        inside = hit + a + seeds.length <= at[text + 1]
+        hit, text = hit[inside], text[inside]
+        left, right = np.searchsorted(seeds.grams, grams[hit], "left"), np.searchsorted(seeds.grams, grams[hit], "right")
         n = right - left
+        total += int(n.sum())
+        if total > PAIRS and b - a > 2 * overlap + 2:  # frequent pairs: two overlapping halves
+            half = (a + b - overlap) // 2
+            yield from _windows(h, at, a, half + overlap, items, tests)
+            yield from _windows(h, at, half, b, items, tests)
+            return
         pair = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at, item, place = np.repeat(hit, n), items.item[pair], items.place[pair]
-        for i in np.unique(item).tolist():
-            mine = item == i
-            words, best = items.words[i], (0.0, 0, 0)
-            slack = _reach(len(words), threshold)
-            for a, b in _windows(at[mine], place[mine], len(words), len(h), slack):
-                for lo in range(a, b, 8 * len(words) + 4096):  # long runs of seeds go in overlapping pieces
-                    window = h[lo : min(b, lo + 8 * len(words) + 4096 + len(words) + slack)]
+        found.append((np.repeat(text, n), seeds.item[pair], seeds.place[pair], np.repeat(hit + a, n) - seeds.place[pair]))
+    if not found:
+        return
+    text, item, place, begin = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((begin, item, text))
+    text, item, place, begin = text[order], item[order], place[order], begin[order]
+    first = np.arange(len(order))
+    last = first + items.least[item] - 1
+    first, last = first[last < len(order)], last[last < len(order)]
+    near = (text[first] == text[last]) & (item[first] == item[last]) & (begin[last] - begin[first] <= items.reach[item[first]])
+    first, last = first[near], last[near]
+    if not len(first):
+        return
+    t, i = text[first], item[first]
+    lo = np.maximum(begin[last] - items.reach[i], np.maximum(at[t], a))
+    hi = np.minimum(begin[first] + items.size[i] + items.reach[i], np.minimum(at[t + 1], b))
+    new = np.flatnonzero(np.concatenate([[True], (t[1:] != t[:-1]) | (i[1:] != i[:-1]) | (lo[1:] > hi[:-1])]))
+    end = np.append(new[1:], len(first)) - 1
+    for x, y in zip(new.tolist(), end.tolist(), strict=True):
+        yield int(t[x]), int(i[x]), int(lo[x]), int(hi[y]), len(np.unique(place[first[x] : last[y] + 1]))
+
+
+def _aligned(rows: DataFrame, items: Items, id_type: T.DataType, item_type: T.DataType) -> DataFrame:
+    schema = T.StructType([T.StructField("loc", T.StringType()), T.StructField("id", id_type), T.StructField("item", item_type), T.StructField("score", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType())])
+
+    overlap = int((items.size + items.reach).max(initial=0))
+
+    def align(h: np.ndarray, at: np.ndarray, tests: list[_Filter]) -> Iterator[tuple[int, int, float, int, int]]:
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for piece in _ranges(at, overlap):
+            for r, i, a, b, seeds in _windows(h, at, *piece, items, tests):
+                words, need, size = items.words[i], int(items.need[i]), int(items.size[i])
+                step = 8 * size + 4096
+                for lo in range(a, b, step):  # long runs of seeds go in overlapping pieces
+                    window = h[lo : min(b, lo + step + size + int(items.reach[i]))]
+                    same = int(_isin(np.sort(window), words).sum())
+                    if MATCH * same < need or (need > size + 1 and same + seeds + 1 < need):
+                        continue
                     score, end = smith_waterman(words, window)
-                    best = max(best, (score / (MATCH * len(words)), lo, lo + end + 1))
-            if best[0] >= threshold:
-                yield i, best[0], max(best[1], best[2] - len(words)), best[2]
+                    if score >= need:
+                        lo_ = lo - int(at[r])
+                        best[r, i] = max(best.get((r, i), (0, 0, 0)), (score, lo_, lo_ + end + 1))
+        for (r, i), (score, lo, end) in best.items():
+            size = int(items.size[i])
+            yield r, i, score / (MATCH * size), max(lo, end - size), end
         for i in items.short:
-            for p in _short_places(h, items.words[i])[:1].tolist():
-                yield i, 1.0, p, p + len(items.words[i])
+            for r in range(len(at) - 1):
+                for p in _short_places(h[at[r] : at[r + 1]], items.words[i])[:1].tolist():
+                    yield r, i, 1.0, p, p + len(items.words[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tests = [_Filter(s.distinct) for s in items.seeds]
         for batch in batches:
             data, offsets = kernels.text_buffers(batch.column(2))
             h, _, _, at = kernels.words(data, offsets)
-            rows_, found = [], []
-            for r in range(batch.num_rows):
-                for x in align(h[at[r] : at[r + 1]]):
-                    rows_.append(r)
-                    found.append(x)
-            take = pa.array(rows_, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([items.ids[f[0]] for f in found], item_arrow), *[pa.array([f[c] for f in found], t) for c, t in ((1, pa.float64()), (2, pa.int64()), (3, pa.int64()))]], names=["loc", "id", "item", "score", "start_word", "end_word"])
+            found = list(align(h, at, tests))
+            take = pa.array([f[0] for f in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array([items.ids[f[1]] for f in found], item_arrow), *[pa.array([f[c] for f in found], t) for c, t in ((2, pa.float64()), (3, pa.int64()), (4, pa.int64()))]], names=["loc", "id", "item", "score", "start_word", "end_word"])
 
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -196,22 +227,22 @@ def _aligned(rows: DataFrame, items: Items, threshold: float, id_type: T.DataTyp
     return rows.select("loc", "id", "text").mapInArrow(tidy(run), schema)
 
 
-def _blocks(benchmark: DataFrame, item_col: str, text_col: str, k: int) -> Iterator[Items]:
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, k: int, threshold: float) -> Iterator[Items]:
     """The benchmark in blocks, read one partition after another: a block is all that the driver holds."""
     ids, texts, grams = [], [], 0
     for r in benchmark.select(pick(benchmark, item_col).alias("i"), pick(benchmark, text_col).cast("string").alias("t")).toLocalIterator():
         n = len((r.t or "").encode().split())
         if ids and grams + n > BLOCK_GRAMS:
-            yield Items(ids, texts, k)
+            yield Items(ids, texts, k, threshold)
             ids, texts, grams = [], [], 0
         ids.append(r.i)
         texts.append(r.t or "")
         grams += n
     if ids:
-        yield Items(ids, texts, k)
+        yield Items(ids, texts, k, threshold)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 4, rare: float = 10.0, threshold: float = 0.6) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", k: int = 4, threshold: float = 0.6) -> DataFrame:
     """A row for each text and item that it holds: locator, id, item, score (1: word for word), and its place in words."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -219,16 +250,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     key = pick(docs, id_col)
     placed = with_locator(docs, [key.alias("id"), pick(docs, text_col).cast("string").alias("text")], stage).withColumnRenamed(LOCATOR, "loc")
     item_type = benchmark.schema[item_col].dataType
-    out, total = None, docs.select(F.lit(1)).count()
-    for b, items in enumerate(_blocks(benchmark, item_col, item_text_col, k)):
-        noted = stage.write(f"noted-{b}", _noted(placed, items))
-        counts = {r.gram: r.n for r in noted.where("gram is not null").groupBy("gram").agg(F.count("*").alias("n")).collect()}  # a row an n-gram of the block
-        seeds = _seeds(items, counts, max(10.0, rare * total / 1e6))
-        wanted = spark.createDataFrame(sorted({(g,) for _, g in seeds}), "gram long") if seeds else spark.createDataFrame([], "gram long")
-        near = noted.where("gram is null").select("loc").union(noted.join(F.broadcast(wanted), "gram").select("loc")).distinct()  # BLOCK_GRAMS longs at most
-        texts = placed.join(near, "loc", "left_semi")
-        got = stage.write(f"found-{b}", _aligned(texts, items.with_seeds({(i, g & ((1 << 64) - 1)) for i, g in seeds}), threshold, key_type(docs, id_col), item_type))
-        stage.drop(f"noted-{b}")
+    out = None
+    for b, items in enumerate(_blocks(benchmark, item_col, item_text_col, k, threshold)):
+        got = stage.write(f"found-{b}", _aligned(placed, items, key_type(docs, id_col), item_type))
         out = got if out is None else out.unionByName(got)
     if out is None:
         schema = T.StructType([T.StructField("loc", T.StringType()), T.StructField("id", key_type(docs, id_col)), T.StructField("item", item_type), T.StructField("score", T.DoubleType()), T.StructField("start_word", T.LongType()), T.StructField("end_word", T.LongType())])
@@ -240,18 +264,6 @@ def key_type(docs: DataFrame, id_col: str) -> T.DataType:
     return docs.schema[id_col].dataType
 
 
-def _seeds(items: Items, counts: dict[int, int], most: float) -> set[tuple[int, int]]:
-    """(item, n-gram as a signed long): those in few texts, and at least the rarer half of an item's."""
-    out = set()
-    order = np.argsort(items.item, kind="stable")
-    item, gram = items.item[order], items.grams[order].view(np.int64)
-    for i in np.unique(item).tolist():
-        mine = sorted({(counts.get(int(g), 0), int(g)) for g in gram[item == i]})
-        least = math.ceil(len(mine) / 2)
-        out |= {(i, g) for n, (c, g) in enumerate(mine) if c <= most or n < least}
-    return out
-
-
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", **how) -> DataFrame:
     """id, item, score and place of each contaminated text."""
     found = contaminated(docs, benchmark, id_col=id_col, item_col=item_col, **how)

@@ -204,6 +204,28 @@ def test_decontamination_finds_copies_split_by_foreign_words(spark):
     assert found_scores(docs_of(spark, rows), spark.createDataFrame(items, "item_id int, text string")) == want
 
 
+def test_decontamination_equals_the_full_alignment(spark):
+    rng = random.Random(9)
+    items = [(i, prose(rng, n)) for i, n in enumerate((4, 5, 6, 16, 24, 40, 60))]
+    rows = []
+    strange = lambda: f"zz{rng.randrange(10**6)}"
+    for _, x in items:
+        w = x.split()
+        for e in (2, 3, 4):
+            replaced = [strange() if j % e == e - 1 else y for j, y in enumerate(w)]
+            parted = [v for j, y in enumerate(w) for v in ([y, strange()] if j % e == e - 1 else [y])]
+            dropped = [y for j, y in enumerate(w) if j % (e + 2)]
+            for c in (replaced, parted, dropped):
+                rows.append((len(rows), " ".join([prose(rng, 50), *c, prose(rng, 50)]), "en", "s", 0))
+    long = prose(rng, 40_000).split()
+    for at, (_, x) in zip((16_370, 33_000), items[-2:]):
+        long[at:at] = [v for y in x.split() for v in (y, y if rng.random() < 0.3 else strange())][: 2 * len(x.split()) - 20]
+    rows.append((len(rows), " ".join(long), "en", "s", 0))
+    want = full_alignment(rows, items)
+    assert 0 < len(want) < len(rows) * len(items)
+    assert found_scores(docs_of(spark, rows), spark.createDataFrame(items, "item_id int, text string")) == want
+
+
 def test_benchmark_blocks_do_not_change_the_result(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, prose(rng, 30)) for i in range(6)]
