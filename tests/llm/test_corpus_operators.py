@@ -226,6 +226,19 @@ def test_decontamination_equals_the_full_alignment(spark):
     assert found_scores(docs_of(spark, rows), spark.createDataFrame(items, "item_id int, text string")) == want
 
 
+def test_decontamination_does_not_depend_on_how_often_an_item_stands(spark):
+    """An item's beginning stands in many texts; an edited copy has no other four words in a row."""
+    rng = random.Random(10)
+    item = [f"w{i}" for i in range(16)]
+    copy = [*item[:9], "zz1", *item[10:13], "zz2", *item[14:]]
+    rows = [(0, " ".join(["before", *copy, "after"]), "en", "s", 0)]
+    rows += [(n, " ".join([prose(rng, 5), *item[:9], prose(rng, 5)]), "en", "s", 0) for n in range(1, 41)]
+    want = full_alignment(rows, [(7, " ".join(item))])
+    assert set(want) == {(0, 7)}
+    bench = spark.createDataFrame([(7, " ".join(item))], "item_id int, text string")
+    assert found_scores(docs_of(spark, rows), bench) == found_scores(docs_of(spark, rows[:1]), bench) == want
+
+
 def test_benchmark_blocks_do_not_change_the_result(spark, monkeypatch):
     rng = random.Random(6)
     items = [(i, prose(rng, 30)) for i in range(6)]
