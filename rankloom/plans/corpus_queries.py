@@ -242,9 +242,10 @@ def dense_label_purity(spark, d):
 
 @named(f"WITH {_DENSE}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) = 1 AS first FROM der WHERE rank <= 60), s AS (SELECT *, sum(first::INT) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM f) SELECT query_id, CAST(min(rank) FILTER (WHERE seen >= 5) AS INT) AS raw_needed FROM s GROUP BY query_id")
 def distinct_prefix_length(spark, d):
-    """How many vectors hold five distinct labels."""
-    t = ranking.top_k(_dense(spark, d), 60).select("query_id", F.col("label").alias("heading"), "rank")
-    return evidence.distinct_prefix(t, 5)
+    """How many vectors hold five distinct labels, by each label's first rank in the whole ranking."""
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    first = _dense(spark, d).withColumn("rank", F.row_number().over(w)).groupBy("query_id", F.col("label").alias("heading")).agg(F.min("rank").alias("rank"))
+    return evidence.distinct_prefix(first, 5)
 
 
 @named(f"WITH {_BM25}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, rank) AS r FROM bmr WHERE rank <= 6) SELECT query_id AS case_id, arg_min(doc_id, rank) AS \"left\", arg_max(doc_id, rank) AS \"right\", round(sum(round(score, 6)), 6) AS score FROM t WHERE r <= 2 GROUP BY query_id HAVING count(*) = 2")

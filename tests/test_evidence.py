@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions import anchors
 from rankloom.operators import evidence
+from rankloom.plans.catalogue import QUERIES
 
 
 def test_claims_need_all_their_headings(spark):
@@ -40,3 +41,9 @@ def test_anchors(spark):
     assert anchors.missing("waits 20 ms", "It waits 20ms.") == [] and anchors.missing("limit 7", "limit 8") == ["7"] and anchors.find(None) == []
     r = spark.createDataFrame([("limit 7", "limit 8")], "a string, b string").select(anchors.exact_anchors("a").alias("x"), anchors.missing_anchors("a", "b").alias("m")).first()
     assert (r.x, r.m) == (["7"], ["7"])
+
+
+def test_distinct_prefix_length_looks_beyond_sixty_vectors(spark, tmp_path):
+    rows = [(0, [1.0, 0.0], 0)] + [(i, [1.0 - i / 1000, 0.0], i % 4) for i in range(1, 80)] + [(80, [0.1, 0.0], 4)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    assert [tuple(r) for r in QUERIES["distinct_prefix_length"](spark, str(tmp_path)).collect()] == [(0, 80)]
