@@ -87,6 +87,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return joined.select(*shown, "size", "source_size", "target", (F.col("size") * (F.col("whole") + extra.cast("long"))).cast("long").alias("taken"))
 
 
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The mix itself: the rows and columns of `mix(keep_columns=True)` and `epoch`, a row for each time that a row is taken (1, 2, ...).
+
+    An input column named epoch is left out for the result's.
+    """
+    rows = mix(docs, keep_columns=True, **how).where("taken > 0")
+    return rows.withColumn("epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("taken div size"))))
+
+
 #: The same in DuckDB's SQL, for documents under any name: one running sum over each source in hash order.
 MIX_SQL = r"""
 WITH rows AS (

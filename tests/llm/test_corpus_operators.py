@@ -304,6 +304,15 @@ def test_mixing_keeps_columns_and_takes_nothing_from_nothing(spark, corpus):
     assert mixing.mix(docs.where("doc_id in (9000, 9001, 9002)")).agg(F.sum("taken")).first()[0] == 0
 
 
+def test_the_mix_as_rows(spark, corpus):
+    """A row for each time that a row is taken, none for rows not taken."""
+    docs = docs_of(spark, list(corpus) + [(20_000 + i, f"big {i} words", "en", "big", 0) for i in range(3000)])
+    plan, got = mixing.mix(docs).collect(), mixing.mixed(docs).collect()
+    want = sorted((str(r.doc_id), e) for r in plan if r.size for e in range(1, r.taken // r.size + 1))
+    assert sorted((str(r.doc_id), r.epoch) for r in got) == want and {r.epoch for r in got} >= {1, 2} and any(r.taken == 0 for r in plan)
+    assert sum(r.size for r in got) == sum(r.taken for r in plan) and {"text", "lang", "source", "kept"} <= set(got[0].asDict())
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     rng = random.Random(21)
     items = [(i, prose(rng, 40)) for i in range(3)]
