@@ -130,6 +130,7 @@ def test_parts_of_near_sets_meet():
     import numpy as np
 
     rng = np.random.default_rng(1)
+    none = np.zeros(0, np.uint64)
     for num in (80, 90):
         bands = ngram_jaccard.Bands(num, 100)
         for _ in range(400):
@@ -138,7 +139,9 @@ def test_parts_of_near_sets_meet():
             b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.95], rng.integers(0, 1 << 63, int(rng.integers(0, 4)), dtype=np.uint64)]))
             both = len(np.intersect1d(a, b))
             if len(b) and 100 * both >= num * (len(a) + len(b) - both) and not np.array_equal(a, b):
-                assert set(bands.keys(a).tolist()) & set(bands.keys(b).tolist())
+                assert set(bands.tiles(a, none).tolist()) & set(bands.tiles(b, none).tolist())
+                frequent = np.unique(rng.choice(bands.every(a), 1 + len(a) // 3)) if len(bands.every(a)) else none
+                assert set(bands.tiles(a, frequent).tolist()) & set(bands.tiles(b, frequent).tolist())
 
 
 def test_components_of_a_chain_and_a_star(spark):
