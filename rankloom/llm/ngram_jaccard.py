@@ -113,8 +113,8 @@ def set_hash(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """A bit for each element's hash, two bits an element at least, as far as widths go."""
-    width = 1 << max(NARROW, min(WIDE, (2 * len(s) - 1).bit_length()))
+    """A bit for each element's hash, eight bits an element at least, as far as widths go."""
+    width = 1 << max(NARROW, min(WIDE, (8 * len(s) - 1).bit_length()))
     bits = np.zeros(width, np.uint8)
     bits[(s * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(20)) & np.uint64(width - 1)] = 1
     return np.packbits(bits).tobytes()
