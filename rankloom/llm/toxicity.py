@@ -1,13 +1,13 @@
 """Toxicity by a chain of linear classifiers.
 
 Categories are predicted in order. The model of each sees which of its chosen tokens (words and beginnings of words) a text has and the probabilities of the categories
-before it; in training these are out-of-fold, from models that did not see the text. The models are fitted on a bounded sample of
-labelled texts (`max_labels`), drawn by hash; tokens are counted in Spark and the `max_tokens` with the largest chi-square are
-chosen a category, so the driver holds max_labels x max_tokens numbers at most. Judging is map-only over whole texts.
+before it; in training these are out-of-fold, from models whose tokens and weights come from texts of other folds only. The models are fitted on a bounded sample of
+labelled texts (`max_labels`), drawn by hash; tokens are counted in Spark, and of those in `least_texts` sampled texts and with a chi-square of `least_chi2` the
+`max_tokens` with the largest are chosen a category and fold, so the driver holds max_labels rows of the chosen tokens at most. Judging is map-only over whole texts.
 
-Defined cases: a null or empty text has no tokens and gets the models' base rates. Rows of labels that are null in a category don't count
-for it; of several label rows for an id the largest value counts. Without labels, or with one class only, a category's probability is its base
-rate (0 without labels). Ids that are null are judged and not learned from. Further columns are not read.
+Defined cases: a null or empty text has no tokens and gets the models' base rates; a very long one is judged whole. Rows of labels that are null in a category don't count
+for it; of several label rows for an id the largest value counts, of several texts the first in order. Without labels, or with one class only, a category's probability is its base
+rate (0 without labels). Ids that are null are judged and not learned from. Tokens that tie in chi-square are taken by hash. An empty table has an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -95,7 +95,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, steps: int = 25)
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], id_col: str = "doc_id", text_col: str = "text", max_labels: int = 20_000, max_tokens: int = 256, least_chi2: float = 20.0) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int]], id_col: str = "doc_id", text_col: str = "text", max_labels: int = 20_000, max_tokens: int = 256, least_chi2: float = 20.0, least_texts: int = 4) -> Chain:
     """A chain over `categories`: name to (column of `labels`, value that means yes), in order."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -105,16 +105,16 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int
     total = known.count()
     ys = [f"y{c}" for c in range(len(categories))]
     drawn = known.withColumn("u", u).where(F.col("u") < 1.1 * max_labels / max(total, 1)).groupBy("id", "u").agg(*[F.max(y).alias(y) for y in ys]).orderBy("u", "id").limit(max_labels)
-    # at most max_labels ids and labels, whatever the input
-    texts = docs.select(pick(docs, id_col).alias("id"), pick(docs, text_col).cast("string").alias("text")).join(F.broadcast(drawn), "id")
+    # at most max_labels ids and labels, whatever the input; one text an id
+    texts = docs.select(pick(docs, id_col).alias("id"), pick(docs, text_col).cast("string").alias("text")).join(F.broadcast(drawn), "id").groupBy("id", *ys).agg(F.min("text").alias("text"))
     sample = stage.write("sample", _token_sets(texts, ys))
     links: list[Link] = []
-    n_rows = sample.count()
-    if not n_rows:
+    if sample.isEmpty():
         return Chain([Link(c, np.zeros(0, np.uint64), np.zeros(k)) for k, c in enumerate(categories)])
-    chosen = [_choose(sample, y, max_tokens, least_chi2) for y in ys]
-    every = np.unique(np.concatenate(chosen))
+    chosen = _choose(sample, ys, max_tokens, least_chi2, least_texts)
+    every = np.unique(np.concatenate(list(chosen.values())))
     rows = _matrix_rows(sample, every, ys).collect()  # max_labels rows of the chosen tokens' places
+    stage.drop("sample")
     rows.sort(key=lambda r: (r.fold, r.mark, r.at))
     full = np.zeros((len(rows), len(every)), bool)
     for i, r in enumerate(rows):
@@ -124,22 +124,25 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, tuple[str, int
     for c, name in enumerate(categories):
         y = np.array([np.nan if r[ys[c]] is None else r[ys[c]] for r in rows])
         there = ~np.isnan(y)
-        x = np.hstack([full[:, np.searchsorted(every, chosen[c])].astype(float), earlier])
+
+        def seen_by(f: int, earlier: np.ndarray = earlier, c: int = c) -> np.ndarray:
+            return np.hstack([full[:, np.searchsorted(every, chosen[c, f])].astype(float), earlier])
+
         if there.sum() == 0 or y[there].min() == y[there].max():
             rate = float(np.clip(y[there].mean() if there.any() else 0.0, 1e-13, 1 - 1e-13))
-            links.append(Link(name, chosen[c], np.zeros(x.shape[1]), float(np.log(rate / (1 - rate)))))
+            links.append(Link(name, chosen[c, FOLDS], np.zeros(len(chosen[c, FOLDS]) + c), float(np.log(rate / (1 - rate)))))
             earlier = np.hstack([earlier, np.full((len(rows), 1), rate)])
             continue
         unseen = np.full(len(rows), y[there].mean())
         for f in range(FOLDS):
             train, rest = there & (fold != f), fold == f
             if train.any() and y[train].min() < y[train].max():
+                x = seen_by(f)
                 w = logistic(x[train], y[train])
                 unseen[rest] = 1 / (1 + np.exp(-np.clip(x[rest] @ w[:-1] + w[-1], -30, 30)))
-        w = logistic(x[there], y[there])
-        links.append(Link(name, chosen[c], w[:-1], float(w[-1])))
+        w = logistic(seen_by(FOLDS)[there], y[there])
+        links.append(Link(name, chosen[c, FOLDS], w[:-1], float(w[-1])))
         earlier = np.hstack([earlier, unseen[:, None]])
-    stage.drop("sample")
     return Chain(links)
 
 
@@ -157,18 +160,27 @@ def _token_sets(texts: DataFrame, ys: list[str]) -> DataFrame:
     return rows.mapInArrow(tidy(run), schema)
 
 
-def _choose(sample: DataFrame, y: str, most: int, least_chi2: float) -> np.ndarray:
-    """The tokens whose presence depends most on the label, sorted."""
-    known = sample.where(F.col(y).isNotNull())
-    n, pos = known.agg(F.count("*"), F.coalesce(F.sum(y), F.lit(0.0))).first()
-    if not n or not 0 < pos < n:
-        return np.zeros(0, np.uint64)
-    counts = known.select(F.col(y).alias("y"), F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.sum("y").alias("p")).where("n >= 4")
-    a, b = F.col("p"), F.col("n") - F.col("p")
-    c, d = F.lit(pos) - a, F.lit(n - pos) - b
-    chi2 = F.lit(float(n)) * F.pow(a * d - b * c, F.lit(2.0)) / (F.col("n") * (n - F.col("n") + 1e-9) * pos * (n - pos))
-    top = counts.select("token", chi2.alias("chi2")).where(F.col("chi2") >= least_chi2).orderBy(F.desc("chi2"), "token").limit(most).collect()
-    return np.unique(np.array([r.token for r in top], np.int64).view(np.uint64))
+def _choose(sample: DataFrame, ys: list[str], most: int, least_chi2: float, least_texts: int) -> dict[tuple[int, int], np.ndarray]:
+    """By category and fold, sorted, the tokens whose presence depends most on the label in the texts outside that fold (fold FOLDS: in all)."""
+    sets = [(c, f) for c in range(len(ys)) for f in range(FOLDS + 1)]
+
+    def sums(extra: list) -> list:
+        """Labelled rows and positives of each set."""
+        return [F.coalesce(F.sum(F.when(F.col("fold") != f, v)), F.lit(0.0)).alias(f"{kind}{c}_{f}") for c, f in sets for kind, v in (("n", F.col(ys[c]).isNotNull().cast("double")), ("p", F.col(ys[c])))] + extra
+
+    whole = sample.agg(*sums([])).first()
+    counts = sample.select("fold", *ys, F.explode("tokens").alias("token")).groupBy("token").agg(*sums([]))
+    found = []
+    for c, f in sets:
+        n, pos, k, p = whole[f"n{c}_{f}"], whole[f"p{c}_{f}"], F.col(f"n{c}_{f}"), F.col(f"p{c}_{f}")
+        chi2 = F.lit(n) * F.pow(p * (F.lit(n - pos) - (k - p)) - (k - p) * (F.lit(pos) - p), F.lit(2.0)) / (k * (n - k + 1e-9) * F.lit(max(pos * (n - pos), 1e-9)))
+        found.append(F.when(k >= least_texts, F.struct(F.lit(c).alias("c"), F.lit(f).alias("f"), chi2.alias("chi2"))))
+    ranked = counts.select("token", F.explode(F.array(*found)).alias("s")).select("token", "s.*").where(F.col("chi2") >= least_chi2)
+    top = ranked.withColumn("r", F.row_number().over(Window.partitionBy("c", "f").orderBy(F.desc("chi2"), "token"))).where(F.col("r") <= most).collect()
+    of: dict[tuple[int, int], list[int]] = {s: [] for s in sets}
+    for r in top:
+        of[r.c, r.f].append(r.token)
+    return {s: np.unique(np.array(t, np.int64).view(np.uint64)) for s, t in of.items()}
 
 
 def _matrix_rows(sample: DataFrame, every: np.ndarray, ys: list[str]) -> DataFrame:

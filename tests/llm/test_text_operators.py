@@ -133,6 +133,74 @@ def test_toxicity_of_unlabelled_texts(spark):
     assert kept.columns == docs.columns and kept.count() == sum(not r.toxic for r in got)
 
 
+def plain_chain(rows, labels, max_tokens, least_chi2):
+    """Probabilities of both categories by dictionaries and one text at a time; only the Newton steps are shared."""
+    import math
+
+    import numpy as np
+
+    def tokens(text):
+        found = set()
+        for w in re.findall(rb"[a-z0-9\x80-\xff]+", text.lower().encode()):
+            found |= {(0, w)} | {(n, w[:n]) for n in (4, 5, 6) if len(w) > n}
+        return found
+
+    sets = {i: tokens(t) for i, t, *_ in rows}
+    fold = {i: zlib.crc32(str(i).encode()) % 5 for i in sets}
+    out, earlier = {i: [] for i in sets}, {i: [] for i in sets}
+    for c in range(2):
+        y = {i: float(q == 0) if c == 0 else float(t == 1) for i, q, t in labels}
+
+        def fitted(train):
+            n, pos, chi2 = len(train), sum(y[i] for i in train), {}
+            for t in set().union(*(sets[i] for i in train)):
+                k, p = sum(t in sets[i] for i in train), sum(y[i] for i in train if t in sets[i])
+                if k >= 4:
+                    chi2[t] = n * (p * (n - pos - k + p) - (k - p) * (pos - p)) ** 2 / (k * (n - k + 1e-9) * pos * (n - pos))
+            chosen = sorted((t for t in chi2 if chi2[t] >= least_chi2), key=lambda t: -chi2[t])[:max_tokens]
+            x = np.array([[float(t in sets[i]) for t in chosen] + earlier[i] for i in train])
+            return chosen, toxicity.logistic(x, np.array([y[i] for i in train]))
+
+        def probability(model, i, before):
+            chosen, w = model
+            z = w[-1] + sum(w[k] for k, t in enumerate(chosen) if t in sets[i]) + sum(a * b for a, b in zip(w[len(chosen) : -1], before, strict=True))
+            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+        unseen = {}
+        for f in range(5):
+            model = fitted([i for i in y if fold[i] != f])
+            unseen |= {i: probability(model, i, earlier[i]) for i in y if fold[i] == f}
+        model = fitted(list(y))
+        for i in sets:
+            out[i] = [*out[i], probability(model, i, out[i])]
+        earlier = {i: earlier[i] + [unseen[i]] for i in y}
+    return out
+
+
+def test_toxicity_equals_a_plain_chain(spark):
+    """Low quality has words of its own and depends on a few toxic ones; no token ties at the cut."""
+    rows, labels = toxic_corpus(spark, 300)
+    rng = random.Random(9)
+    low = {i for i, *_ in labels if rng.random() < 0.4}
+    rows = [(i, t + (" cheap buynow" if i in low and rng.random() < 0.9 else "") + (" click" if rng.random() < (0.7 if i in low else 0.2) else ""), *r) for i, t, *r in rows]
+    labels = [(i, 0 if i in low else 1, t) for i, _, t in labels]
+    want = plain_chain(rows, labels, 256, 20.0)
+    got = toxicity.report(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.p_low_quality, r.p_toxic) == pytest.approx(want[r.doc_id], abs=1e-5)
+
+
+def test_toxicity_of_repeated_rows_and_ties(spark):
+    """Rows that repeat don't count twice in the fit, and tokens that always come together tie."""
+    rows, labels = toxic_corpus(spark, 200)
+    rows = [(i, t.replace("moronic", "moronic twinword"), *r) for i, t, *r in rows]
+    lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    once = {r.doc_id: r.p_toxic for r in toxicity.report(spark.createDataFrame(rows, DOCS), lab).collect()}
+    twice = toxicity.report(spark.createDataFrame(rows + rows[:120], DOCS), spark.createDataFrame(labels + labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(twice) == len(rows) + 120 and all(r.p_toxic == pytest.approx(once[r.doc_id], abs=1e-9) for r in twice)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a moron", "en", "s", 7)], DOCS)
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
