@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; all but the last return the columns of documents. The last
 adds size, source_size, target and taken, the number of words that the mix takes of a row.
+
+Defined cases are those of the operators: a null or empty text is never toxic nor near another, null equals empty for the exact copies, null ids
+stay and are never preferred, repeated rows are copies, ties go to the smaller locator, very long texts are judged whole, an empty table gives an
+empty result, and further columns pass through (but names that the last stage adds replace equal ones, in any case).
 """
 
 from __future__ import annotations
@@ -36,15 +40,21 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _stage(function):
-    """The stage before has been written, so the tables that it staged can go."""
+    """The stage before has been written, so the tables that it staged can go; those of other callers stay."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _common.release(spark)
-        return function(spark, docs, sf_dir)
+        _common.release(spark, _own)
+        before = _common.staged(spark)
+        out = function(spark, docs, sf_dir)
+        _own[:] = _common.staged(spark) - before
+        return out
 
     return run_stage
 
 
+#: The tables that the last stage staged.
+_own: list[str] = []
+
 STAGES = [
     ("toxicity", _stage(drop_toxic)),
     ("exact_dedup", _stage(drop_copies)),
