@@ -55,6 +55,11 @@ def release(spark: SparkSession, paths: list[str] | None = None) -> None:
         delete(spark, entry[1])
 
 
+def staged(spark: SparkSession) -> set[str]:
+    """The paths of the staged tables that this session has left."""
+    return {path for owner, path in _staged if owner is spark}
+
+
 def clean_shuffles(spark: SparkSession) -> None:
     """Let Spark drop the shuffle files of finished plans now and not when the driver next collects its garbage."""
     gc.collect()
@@ -113,12 +118,12 @@ def tidy(run):
 
 
 def with_locator(docs: DataFrame, columns: list[Column] | None = None, stage: Stage | None = None) -> DataFrame:
-    """`docs` (or `columns` of it) and where each row lies: file and row index, the same at every reading.
+    """`docs` (or `columns` of it) and where each row lies: its file's path as a 64-bit hash and its row index, the same at every reading.
 
     A frame that is no plain file scan has no such place; it is written to the shared folder first.
     """
     columns = columns if columns is not None else [docs[c] for c in docs.columns]
-    place = F.concat_ws("#", F.col("_metadata.file_path"), F.col("_metadata.row_index").cast("string")).alias(LOCATOR)
+    place = F.concat_ws("#", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.row_index").cast("string")).alias(LOCATOR)
     try:
         return docs.select(*columns, place)
     except AnalysisException:

@@ -1,14 +1,15 @@
 """Exact deduplication as a stateful stream with disk-backed keyed state that never expires.
 
 The rows' digests, with id and content locator (file and row index), go to a log in the shared folder. A stream over the log keeps, for
-each digest, the smallest id, its locator and a count in RocksDB state: no watermark, so nothing expires, and a later run over further
-log files can go on from the same state. Every hit is then checked against the full bytes at its group's locator; rows whose bytes differ although
-the digests agree are grouped by their bytes instead. DataFrame operators only.
+each digest, the smallest id, its locator and a count in RocksDB state: no watermark, so nothing expires. A run's state is its own: it is deleted
+with the run's other tables. Every hit is then checked against the full bytes at its group's locator; rows whose bytes differ although
+the digests agree are grouped by their bytes instead. Only texts of groups with several rows leave their scan where Spark finds the list of these
+small enough to broadcast. DataFrame operators only.
 
 A digest that a third of all rows share is summed before it is shuffled, and its rows meet the group's one kept row in
 salted parts of about SALT_ROWS rows.
 
-Defined cases: a null text equals the empty text. Texts are compared after each run of ASCII white space became one space. Ties
+Defined cases: a null text equals the empty text. Texts are compared whole, however long, after each run of ASCII white space became one space. Ties
 in the id (repeated rows) go to the smaller locator, so one of them is kept. A null id counts as larger than all others. Empty input, empty result.
 Further columns are not read, whatever their names.
 """
@@ -71,14 +72,15 @@ def keep_state(spark: SparkSession, log_path: str, log: DataFrame, stage: Stage,
     return changes.groupBy("digest").agg(F.max_by(F.struct("first", "n"), "at").alias("last")).select("digest", "last.first", "last.n")
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 4096) -> DataFrame:
     """A row for each input row: its locator, id, keep_id, group_size, kept and text_sha256."""
     spark, stage = docs.sparkSession, Stage(docs.sparkSession, "exact")
     key, text = pick(docs, id_col), pick(docs, text_col)
     placed = with_locator(docs, [key.alias("id"), text.cast("string").alias("text")], stage)
     body = normal(F.col("text"))
     log = stage.write("log", placed.select(LOCATOR, "id", digest(body).alias("digest"), sha256(body).alias("text_sha256") if digest is not sha256 else F.lit(None).cast("string").alias("text_sha256")))
-    groups = keep_state(spark, stage.paths["log"], log, stage).where("n > 1")
+    groups = stage.write("groups", keep_state(spark, stage.paths["log"], log, stage, files_per_batch).where("n > 1"))
+    stage.drop("state", "progress")
     salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
     groups = groups.select("digest", "n", F.col("first.id").alias("keep_id"), F.col(f"first.{LOCATOR}").alias("keep_at"), salts.alias("salts"))
     # each group meets its rows in `salts` parts; a row's part follows from its locator
@@ -87,15 +89,16 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     members = members.withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(LOCATOR), F.col("salts")).cast("int")))
     members = members.drop("salts").join(parts.select("digest", "salt", "n", "keep_id", "keep_at"), ["digest", "salt"], "left")
     members = stage.write("members", members)
+    stage.drop("log", "groups")
     # full bytes of hits and of what they hit
-    hits = members.where("keep_at is not null").select(F.col(LOCATOR).alias("at"), "digest", "salt", "keep_at")
+    hits = stage.write("hits", members.where("keep_at is not null").select(F.col(LOCATOR).alias("at"), "digest", "salt", "keep_at"))
     texts = placed.select(LOCATOR, body.alias("body")).join(hits, F.col(LOCATOR) == F.col("at")).drop(LOCATOR)
     texts = stage.write("texts", texts)
     kept = texts.where("at = keep_at").select("digest", F.col("body").alias("keep_body"))
     kept = kept.join(parts.select("digest", "salt"), "digest")
     differ = texts.where("at <> keep_at").join(kept, ["digest", "salt"]).where(F.col("body") != F.col("keep_body")).select("at", "digest", "body")
     differ = stage.write("differ", differ)
-    stage.drop("texts")
+    stage.drop("texts", "hits", "parts")
     out = members
     if not differ.isEmpty():  # equal digests of different bytes: group these rows by their bytes
         own = differ.join(members.select(F.col(LOCATOR).alias("at"), "id"), "at")
@@ -117,16 +120,17 @@ def report(docs: DataFrame, **columns: str) -> DataFrame:
     return decide(docs, **columns).drop(LOCATOR)
 
 
-def keep_rows(docs: DataFrame, decisions: DataFrame, condition: Column) -> DataFrame:
-    """The rows of `docs`, which must be settled, at the locators of those decisions that meet the condition."""
+def drop_rows(docs: DataFrame, dropped: DataFrame, stage: Stage) -> DataFrame:
+    """The rows of `docs`, which must be settled, but those at the locators of `dropped`."""
     placed = with_locator(docs)
-    return placed.join(decisions.where(condition).select(LOCATOR), LOCATOR, "left_semi").select(*[pick(placed, c) for c in docs.columns])
+    dropped = stage.write("dropped", dropped.select(LOCATOR))  # written, its size is known: where it is small no text is shuffled
+    return placed.join(dropped, LOCATOR, "left_anti").select(*[pick(placed, c) for c in docs.columns])
 
 
 def filter_documents(docs: DataFrame, **columns: str) -> DataFrame:
     """`docs` without the rows whose text another row already has."""
     docs = settled(docs)
-    return keep_rows(docs, decide(docs, **columns), F.col("kept"))
+    return drop_rows(docs, decide(docs, **columns).where("not kept"), Stage(docs.sparkSession, "exact-rows"))
 
 
 REPORT_SQL = r"""

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from . import kernels
 from ._common import LOCATOR, Stage, pick, settled, small_batches, tidy, with_locator
 from .components import components
-from .exact_dedup import keep_rows
+from .exact_dedup import drop_rows
 
 BLOCK = 512
 #: Keys that a task gathers before it sums or sends them.
@@ -438,6 +438,6 @@ def filter_documents(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFram
     docs = settled(docs)
     rows = classes(docs, id_col=id_col, **how)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "loc")
-    first = rows.where("comp is not null").groupBy("comp").agg(F.min(order)["loc"].alias(LOCATOR))
-    alone = rows.where("comp is null").select(F.col("loc").alias(LOCATOR))
-    return keep_rows(docs, first.select(LOCATOR).unionByName(alone), F.lit(True))
+    first = rows.where("comp is not null").groupBy("comp").agg(F.min(order)["loc"].alias("first"), F.count("*").alias("m")).where("m > 1")
+    dropped = rows.join(first.select("comp", "first"), "comp").where(F.col("loc") != F.col("first")).select(F.col("loc").alias(LOCATOR))
+    return drop_rows(docs, dropped, Stage(docs.sparkSession, "jaccard-rows"))

@@ -71,6 +71,28 @@ def test_exact_dedup_equals_a_plain_loop(spark, corpus, digest):
     assert sorted(normal(r.text) for r in kept.collect()) == sorted(groups)
 
 
+def test_exact_dedup_in_several_batches(spark, corpus, tmp_path):
+    """The log is streamed file by file: state goes on from batch to batch."""
+    docs_of(spark, corpus).repartition(7).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = sorted(map(str, exact_dedup.report(docs, files_per_batch=1).collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted(map(str, exact_dedup.report(docs).collect())) and len(got) == len(corpus)
+
+
+def test_empty_tables(spark, tmp_path):
+    none = docs_of(spark, []).select("doc_id", "text", "lang", "source", "n_chars")
+    assert exact_dedup.report(none).count() == 0 and exact_dedup.filter_documents(none).count() == 0
+    assert ngram_jaccard.report(none, k=3, num=90, den=100).count() == 0 and ngram_jaccard.filter_documents(none).count() == 0
+    none.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def plain_classes(rows, k, num):
     sets = []
     for i, t, *_ in rows:
