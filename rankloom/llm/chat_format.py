@@ -1,13 +1,15 @@
 """Chat formatting from event logs.
 
-An event log has one row an event: conversation, sequence, message, operation, role, text. `message` brings a whole message; `delta` adds to its message, `edit`
-puts a text in its place, `regenerate` empties it for new deltas. Deltas of a message are folded per message, so a long stream is not gathered with the
-rest of its conversation; only finished messages meet, in the one row that a formatted conversation is.
+An event log has one row an event: conversation, sequence, message, operation, role, text. `begin` opens a message and names its role, `delta` (or `message`, which brings all at once) adds to its
+text, `edit` puts a text in its place, `regenerate` empties it for new deltas, `end` closes it; other operations are as `end`. Events are folded per message, in their sequence,
+so a long stream is not gathered with the rest of its conversation and a task sends on what it has of a message as one row; only finished messages meet, in the
+one row that a formatted conversation is. A table of turns is a log too: each row is a message that begins, comes in DELTAS pieces and ends, and goes through the fold.
 A message stands where its first event stood. Rendered, a turn is `<s>[INST] role [/INST]text</s>`. Control strings inside roles and texts get
 a backslash after their first character (and one more if there are some), which is undone by taking one away. DataFrame functions only.
 
-Defined cases: null text and role are empty strings, null sequences come first, null conversations are one conversation. Rows that tie in sequence
-are ordered by role, then text; rows that repeat are turns each. A message of deltas whose events all lack text is an empty turn. No rows, no conversations.
+Defined cases: null text and role are empty strings, null sequences come first, null conversations are one conversation, conversations and sequences have any type that sorts. Messages that
+tie in sequence are ordered by role, then text; events of a message that tie by operation, then text; rows of a table of turns that repeat are turns each. A message whose
+events all lack text is an empty turn. Very long texts stay whole. No rows, no conversations. Further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import pick
+from ._common import LOCATOR, pick, with_locator
 
 OPEN, MID, CLOSE = "<s>[INST] ", " [/INST]", "</s>"
+#: Pieces in which a turn of a table comes.
+DELTAS = 4
 _CONTROL = r"([<\[])(\\*)(/?(?:s>|INST\]))"
 _ESCAPED = r"([<\[])\\(\\*)(/?(?:s>|INST\]))"
 
@@ -36,15 +40,11 @@ def messages(events: DataFrame, conv: str = "conv_id", seq: str = "seq", message
         pick(events, conv).alias("conv"), pick(events, seq).alias("seq"), pick(events, message).alias("message"), pick(events, op).alias("op"),
         F.coalesce(pick(events, role).cast("string"), F.lit("")).alias("role"), F.coalesce(pick(events, text).cast("string"), F.lit("")).alias("text"),
     )
-    whole = e.where("op = 'message'").select("conv", "seq", "role", "text")
-    parts = e.where("op <> 'message'").groupBy("conv", "message").agg(
-        F.min("seq").alias("seq"), F.max("role").alias("role"), F.sort_array(F.collect_list(F.struct("seq", "op", "text"))).alias("events")
-    )
+    parts = e.groupBy("conv", "message").agg(F.min("seq").alias("seq"), F.max("role").alias("role"), F.sort_array(F.collect_list(F.struct("seq", "op", "text"))).alias("events"))
     # what counts begins at the last event that replaces the text
     last = F.array_max(F.transform("events", lambda x, i: F.when(x["op"].isin("edit", "regenerate"), i).otherwise(F.lit(0))))
-    live = F.slice("events", last + 1, F.size("events"))
-    folded = F.array_join(F.transform(live, lambda x: F.when(x["op"] == "regenerate", F.lit("")).otherwise(x["text"])), "")
-    return whole.unionByName(parts.select("conv", "seq", "role", folded.alias("text")))
+    live = F.filter(F.slice("events", last + 1, F.size("events")), lambda x: x["op"].isin("message", "delta", "edit"))
+    return parts.select("conv", "seq", "role", F.array_join(F.transform(live, lambda x: x["text"]), "").alias("text"))
 
 
 def render(turns: DataFrame) -> DataFrame:
@@ -70,8 +70,19 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def table_events(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """A table of whole turns as an event log."""
-    return rows.select(pick(rows, conv).cast("long").alias("conv_id"), pick(rows, turn).cast("long").alias("seq"), F.lit(None).cast("long").alias("message_id"), F.lit("message").alias("op"), pick(rows, role).cast("string").alias("role"), pick(rows, text).cast("string").alias("text"))
+    """A table of whole turns as an event log: (conv_id, seq, message_id, op, role, text). A row's place names its message."""
+    placed = with_locator(rows, [pick(rows, conv).alias("conv_id"), pick(rows, turn).alias("turn"), pick(rows, role).cast("string").alias("role"), pick(rows, text).cast("string").alias("text")])
+    whole = F.coalesce("text", F.lit(""))
+    size = F.greatest(F.ceil(F.length(whole) / DELTAS), F.lit(1)).cast("int")
+
+    def event(step, op: str, role: Column | None = None, text: Column | None = None) -> Column:
+        none = F.lit(None).cast("string")
+        return F.struct(step.cast("int").alias("step"), F.lit(op).alias("op"), (none if role is None else role).alias("role"), (none if text is None else text).alias("text"))
+
+    deltas = F.transform(F.sequence(F.lit(1), F.lit(DELTAS)), lambda i: event(i, "delta", text=F.substring(whole, (i - 1) * size + 1, size)))
+    log = F.concat(F.array(event(F.lit(0), "begin", role=F.col("role"))), deltas, F.array(event(F.lit(DELTAS + 1), "end")))
+    events = placed.select("conv_id", "turn", F.col(LOCATOR).alias("message_id"), F.explode(log).alias("e"))
+    return events.select("conv_id", F.struct("turn", "e.step").alias("seq"), "message_id", "e.op", "e.role", "e.text")
 
 
 #: Fixed value: the text of both turns of conversation -7.
@@ -79,12 +90,14 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def probe_events(like: DataFrame) -> DataFrame:
-    """Conversation -7 as a stream: its assistant turn comes in deltas, is begun anew and edited."""
+    """Conversation -7 as a stream in the form of `like`: its assistant turn comes in deltas, is begun anew and edited."""
     log = [
-        (-7, 0, 0, "delta", "user", PROBE[:7]), (-7, 1, 0, "delta", "user", PROBE[7:]), (-7, 2, 1, "delta", "assistant", "no"),
-        (-7, 3, 1, "regenerate", "assistant", ""), (-7, 4, 1, "delta", "assistant", "well, "), (-7, 5, 1, "edit", "assistant", PROBE[:4]), (-7, 6, 1, "delta", "assistant", PROBE[4:]),
+        (0, 0, "begin", "user", None), (0, 1, "delta", None, PROBE[:7]), (0, 2, "delta", None, PROBE[7:]), (2, 0, "begin", "assistant", None), (2, 1, "delta", None, "no"),
+        (2, 2, "regenerate", None, None), (2, 3, "delta", None, "well, "), (2, 4, "edit", None, PROBE[:4]), (2, 5, "delta", None, PROBE[4:]), (2, 6, "end", None, None),
     ]
-    return like.sparkSession.createDataFrame(log, like.schema)
+    rows = like.sparkSession.createDataFrame(log, "turn int, step int, op string, role string, text string")
+    seq = F.struct("turn", F.coalesce("step", F.lit(0)).alias("step")).cast(like.schema["seq"].dataType)
+    return rows.select(F.lit(-7).cast(like.schema["conv_id"].dataType).alias("conv_id"), seq.alias("seq"), F.concat(F.lit("probe-"), "turn").alias("message_id"), "op", "role", "text")
 
 
 def report(conversations: DataFrame) -> DataFrame:
