@@ -3,10 +3,10 @@
 Base spans are credentials that stand on their own. The method adds what is only suspicious by itself: an opaque token or an endpoint.
 Within a scope (so many characters round it) such a weak candidate is reported if a complementary part lies there: an opaque token
 beside an access identifier or an endpoint, an endpoint beside a secret. Candidates and parts are joined as intervals
-of one text, by bisection in sorted starts, so a text with many parts costs n log n and emits no pairs. Map-only.
+of one text, by bisection in sorted starts and ends, so a text with many parts costs n log n and emits no pairs. Map-only.
 
 Defined cases: a null text is empty and has no spans. Spans are in code points, end exclusive; equal starts are ordered by kind as listed
-in KINDS. Repeated rows are scanned one by one; further columns are not read.
+in KINDS, then by end. A very long text is scanned whole. Repeated rows are scanned one by one; an empty table has an empty result; further columns are not read.
 """
 
 from __future__ import annotations
@@ -40,15 +40,22 @@ def base_spans(text: str) -> list[Span]:
     return found + [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
 
 
-def _near(spans: list[Span], starts: list[int], longest: int, a: int, b: int, scope: int) -> bool:
-    """Whether a span other than [a, b) begins at most `scope` after b or ends at most `scope` before a."""
-    k = bisect_left(starts, a - scope - longest)
-    while k < len(spans) and starts[k] <= b + scope:
-        s, e, _ = spans[k]
-        if e >= a - scope and (e <= a or s >= b):
-            return True
-        k += 1
-    return False
+def _near(starts: list[int], ends: list[int], a: int, b: int, scope: int) -> bool:
+    """Whether of spans with these starts and ends, each sorted, one begins at b to `scope` after it or ends at a to `scope` before it."""
+    k, j = bisect_left(starts, b), bisect_left(ends, a - scope)
+    return (k < len(starts) and starts[k] <= b + scope) or (j < len(ends) and ends[j] <= a)
+
+
+def _merged(spans: list[Span]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the disjoint intervals that spans cover."""
+    starts, ends = [], []
+    for a, b, _ in sorted(spans):
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
 
 
 def linked_spans(text: str, base: list[Span], scope: int = 400) -> list[Span]:
@@ -58,22 +65,20 @@ def linked_spans(text: str, base: list[Span], scope: int = 400) -> list[Span]:
     secrets = [s for s in base if s[2] != "access"]
     if not endpoints and not identifiers:
         return []
-    taken = sorted(base + endpoints)
-    starts = [s[0] for s in taken]
+    starts, ends = _merged(base + endpoints)
     opaque = []
     for m in _OPAQUE.finditer(text):
         a, b = m.span()
         w = m.group()
         if not (_DIGIT.search(w) and (_UPPER.search(w) or _LOWER.search(w))):
             continue
-        k = bisect_left(starts, b)
-        if not any(s < b and e > a for s, e, _ in taken[max(0, k - 4) : k]):
+        k = bisect_left(starts, b)  # the last interval that begins before b is the one that reaches furthest
+        if not k or ends[k - 1] <= a:
             opaque.append((a, b, "opaque"))
 
     def join(candidates: list[Span], parts: list[Span]) -> list[Span]:
-        parts = sorted(parts)
-        at, longest = [p[0] for p in parts], max((p[1] - p[0] for p in parts), default=0)
-        return [c for c in candidates if parts and _near(parts, at, longest, c[0], c[1], scope)]
+        at, to = sorted(p[0] for p in parts), sorted(p[1] for p in parts)
+        return [c for c in candidates if _near(at, to, c[0], c[1], scope)]
 
     linked = join(opaque, identifiers + endpoints)
     return linked + join(endpoints, secrets + linked)
