@@ -6,7 +6,7 @@ to the runner-up is marked as rejected. Map-only: no row meets another.
 
 Defined cases: a text that is null or has no letter is `und` with score 0, as is any text if no language was learned.
 Equal sums go to the first language by name. An id that is null is neither learned from nor held out. Repeated rows are judged
-one by one; further columns, whatever their names, are not read.
+one by one; an empty table has an empty result; further columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ def held_out(id_column: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 400, snippet: int = 600, dict_bytes: int = 112 << 10) -> dict[str, bytes]:
-    """A dictionary of at most `dict_bytes` a language, from about `docs_per_lang` texts drawn by hash, a window of `snippet` characters of each."""
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 200, snippet: int = 600) -> dict[str, bytes]:
+    """A dictionary a language: of `docs_per_lang` texts drawn by hash (all, where there are fewer) a window of `snippet` characters each, whole."""
     key, text, lang = pick(docs, id_col), pick(docs, text_col), pick(docs, lang_col).cast("string")
     usable = lang.isNotNull() & key.isNotNull() & ~held_out(key) & text.rlike(r"\p{L}")
     rows = docs.where(usable).select(key.cast("string").alias("k"), text.cast("string").alias("t"), lang.alias("l"))
@@ -43,7 +43,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     parts: dict[str, list[bytes]] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r.l, r.u, r.k, r.s)):  # languages x 1.5 docs_per_lang windows, bounded by the parameters
         parts.setdefault(r.l, []).append(r.s.encode())
-    return {l: b"\n".join(p[:docs_per_lang])[:dict_bytes] for l, p in sorted(parts.items())}
+    return {l: b"\n".join(p[:docs_per_lang]) for l, p in sorted(parts.items())}
 
 
 class Classifier:
