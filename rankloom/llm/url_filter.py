@@ -1,14 +1,14 @@
 """URL filtering by rules and, where no rule fits, by a path-template tree.
 
-For each host the tree goes down the path, a segment a level up to `depth`. Under a node a segment that makes up at least `share` of the node's
+For each host the tree goes down the path, a segment a level, as far as a node has `support` pages whose paths go on; further segments can only be wildcards. Under a node a segment that makes up at least `share` of the node's
 pages, and `support` of them, is a branch by name; all other segments are one wildcard `*`. Branches by name whose labelled shares of good pages do not differ
-from their siblings' together (a two-sided test at 5 %) are merged to `~`. The rest of a longer path is part of its last node. A template's purity is its share of
+from their siblings' together (a two-sided test at 5 %) are merged to `~`. A template's purity is its share of
 good labelled pages, smoothed towards its host's, which is smoothed towards that of all; templates under `purity` are rejected.
 
 Counting is by (host, node, segment), summed before the shuffle; a node has at most 1 / share branches by name, so what is joined back is small.
 
 Defined cases: without `://` or with a null url host and path are empty and such pages form a host of their own. Pages without labels count for the tree and
-not for purity; if several label rows fit a page their mean counts. Without any labels the purity is 1. Repeated rows are judged each. Further columns are not read.
+not for purity; if several label rows fit a page their mean counts. Without any labels the purity is 1. Repeated rows are judged each. Ties have no part: counts decide. Very long urls are judged whole; an empty table has an empty result. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -48,7 +48,7 @@ def fitting_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]
     return name, verdict
 
 
-def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality", depth: int = 4, support: int = 5, share: float = 0.05, purity: float = 0.6, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", label_id: str = "doc_id", label_col: str = "quality", support: int = 5, share: float = 0.05, purity: float = 0.6, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
     """id, host, path, rule, verdict, template, purity."""
     stage = Stage(pages.sparkSession, "urls")
     url = pick(pages, url_col)
@@ -57,9 +57,12 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     rows = rows.join(good, F.col("id") == F.col("__l"), "left").drop("__l")
     rows = rows.withColumn("segments", F.filter(F.split("path", "/"), lambda s: s != "")).withColumn("node", F.lit(""))
     rows = stage.write("level-0", rows)
-    for level in range(1, depth + 1):
+    level = 0
+    while not rows.where(F.size("segments") > level).groupBy("host", "node").count().where(F.col("count") >= support).isEmpty():
+        level += 1
         rows = stage.write(f"level-{level}", _descend(rows, level, support, share))
         stage.drop(f"level-{level - 1}")
+    rows = rows.withColumn("node", F.concat("node", F.repeat(F.lit("/*"), F.greatest(F.size("segments") - level, F.lit(0)))))
     # purity from the sums of templates, hosts and all
     sums = rows.groupBy("host", "node").agg(F.coalesce(F.sum("good"), F.lit(0.0)).alias("g"), F.count("good").alias("m"))
     hosts = sums.groupBy(F.col("host").alias("h")).agg(F.sum("g").alias("hg"), F.sum("m").alias("hm"))
@@ -91,7 +94,8 @@ def _descend(rows: DataFrame, level: int, support: int, share: float) -> DataFra
     return out.withColumn("node", F.when(F.col("seg").isNull(), F.col("node")).otherwise(F.concat("node", F.lit("/"), F.coalesce("sign", F.lit("*"))))).drop("seg", "key", "sign")
 
 
-def _sql(depth: int = 4) -> str:
+def _sql(depth: int = 12) -> str:
+    """SQL for paths of at most `depth` segments."""
     rule = "CASE " + " ".join(f"WHEN (l.host = '{d}' OR ends_with(l.host, '.{d}')) AND starts_with(path, '/{r}') THEN '{{{i}}}'" for i, (d, _, r) in enumerate(n.partition("/") for n, _ in _by_length())) + " END"
     names, says = rule, rule
     for i, (n, v) in enumerate(_by_length()):
