@@ -1,6 +1,5 @@
 """Language identification, secrets, toxicity, chat formatting, line dedup, URL filter on small fixtures and edge cases."""
 
-import bisect
 import hashlib
 import random
 import re
@@ -54,6 +53,30 @@ def test_language_of_held_out_texts(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+def test_language_equals_a_plain_loop_of_compressions(spark):
+    """Each text against each dictionary by a fresh compressor; a tie goes to the first name."""
+    import zstandard
+
+    rng = random.Random(3)
+    rows = [(i, prose(rng, lang, rng.randrange(1, 90)), lang, "s", 0) for i, lang in enumerate(["en", "de", "es"] * 40)]
+    rows += [(900, "?" * 5 + "x" * 9000 + "der die das", None, "s", 0), (901, "q", None, "s", 0), (901, "q", None, "s", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    raw = language_id.fit(docs)
+    train = {lang: [t for i, t, l, *_ in rows if l == lang and zlib.crc32(str(i).encode()) % 5] for lang in LANGS}
+    for lang, d in raw.items():
+        assert sorted(d.decode().split("\n")) == sorted(t if len(t) <= 600 else next(w for w in d.decode().split("\n") if w in t) for t in train[lang])
+    for r in language_id.predict(docs, raw).collect():
+        text = next(t for i, t, *_ in rows if i == r.doc_id).encode()
+        sizes = []
+        for lang, d in sorted(raw.items()):
+            coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            sizes.append((sum(len(coder.compress(text[i : i + 4096])) for i in range(0, len(text), 4096)), lang))
+        sizes.sort()
+        assert r.lang_pred == sizes[0][1] and r.score == pytest.approx(1 - sizes[0][0] / sizes[1][0])
+    one = language_id.Classifier({"b": b"same words", "a": b"same words"})
+    assert one.best(b"some words") == ("a", 0.0)
+
+
 def test_language_of_an_empty_table(spark):
     assert language_id.identify(spark.createDataFrame([], DOCS)).count() == 0
     unlabelled = spark.createDataFrame([(1, "some text", None, None, 9)], DOCS)
@@ -100,9 +123,38 @@ def test_neighbours_equal_a_plain_loop():
         a = rng.randrange(300)
         b = a + rng.randrange(1, 20)
         want = any((e <= a or s >= b) and s <= b + 25 and e >= a - 25 for s, e, _ in parts)
-        longest = max((e - s for s, e, _ in parts), default=0)
-        assert secrets._near(parts, [p[0] for p in parts], longest, a, b, 25) == want
-    assert bisect.bisect_left([], 1) == 0
+        assert secrets._near(sorted(p[0] for p in parts), sorted(p[1] for p in parts), a, b, 25) == want
+
+
+def plain_linked(text, base, scope):
+    """Every candidate against every part."""
+    endpoints = [(m.start(), m.end(), "endpoint") for m in re.finditer(r"(?:https?|s3|postgres|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,}", text, re.A)]
+    opaque = [(m.start(), m.end(), "opaque") for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text) if re.search(r"\d", m.group(), re.A) and re.search("[A-Za-z]", m.group())]
+    opaque = [o for o in opaque if not any(s < o[1] and e > o[0] for s, e, _ in base + endpoints)]
+    beside = lambda c, parts: any((e <= c[0] or s >= c[1]) and s <= c[1] + scope and e >= c[0] - scope for s, e, _ in parts)
+    linked = [o for o in opaque if beside(o, [b for b in base if b[2] == "access"] + endpoints)]
+    parts = [b for b in base if b[2] != "access"] + linked
+    return linked + [e for e in endpoints if beside(e, parts)]
+
+
+def test_linked_spans_equal_all_pairs():
+    rng = random.Random(12)
+    weak = lambda: "".join(rng.choice("AbC3dE5f") for _ in range(rng.randrange(12, 22)))
+    for n in range(300):
+        query = "&".join(f"{rng.choice(['token', 'secret', 'x'])}={weak()}" for _ in range(rng.randrange(9)))
+        pieces = [f"https://h.example/?{query}", weak(), "AKIA" + "X9" * 8, "password=" + weak(), "deadbeef" * 3, "plain words here", "é" * 5]
+        text = " ".join(rng.choice(pieces) for _ in range(rng.randrange(25)))
+        base = secrets.base_spans(text)
+        for scope in (3, 40, 400):
+            assert sorted(secrets.linked_spans(text, base, scope)) == sorted(plain_linked(text, base, scope)), text
+
+
+def test_many_parts_in_one_text_are_linked_fast():
+    import time
+
+    text = " ".join(f"https://h.example/{i} token=abcdef{i} Ab3dEf6hIj9lMn2p{i}" for i in range(40_000))
+    at = time.time()
+    assert len(secrets.linked_spans(text, secrets.base_spans(text))) == 80_000 and time.time() - at < 20
 
 
 def toxic_corpus(spark, n=400):
@@ -227,6 +279,34 @@ def test_chat_round_trip(spark):
     assert [r.conv_id for r in only] == [-7]
 
 
+def test_conversations_of_any_type_and_clashing_columns(spark):
+    rows = [("a", 0, "user", "x"), ("b", 0, "user", "x"), ("a", 1, "assistant", "y"), (None, 0, "user", "z")]
+    d = spark.createDataFrame(rows, "conv_id string, turn int, role string, text string").withColumn("message_id", F.lit(1)).withColumn("op", F.lit("edit")).withColumn("seq", F.lit(2)).withColumn("conv", F.lit("c"))
+    assert {(r.conv_id, r.n_turns) for r in chat_format.report(d).collect()} == {("a", 2), ("b", 1), (None, 1), ("-7", 2)}
+
+
+def test_shuffled_logs_of_the_table_give_the_same_digests(spark):
+    """The real table as a log that is shuffled, cut in other pieces, edited and begun anew."""
+    table = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet")
+    want = sorted(map(str, chat_format.report(table).where("conv_id <> -7").collect()))
+    rng, log = random.Random(14), []
+    for m, r in enumerate(table.collect()):
+        text, key, step = r.text or "", (r.conv_id, r.turn), iter(range(100))
+        cuts = sorted(rng.randrange(len(text) + 1) for _ in range(rng.randrange(4)))
+        pieces = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+        events = [("begin", r.role, None)]
+        if rng.random() < 0.4:
+            events += [("delta", None, "draft </s>"), ("regenerate", None, None)]
+        if rng.random() < 0.3:
+            events += [("delta", None, "wrong"), ("edit", None, pieces.pop(0))]
+        events += [("delta", None, p) for p in pieces] + [("end", None, None)]
+        log += [(key[0], (key[1], next(step)), f"m{m}", *e) for e in events]
+    rng.shuffle(log)
+    events = spark.createDataFrame(log, "conv_id long, seq struct<turn: long, step: int>, message_id string, op string, role string, text string").repartition(5)
+    got = chat_format.read_back(chat_format.render(chat_format.messages(events)))
+    assert sorted(map(str, got.collect())) == want and len(want) > 10
+
+
 def test_events_fold_to_final_messages(spark):
     log = [(1, 3, 2, "delta", "assistant", "lo"), (1, 0, 1, "message", "user", "hi"), (1, 1, 2, "delta", "assistant", "hel"), (1, 5, 3, "delta", "assistant", "old"), (1, 6, 3, "regenerate", "assistant", None), (1, 7, 3, "delta", "assistant", "new"), (1, 8, 2, "edit", "assistant", "bye"), (1, 9, 2, "delta", "assistant", "!")]
     e = spark.createDataFrame(log, "conv_id long, seq long, message_id long, op string, role string, text string")
@@ -250,6 +330,34 @@ def test_line_dedup_equals_a_plain_loop(spark):
         keep = [x for x in split(text) if not (sum(x in p for p in pages) >= 3 and sum(x in p for p in pages) > 0.1 * len(pages))]
         want.setdefault(i, []).append((len(split(text)), len(split(text)) - len(keep), "\n".join(keep)))
     assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    solo = {r.id: r.n_dropped for r in line_dedup.site_line_dedup(d, "id", F.col("host"), line_dedup.lines_of(F.col("text"))).collect()}
+    assert solo[902] == 1
+    assert line_dedup.site_line_dedup(d.limit(0), "id", F.col("host"), line_dedup.lines_of(F.col("text"))).count() == 0
+
+
+def test_line_dedup_in_parts(spark, monkeypatch):
+    """Hosts whose pages meet their lines in parts, by broadcast and by shuffle; a very long page."""
+    rows = [(i, "big", f"menu\nbody {i}") for i in range(200)] + [(1000, "small", "menu\nother"), (1001, "big", "menu\n" + "\n".join(f"l{i}" for i in range(50_000)))]
+    d = spark.createDataFrame(rows, "id int, host string, text string")
+    run = lambda: sorted(map(str, line_dedup.site_line_dedup(d, "id", F.col("host"), line_dedup.lines_of(F.col("text")), min_pages=2).collect()))
+    one = run()
+    monkeypatch.setattr(line_dedup, "PARTS", 5)
+    assert run() == one
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        assert run() == one
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("n_dropped=1" in r for r in one) == 201 and any("n_lines=50001" in r for r in one)
+
+
+def test_url_templates_of_deep_paths(spark):
+    """Pages differ in their sixth segment only; one url has 3000."""
+    rows = [(i, f"http://h.edu/a/b/c/d/e/{'bad' if i % 2 else 'good'}/{i}") for i in range(60)] + [(100, "http://h.edu/" + "x/" * 3000), (100, "http://h.edu/" + "x/" * 3000)]
+    labels = [(i, int(i % 2 == 0)) for i in range(40)]
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame(rows, "page_id int, url string"), spark.createDataFrame(labels, "doc_id int, quality int")).collect()}
+    assert got[1].template == "h.edu/a/b/c/d/e/bad/*" and {got[i].verdict for i in range(1, 60, 2)} == {"block"} and {got[i].verdict for i in range(0, 60, 2)} == {"allow"}
+    assert got[100].template == "h.edu" + "/*" * 3000
 
 
 def test_url_rules_and_templates(spark):
