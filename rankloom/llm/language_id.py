@@ -28,7 +28,7 @@ def held_out(id_column: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 200, snippet: int = 600) -> dict[str, bytes]:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 400, snippet: int = 600) -> dict[str, bytes]:
     """A dictionary a language: of `docs_per_lang` texts drawn by hash (all, where there are fewer) a window of `snippet` characters each, whole."""
     key, text, lang = pick(docs, id_col), pick(docs, text_col), pick(docs, lang_col).cast("string")
     usable = lang.isNotNull() & key.isNotNull() & ~held_out(key) & text.rlike(r"\p{L}")
