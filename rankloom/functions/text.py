@@ -2,25 +2,45 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import unicode
+
 #: Words that full-text queries leave out.
 STOPWORDS = (
-    "a an and are as at be been but by did do does for from had has have he her his how in into is it its of on or she that the their "
-    "these they this to was were what when where which who whom whose why will with"
+    "a an and are as at be been by for from had has have he her his in is it its of on or she that the their there they this to was were "
+    "which who will with"
 ).split()
-ARTICLES = ("a", "an", "the")
+#: What makes a text negative.
+NEGATION = r"(?i)\b(?:no|not|never|none|neither|without|cannot|can't|won't|doesn't|does\s+not|do\s+not|did\s+not|is\s+not|are\s+not|must\s+not)\b"
+#: Fixed value: the answer of an abstention.
+SENTINEL = "__UNANSWERABLE__"
+
+
+@cache
+def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
+    """What case folding changes beyond lower case: letters for letters, and letters for several."""
+    lower = [c for c in map(chr, range(0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c != c.casefold()]
+    one = [c for c in lower if len(c.casefold()) == 1]
+    return "".join(one), "".join(c.casefold() for c in one), tuple((c, c.casefold()) for c in lower if len(c.casefold()) > 1)
 
 
 def casefold(text: Column) -> Column:
-    """Lower case with sharp s as ss, the one fold beyond lower case in the tables' alphabets."""
-    return F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
+    """Full case folding in the JVM: lower case, and beyond it where a text is not ASCII. Only texts with letters that fold to several pay for these."""
+    ones, to, many = _folds()
+    wide = F.translate(F.lower(text), ones, to)
+    rare = "[" + "".join(c for c, _ in many) + "]"
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in many])
+    wide = F.when(wide.rlike(rare), F.aggregate(pairs, wide, lambda acc, p: F.replace(acc, p["a"], p["b"]))).otherwise(wide)
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(wide)
 
 
 def tokens(text: Column) -> Column:
     """Unicode words of the folded text, in order."""
-    return F.regexp_extract_all(casefold(F.coalesce(text, F.lit(""))), F.lit(r"(?U)([\w]+)"), 1)
+    return F.regexp_extract_all(casefold(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}_]+)"), 1)
 
 
 def alnum_tokens(text: Column) -> Column:
@@ -46,20 +66,41 @@ def heading_key(doc_id: Column, heading: Column) -> Column:
     return F.concat(doc_id, F.lit("::"), slug(heading))
 
 
+def decomposed(text: Column) -> Column:
+    """NFKD. Texts of ASCII are their own and don't go through Python."""
+    return F.coalesce(unicode.nfkd(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+def composed(text: Column) -> Column:
+    """NFC, in the same way."""
+    return F.coalesce(unicode.nfc(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+def squeeze(text: Column) -> Column:
+    """Runs of white space as one blank, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", " "), r"^ | $", "")
+
+
 def normalize_answer(text: Column) -> Column:
-    """Folded, without ASCII punctuation and articles, single spaces. Text is taken as NFKD already (see `unicode.nfkd`)."""
-    t = F.regexp_replace(casefold(F.coalesce(text, F.lit(""))), r"[!-/:-@\[-`{-~]", "")
-    t = F.regexp_replace(t, r"\b(a|an|the)\b", " ")
-    return F.regexp_replace(F.regexp_replace(t, r"\s+", " "), r"^ | $", "")
+    """Decomposed, folded, without ASCII punctuation and articles, single spaces."""
+    t = F.regexp_replace(casefold(decomposed(F.coalesce(text, F.lit("")))), r"[!-/:-@\[-`{-~]", "")
+    return squeeze(F.regexp_replace(t, r"(?U)\b(a|an|the)\b", " "))
+
+
+def normalized_text(text: Column) -> Column:
+    """Composed, single spaces, folded."""
+    return casefold(squeeze(composed(text)))
 
 
 def is_abstention(text: Column) -> Column:
     return F.lower(text).contains("enough information")
 
 
-def sentences(text: Column) -> Column:
-    """Split after sentence marks and at line ends; blanks dropped."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+def sentences(stored: Column) -> Column:
+    """A document's sentences: those stored, trimmed and without blanks; a single one is split after sentence marks and at line ends."""
+    kept = F.filter(F.transform(stored, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    split = F.filter(F.transform(F.split(F.get(kept, F.lit(0)), r"(?U)(?<=[.!?])\s+|[\r\n]+"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    return F.when((F.size(kept) == 1) & (F.size(split) > 1), split).otherwise(kept)
 
 
 def word_windows(words: Column, width: int = 180, overlap: int = 40) -> Column:
@@ -70,9 +111,9 @@ def word_windows(words: Column, width: int = 180, overlap: int = 40) -> Column:
     return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct(i.alias("window"), F.slice(words, i * step + 1, F.lit(width)).alias("words")))
 
 
-def canonical_sha256(*columns: Column) -> Column:
-    """Digest of a row as JSON with the fields in the order given and nulls kept."""
-    return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+def canonical_sha256(row: dict[str, Column]) -> Column:
+    """Digest of a row as JSON with sorted keys, no blanks and nulls kept."""
+    return F.sha2(F.to_json(F.struct(*[row[k].alias(k) for k in sorted(row)]), {"ignoreNullFields": "false"}), 256)
 
 
 def one_edit_apart(a: Column, b: Column) -> Column:
@@ -101,8 +142,58 @@ def percent(value: Column) -> Column:
 
 
 def negated(text: Column) -> Column:
-    return F.lower(text).rlike(r"\b(not|no|never|none|neither|nor|without|cannot)\b|n't\b")
+    return text.rlike(NEGATION)
 
 
 def loses_negation(reference: Column, candidate: Column) -> Column:
     return negated(reference) & ~negated(candidate)
+
+
+def fts_expression(terms: Column, operator: str = "OR") -> Column:
+    """A quoted full-text expression of the terms."""
+    return F.array_join(F.transform(terms, lambda t: F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))), f" {operator} ")
+
+
+def title_candidates(text: Column, most: int = 6) -> Column:
+    """Every run of 1 to `most` words joined by underscores, composed, sorted: the page titles that a text may name. Possessive endings are cut."""
+    return unicode.word_runs(text, F.lit(most))
+
+
+def namespaced_ids(prefix: str, count: Column) -> Column:
+    return F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1)).cast("int")), lambda i: F.concat(F.lit(prefix), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+
+
+def utc_timestamp(text: Column) -> Column:
+    """An ISO timestamp in UTC with the suffix Z; without a zone it is in UTC already. Fractions of a second stay if there are any."""
+    zoned = text.rlike(r"(?:[Zz]|[+-]\d{2}:?\d{2})$")
+    at = F.to_utc_timestamp(F.to_timestamp(F.when(zoned, text).otherwise(F.concat(text, F.lit("Z")))), F.current_timezone())
+    micros = F.date_format(at, "SSSSSS")
+    return F.concat(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss"), F.when(micros != "000000", F.concat(F.lit("."), micros)).otherwise(""), F.lit("Z"))
+
+
+def stable_custom_id(case_id: Column) -> Column:
+    return F.concat(F.lit("rag-"), F.substring(F.sha2(case_id, 256), 1, 24))
+
+
+def evidence_cluster(answerable: Column, record_id: Column, relevant: Column) -> Column:
+    """A name for a set of evidence ids, whatever their order; without an answer the record is a cluster of its own."""
+    named = F.concat(F.lit("legacy-v1-evidence::"), F.substring(F.sha2(F.to_json(F.array_sort(relevant)), 256), 1, 16))
+    return F.when(answerable, named).otherwise(F.concat(F.lit("legacy-v1-unanswerable::"), record_id))
+
+
+def matches_checkout(content: Column, sha256: Column) -> Column:
+    """Whether a file has this digest with its own line ends, or with LF or CRLF for all of them."""
+    lf = F.replace(content, F.lit("\r\n"), F.lit("\n"))
+    return sha256.isin(F.sha2(content, 256), F.sha2(lf, 256), F.sha2(F.replace(lf, F.lit("\n"), F.lit("\r\n")), 256))
+
+
+def find_answer(context: Column, answers: Column) -> Column:
+    """(start, answer) of the answer that stands first in the context, the shortest of these; null if none does. Case is folded by lower case, which keeps places."""
+    found = F.transform(F.filter(answers, lambda a: a != ""), lambda a: F.struct((F.instr(F.lower(context), F.lower(a)) - 1).alias("start"), F.length(a).alias("n"), a.alias("answer")))
+    best = F.array_min(F.filter(found, lambda x: x["start"] >= 0))
+    return F.when(best.isNotNull(), F.struct(best["start"].alias("start"), F.substring(context, best["start"] + 1, best["n"]).alias("answer")))
+
+
+def trimmed_block(text: Column) -> Column:
+    """Lines without blanks at their ends, the block without blank lines around it."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?m)[ \t\x0b\f\r]+$", ""), r"^\s+|\s+$", "")

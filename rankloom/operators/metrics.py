@@ -2,11 +2,40 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import stats
-from ..functions.text import normalize_answer
+from ..functions.text import SENTINEL, casefold, normalize_answer
+from ..staging import staged
+
+#: Parts of a sort order that running sums are made of.
+RANGES = 64
+
+
+def running(by: DataFrame, key: Column, sums: list[str], group: list[str] | None = None) -> DataFrame:
+    """`by`, a row for each distinct key (and group), with the running sums up to and with each row as `upto_*`: sorted by ranges, whose totals are added up apart, so
+    no task holds all keys."""
+    group = group or []
+    rows = staged(by.withColumn("__k", key).repartitionByRange(RANGES, *group, "__k").withColumn("__p", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy(*group, "__p").agg(*[F.sum(c).alias(f"__{c}") for c in sums])  # at most RANGES rows a group
+    starts = totals.select(*group, "__p", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums])
+    within = Window.partitionBy(*group, "__p").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
+    starts = starts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__p").alias("__range"), *[f"__{c}" for c in sums])
+    out = rows.select("*", *[F.sum(c).over(within).alias(f"upto_{c}") for c in sums]).join(starts, _same(group))
+    return out.select(*by.columns, *[(F.col(f"upto_{c}") + F.col(f"__{c}")).alias(f"upto_{c}") for c in sums])
+
+
+def _same(group: list[str]) -> Column:
+    on = F.col("__p") == F.col("__range")
+    for i, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"__g{i}"))
+    return on
 
 
 def retrieval_at_k(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...]) -> DataFrame:
@@ -21,17 +50,39 @@ def retrieval_at_k(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...]) ->
     )
 
 
-def answer_scores(rows: DataFrame, prediction: str, gold: str, keys: list[str]) -> DataFrame:
-    """(*keys, exact, f1) of one prediction and one gold answer a row, by normalised words as multisets."""
-    norm = rows.select(*keys, normalize_answer(F.col(prediction)).alias("p"), normalize_answer(F.col(gold)).alias("g"))
+def retrieval_of_marked(ranking: DataFrame, gold: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """As `retrieval_at_k`, of rankings (query_id, rank, relevant) and gold counts (query_id, gold): for gold sets that would be too large as rows."""
+    k = F.explode(F.array(*[F.lit(x) for x in ks])).alias("k")
+    good = ranking.where("relevant").select("query_id", "rank", k).where("rank <= k").groupBy("k", "query_id").agg(F.count("*").alias("hits"), F.min("rank").alias("first"))
+    case = gold.where("gold > 0").select("query_id", "gold", k).join(good, ["k", "query_id"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
+    return case.groupBy("k").agg(
+        F.count("*").alias("n"), F.avg((F.col("hits") > 0).cast("double")).alias("any_recall"), F.avg((F.col("hits") == F.col("gold")).cast("double")).alias("all_recall"),
+        F.avg(F.col("hits") / F.col("gold")).alias("evidence_recall"), F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))).alias("mrr"),
+    )
+
+
+@F.pandas_udf(T.IntegerType())
+def counted_overlap(p: pd.Series, g: pd.Series) -> pd.Series:
+    """How many words two arrays share as multisets: each pair by one count of its words (column functions have no map that counts)."""
+    return pd.Series([sum((Counter(x) & Counter(y)).values()) for x, y in zip(p, g, strict=True)], dtype="int32")
+
+
+def answer_scores(rows: DataFrame, prediction: str, golds: str, keys: list[str]) -> DataFrame:
+    """(*keys, exact, f1): the best of a prediction's scores over an array of gold answers, by normalised words as multisets. Without golds both are 1 for the
+    sentinel and else 0.
+
+    Words are counted by key, so a long text costs its words and not their square.
+    """
+    some = rows.select(*keys, F.coalesce(prediction, F.lit("")).alias("__p"), F.explode_outer(golds).alias("__g"), F.coalesce(F.size(golds), F.lit(0)).alias("__n"))
+    some = some.select(*keys, "__n", "__p", normalize_answer(F.col("__p")).alias("p"), normalize_answer(F.col("__g")).alias("g"))
     words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
-    norm = norm.select(*keys, (F.col("p") == F.col("g")).alias("same"), words(F.col("p")).alias("pw"), words(F.col("g")).alias("gw"))
-    # the multiset overlap: for each distinct word of the prediction the smaller of its two counts
-    times = lambda arr, w: F.size(F.filter(arr, lambda x: x == w))
-    common = F.aggregate(F.array_distinct("pw"), F.lit(0), lambda acc, w: acc + F.least(times(F.col("pw"), w), times(F.col("gw"), w)))
-    p, r = stats.rate(F.col("common"), F.size("pw")), stats.rate(F.col("common"), F.size("gw"))
-    f1 = F.when((F.size("pw") == 0) & (F.size("gw") == 0), 1.0).when(F.col("common") == 0, 0.0).otherwise(2 * p * r / (p + r))
-    return norm.withColumn("common", common).select(*keys, F.col("same").cast("int").alias("exact"), f1.alias("f1"))
+    some = some.withColumn("pw", words(F.col("p"))).withColumn("gw", words(F.col("g")))
+    p, g = F.size("pw"), F.size("gw")
+    common = counted_overlap(F.col("pw"), F.col("gw"))
+    f1 = F.when((p == 0) | (g == 0), (p == g).cast("double")).when(common == 0, 0.0).otherwise(2.0 * common / (p + g))
+    sentinel = (casefold(F.regexp_replace("__p", r"(?U)^\s+|\s+$", "")) == SENTINEL.casefold()).cast("double")
+    some = some.select(*keys, F.when(F.col("__n") > 0, (F.col("p") == F.col("g")).cast("double")).otherwise(sentinel).alias("e"), F.when(F.col("__n") > 0, f1).otherwise(sentinel).alias("f"))
+    return some.groupBy(*keys).agg(F.max("e").alias("exact"), F.max("f").alias("f1"))
 
 
 def citation_metrics(cited: Column, gold: Column) -> tuple[Column, Column]:
@@ -50,30 +101,37 @@ def any_set_complete(sets: Column, cited: Column) -> Column:
 
 
 def auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
-    """(auc): the share of (positive, negative) pairs in order, ties half, by sums over distinct scores: no pairs are made.
-
-    The running count goes over one row a distinct score.
-    """
+    """(auc): the share of (positive, negative) pairs in order, ties half, by sums over distinct scores: no pairs are made. Null without both kinds."""
     by = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("s")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    below = F.coalesce(F.sum("q").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = by.select("p", "q", (F.col("p") * (below + F.col("q") / 2.0)).alias("won"))
+    run = running(by, F.col("s"), ["q"])
+    parts = run.select("p", "q", (F.col("p") * (F.col("upto_q") - F.col("q") / 2.0)).alias("won"))
     return parts.agg(stats.rate(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
 
 
-def risk_coverage(rows: DataFrame, score: str, answerable: Column, correct: Column) -> DataFrame:
-    """One row a threshold: null (nothing answered) and each distinct score, descending. Coverage, selective risk, false answers and refusals."""
-    by = rows.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.count_if(answerable).alias("a"), F.count_if(answerable & correct).alias("c"))
-    upto = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    run = by.select("threshold", *[F.sum(c).over(upto).alias(c) for c in ("n", "a", "c")])
-    total = by.agg(F.sum("n").alias("tn"), F.sum("a").alias("ta"))
-    none = total.select(F.lit(None).cast("double").alias("threshold"), *[F.lit(0).cast("long").alias(c) for c in ("n", "a", "c")])
-    out = run.select(F.col("threshold").cast("double").alias("threshold"), "n", "a", "c").unionByName(none).crossJoin(F.broadcast(total))  # one row
+def risk_coverage(rows: DataFrame, score: str, answerable: Column) -> DataFrame:
+    """One row a threshold: null (nothing answered) and each distinct score. Answered rows and their share, the share of them that no answer exists for
+    (selective risk, 0 if none is answered), false answers and refusals with rates and 95 % intervals. Rows of one kind only are an error."""
+    by = rows.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.count_if(answerable).alias("a"))
+    run = running(by, -F.col("threshold"), ["n", "a"]).select(F.col("threshold").cast("double").alias("threshold"), F.col("upto_n").alias("n"), F.col("upto_a").alias("a"))
+    total = staged(rows.agg(F.count("*").alias("tn"), F.count_if(answerable).alias("ta")), "totals")
+    none = total.select(F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("a"))
+    both = (F.col("ta") > 0) & (F.col("tn") > F.col("ta"))
+    out = run.unionByName(none).crossJoin(F.broadcast(total)).where(F.when(both, F.lit(True)).otherwise(F.raise_error(F.lit("answerable and unanswerable rows are needed"))))  # one row
+    wrong, refused, bad = F.col("n") - F.col("a"), F.col("ta") - F.col("a"), F.col("tn") - F.col("ta")
+    (a_low, a_high), (r_low, r_high) = stats.wilson(wrong, bad), stats.wilson(refused, F.col("ta"))
     return out.select(
-        "threshold", F.col("n").alias("answered"), stats.rate(F.col("n"), F.col("tn")).alias("coverage"), stats.rate(F.col("n") - F.col("c"), F.col("n")).alias("risk"),
-        stats.rate(F.col("n") - F.col("a"), F.col("tn") - F.col("ta")).alias("false_answer_rate"), stats.rate(F.col("ta") - F.col("a"), F.col("ta")).alias("false_refusal_rate"),
+        "threshold", F.col("n").alias("answered_cases"), stats.rate(F.col("n"), F.col("tn")).alias("coverage"), F.coalesce(stats.rate(wrong, F.col("n")), F.lit(0.0)).alias("selective_risk"),
+        wrong.alias("false_answer_count"), stats.rate(wrong, bad).alias("false_answer_rate"), a_low.alias("false_answer_low"), a_high.alias("false_answer_high"),
+        refused.alias("false_refusal_count"), stats.rate(refused, F.col("ta")).alias("false_refusal_rate"), r_low.alias("false_refusal_low"), r_high.alias("false_refusal_high"),
     )
 
 
+def operating_point(curve: DataFrame, max_false_answer_rate: float, max_false_refusal_rate: float) -> DataFrame:
+    """The feasible row with the largest coverage; ties to the smaller false answer rate, then the higher threshold, null the highest. None, if no row is feasible."""
+    ok = curve.where((F.col("false_answer_rate") <= max_false_answer_rate) & (F.col("false_refusal_rate") <= max_false_refusal_rate))
+    return ok.orderBy(F.desc("coverage"), "false_answer_rate", F.desc_nulls_first("threshold")).limit(1)
+
+
 def macro(rows: DataFrame, group: str, metrics: list[str]) -> DataFrame:
     """Means by group and `macro`, the plain mean of these, and `micro`, over all rows. Nulls are left out of means."""
     by = rows.groupBy(F.col(group).alias("slice")).agg(*[F.avg(m).alias(m) for m in metrics])
@@ -85,11 +143,23 @@ def macro(rows: DataFrame, group: str, metrics: list[str]) -> DataFrame:
 def nearest_rank_percentiles(rows: DataFrame, value: str, fractions: tuple[float, ...]) -> DataFrame:
     """(fraction, value): the element at round((n - 1) * fraction), halves to even. Ranks are found by counts over distinct values."""
     by = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    run = by.select("v", upto.alias("hi"), (upto - F.col("n")).alias("lo"))
-    n = by.agg(F.sum("n").alias("total"))
-    want = n.select(F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"), "total").withColumn("at", F.bround((F.col("total") - 1) * F.col("fraction"), 0).cast("long"))
-    return run.join(F.broadcast(want), (F.col("at") >= F.col("lo")) & (F.col("at") < F.col("hi"))).select("fraction", F.col("v").alias("value"))  # a row a fraction
+    run = running(by, F.col("v"), ["n"])
+    total = rows.agg(F.count(value).alias("total"))
+    want = total.select(F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"), "total").withColumn("at", F.bround((F.col("total") - 1) * F.col("fraction"), 0).cast("long"))
+    return run.join(F.broadcast(want), (F.col("at") >= F.col("upto_n") - F.col("n")) & (F.col("at") < F.col("upto_n"))).select("fraction", F.col("v").alias("value"))  # a row a fraction
+
+
+def linear_percentiles(rows: DataFrame, value: str, fractions: tuple[float, ...], by: list[str]) -> DataFrame:
+    """(*by, fraction, value): interpolated between the two elements round (n - 1) * fraction, in each group."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    run = running(counts, F.col("v"), ["n"], by)
+    total = rows.groupBy(*by).agg(F.count(value).alias("total"))
+    at = (F.col("total") - 1) * F.col("fraction")
+    both = run.join(total, by).withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions]))).withColumn("low", F.floor(at)).withColumn("high", F.ceil(at))
+    holds = lambda place: (F.col(place) >= F.col("upto_n") - F.col("n")) & (F.col(place) < F.col("upto_n"))
+    ends = both.where(holds("low") | holds("high")).groupBy(*by, "fraction", (at - F.col("low")).alias("share"))
+    ends = ends.agg(F.max(F.when(holds("low"), F.col("v"))).alias("a"), F.max(F.when(holds("high"), F.col("v"))).alias("b"))
+    return ends.select(*by, "fraction", (F.col("a") + F.col("share") * (F.col("b") - F.col("a"))).alias("value"))
 
 
 def transitions(left: DataFrame, right: DataFrame, key: str, ok: str) -> DataFrame:

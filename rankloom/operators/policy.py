@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def majority(votes: DataFrame, case: str, run: str, answer: str, primary: str) -> DataFrame:
@@ -46,22 +50,29 @@ def latest(log: DataFrame, key: str, order: str) -> DataFrame:
     return log.groupBy(key).agg(F.max_by(F.struct(*log.columns), order).alias("row")).select("row.*")
 
 
-def shards(requests: DataFrame, order: str, size: Column, max_requests: int, max_size: int, by: str) -> DataFrame:
-    """(by, order, shard): greedy bins in order, by count and size, of each group's requests (one provider file each).
+def shards(requests: DataFrame, order: str, size: Column, max_requests: int, max_size: int, by: str, tokens: Column | None = None, max_tokens: int | None = None) -> DataFrame:
+    """(by, order, shard): greedy bins in order, by count, size and, if given, tokens, of each group's requests (one provider file each).
 
-    The fold is over one group's array of (order, size) pairs.
+    A shard's end depends on all before it, so a group is one sorted stream; only its running sums are held. A request over a limit on its own is an error.
     """
-    rows = requests.groupBy(by).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), size.cast("long").alias("s")))).alias("all"))
-    start = F.struct(F.lit(0).alias("shard"), F.lit(0).alias("n"), F.lit(0).cast("long").alias("size"), F.array().cast("array<int>").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["n"] >= max_requests) | ((acc["n"] > 0) & (acc["size"] + x["s"] > max_size))
-        shard = F.when(over, acc["shard"] + 1).otherwise(acc["shard"])
-        return F.struct(shard.alias("shard"), F.when(over, 1).otherwise(acc["n"] + 1).alias("n"), F.when(over, x["s"]).otherwise(acc["size"] + x["s"]).alias("size"), F.array_append(acc["out"], shard).alias("out"))
-
-    got = rows.withColumn("out", F.aggregate("all", start, step)["out"]).select(by, F.explode(F.arrays_zip("all", "out")).alias("x"))
-    return got.select(by, F.col("x.all.o").alias(order), F.col("x.out").alias("shard"))
-
-
-def ranked_window(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
-    return rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= n)
+    rows = requests.select(by, order, size.cast("long").alias("size"), (F.lit(0) if tokens is None else tokens).cast("long").alias("tokens"))
+    most = (max_requests, max_size, max_tokens if max_tokens is not None else 1 << 62)
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, shard, used = None, 0, [0, 0, 0]
+        for batch in batches:
+            out = []
+            for g, s, t in zip(batch[by], batch["size"], batch["tokens"], strict=True):
+                if s > most[1] or t > most[2]:
+                    raise ValueError("a request is over a limit on its own")
+                if g != group:
+                    group, shard, used = g, 0, [0, 0, 0]
+                after = [used[0] + 1, used[1] + s, used[2] + t]
+                if any(a > m for a, m in zip(after, most, strict=True)):
+                    shard, after = shard + 1, [1, s, t]
+                used = after
+                out.append(shard)
+            yield batch[[by, order]].assign(shard=pd.Series(out, index=batch.index, dtype="int32"))
+
+    schema = T.StructType([rows.schema[by], rows.schema[order], T.StructField("shard", T.IntegerType())])
+    return rows.repartition(by).sortWithinPartitions(by, order).mapInPandas(deal, schema)

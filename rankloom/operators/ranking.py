@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions.text import tokens
+from ..functions.text import composed, fts_terms, sentences, title_candidates, tokens
+from ..staging import spread, staged
 
 K1, B = 1.2, 0.75
 
@@ -18,36 +25,42 @@ def top_k(scored: DataFrame, k: int, by: list[str] | None = None, score: str = "
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def postings(docs: DataFrame, id_col: str, text: Column, keep: list[str] | None = None) -> DataFrame:
-    """(doc_id, *keep, term, tf, dl): one row a document and term."""
-    keep = keep or []
-    words = docs.select(F.col(id_col).alias("doc_id"), *keep, tokens(text).alias("words"))
-    terms = words.select("doc_id", *keep, F.size("words").alias("dl"), F.explode("words").alias("term"))
-    return terms.groupBy("doc_id", *keep, "dl", "term").agg(F.count("*").alias("tf"))
-
-
 def query_terms(queries: DataFrame, id_col: str, text: Column) -> DataFrame:
-    return queries.select(F.col(id_col).alias("query_id"), F.explode(F.array_distinct(tokens(text))).alias("term"))
+    """(query_id, term, inner): distinct terms of each query; inner: neither its first nor its last word only."""
+    words = queries.select(F.col(id_col).alias("query_id"), tokens(text).alias("w"))
+    inner = F.slice("w", 2, F.greatest(F.size("w") - 2, F.lit(0)))
+    return words.select("query_id", F.explode(F.array_distinct("w")).alias("term"), inner.alias("i")).select("query_id", "term", F.array_contains("i", F.col("term")).alias("inner"))
 
 
-def bm25_scores(docs: DataFrame, id_col: str, text: Column, terms: DataFrame, group: str | None = None, k1: float = K1, b: float = B) -> DataFrame:
-    """(query_id, [group,] doc_id, score) of documents with a query term. Counts are within `group` if given.
+def postings(docs: DataFrame, id_col: str, text: Column, terms: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, *keep, dl, term, tf), written once: a row for each document and query term in it, and one with a null term for the document itself.
 
-    Documents are read once for lengths, which needs no shuffle of terms, and once for the postings of query terms only: the term filter comes
-    before the first shuffle, so what is shuffled is the postings that queries ask for. The filter is a join on distinct query terms.
+    Texts are read and cut into words once. Terms that no query has are dropped before the first shuffle, and a task sums what it has of a document.
     """
-    on = [group] if group else []
-    words = docs.select(F.col(id_col).alias("doc_id"), *on, tokens(text).alias("words"))
-    lengths = words.select(*on, F.size("words").alias("dl")).groupBy(*on).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    asked = terms.select("term").distinct()
-    hits = words.select("doc_id", *on, F.size("words").alias("dl"), F.explode("words").alias("term")).join(asked, "term", "left_semi")
-    tf = hits.groupBy("doc_id", *on, "dl", "term").agg(F.count("*").alias("tf"))
+    keep = keep or []
+    asked = staged(terms.select("term").distinct(), "terms").select("term", F.lit(True).alias("asked"))
+    words = spread(docs.select(F.col(id_col).alias("doc_id"), *keep, text.alias("__text"))).select("doc_id", *keep, F.concat(tokens(F.col("__text")), F.array(F.lit(None).cast("string"))).alias("words"))
+    rows = words.select("doc_id", *keep, (F.size("words") - 1).alias("dl"), F.explode_outer("words").alias("term")).join(asked, "term", "left").where("asked OR term IS NULL")
+    return staged(rows.groupBy("doc_id", *keep, "dl", "term").agg(F.count("*").alias("tf")), "postings")
+
+
+def lexical(posted: DataFrame, terms: DataFrame, group: str | None = None, k1: float = K1, b: float = B, keep: list[str] | None = None) -> DataFrame:
+    """(query_id, [group,] doc_id, *keep, score, tf, inner) of documents with a query term: BM25, the sum of counts, and how many inner terms there are. Counts are within `group` if given."""
+    on, keep = [group] if group else [], [c for c in keep or [] if c != group]
+    lengths = posted.where("term IS NULL").groupBy(*on).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    tf = posted.where("term IS NOT NULL")
     df = tf.groupBy(*on, "term").agg(F.count("*").alias("df"))
     stats = df.join(lengths, on) if group else df.crossJoin(F.broadcast(lengths))  # one row
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avg_dl"), F.lit(1.0))))
-    weighted = tf.join(stats, [*on, "term"]).select(*on, "term", "doc_id", weight.alias("w"))
-    return terms.join(weighted, "term").groupBy("query_id", *on, "doc_id").agg(F.sum("w").alias("score"))
+    weighted = tf.join(stats, [*on, "term"]).select(*on, *keep, "term", "doc_id", "tf", weight.alias("w"))
+    sums = terms.join(weighted, "term").groupBy("query_id", *on, *keep, "doc_id")
+    return sums.agg(F.sum("w").alias("score"), F.sum("tf").alias("tf"), F.count_if("inner").alias("inner"))
+
+
+def bm25_scores(docs: DataFrame, id_col: str, text: Column, terms: DataFrame, group: str | None = None, k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, [group,] doc_id, score) of documents with a query term."""
+    return lexical(postings(docs, id_col, text, terms, [group] if group else None), terms, group, k1, b).drop("tf", "inner")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -55,9 +68,111 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
 
-def dense_scores(queries: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of every vector for a stated set of queries (query_id, query), which is sent to all tasks if Spark finds it small."""
-    return vectors.join(queries, F.lit(True)).select("query_id", "doc_id", dot(F.col("query"), F.col("vector")).alias("score"))
+#: Query vectors that meet all others in one pass.
+QUERY_BLOCK = 4096
+
+
+def query_blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
+    """(query_id, query) rows as blocks of ids and a matrix; the driver holds one block at a time."""
+    ids, rows = [], []
+    for r in queries.select("query_id", "query").toLocalIterator():
+        ids.append(r.query_id)
+        rows.append(r.query)
+        if len(ids) == QUERY_BLOCK:
+            yield ids, np.array(rows, np.float64)
+            ids, rows = [], []
+    if ids:
+        yield ids, np.array(rows, np.float64)
+
+
+def dense_batches(batches: Iterator[pa.RecordBatch], matrix: np.ndarray) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Each batch whose first two columns are doc_id and vector, in pieces, with its (queries, rows) scores rounded to nine digits."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1024):
+            batch = whole.slice(at, 1024)
+            vectors = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+            yield batch, np.round(matrix @ vectors.T, 9)
+
+
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str] | None = None, own: bool = False) -> DataFrame:
+    """(query_id, doc_id, *keep, score, rank) of a stated set of queries (query_id, query) over all vectors (doc_id, vector, *keep).
+
+    Queries come in blocks of bounded size; a block meets each Arrow batch as one matrix product, which passes on the first k of each query only. `own`: whether a
+    vector may be found for the query with its id.
+    """
+    keep, parts = keep or [], None
+    v = vectors.select("doc_id", "vector", *keep)
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *[v.schema[c] for c in ("doc_id", *keep)], T.StructField("score", T.DoubleType())])
+    for ids, matrix in query_blocks(queries):
+        names = np.array(ids)
+
+        def run(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+            for batch, scores in dense_batches(batches, matrix):
+                doc = batch.column(0).to_numpy(zero_copy_only=False)
+                if not own:
+                    scores[names[:, None] == doc[None, :]] = -np.inf
+                order = np.lexsort((np.broadcast_to(doc, scores.shape), -scores), axis=1)[:, :k]
+                q, at = np.repeat(np.arange(len(names)), order.shape[1]), order.ravel()
+                ok = np.isfinite(scores[q, at])
+                q, at = q[ok], at[ok]
+                cols = [batch.column(0).take(pa.array(at)), *[batch.column(2 + i).take(pa.array(at)) for i in range(len(keep))]]
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]), *cols, pa.array(scores[q, at])], names=schema.names)
+
+        one = v.mapInArrow(run, schema)
+        parts = one if parts is None else parts.unionByName(one)
+    if parts is None:
+        parts = vectors.sparkSession.createDataFrame([], schema)
+    return top_k(parts, k)
+
+
+def dense_first_ranks(queries: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
+    """(query_id, group, rank): where in a query's whole ranking of the other vectors the first of each group stands.
+
+    Two passes: the best vector of each group, then how many vectors come before it; ranks of all vectors are never written.
+    """
+    v = vectors.select("doc_id", "vector", group)
+    id_type, group_type = v.schema["doc_id"].dataType, v.schema[group].dataType
+    best_schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(group, group_type), T.StructField("score", T.DoubleType()), T.StructField("doc_id", id_type)])
+    count_schema = T.StructType([best_schema["query_id"], best_schema[group], T.StructField("n", T.LongType())])
+    out = None
+    for ids, matrix in query_blocks(queries):
+        names = np.array(ids)
+
+        def best(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
+            for batch, scores in dense_batches(batches, matrix):
+                doc, of = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+                scores[names[:, None] == doc[None, :]] = -np.inf
+                for g in np.unique(of):
+                    at = np.flatnonzero(of == g)
+                    at = at[np.argsort(doc[at], kind="stable")]
+                    first = at[np.argmax(scores[:, at], axis=1)]
+                    top = scores[np.arange(len(names)), first]
+                    ok = np.isfinite(top)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[ok]), pa.array(np.repeat(g, ok.sum())), pa.array(top[ok]), pa.array(doc[first[ok]])], names=best_schema.names)
+
+        rows = v.mapInArrow(best, best_schema).groupBy("query_id", group).agg(F.max_by(F.struct("score", "doc_id"), F.struct("score", -F.col("doc_id"))).alias("b"))
+        # as many rows as queries of the block times groups
+        firsts = {(r.query_id, r[group]): (r.b.score, r.b.doc_id) for r in rows.collect()}
+        keys = sorted(firsts, key=str)
+        place = {q: i for i, q in enumerate(ids)}
+        which = np.array([place[q] for q, _ in keys], np.int64)
+        top, doc_at = np.array([firsts[k][0] for k in keys]), np.array([firsts[k][1] for k in keys])
+
+        def before(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, matrix: np.ndarray = matrix, keys: list = keys, which: np.ndarray = which, top: np.ndarray = top, doc_at: np.ndarray = doc_at) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(len(keys), np.int64)
+            for batch, scores in dense_batches(batches, matrix):
+                doc = batch.column(0).to_numpy(zero_copy_only=False)
+                scores[names[:, None] == doc[None, :]] = -np.inf
+                for at in range(0, len(keys), 1024):
+                    s, t, d = scores[which[at : at + 1024]], top[at : at + 1024, None], doc_at[at : at + 1024, None]
+                    n[at : at + 1024] += ((s > t) | ((s == t) & (doc[None, :] < d))).sum(1)
+            yield pa.RecordBatch.from_pylist([{"query_id": q, group: g, "n": int(c)} for (q, g), c in zip(keys, n, strict=True)], schema=to_arrow_schema(count_schema))
+
+        counted = v.mapInArrow(before, count_schema).groupBy("query_id", group).agg((F.sum("n") + 1).cast("int").alias("rank"))
+        out = counted if out is None else out.unionByName(counted)
+    if out is None:
+        return vectors.sparkSession.createDataFrame([], T.StructType([best_schema["query_id"], best_schema[group], T.StructField("rank", T.IntegerType())]))
+    return out
 
 
 def reciprocal_rank_fusion(rankings: list[DataFrame], weights: list[float] | None = None, constant: int = 60) -> DataFrame:
@@ -78,16 +193,87 @@ def top_k_distinct(scored: DataFrame, k: int, group: str) -> DataFrame:
     return top_k(best, k)
 
 
-def compress(sentence_scores: DataFrame, max_chars: int, seeds: int = 12, radius: int = 1) -> DataFrame:
-    """(query_id, doc_id, text): the best sentences and their neighbours in order, as many as the budget holds.
+def compress(rows: DataFrame, query: str, stored: str, max_chars: int, keys: list[str], scores: str | None = None, seeds: int = 12, radius: int = 1) -> DataFrame:
+    """(*keys, text): each document (an array of stored sentences) cut to `max_chars` for its query.
 
-    Takes (query_id, doc_id, pos, sentence, score) with n sentences a document; the greedy fold is over one document's array.
+    Without `scores`, by words shared with the query: a document that fits is kept whole; else the best sentences and their neighbours are taken in order of
+    place while the budget holds. With `scores`, an array of a number a sentence: seeds in order of score and their neighbours by distance, as long as each fits; if none
+    does, the beginning of the best. A document is one row, so nothing is shuffled.
     """
-    w = Window.partitionBy("query_id", "doc_id").orderBy(F.desc(F.round("score", 9)), "pos")
-    ranked = sentence_scores.withColumn("r", F.row_number().over(w))
-    rows = ranked.groupBy("query_id", "doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sentence", "r", "score"))).alias("all"))
-    near = F.filter("all", lambda s: F.exists("all", lambda t: (t["r"] <= seeds) & (t["score"] > 0) & (F.abs(t["pos"] - s["pos"]) <= radius)))
-    piece = F.transform(near, lambda s: F.concat(F.lit("["), s["pos"].cast("string"), F.lit("] "), s["sentence"]))
-    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("kept"))
-    fold = F.aggregate(piece, start, lambda acc, p: F.when(acc["n"] + F.length(p) + 1 <= max_chars, F.struct((acc["n"] + F.length(p) + 1).alias("n"), F.array_append(acc["kept"], p).alias("kept"))).otherwise(acc))
-    return rows.select("query_id", "doc_id", F.array_join(fold["kept"], " ").alias("text"))
+    if max_chars < 1:
+        raise ValueError("max_chars must be at least 1")
+    all_ = F.transform(sentences(F.col(stored)), lambda x, i: F.struct(i.alias("pos"), x.alias("s"), F.concat(F.lit("["), i.cast("string"), F.lit("] "), x).alias("piece")))
+    terms = F.array_distinct(tokens(F.col(query)))
+    shared = lambda x: F.aggregate(F.array_intersect(F.array_distinct(tokens(x)), terms), F.lit(0.0), lambda acc, w: acc + 1 + F.length(w) / 20.0)
+    doc = rows.select(*keys, query, *([scores] if scores else []), all_.alias("__all"))
+    score = (lambda x: F.get(F.col(scores), x["pos"])) if scores else (lambda x: shared(x["s"]))
+    doc = doc.withColumn("__ranked", F.array_sort(F.transform("__all", lambda x: F.struct((-F.round(score(x), 9)).alias("order"), x["pos"].alias("pos")))))
+    seed = F.transform(F.slice("__ranked", 1, seeds), lambda x: x["pos"])
+    start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("kept"))
+    size = lambda i: F.length(F.get(F.col("__all"), i)["piece"])
+
+    def take(acc: Column, i: Column, cost: Column, fits: Column) -> Column:
+        return F.when(fits, F.struct((acc["n"] + cost).cast("int").alias("n"), F.array_append(acc["kept"], i).alias("kept"))).otherwise(acc)
+
+    near = F.flatten(F.transform(seed, lambda p: F.sequence(p - radius, p + radius)))
+    inside = lambda arr: F.array_distinct(F.filter(arr, lambda i: (i >= 0) & (i < F.size("__all"))))
+    if scores is None:
+        chosen = F.array_sort(inside(near))
+        fold = F.aggregate(chosen, start, lambda acc, i: take(acc, i, size(i) + 1, (F.size(acc["kept"]) == 0) | (acc["n"] + size(i) + 1 <= max_chars)))
+    else:
+        # a seed, then its neighbours, the left one first at each distance; a sentence keeps its first place in this order
+        steps = [0, *[d * sign for d in range(1, radius + 1) for sign in (-1, 1)]]
+        chosen = inside(F.flatten(F.transform(seed, lambda p: F.array(*[p + d for d in steps]))))
+        cost = lambda acc, i: size(i) + (F.size(acc["kept"]) > 0).cast("int")
+        fold = F.aggregate(chosen, start, lambda acc, i: take(acc, i, cost(acc, i), acc["n"] + cost(acc, i) <= max_chars))
+    doc = doc.withColumn("__kept", F.array_sort(fold["kept"]))
+    text = F.substring(F.array_join(F.transform("__kept", lambda i: F.get(F.col("__all"), i)["piece"]), " "), 1, max_chars) if scores is None else F.array_join(F.transform("__kept", lambda i: F.get(F.col("__all"), i)["piece"]), " ")
+    if scores is None:
+        whole = F.array_join(F.transform("__all", lambda x: x["s"]), " ")
+        text = F.when(F.length(whole) <= max_chars, whole).otherwise(text)
+    else:
+        best = F.get(F.col("__all"), F.get(F.col("__ranked"), F.lit(0))["pos"])["piece"]
+        text = F.when(F.size("__all") == 0, "").when(F.size("__kept") == 0, F.substring(best, 1, max_chars)).otherwise(text)
+    return doc.select(*keys, text.alias("text"))
+
+
+def two_stage(docs: DataFrame, id_col: str, title: Column, text: Column, queries: DataFrame, query_id: str, query: Column, k: int, limit: int = 100, focus: int = 8) -> DataFrame:
+    """(query_id, doc_id, score, rank): documents named by title, or with all of a query's longest terms, ranked by BM25 within these candidates.
+
+    Candidates are documents whose title, its blanks as underscores, is a run of words of the query; the best `limit` documents with all of the `focus` longest terms; and,
+    while a query of three terms or more has fewer than k, the best `limit` with all of these but one, the first left out first. A query's candidates, at most
+    (focus + 1) x limit and those named, are ranked by BM25 over titles and texts with counts among the candidates.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(title, F.lit("")).alias("title"), F.concat_ws(" ", title, text).alias("all"))
+    q = staged(queries.select(F.col(query_id).alias("query_id"), query.alias("q"), fts_terms(query).alias("terms"), title_candidates(query).alias("names")), "queries").where(F.size("terms") > 0)
+    longest = F.slice(F.array_sort(F.transform("terms", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, focus)
+    focused = q.select("query_id", F.posexplode(longest["w"]).alias("place", "term"), F.size(longest).alias("need"))
+    terms = query_terms(q, "query_id", F.col("q"))
+    posted = postings(d, "doc_id", F.col("all"), terms)
+    by_title = d.select("doc_id", F.translate(composed(F.col("title")), " ", "_").alias("name")).where("name <> ''")
+    named = q.select("query_id", F.explode("names").alias("name")).join(by_title, "name").select("query_id", "doc_id").distinct()
+    # how many of the longest terms a document has, and, if all but one, which one is missing
+    have = posted.where("term IS NOT NULL").join(focused, "term").groupBy("query_id", "doc_id", "need").agg(F.count("*").alias("n"), F.sum("place").alias("places"))
+    near = have.where("n >= need - 1").withColumn("tier", F.when(F.col("n") == F.col("need"), -1).otherwise((F.col("need") * (F.col("need") - 1) / 2 - F.col("places")).cast("int")))
+    scored = lexical(posted, terms).select("query_id", "doc_id", "score").join(near.select("query_id", "doc_id", "need", "tier"), ["query_id", "doc_id"])
+    # a document with all terms is a hit of every relaxed expression too
+    strict = staged(top_k(scored.where("tier = -1"), limit).select("query_id", "doc_id"), "strict")
+    first = strict.unionByName(named).distinct()
+    short = q.select("query_id").join(first.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id", F.coalesce("have", F.lit(0)).alias("have"))
+    relaxed = scored.where("need > 2").join(short, "query_id").withColumn("tiers", F.when(F.col("tier") >= 0, F.array("tier")).otherwise(F.sequence(F.lit(0), F.col("need") - 1)))
+    relaxed = top_k(relaxed.select("query_id", "doc_id", "score", "have", F.explode("tiers").alias("leaves")), limit, ["query_id", "leaves"])
+    fresh = relaxed.join(first, ["query_id", "doc_id"], "left_anti").groupBy("query_id", "have", "doc_id").agg(F.min("leaves").alias("leaves"))
+    by_tier = Window.partitionBy("query_id").orderBy("leaves").rangeBetween(Window.unboundedPreceding, -1)
+    # an expression is asked while those before it have left fewer than k
+    fresh = fresh.withColumn("before", F.col("have") + F.count("*").over(by_tier)).where(F.col("before") < k).select("query_id", "doc_id")
+    found = staged(first.unionByName(fresh).distinct(), "candidates")
+    pairs = found.join(posted.where("term IS NULL").select("doc_id", "dl"), "doc_id")
+    lengths = pairs.groupBy("query_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
+    tf = found.join(posted.where("term IS NOT NULL"), "doc_id").join(terms.select("query_id", "term"), ["query_id", "term"])
+    df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(lengths, "query_id")
+    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avg_dl"), F.lit(1.0))))
+    scores = tf.join(df, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(weight).alias("s"))
+    return top_k(found.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("s", F.lit(0.0)).alias("score")), k)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as tx
-from ..operators import metrics, ranking, sampling
+from ..operators import metrics, policy, ranking, sampling
+from ..staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -35,7 +36,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 # SQL pieces that several queries share
-_TOK = r"regexp_extract_all(replace(lower(coalesce({0}, '')), 'ß', 'ss'), '[\pL\pM\pN\p{{Pc}}]+')"
+_TOK = r"regexp_extract_all(replace(lower(coalesce({0}, '')), 'ß', 'ss'), '[\pL\pN_]+')"
 _BM25 = f"""
 dw AS (SELECT doc_id, source, {_TOK.format("text")} AS ws FROM documents),
 dt AS (SELECT doc_id, source, len(ws) AS dl, unnest(ws) AS term FROM dw),
@@ -60,35 +61,48 @@ FROM h GROUP BY k"""
 _WORDS = r"list_filter(regexp_split_to_array(regexp_replace(replace(lower(coalesce({0}, '')), 'ß', 'ss'), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the'))"
 
 
-def _scores(spark: SparkSession, d: str) -> DataFrame:
-    return ranking.bm25_scores(table(spark, d, "documents"), "doc_id", F.col("text"), ranking.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text")))
+def _lexical(spark: SparkSession, d: str) -> DataFrame:
+    """(query_id, doc_id, source, score, tf, inner) of each item and document with one of its words, written once: one scan of the texts serves all that a query makes of it."""
+    docs, terms = table(spark, d, "documents"), ranking.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"))
+    return staged(ranking.lexical(ranking.postings(docs, "doc_id", F.col("text"), terms, ["source"]), terms, keep=["source"]), "lexical")
 
 
-def _gold(spark: SparkSession, d: str) -> DataFrame:
+def _gold(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
     """Documents that contain an item word for word.
 
-    A document that contains an item has each of its inner words as a word, so the item's longest inner word finds candidates by an equi-join, and only
-    these are searched. Items of two words or less have no inner word; they are a stated query set against all rows.
+    Such a document has each of the item's inner words as a word; only documents that have them all are searched. Items of two words or less have no inner
+    word; they are a stated query set against all rows.
     """
     words = tx.tokens(F.col("passage"))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).withColumn("inner", F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).withColumn("need", F.size(F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    anchor = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    anchors = items.where(F.size("inner") > 0).select("query_id", anchor.alias("word"))
-    found = docs.select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("word")).join(anchors, "word").select("query_id", "doc_id")
-    both = found.join(items.select("query_id", "passage"), "query_id").join(docs, "doc_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
-    short = items.where(F.size("inner") == 0).select("query_id", "passage")
-    return both.unionByName(docs.join(short, F.col("text").contains(F.col("passage"))).select("query_id", "doc_id"))
+    near = staged(found.join(items, "query_id").where("need > 0 AND inner >= need").select("query_id", "doc_id", "passage"), "near-gold")
+    gold = docs.join(near, "doc_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
+    short = items.where("need = 0")
+    if not short.isEmpty():
+        gold = gold.unionByName(docs.join(short, F.col("text").contains(F.col("passage"))).select("query_id", "doc_id"))
+    return staged(gold, "gold")
 
 
-def _bm25_ranks(spark: SparkSession, d: str, k: int) -> DataFrame:
-    return ranking.top_k(_scores(spark, d), k)
+def _bm25_ranks(found: DataFrame, k: int) -> DataFrame:
+    return ranking.top_k(found.select("query_id", "doc_id", "source", "score"), k)
 
 
-def _dense(spark: SparkSession, d: str) -> DataFrame:
+def _tf_ranks(found: DataFrame, k: int) -> DataFrame:
+    """A second lexical ranking: plain counts of query terms."""
+    return ranking.top_k(found.select("query_id", "doc_id", "source", F.col("tf").cast("double").alias("score")), k)
+
+
+def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The stated queries, every vector whose id is divisible by 100, and all vectors."""
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"), "label")
-    q = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"), F.col("label").alias("ql"))
-    return v.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", "ql", "doc_id", "label", ranking.dot(F.col("query"), F.col("vector")).alias("score"))
+    return v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.col("vector").alias("query"), F.col("label").alias("ql")), v
+
+
+def _dense_ranks(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """(query_id, ql, doc_id, label, score, rank)."""
+    q, v = _vectors(spark, d)
+    return ranking.dense_top_k(q, v, k, ["label"]).join(q.select("query_id", "ql"), "query_id")
 
 
 # rankings
@@ -96,7 +110,7 @@ def _dense(spark: SparkSession, d: str) -> DataFrame:
 
 @named(f"WITH {_BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 5")
 def bm25_topk_global(spark, d):
-    return _bm25_ranks(spark, d, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _bm25_ranks(_lexical(spark, d), 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @named(f"""WITH {_BM25.replace("df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)", "df AS (SELECT source, term, count(*) AS df FROM tf GROUP BY ALL)").replace("st AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avg_dl FROM dw)", "st AS (SELECT source, count(*) AS n_docs, avg(len(ws)) AS avg_dl FROM dw GROUP BY source)").replace("JOIN df USING (term), st GROUP BY", "JOIN df ON df.term = tf.term AND df.source = tf.source JOIN st ON st.source = tf.source GROUP BY").replace("any_value(source)", "any_value(tf.source)")},
@@ -144,7 +158,7 @@ def bm25_field_weighted(spark, d):
 
 @named(f"WITH {_DENSE} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM der WHERE rank <= 10")
 def dense_topk(spark, d):
-    return ranking.top_k(_dense(spark, d), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return _dense_ranks(spark, d, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @named("SELECT count(*) AS n, count(DISTINCT vec_id) AS n_ids, count(*) FILTER (WHERE len(embedding) <> 64) AS bad_width, count(*) FILTER (WHERE abs(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) - 1) > 0.0001) AS not_unit FROM embeddings")
@@ -157,23 +171,17 @@ def dense_unit_norm_check(spark, d):
 _TFR = "tfs AS (SELECT query_id, tf.doc_id, sum(tf) AS score FROM qt JOIN tf USING (term) GROUP BY ALL), tfr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM tfs)"
 
 
-def _tf_ranks(spark, d, k):
-    """A second lexical ranking: plain counts of query terms."""
-    terms = ranking.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"))
-    words = table(spark, d, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
-    tf = words.join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    return ranking.top_k(terms.join(tf, "term").groupBy("query_id", "doc_id").agg(F.sum("tf").cast("double").alias("score")), k)
-
-
 def _fused_sql(w1: float, w2: float, c: int) -> str:
     return f"""WITH {_BM25}, {_TFR},
-u AS (SELECT query_id, doc_id, {w1}::DOUBLE / ({c} + rank) AS p FROM bmr WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, {w2}::DOUBLE / ({c} + rank) FROM tfr WHERE rank <= 50),
+u AS (SELECT query_id, doc_id, {w1}::DOUBLE / ({c} + rank) AS p FROM bmr UNION ALL SELECT query_id, doc_id, {w2}::DOUBLE / ({c} + rank) FROM tfr),
 f AS (SELECT query_id, doc_id, sum(p) AS score FROM u GROUP BY ALL), fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f)
 SELECT query_id, doc_id, round(score, 9) AS score, rank FROM fr WHERE rank <= 8"""
 
 
 def _fused(spark, d, weights, c):
-    fused = ranking.reciprocal_rank_fusion([_bm25_ranks(spark, d, 50), _tf_ranks(spark, d, 50)], weights, c)
+    found = _lexical(spark, d)
+    by = lambda score: found.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id")).alias("rank"))
+    fused = ranking.reciprocal_rank_fusion([by(F.round("score", 9)), by(F.col("tf"))], weights, c)
     return ranking.top_k(fused, 8).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
@@ -190,74 +198,113 @@ def rrf_weighted(spark, d):
 @named(f"""WITH {_BM25}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, doc_id) AS g FROM bm) WHERE g = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b) SELECT query_id, source, doc_id, rank FROM r WHERE rank <= 4""")
 def topk_distinct_group(spark, d):
-    scored = _scores(spark, d).join(table(spark, d, "documents").select("doc_id", "source"), "doc_id")
-    return ranking.top_k_distinct(scored, 4, "source").select("query_id", "source", "doc_id", "rank")
+    return ranking.top_k_distinct(_lexical(spark, d), 4, "source").select("query_id", "source", "doc_id", "rank")
 
 
 @named(f"WITH {_BM25}, {_GOLD}, r AS (SELECT * FROM bmr), " + _RMETRICS.format(ks="1, 2, 5, 10"))
 def recall_mrr_at_k(spark, d):
-    return metrics.retrieval_at_k(_bm25_ranks(spark, d, 10), _gold(spark, d), (1, 2, 5, 10))
+    found = _lexical(spark, d)
+    return metrics.retrieval_at_k(_bm25_ranks(found, 10), _gold(spark, d, found), (1, 2, 5, 10))
 
 
 @named(f"WITH {_DENSE}, gold AS (SELECT query_id, doc_id FROM de WHERE label = ql), r AS (SELECT * FROM der), " + _RMETRICS.format(ks="1, 5, 10, 20"))
 def recall_mrr_at_k_dense(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "label")
-    gold = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "label").join(v, "label").where("doc_id <> query_id").select("query_id", "doc_id")
-    return metrics.retrieval_at_k(ranking.top_k(_dense(spark, d), 20), gold, (1, 5, 10, 20))
+    q, v = _vectors(spark, d)
+    sizes = v.groupBy(F.col("label").alias("ql")).agg(F.count("*").alias("size"))
+    gold = q.join(sizes, "ql").select("query_id", (F.col("size") - 1).alias("gold"))  # its label's vectors but itself
+    ranks = _dense_ranks(spark, d, 20).select("query_id", "rank", (F.col("label") == F.col("ql")).alias("relevant"))
+    return metrics.retrieval_of_marked(ranks, gold, (1, 5, 10, 20))
 
 
 @named(f"""WITH {_DENSE}, t AS (SELECT * FROM der WHERE rank <= 10)
 SELECT query_id, round(max(score), 6) AS top1, round(max(score) - max(score) FILTER (WHERE rank = 2), 6) AS margin, round(avg(score), 6) AS mean, round(min(score), 6) AS lowest, round(stddev_pop(score), 6) AS sigma, count(DISTINCT label) AS n_labels FROM t GROUP BY query_id""")
 def confidence_features(spark, d):
-    t = ranking.top_k(_dense(spark, d), 10)
+    t = _dense_ranks(spark, d, 10)
     return t.groupBy("query_id").agg(F.round(F.max("score"), 6).alias("top1"), F.round(F.max("score") - F.max(F.when(F.col("rank") == 2, F.col("score"))), 6).alias("margin"), F.round(F.avg("score"), 6).alias("mean"), F.round(F.min("score"), 6).alias("lowest"), F.round(F.stddev_pop("score"), 6).alias("sigma"), F.countDistinct("label").alias("n_labels"))
 
 
 # two-stage retrieval
 
 
-@named(f"""WITH {_BM25}, ft AS (SELECT item_id AS query_id, list_slice(list_sort(list_transform(list_filter(list_distinct({_TOK.format("text")}), lambda w: length(w) > 2), lambda w: {{'n': -length(w), 'w': w}})), 1, 3) AS ts FROM benchmark),
-c AS (SELECT query_id, doc_id FROM ft JOIN dw ON list_has_all(ws, list_transform(ts, lambda t: t.w)) WHERE len(ts) > 0),
-r AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm JOIN c USING (query_id, doc_id))
-SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5""")
+def _two_stage_sql(k: int, limit: int = 100) -> str:
+    """Candidates by title, all eight longest terms, and these but one while fewer than k are found; then BM25 within a query's candidates."""
+    stops = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
+    score = "ln(1 + (n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / greatest(avg_dl, 1.0::DOUBLE)))"
+    return rf"""WITH pg AS (SELECT page_id AS doc_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_replace(html, '<[^>]*>', ' ', 'g') AS body FROM pages),
+al AS (SELECT doc_id, title, {_TOK.format("title || ' ' || body")} AS ws FROM pg),
+q0 AS (SELECT item_id AS query_id, text, {_TOK.format("text")} AS ws FROM benchmark),
+q1 AS (SELECT *, list_distinct(list_filter(ws, lambda w: length(w) > 2 AND w NOT IN ({stops}))) AS kept FROM q0),
+q AS (SELECT query_id, text, ws, CASE WHEN len(kept) > 0 THEN kept ELSE ws[1:8] END AS terms FROM q1 WHERE len(ws) > 0),
+fo AS (SELECT query_id, list_slice(list_sort(list_transform(terms, lambda w: {{'n': -length(w), 'w': w}})), 1, 8) AS f FROM q),
+fp AS (SELECT query_id, len(f) AS need, unnest(f).w AS term, unnest(range(0, len(f))) AS place FROM fo),
+dt AS (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM al), tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM dt GROUP BY ALL),
+qt AS (SELECT DISTINCT query_id, unnest(ws) AS term FROM q),
+g1 AS (SELECT count(*) AS n_docs, avg(len(ws)) AS avg_dl FROM al), gd AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+gs AS (SELECT query_id, doc_id, sum({score}) AS score FROM qt JOIN tf USING (term) JOIN gd USING (term), g1 GROUP BY ALL),
+ha AS (SELECT query_id, doc_id, need, count(*) AS n, list(place) AS places FROM fp JOIN tf USING (term) GROUP BY ALL),
+st AS (SELECT query_id, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM ha JOIN gs USING (query_id, doc_id) WHERE n = need) WHERE r <= {limit}),
+tw AS (SELECT query_id, list_transform(regexp_extract_all(text, '[\pL\pN]+(?:[''’][\pL\pN]+)?'), lambda w: regexp_replace(w, '(?i)[''’]s$', '')) AS tws FROM q),
+tc AS (SELECT DISTINCT query_id, nfc_normalize(array_to_string(tws[i : i + n - 1], '_')) AS name FROM tw, range(1, 2000) a(i), range(1, 7) b(n) WHERE i + n - 1 <= len(tws)),
+na AS (SELECT DISTINCT query_id, doc_id FROM tc JOIN al ON name = replace(nfc_normalize(title), ' ', '_') WHERE title <> ''),
+fi AS (SELECT * FROM st UNION SELECT * FROM na),
+sh AS (SELECT q.query_id, count(doc_id) AS have FROM q LEFT JOIN fi USING (query_id) GROUP BY ALL HAVING count(doc_id) < {k}),
+ex AS (SELECT ha.query_id, doc_id, have, p AS leaves FROM ha JOIN sh USING (query_id), range(0, 8) t(p) WHERE need > 2 AND p < need AND (n = need OR (n = need - 1 AND NOT list_contains(places, p)))),
+rl AS (SELECT * FROM (SELECT ex.*, row_number() OVER (PARTITION BY ex.query_id, leaves ORDER BY round(score, 9) DESC, doc_id) AS r FROM ex JOIN gs USING (query_id, doc_id)) WHERE r <= {limit}),
+fr AS (SELECT query_id, have, doc_id, min(leaves) AS leaves FROM rl WHERE (query_id, doc_id) NOT IN (SELECT (query_id, doc_id) FROM fi) GROUP BY ALL),
+fb AS (SELECT *, have + count(*) OVER (PARTITION BY query_id ORDER BY leaves RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM fr),
+ca AS (SELECT * FROM fi UNION SELECT query_id, doc_id FROM fb WHERE before < {k}),
+le AS (SELECT query_id, count(*) AS n_docs, avg(len(ws)) AS avg_dl FROM ca JOIN al USING (doc_id) GROUP BY query_id),
+ct AS (SELECT ca.query_id, tf.* FROM ca JOIN tf USING (doc_id) JOIN qt ON qt.query_id = ca.query_id AND qt.term = tf.term),
+cd AS (SELECT query_id, term, count(*) AS df FROM ct GROUP BY ALL),
+sc AS (SELECT ct.query_id, doc_id, sum({score}) AS score FROM ct JOIN cd USING (query_id, term) JOIN le USING (query_id) GROUP BY ALL),
+rk AS (SELECT ca.query_id, ca.doc_id, coalesce(score, 0) AS score, row_number() OVER (PARTITION BY ca.query_id ORDER BY round(coalesce(score, 0), 9) DESC, ca.doc_id) AS rank FROM ca LEFT JOIN sc USING (query_id, doc_id))
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM rk WHERE rank <= {k}"""
+
+
+@named(_two_stage_sql(5))
 def two_stage_tiers(spark, d):
-    """Candidates hold an item's three longest terms (an equi-join on terms and a count), then BM25 orders them."""
-    terms = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.filter(F.array_distinct(tx.tokens(F.col("text"))), lambda w: F.length(w) > 2).alias("ws"))
-    longest = F.slice(F.array_sort(F.transform("ws", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, 3)
-    must = terms.select("query_id", longest.alias("ts")).select("query_id", F.size("ts").alias("need"), F.explode("ts.w").alias("term"))
-    have = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(tx.tokens(F.col("text")))).alias("term"))
-    found = have.join(must, "term").groupBy("query_id", "doc_id", "need").agg(F.count("*").alias("n")).where("n = need").select("query_id", "doc_id")
-    return ranking.top_k(_scores(spark, d).join(found, ["query_id", "doc_id"]), 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    """Pages by title, by the longest terms and by these but one."""
+    title, body = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_replace("html", "<[^>]*>", " ")
+    got = ranking.two_stage(table(spark, d, "pages"), "page_id", title, body, table(spark, d, "benchmark"), "item_id", F.col("text"), 5)
+    return got.select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 # selective answering
 
 
 def _answerable_top1(spark, d):
-    """Each item's best score, whether it has gold and whether its best document is gold."""
-    best = ranking.top_k(_scores(spark, d), 1).select("query_id", "doc_id", F.round("score", 6).alias("score"))
-    gold = _gold(spark, d).groupBy("query_id").agg(F.collect_set("doc_id").alias("gold"))
-    return best.join(gold, "query_id", "left").select("query_id", "score", F.col("gold").isNotNull().alias("answerable"), F.coalesce(F.array_contains("gold", F.col("doc_id")), F.lit(False)).alias("correct"))
+    """Each item's best score and whether it has gold, written once."""
+    found = _lexical(spark, d)
+    best = _bm25_ranks(found, 1).select("query_id", F.round("score", 6).alias("score"))
+    gold = _gold(spark, d, found).select("query_id").distinct().withColumn("answerable", F.lit(True))
+    return staged(best.join(gold, "query_id", "left").select("query_id", "score", F.coalesce("answerable", F.lit(False)).alias("answerable")), "top1")
+
+
+_TOP1 = f"{_BM25}, {_GOLD}, t1 AS (SELECT query_id, round(score, 6) AS score, query_id IN (SELECT query_id FROM gold) AS answerable FROM bmr WHERE rank = 1)"
+
+
+def _wilson_sql(k: str, n: str) -> tuple[str, str]:
+    z, p = "1.959963984540054::DOUBLE", f"({k} / {n}::DOUBLE)"
+    middle, half = f"({p} + {z} * {z} / (2 * {n}::DOUBLE)) / (1 + {z} * {z} / {n})", f"{z} / (1 + {z} * {z} / {n}) * sqrt({p} * (1 - {p}) / {n} + {z} * {z} / (4 * {n}::DOUBLE * {n}))"
+    return f"greatest(0, {middle} - {half})", f"least(1, {middle} + {half})"
 
 
-_TOP1 = f"{_BM25}, {_GOLD}, t1 AS (SELECT query_id, round(score, 6) AS score, query_id IN (SELECT query_id FROM gold) AS answerable, (query_id, doc_id) IN (SELECT (query_id, doc_id) FROM gold) AS correct FROM bmr WHERE rank = 1)"
-_CURVE = """cv AS (SELECT score AS threshold, count(*) AS n, count(*) FILTER (WHERE answerable) AS a, count(*) FILTER (WHERE answerable AND correct) AS c FROM t1 GROUP BY score),
+_FA, _FR = _wilson_sql("(n - a)", "(tn - ta)"), _wilson_sql("(ta - a)", "ta")
+_CURVE = f"""cv AS (SELECT score AS threshold, count(*) AS n, count(*) FILTER (WHERE answerable) AS a FROM t1 GROUP BY score),
 tt AS (SELECT count(*) AS tn, count(*) FILTER (WHERE answerable) AS ta FROM t1),
-rn AS (SELECT threshold, sum(n) OVER o AS n, sum(a) OVER o AS a, sum(c) OVER o AS c FROM cv WINDOW o AS (ORDER BY threshold DESC) UNION ALL SELECT NULL, 0, 0, 0),
-curve AS (SELECT threshold, CAST(n AS BIGINT) AS answered, n / tn AS coverage, (n - c) / nullif(n, 0) AS risk, (n - a) / nullif(tn - ta, 0) AS false_answer_rate, (ta - a) / nullif(ta, 0) AS false_refusal_rate FROM rn, tt)"""
+rn AS (SELECT threshold, CAST(sum(n) OVER o AS BIGINT) AS n, CAST(sum(a) OVER o AS BIGINT) AS a FROM cv WINDOW o AS (ORDER BY threshold DESC) UNION ALL SELECT NULL, 0, 0),
+curve AS (SELECT threshold, n AS answered_cases, n / tn AS coverage, coalesce((n - a) / nullif(n, 0), 0) AS selective_risk, n - a AS false_answer_count, (n - a) / (tn - ta) AS false_answer_rate, {_FA[0]} AS false_answer_low, {_FA[1]} AS false_answer_high,
+  ta - a AS false_refusal_count, (ta - a) / ta AS false_refusal_rate, {_FR[0]} AS false_refusal_low, {_FR[1]} AS false_refusal_high FROM rn, tt)"""
 
 
 @named(f"WITH {_TOP1}, {_CURVE} SELECT * FROM curve")
 def risk_coverage_curve(spark, d):
-    return metrics.risk_coverage(_answerable_top1(spark, d), "score", F.col("answerable"), F.col("correct"))
+    return metrics.risk_coverage(_answerable_top1(spark, d), "score", F.col("answerable"))
 
 
-@named(f"WITH {_TOP1}, {_CURVE} SELECT * FROM curve WHERE coalesce(risk, 0) <= 0.3 AND coalesce(false_answer_rate, 0) <= 0.5 ORDER BY coverage DESC, coalesce(risk, 0), threshold DESC NULLS FIRST LIMIT 1")
+@named(f"WITH {_TOP1}, {_CURVE} SELECT * FROM curve WHERE false_answer_rate <= 0.5 AND false_refusal_rate <= 0.6 ORDER BY coverage DESC, false_answer_rate, threshold DESC NULLS FIRST LIMIT 1")
 def select_operating_point(spark, d):
-    """The largest coverage under both guards; ties to the smaller risk, then the higher threshold, null the highest."""
-    curve = metrics.risk_coverage(_answerable_top1(spark, d), "score", F.col("answerable"), F.col("correct"))
-    ok = curve.where((F.coalesce("risk", F.lit(0.0)) <= 0.3) & (F.coalesce("false_answer_rate", F.lit(0.0)) <= 0.5))
-    return ok.orderBy(F.desc("coverage"), F.coalesce("risk", F.lit(0.0)), F.desc_nulls_first("threshold")).limit(1)
+    return metrics.operating_point(metrics.risk_coverage(_answerable_top1(spark, d), "score", F.col("answerable")), 0.5, 0.6)
 
 
 _DL = "dl AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"
@@ -311,8 +358,9 @@ def _lchoose_sql(n: str, k: str) -> str:
 @named(f"""WITH {_TWO}, c AS (SELECT count(*) AS n, count(*) FILTER (WHERE r AND NOT l) AS wins, count(*) FILTER (WHERE l AND NOT r) AS losses FROM w)
 SELECT n, wins, losses, n - wins - losses AS unchanged, round(CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(wins, losses) + 1), lambda i: exp({_lchoose_sql("(wins + losses)", "i")} - (wins + losses) * ln(2))))) END, 9) AS p_value FROM c""")
 def paired_transitions(spark, d):
-    gold = _gold(spark, d)
-    out = metrics.transitions(_first_is_gold(_tf_ranks(spark, d, 1), gold), _first_is_gold(_bm25_ranks(spark, d, 1), gold), "query_id", "ok")
+    found = _lexical(spark, d)
+    gold = _gold(spark, d, found)
+    out = metrics.transitions(_first_is_gold(_tf_ranks(found, 1), gold), _first_is_gold(_bm25_ranks(found, 1), gold), "query_id", "ok")
     return out.withColumn("p_value", F.round("p_value", 9))
 
 
@@ -332,13 +380,11 @@ SELECT metric, round(b.v, 9) AS baseline, round(k.v, 9) AS candidate, CASE WHEN
 FROM u b JOIN u k USING (metric) WHERE b.run = 'baseline' AND k.run = 'candidate'""")
 def gate_decision(spark, d):
     """Guard metrics may fall by 0.005 at most."""
-    gold = _gold(spark, d)
-    parts = []
-    for run, ranks in (("baseline", _tf_ranks(spark, d, 10)), ("candidate", _bm25_ranks(spark, d, 10))):
-        m = metrics.retrieval_at_k(ranks, gold, (10,))
-        parts.append(m.select(F.lit(run).alias("run"), F.explode(F.create_map(F.lit("all_recall"), "all_recall", F.lit("evidence_recall"), "evidence_recall")).alias("metric", "v")))
-    u = parts[0].unionByName(parts[1]).groupBy("metric").agg(F.max(F.when(F.col("run") == "baseline", F.col("v"))).alias("b"), F.max(F.when(F.col("run") == "candidate", F.col("v"))).alias("c"))
-    return u.select("metric", F.round("b", 9).alias("baseline"), F.round("c", 9).alias("candidate"), F.when(F.col("c") < F.col("b") - 0.005, "REJECT").otherwise("PROMOTE").alias("decision"))
+    found = _lexical(spark, d)
+    gold = _gold(spark, d, found)
+    runs = [metrics.retrieval_at_k(ranks, gold, (10,)).select(F.explode(F.create_map(F.lit("all_recall"), "all_recall", F.lit("evidence_recall"), "evidence_recall")).alias("metric", "value")) for ranks in (_tf_ranks(found, 10), _bm25_ranks(found, 10))]
+    out = policy.gate(runs[0], runs[1], {"all_recall": 0.005, "evidence_recall": 0.005}, ("all_recall", "evidence_recall"))
+    return out.select("metric", F.round("baseline", 9).alias("baseline"), F.round("candidate", 9).alias("candidate"), "decision")
 
 
 @named(f"""WITH p AS (SELECT u.conv_id, u.turn, {_WORDS.format("a.text")} AS pw, {_WORDS.format("u.text")} AS gw FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),
@@ -349,8 +395,8 @@ def answer_em_f1(spark, d):
     c = table(spark, d, "conversations")
     u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("gold"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("prediction"))
-    out = metrics.answer_scores(u.join(a, ["conv_id", "turn"]), "prediction", "gold", ["conv_id", "turn"])
-    return out.withColumn("f1", F.round("f1", 9))
+    pairs = u.join(a, ["conv_id", "turn"]).withColumn("golds", F.array("gold"))
+    return metrics.answer_scores(pairs, "prediction", "golds", ["conv_id", "turn"]).select("conv_id", "turn", F.col("exact").cast("int").alias("exact"), F.round("f1", 9).alias("f1"))
 
 
 @named(f"""WITH {_BM25}, {_GOLD}, c AS (SELECT query_id, list(doc_id) AS cited FROM bmr WHERE rank <= 4 GROUP BY query_id), g AS (SELECT query_id, list(doc_id) AS gold FROM gold GROUP BY query_id)
@@ -358,8 +404,9 @@ SELECT query_id, coalesce(len(list_intersect(cited, gold)), 0) / nullif(len(cite
   coalesce(len(list_intersect(cited, gold)) > 0, false) AS any_set FROM c LEFT JOIN g USING (query_id)""")
 def citation_set_metrics(spark, d):
     """The first four documents as citations; each gold document is an evidence set of its own for `any_set`."""
-    c = _bm25_ranks(spark, d, 4).groupBy("query_id").agg(F.collect_list("doc_id").alias("cited"))
-    g = _gold(spark, d).groupBy("query_id").agg(F.collect_list("doc_id").alias("gold"))
+    found = _lexical(spark, d)
+    c = _bm25_ranks(found, 4).groupBy("query_id").agg(F.collect_list("doc_id").alias("cited"))
+    g = _gold(spark, d, found).groupBy("query_id").agg(F.collect_list("doc_id").alias("gold"))
     both = c.join(g, "query_id", "left").withColumn("gold", F.coalesce("gold", F.array().cast("array<bigint>")))
     precision, recall = metrics.citation_metrics(F.col("cited"), F.col("gold"))
     sets = F.transform("gold", lambda x: F.array(x))
@@ -396,4 +443,4 @@ def holdout_split(spark, d):
     return sampling.holdout(table(spark, d, "documents").select("doc_id"), "doc_id", "confirmation:")
 
 
-from . import corpus_queries  # noqa: E402, F401  (registers its queries)
+from . import corpus_queries, evaluation_queries  # noqa: E402, F401  (register their queries)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import anchors, stats
 from ..functions import text as tx
-from ..operators import contracts, corpus, evidence, metrics, policy, ranking
+from ..operators import contracts, corpus, evidence, metrics, policy, provider, ranking
 from ..streaming import telemetry
-from .catalogue import _BM25, _DENSE, _TFR, _TOK, _bm25_ranks, _dense, _labelled, _tf_ranks, named, table
+from .catalogue import _BM25, _DENSE, _TFR, _TOK, _bm25_ranks, _dense_ranks, _labelled, _lexical, _tf_ranks, _vectors, named, table
 
 _NW = r"list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')"
 
@@ -27,7 +27,8 @@ def section_segments(spark, d):
     return corpus.paragraphs(table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
-@named("WITH h AS (SELECT source, sha256(doc_id || ':' || coalesce(text, '')) AS h FROM documents) SELECT source, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS sha256 FROM h GROUP BY source")
+@named("""WITH h AS (SELECT source, sha256(doc_id || ':' || coalesce(text, '')) AS h FROM documents), b AS (SELECT source, substr(h, 1, 4) AS b, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY ALL)
+SELECT source, sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY b)) AS sha256 FROM b GROUP BY source""")
 def evidence_fingerprints(spark, d):
     return corpus.fingerprint(table(spark, d, "documents"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))), ["source"])
 
@@ -41,14 +42,11 @@ def near_duplicate_jaccard(spark, d):
 
 @named()
 def lexical_compression(spark, d):
-    """Sentences of each item's first two documents, scored by the terms that they share with it."""
-    top = _bm25_ranks(spark, d, 2).select("query_id", "doc_id")
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(tx.tokens(F.col("text"))).alias("terms"))
-    docs = table(spark, d, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence"))
-    s = docs.join(top, "doc_id").join(items, "query_id")
-    shared = F.array_intersect(F.array_distinct(tx.tokens(F.col("sentence"))), F.col("terms"))
-    score = F.aggregate(shared, F.lit(0.0), lambda acc, w: acc + 1 + F.length(w) / 20.0)
-    return ranking.compress(s.select("query_id", "doc_id", "pos", "sentence", score.alias("score")), 600)
+    """Each item's first two documents, cut to 600 characters for it."""
+    top = _bm25_ranks(_lexical(spark, d), 2).select("query_id", "doc_id")
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    docs = table(spark, d, "documents").select("doc_id", F.array(F.coalesce("text", F.lit(""))).alias("stored"))
+    return ranking.compress(docs.join(top, "doc_id").join(items, "query_id"), "query", "stored", 600, ["query_id", "doc_id"])
 
 
 _STOPS = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
@@ -82,8 +80,7 @@ def kfold_threshold_sweep(spark, d):
 
 @named("SELECT lang, source, count(*) AS n, sum(quality)::BIGINT AS good, sum(toxic)::BIGINT AS toxic FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((), (lang), (source))")
 def grouping_sets_summary(spark, d):
-    _labelled(spark, d).createOrReplaceTempView("rl_labelled")
-    return spark.sql("SELECT lang, source, count(*) AS n, sum(quality) AS good, sum(toxic) AS toxic FROM rl_labelled GROUP BY GROUPING SETS ((), (lang), (source))")
+    return spark.sql("SELECT lang, source, count(*) AS n, sum(quality) AS good, sum(toxic) AS toxic FROM {rows} GROUP BY GROUPING SETS ((), (lang), (source))", rows=_labelled(spark, d))
 
 
 @named("""SELECT 'duplicate_document_id' AS rule, (SELECT count(*) FROM (SELECT doc_id FROM documents GROUP BY doc_id HAVING count(*) > 1)) AS n
@@ -145,8 +142,11 @@ def latency_percentiles_nearest(spark, d):
 
 @named("SELECT event_type, count(*) AS n, round(avg(value), 9) AS mean, round(median(value), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95, round(quantile_cont(value, 0.99), 9) AS p99, max(value) AS highest FROM events GROUP BY event_type")
 def latency_percentiles_linear(spark, d):
-    p = lambda f: F.round(F.percentile("value", f), 9)
-    return table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max("value").alias("highest"))
+    e = table(spark, d, "events")
+    sums = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 9).alias("mean"), F.max("value").alias("highest"))
+    at = lambda f: F.round(F.max(F.when(F.col("fraction") == f, F.col("value"))), 9)
+    p = metrics.linear_percentiles(e, "value", (0.5, 0.95, 0.99), ["event_type"]).groupBy("event_type").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"))
+    return sums.join(p, "event_type")
 
 
 @named("SELECT event_type, key, count(*) AS calls, sum(v)::BIGINT AS total FROM (SELECT event_type, unnest(json_keys(props)) AS key, (json_extract(props, '$.k'))::BIGINT AS v FROM events) GROUP BY ALL")
@@ -161,10 +161,10 @@ b AS (SELECT query_id, a, count(*) AS votes FROM v GROUP BY ALL), m AS (SELECT q
 SELECT query_id, CASE WHEN best.votes * 2 > n_runs THEN best.a ELSE own END AS answer, best.votes AS votes, n_runs FROM m JOIN n USING (query_id)""")
 def ensemble_majority(spark, d):
     """Three runs vote on the source of an item's best document; without a majority the first run decides."""
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    two = _bm25_ranks(spark, d, 2).join(docs, "doc_id")
+    found = _lexical(spark, d)
+    two = _bm25_ranks(found, 2)
     v = two.where("rank = 1").select(F.lit("primary").alias("run"), "query_id", F.col("source").alias("answer"))
-    v = v.unionByName(_tf_ranks(spark, d, 1).join(docs, "doc_id").select(F.lit("second").alias("run"), "query_id", F.col("source").alias("answer")))
+    v = v.unionByName(_tf_ranks(found, 1).select(F.lit("second").alias("run"), "query_id", F.col("source").alias("answer")))
     v = v.unionByName(two.where("rank = 2").select(F.lit("third").alias("run"), "query_id", F.col("source").alias("answer")))
     return policy.majority(v, "query_id", "run", "answer", "primary")
 
@@ -183,7 +183,7 @@ def structured_answer_validation(spark, d):
     """Assistant turns as answers of varied form, checked against the contract."""
     c = table(spark, d, "conversations").where("role = 'assistant'")
     claim = F.struct(F.when(F.col("conv_id") % 5 == 1, "c2").otherwise("c1").alias("id"), F.substring("text", 1, 80).alias("text"), F.when(F.col("conv_id") % 5 == 2, F.array(F.lit("S9"))).otherwise(F.array(F.lit("S1"))).alias("citation_ids"))
-    answer = F.to_json(F.struct(F.lit(contracts.VERSION).alias("schema_version"), F.when(F.col("conv_id") % 5 == 3, "abstain").otherwise("answer").alias("action"), F.lit(None).cast("string").alias("response"), F.array(claim).alias("claims")), {"ignoreNullFields": "false"})
+    answer = F.to_json(F.struct(F.lit(contracts.VERSION).alias("schema_version"), F.when(F.col("conv_id") % 5 == 3, "abstain_absent").otherwise("answer").alias("action"), F.lit(None).cast("string").alias("response"), F.array(claim).alias("claims")), {"ignoreNullFields": "false"})
     raw = F.when(F.col("conv_id") % 5 == 4, F.concat(F.lit("Here: "), answer)).otherwise(answer)
     rows = c.select("conv_id", "turn", raw.alias("raw"))
     return rows.select("conv_id", "turn", F.array_join(contracts.violations(F.col("raw"), F.array(F.lit("S1"), F.lit("S2"))), ",").alias("violations"))
@@ -191,11 +191,16 @@ def structured_answer_validation(spark, d):
 
 @named()
 def provider_json_repair(spark, d):
-    """Event properties as a model might return them, repaired; every repair is named."""
-    e = table(spark, d, "events").select("event_id", "props")
-    k = F.col("event_id") % 4
-    raw = F.when(k == 1, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).when(k == 2, F.regexp_replace("props", r"\}$", ",}")).when(k == 3, F.regexp_replace("props", r"\}$", "")).otherwise(F.col("props"))
-    return contracts.repair(e.select("event_id", raw.alias("raw")), "raw").select("event_id", F.col("repaired.value").alias("value"), F.array_join("repaired.events", ",").alias("events"), F.col("repaired.error").alias("error"))
+    """Pairs of assistant turns as a model might return them for a batch of two, repaired and validated; every repair is named."""
+    c = table(spark, d, "conversations").where("role = 'assistant'").select((F.col("turn") / 4).cast("int").alias("pair"), "conv_id", "turn", "text")
+    case = F.concat(F.lit("case-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    result = F.struct(case.alias("case_id"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("prediction"), F.array(F.lit("D1")).alias("citation_ids"))
+    rows = c.groupBy("conv_id", "pair").agg(F.sort_array(F.collect_list(F.struct("turn", result.alias("r"), F.struct(case.alias("case_id"), F.lit("hotpotqa").alias("benchmark_id"), F.array(F.lit("D1"), F.lit("D2")).alias("citation_ids")).alias("b")))).alias("x"))
+    rows = rows.select("conv_id", "pair", F.col("x.b").alias("batch"), F.concat(F.lit('{"results":'), F.to_json("x.r"), F.lit("}")).alias("good"))
+    k = F.col("conv_id") % 5
+    raw = F.when(k == 1, F.concat(F.lit("```json\n"), "good", F.lit("\n```"))).when(k == 2, F.regexp_replace("good", r"\}$", "")).when(k == 3, F.concat("good", F.lit("}"))).when(k == 4, F.concat(F.lit("So: "), "good")).otherwise(F.col("good"))
+    out = provider.audited(rows.withColumn("raw", raw), "raw", "batch")
+    return out.select("conv_id", "pair", F.col("repaired.value").alias("value"), F.array_join("repaired.events", ",").alias("events"), F.col("repaired.error").alias("error"), F.array_join("repaired.violations", ",").alias("violations"))
 
 
 @named("SELECT strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total, max(value) AS highest FROM events GROUP BY ALL")
@@ -235,7 +240,7 @@ def request_shards(spark, d):
 
 @named("SELECT l.query_id, count(*) AS n, count(*) FILTER (WHERE label = ql) AS relevant, round(avg(score) FILTER (WHERE label = ql), 6) AS mean_relevant FROM (" + f"WITH {_DENSE} SELECT * FROM der WHERE rank <= 20" + ") l GROUP BY l.query_id")
 def dense_label_purity(spark, d):
-    t = ranking.top_k(_dense(spark, d), 20)
+    t = _dense_ranks(spark, d, 20)
     same = F.col("label") == F.col("ql")
     return t.groupBy("query_id").agg(F.count("*").alias("n"), F.count_if(same).alias("relevant"), F.round(F.avg(F.when(same, F.col("score"))), 6).alias("mean_relevant"))
 
@@ -243,20 +248,20 @@ def dense_label_purity(spark, d):
 @named(f"WITH {_DENSE}, f AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY rank) = 1 AS first FROM der WHERE rank <= 60), s AS (SELECT *, sum(first::INT) OVER (PARTITION BY query_id ORDER BY rank) AS seen FROM f) SELECT query_id, CAST(min(rank) FILTER (WHERE seen >= 5) AS INT) AS raw_needed FROM s GROUP BY query_id")
 def distinct_prefix_length(spark, d):
     """How many vectors hold five distinct labels, by each label's first rank in the whole ranking."""
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    first = _dense(spark, d).withColumn("rank", F.row_number().over(w)).groupBy("query_id", F.col("label").alias("heading")).agg(F.min("rank").alias("rank"))
+    q, v = _vectors(spark, d)
+    first = ranking.dense_first_ranks(q, v, "label").withColumnRenamed("label", "heading")
     return evidence.distinct_prefix(first, 5)
 
 
 @named(f"WITH {_BM25}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, rank) AS r FROM bmr WHERE rank <= 6) SELECT query_id AS case_id, arg_min(doc_id, rank) AS \"left\", arg_max(doc_id, rank) AS \"right\", round(sum(round(score, 6)), 6) AS score FROM t WHERE r <= 2 GROUP BY query_id HAVING count(*) = 2")
 def best_document_pair(spark, d):
-    s = _bm25_ranks(spark, d, 6).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("document_id"), F.col("rank").alias("position"), F.round("score", 6).alias("score"))
+    s = _bm25_ranks(_lexical(spark, d), 6).select(F.col("query_id").alias("case_id"), F.col("doc_id").alias("document_id"), F.col("rank").alias("position"), F.round("score", 6).alias("score"))
     return evidence.best_pair(s).withColumn("score", F.round("score", 6))
 
 
 @named(f"WITH {_BM25} SELECT query_id, CASE WHEN round(score, 6) < 60 THEN 'not enough information' ELSE doc_id::VARCHAR END AS prediction, CASE WHEN round(score, 6) < 60 THEN 0 ELSE 1 END AS n_citations FROM bmr WHERE rank = 1")
 def abstention_by_threshold(spark, d):
-    p = _bm25_ranks(spark, d, 1).select("query_id", F.round("score", 6).alias("s"), F.col("doc_id").cast("string").alias("prediction"), F.array(F.col("doc_id").cast("string")).alias("citations"))
+    p = _bm25_ranks(_lexical(spark, d), 1).select("query_id", F.round("score", 6).alias("s"), F.col("doc_id").cast("string").alias("prediction"), F.array(F.col("doc_id").cast("string")).alias("citations"))
     return evidence.abstain_below(p, F.col("s"), 60.0, "not enough information").select("query_id", "prediction", F.size("citations").alias("n_citations"))
 
 

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from rankloom.functions import anchors
+from rankloom.functions import text as tx
 from rankloom.operators import evidence
 from rankloom.plans.catalogue import QUERIES
 
@@ -36,12 +37,12 @@ def test_nli_retention_and_attempts(spark):
 
 
 def test_anchors(spark):
-    text = "See https://x.example/a1, set `max_retries` to 3 in conf/app.yml; waits 1,500 ms, twice."
-    assert anchors.find(text) == ["https://x.example/a1", "max_retries", "3", "conf/app.yml", "1500ms", "twice"]
-    assert anchors.missing("waits 20 ms", "It waits 20ms.") == [] and anchors.missing("limit 7", "limit 8") == ["7"] and anchors.find(None) == []
-    r = spark.createDataFrame([("limit 7", "limit 8")], "a string, b string").select(anchors.exact_anchors("a").alias("x"), anchors.missing_anchors("a", "b").alias("m")).first()
-    assert (r.x, r.m) == (["7"], ["7"])
-
+    text = "See https://x.example/a1. Set `Max Retries` to $3 in conf/app.yml, 20 failed requests, twice 1.5% `2`"
+    assert anchors.find(text) == ["https://x.example/a1", "max retries", "2", "conf/app.yml", "3", "20", "1.5%", "<numeric-unit:20:request>", "<quantity:twice>"]
+    assert anchors.missing("20 failed requests", "requests of about 20") == [] and anchors.missing("20 requests", "20 of the many other requests") == ["<numeric-unit:20:request>"]
+    assert anchors.missing("limit 7, twice", "limit 8, two times") == ["7"] and anchors.missing("once", "never") == ["<quantity:once>"] and anchors.find(None) == []
+    r = spark.createDataFrame([("limit 7, do not", "limit 8")], "a string, b string").select(anchors.exact_anchors("a").alias("x"), anchors.missing_anchors("a", "b").alias("m"), tx.loses_negation(F.col("a"), F.col("b")).alias("n")).first()
+    assert r.x == ["7"] and r.m == ["7"] and r.n
 
 def test_distinct_prefix_length_looks_beyond_sixty_vectors(spark, tmp_path):
     rows = [(0, [1.0, 0.0], 0)] + [(i, [1.0 - i / 1000, 0.0], i % 4) for i in range(1, 80)] + [(80, [0.1, 0.0], 4)]

@@ -23,7 +23,7 @@ def test_slug_and_heading_key(spark):
 
 def test_fts_terms_fall_back_to_words(spark):
     r = one(spark, tx.fts_terms(F.lit("What is the cooldown of the breaker")).alias("a"), tx.fts_terms(F.lit("is it to be")).alias("b"))
-    assert r.a == ["cooldown", "breaker"] and r.b == ["is", "it", "to", "be"]
+    assert r.a == ["what", "cooldown", "breaker"] and r.b == ["is", "it", "to", "be"]
 
 
 def test_normalize_answer(spark):
@@ -58,3 +58,34 @@ def test_kappa_and_mcnemar(spark):
     exact = 2 * sum(math.comb(8, i) for i in range(2)) / 2**8
     assert r.k == 1.0 and r.one == 1.0 and r.p == pytest.approx(exact)
     random.seed(1)
+
+
+def test_casefold_equals_python(spark):
+    texts = ["Straße ΣΊΣΥΦΟΣ ς", "ﬁﬂ ŉ ΐ ᾳ İ K Å µ ẞ", "plain ASCII Text", "ǰ Ꭰ ꭰ ϑ", ""]
+    got = [r.f for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(tx.casefold(F.col("t")).alias("f")).collect()]
+    assert got == [t.casefold() for t in texts]
+
+
+def test_titles_expressions_and_ids(spark):
+    r = one(spark, tx.title_candidates(F.lit("Ada's  old-House")).alias("t"), tx.fts_expression(F.expr("""array('a', 'b"c')"""), "AND").alias("e"), tx.namespaced_ids("g", F.lit(2)).alias("n"), tx.namespaced_ids("g", F.lit(0)).alias("z"))
+    assert r.t == sorted(["Ada", "Ada_old", "Ada_old_House", "old", "old_House", "House"]) and r.e == '"a" AND "b""c"' and (r.n, r.z) == (["g1", "g2"], [])
+    r = one(spark, tx.stable_custom_id(F.lit("x")).alias("c"), tx.evidence_cluster(F.lit(True), F.lit("i"), F.expr("array('b', 'a')")).alias("k"), tx.evidence_cluster(F.lit(False), F.lit("i"), F.expr("array('b')")).alias("u"))
+    import hashlib
+
+    assert r.c == "rag-" + hashlib.sha256(b"x").hexdigest()[:24] and r.k == "legacy-v1-evidence::" + hashlib.sha256(b'["a","b"]').hexdigest()[:16] and r.u == "legacy-v1-unanswerable::i"
+
+
+def test_timestamps_blocks_and_answers(spark):
+    r = one(spark, tx.utc_timestamp(F.lit("2024-01-02T03:04:05")).alias("a"), tx.utc_timestamp(F.lit("2024-01-02T03:04:05.5+02:00")).alias("b"), tx.trimmed_block(F.lit("\n a  \nb\t\n\n")).alias("t"), tx.find_answer(F.lit("The Big big Cat"), F.expr("array('cat', 'BIG', 'big big', '')")).alias("f"), tx.find_answer(F.lit("x"), F.expr("array('y')")).alias("n"))
+    assert (r.a, r.b) == ("2024-01-02T03:04:05Z", "2024-01-02T01:04:05.500000Z") and r.t == "a\nb" and (r.f.start, r.f.answer) == (4, "Big") and r.n is None
+
+
+def test_small_text_functions(spark):
+    import hashlib
+
+    digest = hashlib.sha256(b"a\nb").hexdigest()
+    r = one(spark, tx.matches_checkout(F.lit("a\r\nb"), F.lit(digest)).alias("m"), tx.canonical_sha256({"b": F.lit(1), "a": F.lit(None).cast("string")}).alias("c"), tx.is_abstention(F.lit("Not Enough Information here")).alias("i"), tx.percent(F.lit(0.1234)).alias("p"), tx.percent(F.lit(None).cast("double")).alias("q"), tx.alnum_tokens(F.lit("A-b a 1")).alias("t"), tx.normalized_text(F.lit(" E\u0301  X\n")).alias("n"))
+    assert r.m and r.c == hashlib.sha256(b'{"a":null,"b":1}').hexdigest() and r.i and (r.p, r.q) == ("12.3%", "n/a") and r.t == ["a", "b", "1"] and r.n == "é x"
+    s = one(spark, tx.sentences(F.expr("array('One. Two!', ' ')")).alias("a"), tx.sentences(F.expr("array('One. Two!', 'x')")).alias("b"), tx.sentences(F.lit(["A? B\rC"])).alias("c"))
+    assert s.a == ["One.", "Two!"] and s.b == ["One. Two!", "x"] and s.c == ["A?", "B", "C"]
+    assert one(spark, stats.wilson_upper(F.lit(0), F.lit(10)).alias("u")).u == pytest.approx(0.2130, abs=1e-3)

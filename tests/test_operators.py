@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
-from rankloom.operators import contracts, corpus, metrics, policy, ranking, sampling
+from rankloom.operators import contracts, corpus, metrics, policy, provider, ranking, sampling
 
 
 def rows(df, *cols):
@@ -61,15 +61,45 @@ def test_auc_and_curve(spark):
     data = [("a1", True, 0.9), ("a2", True, 0.8), ("u1", False, 0.7), ("u2", False, 0.6)]
     r = spark.createDataFrame(data, "id string, ok boolean, score double")
     assert metrics.auc(r, "score", F.col("ok")).first().auc == 1.0
-    curve = metrics.risk_coverage(r, "score", F.col("ok"), F.lit(True)).orderBy(F.desc_nulls_first("threshold")).collect()
-    assert (curve[0].threshold, curve[0].coverage, curve[0].risk) == (None, 0.0, None) and curve[-1].coverage == 1.0
-    assert [c.coverage for c in curve if c.false_answer_rate == 0 and c.false_refusal_rate == 0] == [0.5]
+    curve = metrics.risk_coverage(r, "score", F.col("ok"))
+    rows_ = curve.orderBy(F.desc_nulls_first("threshold")).collect()
+    assert (rows_[0].threshold, rows_[0].coverage, rows_[0].selective_risk) == (None, 0.0, 0.0) and rows_[-1].coverage == 1.0 and rows_[-1].selective_risk == 0.5
+    best = metrics.operating_point(curve, 0.0, 0.0).first()
+    assert (best.threshold, best.coverage, best.false_answer_count, best.false_refusal_count) == (0.8, 0.5, 0, 0)
+    mixed = spark.createDataFrame([("a", True, 0.5), ("u", False, 0.9)], "id string, ok boolean, score double")
+    assert metrics.operating_point(metrics.risk_coverage(mixed, "score", F.col("ok")), 0.0, 0.0).count() == 0
+    with pytest.raises(Exception, match="are needed"):
+        metrics.risk_coverage(mixed.where("ok"), "score", F.col("ok")).collect()
+
+
+def test_running_sums_and_percentiles_equal_plain_python(spark, monkeypatch):
+    import random
+    import statistics
+
+    monkeypatch.setattr(metrics, "RANGES", 5)
+    rng = random.Random(4)
+    data = [(rng.choice("ab"), rng.choice([rng.random(), 0.5, -1.0])) for _ in range(300)] + [("a", None), ("c", 7.0)]
+    r = spark.createDataFrame(data, "g string, v double")
+    values = sorted(v for _, v in data if v is not None)
+    got = {x.fraction: x.value for x in metrics.nearest_rank_percentiles(r, "v", (0.0, 0.3, 0.5, 1.0)).collect()}
+    assert got == {f: values[round((len(values) - 1) * f)] for f in (0.0, 0.3, 0.5, 1.0)}
+    got = {(x.g, x.fraction): x.value for x in metrics.linear_percentiles(r, "v", (0.5, 0.95), ["g"]).collect()}
+    for g in "abc":
+        own = sorted(v for k, v in data if k == g and v is not None)
+        assert got[g, 0.5] == pytest.approx(statistics.median(own))
+        at = (len(own) - 1) * 0.95
+        low = own[int(at)]
+        assert got[g, 0.95] == pytest.approx(low + (at - int(at)) * (own[min(int(at) + 1, len(own) - 1)] - low))
+    pos, neg = [v for g, v in data if g == "a" and v is not None], [v for g, v in data if g != "a"]
+    won = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / (len(pos) * len(neg))
+    assert metrics.auc(r, "v", F.col("g") == "a").first().auc == pytest.approx(won)
 
 
 def test_answer_scores(spark):
-    r = spark.createDataFrame([(1, "The Paris.", "Paris"), (2, "b c", "a b d"), (3, "", "")], "id int, p string, g string")
+    rows_ = [(1, "The Paris.", ["Rome", "Paris"]), (2, "b c", ["a b d"]), (3, "", [""]), (4, " __unanswerable__ ", []), (5, "x", []), (6, "x x y", ["x y y", "z"]), (7, "\ufb01ne É", ["fine e\u0301"])]
+    r = spark.createDataFrame(rows_, "id int, p string, g array<string>")
     got = {x.id: (x.exact, x.f1) for x in metrics.answer_scores(r, "p", "g", ["id"]).collect()}
-    assert got[1] == (1, 1.0) and got[3] == (1, 1.0) and got[2][1] == pytest.approx(0.5)
+    assert got[1] == (1, 1.0) and got[3] == (1, 1.0) and got[2] == (0, pytest.approx(0.5)) and got[4] == (1, 1) and got[5] == (0, 0) and got[6] == (0, pytest.approx(2 / 3)) and got[7] == (1, 1.0)
 
 
 def test_evidence_sets(spark):
@@ -100,7 +130,7 @@ def test_sections_respect_fences(spark):
     text = "intro\n# One\nbody\n```\n# not a heading\n```\n<!-- gone -->\n## Two ##\nmore"
     d = spark.createDataFrame([("doc", text)], "id string, text string")
     got = rows(corpus.sections(d, "id", F.col("text")), "heading", "heading_key", "text")
-    assert got == [("Introduction", "doc::introduction", "intro"), ("One", "doc::one", "body\n```\n# not a heading\n```"), ("Two", "doc::two", "more")]
+    assert got == [("One", "doc::one", "body\n```\n# not a heading\n```"), ("Two ##", "doc::two", "more"), ("intro", "doc::intro", "intro")]
 
 
 def test_hash_chain(spark):
@@ -111,29 +141,98 @@ def test_hash_chain(spark):
 
 def test_contract_violations(spark):
     def answer(**kw):
-        base = {"schema_version": contracts.VERSION, "action": "answer", "response": None, "claims": [{"id": "c1", "text": "x", "citation_ids": ["S1"]}]}
+        base = {"schema_version": "1.0.0", "action": "answer", "response": None, "claims": [{"id": "c1", "text": "x", "citation_ids": ["S1"]}]}
         return json.dumps(base | kw)
 
-    claim = lambda i, c: {"id": i, "text": "x", "citation_ids": c}
+    claim = lambda i, c, **kw: {"id": i, "text": "x", "citation_ids": c} | kw
     cases = {
         answer(): [],
-        "```json\n{}\n```": ["not_json_object"],
-        answer(claims=[claim("c1", ["S9"])]): ["unknown_citation"],
+        "```json\n{}\n```": ["root_type"],
+        "[1]": ["root_type"],
+        answer(claims=[claim("c1", ["S9"])]): ["nonexistent_citation"],
         answer(claims=[claim("c1", [])]): ["uncited_claim"],
-        answer(claims=[claim("c2", ["S1"]), claim("c2", ["S1"])]): ["duplicate_claim_ids", "claim_order"],
-        answer(action="abstain", response="no"): ["abstention_with_claims"],
-        answer(extra=1): ["fields"],
+        answer(claims=[claim("c2", ["S1"]), claim("c2", ["S1", "S1"])]): ["claim_order", "duplicate_claim_id", "duplicate_citation"],
+        answer(action="abstain_absent", response="no"): ["nonanswer_with_claims"],
+        answer(action="abstain_conflict", claims=[], response=" "): ["nonanswer_response"],
+        answer(action="reject_injection", claims=[], response="no"): ["unsupported_action"],
+        answer(action="abstain", claims=[]): ["action"],
+        answer(extra=1, response="yes"): ["extra_fields", "answer_response"],
+        answer(claims="c1"): ["claims_type", "answer_without_claims"],
+        answer(claims=[3, claim("c2", ["s2"], more=1), claim("x", [1], text=" ")]): ["claim_type", "claim_fields", "citation_format", "claim_id", "claim_order", "claim_text", "citation_format", "duplicate_citation", "nonexistent_citation", "nonexistent_citation"],
+        "{}": ["missing_fields", "schema_version", "action", "claims_type"],
     }
-    d = spark.createDataFrame([(k,) for k in cases], "raw string").withColumn("v", contracts.violations(F.col("raw"), F.expr("array('S1','S2')")))
+    allowed = F.array(*[F.lit(a) for a in contracts.ACTIONS if a != "reject_injection"])
+    d = spark.createDataFrame([(k,) for k in cases], "raw string").withColumn("v", contracts.violations(F.col("raw"), F.expr("array('S1','S2')"), allowed))
     assert {r.raw: r.v for r in d.collect()} == cases
 
 
-def test_repair_records_what_it_did():
-    fix = contracts.repair_text
-    assert fix('{"a": 1}') == ('{"a":1}', [], None)
-    assert fix('```json\n{"a": 1,}\n```') == ('{"a":1}', ["fence_stripped", "trailing_comma_removed"], None)
-    assert fix('Sure: {"a": [1, 2') == ('{"a":[1,2]}', ["prefix_dropped", "closer_added"], None)
-    assert fix('{"a": 1, "a": 2}')[0] is None and fix("nothing")[2] == "not JSON" and fix(None)[2] == "empty"
+def test_citation_metrics_parsing_and_rendering(spark):
+    two = json.dumps({"schema_version": "1.0.0", "action": "answer", "response": None, "claims": [{"id": "c1", "text": " a ", "citation_ids": ["S1", "S9"]}, {"id": "c2", "text": "b.", "citation_ids": []}]})
+    no = json.dumps({"schema_version": "1.0.0", "action": "abstain_absent", "response": " none ", "claims": []})
+    d = spark.createDataFrame([(two,), (no,), ("x",)], "raw string")
+    r = d.select(contracts.validate(F.col("raw"), F.expr("array('S1')")).alias("v"), contracts.render(contracts.parse(F.col("raw"))).alias("t")).collect()
+    v = r[0].v
+    assert (v.claim_count, v.citation_count, v.valid_citation_count, v.citation_existence_precision, v.claim_citation_coverage, v.claim_valid_citation_coverage) == (2, 2, 1, 0.5, 0.5, 0.5)
+    assert [x.t for x in r] == ["a b.", "none", ""] and not r[2].v.valid
+    c = spark.createDataFrame([(1, 2, "b", "k::b", "B", "tb", 0.5), (1, 1, None, "k::a", "A", "ta", 0.9)], "q int, rank int, id string, heading_key string, heading string, text string, score double")
+    got = contracts.context_sources(c, "q", "rank").select("sources", contracts.format_sources(F.col("sources")).alias("t")).first()
+    assert got.t == "[S1] (A)\nta\n\n[S2] (B)\ntb" and [s.chunk_id for s in got.sources] == ["k::a", "b"]
+    schema = contracts.response_format(["S2", "S1"], ["answer"])["json_schema"]["schema"]
+    assert schema["properties"]["claims"]["items"]["properties"]["citation_ids"]["items"]["enum"] == ["S1", "S2"] and schema["required"] == list(contracts.FIELDS)
+    assert "pattern" in contracts.response_format([], ["answer"])["json_schema"]["schema"]["properties"]["claims"]["items"]["properties"]["citation_ids"]["items"]
+
+
+def batch(*ids, benchmark="hotpotqa"):
+    return [{"case_id": i, "benchmark_id": benchmark, "citation_ids": ["D1", "D2"]} for i in ids]
+
+
+def test_each_repair_is_recorded():
+    r = lambda i, p="x", c=("D1",): {"case_id": i, "prediction": p, "citation_ids": list(c)}
+    good = json.dumps({"results": [r("case-1"), r("case-2")]}, separators=(",", ":"))
+    two, one = batch("case-1", "case-2"), batch("case-1")
+    flat = "{" + ",".join(json.dumps(r(i))[1:-1] for i in ("case-1", "case-2")) + "}"
+    merged = '{"results":[' + flat + "]}"
+    runs = {
+        good: (two, []),
+        f"```json\n{good}\n```": (two, ["stripped_markdown_fence"]),
+        good + "`": (two, ["stripped_trailing_backtick"]),
+        good[:-1]: (two, ["restored_missing_root_closer"]),
+        flat: (two, ["regrouped_flattened_result_fields"]),
+        merged: (two, ["split_merged_result_fields"]),
+        good + "}": (two, ["stripped_extra_trailing_closer"]),
+        json.dumps(r("case-1")) + "," + json.dumps(r("case-2")): (two, ["wrapped_comma_separated_results", "wrapped_results_array"]),
+        json.dumps([r("case-1"), r("case-2")]): (two, ["wrapped_results_array"]),
+        json.dumps([r("case-1"), r("case-2")])[1:]: (two, ["restored_missing_array_opener", "wrapped_results_array"]),
+        json.dumps(r("case-1")): (one, ["wrapped_single_result"]),
+        json.dumps({"results": [r("cas-1"), r("case-2")]}): (two, ["restored_near_case_id_from_frozen_order"]),
+    }
+    for text, (b, events) in runs.items():
+        value, got, error = provider.repair(text, b)
+        assert (got, error) == (events, None) and provider.output_violations(value, b) == [], text
+    fever = batch("case-1", benchmark="fever")
+    value, got, _ = provider.repair(json.dumps({"results": [{"case_id": "case-1", "prediction": "__UNANSWERABLE__"}]}), fever)
+    assert got == ["canonicalized_fever_abstention_label", "restored_empty_abstention_citations"] and provider.output_violations(value, fever) == []
+    nq = batch("case-1", benchmark="natural_questions")
+    value, got, _ = provider.repair(json.dumps({"results": [r("case-1", ["a", "b"])]}), nq)
+    assert got == ["serialized_nq_prediction_string_array"] and value["results"][0]["prediction"] == "a; b" and len(provider.EVENTS) == 14
+    assert provider.repair("Sure: {}", one)[2] == "invalid_json" and provider.repair(None, one)[2] == "invalid_json"
+
+
+def test_output_violations_and_slots(spark):
+    b = batch("c1", "c2", benchmark="fever")
+    bad = {"results": [{"case_id": "c1", "prediction": "maybe", "citation_ids": ["D9"]}, {"case_id": "c1", "prediction": "not_enough_info", "citation_ids": ["D1"]}]}
+    assert provider.output_violations(bad, b) == ["c1: citations", "c1: label", "c2: order", "c2: abstention_cites"]
+    assert provider.output_violations([], b) == ["root"] and provider.output_violations({"results": []}, b) == ["result_count"]
+    fine = lambda item: {"case_id": item["case_id"], "prediction": "refutes", "citation_ids": []}
+    value, again = provider.recover_slots(bad, b, fine)
+    assert again == ["c1", "c2"] and provider.output_violations(value, b) == []
+    assert provider.recover_slots(bad, b, lambda item: {})[0] is bad
+    old = [{"citation_ids": ["D1"]}, {"citation_ids": []}]
+    done = {"results": [{"case_id": "c1", "citation_ids": ["D2"]}, {"case_id": "c2", "citation_ids": ["D1", "D2"]}]}
+    assert provider.completion_violations(done, b, old) == ["c1: removed"]
+    rows_ = spark.createDataFrame([("x", [("c1", "fever", ["D1"])]), (json.dumps(fine({"case_id": "c1"})), [("c1", "fever", ["D1"])])], "raw string, batch array<struct<case_id:string,benchmark_id:string,citation_ids:array<string>>>")
+    got = [(r.repaired.error, r.repaired.events, r.repaired.violations) for r in provider.audited(rows_, "raw", "batch").collect()]
+    assert got == [("invalid_json", [], ["invalid_json"]), (None, ["wrapped_single_result"], [])]
 
 
 def test_majority_gate_and_shards(spark):
@@ -143,8 +242,11 @@ def test_majority_gate_and_shards(spark):
     c = spark.createDataFrame([("hard", 0.9), ("soft", 0.42)], "metric string, value double")
     g = policy.gate(b, c, {"hard": 0.05, "soft": 0.05, "gone": 0.05}, ("hard",))
     assert rows(g, "metric", "decision") == [("gone", "REJECT"), ("hard", "REJECT"), ("soft", "NEEDS_REVIEW")] and policy.worst(g).first().decision == "REJECT"
-    r = spark.createDataFrame([("f", i, s) for i, s in enumerate((5, 5, 5, 20, 1, 1, 1))], "file string, n int, size int")
-    assert rows(policy.shards(r, "n", F.col("size"), 3, 12, "file"), "n", "shard") == [(0, 0), (1, 0), (2, 1), (3, 2), (4, 3), (5, 3), (6, 3)]
+    r = spark.createDataFrame([("f", i, s) for i, s in enumerate((5, 5, 5, 12, 1, 1, 1, 1))] + [("g", 0, 9)], "file string, n int, size int")
+    assert rows(policy.shards(r, "n", F.col("size"), 3, 12, "file"), "file", "n", "shard") == [("f", 0, 0), ("f", 1, 0), ("f", 2, 1), ("f", 3, 2), ("f", 4, 3), ("f", 5, 3), ("f", 6, 3), ("f", 7, 4), ("g", 0, 0)]
+    assert rows(policy.shards(r.where("n > 3"), "n", F.col("size"), 9, 12, "file", F.lit(5), 10), "n", "shard") == [(4, 0), (5, 0), (6, 1), (7, 1)]
+    with pytest.raises(Exception, match="over a limit"):
+        policy.shards(r, "n", F.col("size"), 3, 11, "file").collect()
 
 
 def test_resolve_fails_closed(spark):
