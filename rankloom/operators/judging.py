@@ -297,7 +297,7 @@ def score(predictions: DataFrame, human: DataFrame, sets: list[str] | None = Non
 def expand(tasks: DataFrame, records: DataFrame, profile: str) -> DataFrame:
     """(task_id, decision, fail_closed) of one judge: each task of a group without a valid record fails closed."""
     v = task_verdicts(records.where(F.col("profile") == profile)).select("group_id", "task_id", "decision")
-    rows = tasks.join(v, ["group_id", "task_id"], "left")
+    rows = tasks.select("group_id", "task_id", "task_type").join(v, ["group_id", "task_id"], "left")
     return rows.select("task_id", F.coalesce("decision", fallback_of(F.col("task_type"))).alias("decision"), F.col("decision").isNull().alias("fail_closed"))
 
 

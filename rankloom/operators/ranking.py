@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from ..functions.text import composed, fts_terms, sentences, title_candidates, tokens
 from ..staging import spread, staged
@@ -94,6 +94,12 @@ def dense_batches(batches: Iterator[pa.RecordBatch], matrix: np.ndarray) -> Iter
             yield batch, np.round(matrix @ vectors.T, 9)
 
 
+def _ids(column: pa.Array) -> np.ndarray:
+    """Ids as an array that sorts: of numbers or of text."""
+    ids = column.to_numpy(zero_copy_only=False)
+    return ids.astype(str) if ids.dtype == object else ids
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str] | None = None, own: bool = False) -> DataFrame:
     """(query_id, doc_id, *keep, score, rank) of a stated set of queries (query_id, query) over all vectors (doc_id, vector, *keep).
 
@@ -103,12 +109,13 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str]
     keep, parts = keep or [], None
     v = vectors.select("doc_id", "vector", *keep)
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *[v.schema[c] for c in ("doc_id", *keep)], T.StructField("score", T.DoubleType())])
+    id_type = to_arrow_type(queries.schema["query_id"].dataType)
     for ids, matrix in query_blocks(queries):
         names = np.array(ids)
 
         def run(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
             for batch, scores in dense_batches(batches, matrix):
-                doc = batch.column(0).to_numpy(zero_copy_only=False)
+                doc = _ids(batch.column(0))
                 if not own:
                     scores[names[:, None] == doc[None, :]] = -np.inf
                 order = np.lexsort((np.broadcast_to(doc, scores.shape), -scores), axis=1)[:, :k]
@@ -116,7 +123,7 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str]
                 ok = np.isfinite(scores[q, at])
                 q, at = q[ok], at[ok]
                 cols = [batch.column(0).take(pa.array(at)), *[batch.column(2 + i).take(pa.array(at)) for i in range(len(keep))]]
-                yield pa.RecordBatch.from_arrays([pa.array(names[q]), *cols, pa.array(scores[q, at])], names=schema.names)
+                yield pa.RecordBatch.from_arrays([pa.array(names[q]).cast(id_type), *cols, pa.array(scores[q, at])], names=schema.names)
 
         one = v.mapInArrow(run, schema)
         parts = one if parts is None else parts.unionByName(one)
@@ -134,13 +141,13 @@ def dense_first_ranks(queries: DataFrame, vectors: DataFrame, group: str) -> Dat
     id_type, group_type = v.schema["doc_id"].dataType, v.schema[group].dataType
     best_schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField(group, group_type), T.StructField("score", T.DoubleType()), T.StructField("doc_id", id_type)])
     count_schema = T.StructType([best_schema["query_id"], best_schema[group], T.StructField("n", T.LongType())])
-    out = None
+    query_type, out = to_arrow_type(queries.schema["query_id"].dataType), None
     for ids, matrix in query_blocks(queries):
         names = np.array(ids)
 
         def best(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
             for batch, scores in dense_batches(batches, matrix):
-                doc, of = batch.column(0).to_numpy(zero_copy_only=False), batch.column(2).to_numpy(zero_copy_only=False)
+                doc, of = _ids(batch.column(0)), _ids(batch.column(2))
                 scores[names[:, None] == doc[None, :]] = -np.inf
                 for g in np.unique(of):
                     at = np.flatnonzero(of == g)
@@ -148,9 +155,9 @@ def dense_first_ranks(queries: DataFrame, vectors: DataFrame, group: str) -> Dat
                     first = at[np.argmax(scores[:, at], axis=1)]
                     top = scores[np.arange(len(names)), first]
                     ok = np.isfinite(top)
-                    yield pa.RecordBatch.from_arrays([pa.array(names[ok]), pa.array(np.repeat(g, ok.sum())), pa.array(top[ok]), pa.array(doc[first[ok]])], names=best_schema.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[ok]).cast(query_type), batch.column(2).take(pa.array(first[ok])), pa.array(top[ok]), batch.column(0).take(pa.array(first[ok]))], names=best_schema.names)
 
-        rows = v.mapInArrow(best, best_schema).groupBy("query_id", group).agg(F.max_by(F.struct("score", "doc_id"), F.struct("score", -F.col("doc_id"))).alias("b"))
+        rows = v.mapInArrow(best, best_schema).groupBy("query_id", group).agg(F.min_by(F.struct("score", "doc_id"), F.struct(-F.col("score"), "doc_id")).alias("b"))
         # as many rows as queries of the block times groups
         firsts = {(r.query_id, r[group]): (r.b.score, r.b.doc_id) for r in rows.collect()}
         keys = sorted(firsts, key=str)
@@ -161,7 +168,7 @@ def dense_first_ranks(queries: DataFrame, vectors: DataFrame, group: str) -> Dat
         def before(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, matrix: np.ndarray = matrix, keys: list = keys, which: np.ndarray = which, top: np.ndarray = top, doc_at: np.ndarray = doc_at) -> Iterator[pa.RecordBatch]:
             n = np.zeros(len(keys), np.int64)
             for batch, scores in dense_batches(batches, matrix):
-                doc = batch.column(0).to_numpy(zero_copy_only=False)
+                doc = _ids(batch.column(0))
                 scores[names[:, None] == doc[None, :]] = -np.inf
                 for at in range(0, len(keys), 1024):
                     s, t, d = scores[which[at : at + 1024]], top[at : at + 1024, None], doc_at[at : at + 1024, None]

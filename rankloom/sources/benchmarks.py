@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import composed
+from ..operators import sampling
+from ..staging import staged
+
 EMPTY = "array<string>"
 
 
@@ -17,9 +23,15 @@ def _checked(rows: DataFrame, rules: list[tuple[Column, Column]]) -> DataFrame:
     return rows.withColumn("_fault", fault.cast("string")).where(F.col("_fault").isNull()).drop("_fault")
 
 
-def _documents(of: Column, benchmark: str, key: Column) -> Column:
-    """Positional ids for an array of (title, sentences)."""
-    return F.transform(of, lambda d, i: F.struct(F.concat(F.lit(f"{benchmark}:"), key, F.lit(":doc:"), i.cast("string")).alias("id"), d["title"].alias("title"), d["sentences"].alias("sentences"), i.alias("source_position"), F.sha2(F.array_join(d["sentences"], "\n"), 256).alias("content_sha256")))
+def _documents(of: Column, benchmark: str, key: Column, part: str = "doc", name: str = "title") -> Column:
+    """Positional ids for an array of (title, sentences), with digests of their canonical JSON, where the title goes by `name`."""
+
+    def digest(d: Column) -> Column:
+        fields = sorted([(name, d["title"]), ("sentences", d["sentences"])], key=lambda f: f[0])
+        return F.sha2(F.to_json(F.struct(*[v.alias(n) for n, v in fields])), 256)
+
+    title = (lambda d: F.replace(d["title"], F.lit("_"), F.lit(" "))) if name == "page_id" else (lambda d: d["title"])
+    return F.transform(of, lambda d, i: F.struct(F.concat(F.lit(f"{benchmark}:"), key, F.lit(f":{part}:"), i.cast("string")).alias("id"), title(d).alias("title"), d["sentences"].alias("sentences"), i.alias("source_position"), digest(d).alias("content_sha256"), d["title"].alias("source_title")))
 
 
 def hotpotqa(records: DataFrame) -> DataFrame:
@@ -31,6 +43,12 @@ def hotpotqa(records: DataFrame) -> DataFrame:
     docs = _documents(F.col("context"), "hotpotqa", key)
     rows = records.withColumn("documents", docs)
     at = lambda fact: F.filter("documents", lambda d: d["title"] == fact["title"])
+    titles = F.col("context")["title"]
+    facts = F.transform("supporting_facts", lambda f: F.struct(f["title"].alias("title"), f["sentence_index"].alias("sentence_index")))
+    rows = _checked(rows, [
+        (F.size(F.array_distinct(titles)) < F.size(titles), F.concat(F.lit("duplicate context title in "), key)), (F.size("supporting_facts") == 0, F.concat(F.lit("no supporting facts in "), key)),
+        (F.size(F.array_distinct(facts)) < F.size(facts), F.concat(F.lit("duplicate supporting fact in "), key)), ((F.trim("question") == "") | (F.trim("answer") == ""), F.concat(F.lit("empty question or answer in "), key)),
+    ])
     bad = F.exists("supporting_facts", lambda f: (F.size(at(f)) != 1) | (F.size(F.get(at(f), F.lit(0))["sentences"]) <= f["sentence_index"]) | (f["sentence_index"] < 0))
     rows = _checked(rows, [(bad, F.concat(F.lit("dangling supporting fact in "), key))])
     evidence = F.transform("supporting_facts", lambda f: F.struct(F.get(at(f), F.lit(0))["id"].alias("document_id"), f["sentence_index"].cast("int").alias("sentence_index"), F.get(F.get(at(f), F.lit(0))["sentences"], f["sentence_index"]).alias("text")))
@@ -40,7 +58,7 @@ def hotpotqa(records: DataFrame) -> DataFrame:
 
 
 #: The labels of claims.
-FEVER_LABELS = {"SUPPORTS": "SUPPORTED", "REFUTES": "REFUTED", "NOT ENOUGH INFO": "NOT_ENOUGH_INFO"}
+FEVER_LABELS = {"SUPPORTS": "supports", "REFUTES": "refutes", "NOT ENOUGH INFO": "not_enough_info"}
 
 
 def fever(claims: DataFrame, pages: DataFrame) -> DataFrame:
@@ -55,12 +73,12 @@ def fever(claims: DataFrame, pages: DataFrame) -> DataFrame:
     need = rows.select("key", F.explode_outer(F.array_distinct(F.flatten(F.transform("sets", lambda s: F.transform(s, lambda e: e["page"]))))).alias("page"))
     found = need.join(pages.select("page", "sentences"), "page", "left").groupBy("key").agg(F.sort_array(F.collect_list(F.when(F.col("page").isNotNull(), F.struct(F.col("page").alias("title"), "sentences")))).alias("context"), F.count_if(F.col("page").isNotNull() & F.col("sentences").isNull()).alias("missing"))
     rows = rows.join(found, "key").where("missing = 0")
-    rows = rows.withColumn("documents", _documents(F.col("context"), "fever", F.col("key")))
-    doc = lambda e: F.get(F.filter("documents", lambda d: d["title"] == e["page"]), F.lit(0))
+    rows = rows.withColumn("documents", _documents(F.col("context"), "fever", F.col("key"), "page", "page_id"))
+    doc = lambda e: F.get(F.filter("documents", lambda d: d["source_title"] == e["page"]), F.lit(0))
     flat = F.array_distinct(F.flatten("sets"))
     evidence = F.transform(flat, lambda e: F.struct(doc(e)["id"].alias("document_id"), e["sentence"].alias("sentence_index"), F.get(doc(e)["sentences"], e["sentence"]).alias("text")))
     votes = F.transform("sets", lambda s: F.transform(s, lambda e: F.struct(doc(e)["id"].alias("document_id"), e["sentence"].alias("sentence_index"))))
-    return rows.select(F.concat(F.lit("fever:"), F.col("key")).alias("id"), F.lit("fever").alias("benchmark_id"), F.col("claim").alias("query"), F.array("label").alias("answers"), "label", F.when(F.col("nei"), "unanswerable").otherwise("answerable").alias("answerability"), "documents", evidence.alias("supporting_evidence"), votes.alias("evidence_sets"))
+    return rows.select(F.concat(F.lit("fever:"), F.col("key")).alias("id"), F.lit("fever").alias("benchmark_id"), F.col("claim").alias("query"), F.array().cast(EMPTY).alias("answers"), "label", F.when(F.col("nei"), "unanswerable").otherwise("answerable").alias("answerability"), "documents", evidence.alias("supporting_evidence"), votes.alias("evidence_sets"))
 
 
 def missing_pages(claims: DataFrame, pages: DataFrame) -> DataFrame:
@@ -93,6 +111,10 @@ def squad_cases(questions: DataFrame) -> DataFrame:
     return rows.select(F.concat(F.lit("squad:"), F.col("key")).alias("id"), F.lit("squad_v2").alias("benchmark_id"), F.col("question").alias("query"), texts.alias("answers"), F.lit(None).cast("string").alias("label"), F.when(F.col("is_impossible"), "unanswerable").otherwise("answerable").alias("answerability"), docs.alias("documents"))
 
 
+#: Fixed value: how many annotators a question has.
+ANNOTATIONS = 5
+
+
 def natural_questions(records: DataFrame, votes: int = 2) -> DataFrame:
     """Tokens, candidates and five annotations a question to cases.
 
@@ -100,7 +122,7 @@ def natural_questions(records: DataFrame, votes: int = 2) -> DataFrame:
     annotators chose, or any if none has; answers are short ones with as many votes, else yes or no with as many, else the evidence's texts.
     """
     rows = records.select(F.col("id").alias("key"), F.col("document.title").alias("title"), F.col("question.text").alias("query"), F.col("document.tokens.token").alias("token"), F.col("document.tokens.is_html").alias("is_html"), F.col("long_answer_candidates.start_token").alias("start"), F.col("long_answer_candidates.end_token").alias("end"), F.col("annotations.long_answer").alias("long"), F.col("annotations.short_answers").alias("short"), F.col("annotations.yes_no_answer").alias("yes_no"))
-    rows = _checked(rows, [(F.size("start") != F.size("end"), F.concat(F.lit("candidate columns differ in length in "), F.col("key"))), (F.size("token") != F.size("is_html"), F.concat(F.lit("token columns differ in length in "), F.col("key")))])
+    rows = _checked(rows, [(F.size("long") != ANNOTATIONS, F.concat(F.lit("not five annotations in "), F.col("key"))), (F.size("start") != F.size("end"), F.concat(F.lit("candidate columns differ in length in "), F.col("key"))), (F.size("token") != F.size("is_html"), F.concat(F.lit("token columns differ in length in "), F.col("key")))])
     words = F.arrays_zip("token", "is_html")
     rows = rows.withColumn("words", words)
     text = lambda i: F.array_join(F.transform(F.filter(F.slice("words", F.get("start", i) + 1, F.get("end", i) - F.get("start", i)), lambda w: ~w["is_html"]), lambda w: w["token"]), " ")
@@ -125,6 +147,58 @@ def unique_ids(cases: DataFrame, key: str = "id") -> DataFrame:
     return _checked(cases.withColumn("_n", F.count("*").over(w)), [(F.col("_n") > 1, F.concat(F.lit("duplicate id "), F.col(key)))]).drop("_n")
 
 
+def normalize_many(records: DataFrame, key: str, normalize: Callable[[DataFrame], DataFrame], limit: int | None = None) -> DataFrame:
+    """Records whose ids are there and single, the first `limit` of them in hash order, normalised. Fewer records than the limit are an error."""
+    rows = unique_ids(_checked(records, [(F.coalesce(F.col(key).cast("string"), F.lit("")) == "", F.lit(f"record missing {key}"))]), key)
+    if limit is None:
+        return normalize(rows)
+    if limit < 1 or rows.limit(limit).count() < limit:
+        raise ValueError("fewer records than asked for")
+    return normalize(sampling.hash_sample(rows, limit, key))
+
+
+def from_columns(rows: DataFrame) -> DataFrame:
+    """HotpotQA rows from Parquet, whose facts and contexts are parallel arrays, in the shape that `hotpotqa` takes."""
+    facts = F.transform(F.arrays_zip(F.col("supporting_facts.title").alias("title"), F.col("supporting_facts.sent_id").alias("sent_id")), lambda f: F.struct(f["title"].alias("title"), f["sent_id"].cast("int").alias("sentence_index")))
+    context = F.transform(F.arrays_zip(F.col("context.title").alias("title"), F.col("context.sentences").alias("sentences")), lambda c: F.struct(c["title"].alias("title"), c["sentences"].alias("sentences")))
+    return rows.select(F.col("id").alias("_id"), "question", "answer", "type", "level", facts.alias("supporting_facts"), context.alias("context"))
+
+
+def sampled_shards(spark: SparkSession, path: str, key: str, limit: int) -> DataFrame:
+    """The first `limit` rows in hash order of a folder of Parquet shards: ids alone are read and ranked, then the rows of those that were drawn."""
+    ids = sampling.hash_sample(spark.read.parquet(path).select(key), limit, key)
+    return spark.read.parquet(path).join(F.broadcast(ids), key, "left_semi")  # `limit` ids
+
+
+def compact_natural_questions(rows: DataFrame) -> DataFrame:
+    """What a case needs of a source row, and the digest of the whole row's canonical JSON."""
+    whole = F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"})
+    tokens, candidates, a = F.col("document.tokens"), F.col("long_answer_candidates"), F.col("annotations")
+    document = F.struct(F.col("document.title").alias("title"), F.struct(tokens["token"].alias("token"), tokens["is_html"].alias("is_html")).alias("tokens"))
+    marks = F.struct(F.transform(a["long_answer"], lambda l: F.struct(l["candidate_index"].alias("candidate_index"))).alias("long_answer"), F.transform(a["short_answers"], lambda s: F.struct(s["text"].alias("text"))).alias("short_answers"), a["yes_no_answer"].alias("yes_no_answer"))
+    return rows.select("id", document.alias("document"), F.struct(F.col("question.text").alias("text")).alias("question"), F.struct(candidates["start_token"].alias("start_token"), candidates["end_token"].alias("end_token")).alias("long_answer_candidates"), marks.alias("annotations"), F.sha2(whole, 256).alias("_source_record_sha256"))
+
+
+def fever_source(claims: DataFrame, pages: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(the first `limit` claims in hash order whose pages are all there, the claims left out and the pages that they lack). A pool of a twentieth more claims, a hundred at least, is looked at.
+
+    Pages are found by composed titles, since sources differ in how they write letters with marks.
+    """
+    pool = staged(sampling.hash_sample(claims, limit + max(100, -(-limit // 20)), "id"), "claims")
+    cited = pool.select("id", F.explode(F.array_distinct(F.flatten(F.transform("evidence", lambda s: F.transform(s, lambda e: e["page"]))))).alias("page")).where("page IS NOT NULL")
+    titles = pages.select(composed(F.col("page")).alias("title")).distinct()
+    lost = staged(cited.withColumn("title", composed(F.col("page"))).join(titles, "title", "left_anti").select("id", "page"), "lost")
+    kept = pool.join(lost.select("id").distinct(), "id", "left_anti")
+    return sampling.hash_sample(kept, limit, "id"), lost.groupBy("id").agg(F.array_sort(F.collect_set("page")).alias("missing_pages"))
+
+
+def conversion_report(cases: DataFrame, source_count: int) -> DataFrame:
+    """(measure, value, n): how many cases came of how many records, and how they are spread over answerability, labels and numbers of documents."""
+    spread_ = lambda c, n: cases.groupBy(F.coalesce(c.cast("string"), F.lit("none")).alias("value")).agg(F.count("*").alias("n")).select(F.lit(n).alias("measure"), "value", "n")
+    total = cases.agg(F.count("*").alias("n")).select(F.lit("cases").alias("measure"), F.format_string("%.6f of source lost", 1 - F.col("n") / max(source_count, 1)).alias("value"), "n")
+    return total.unionByName(spread_(F.col("answerability"), "answerability")).unionByName(spread_(F.col("label"), "label")).unionByName(spread_(F.size("documents"), "documents"))
+
+
 def child_rows(cases: DataFrame) -> DataFrame:
     """(case_id, document_id, title, text): the candidate documents of each case."""
     return cases.select(F.col("id").alias("case_id"), F.explode("documents").alias("d")).select("case_id", F.col("d.id").alias("document_id"), "d.title", F.array_join("d.sentences", " ").alias("text"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..operators.ranking import dot
 
@@ -15,11 +15,14 @@ def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame
 
 
 def strict_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """As `jsonl`, with a row that is no object of this schema failing the query where it is met, with its text."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    fault = F.when(F.json_object_keys("value").isNull(), F.raise_error(F.concat(F.lit("not a record: "), F.substring("value", 1, 200))))
-    checked = lines.withColumn("_fault", fault.cast("string")).where(F.col("_fault").isNull())
-    return checked.select(F.from_json("value", schema).alias("r")).select("r.*")
+    """As `jsonl`, with a row that is no object of this schema failing the query where it is met, with its file and text (files are split, so a line has no number). Values of another type than the schema's are such rows."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file")).where(F.trim("value") != "")
+    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}) if "__bad" in schema.fieldNames() else F.from_json("value", StructType([*schema.fields, StructField("__bad", StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
+    rows = lines.withColumn("r", parsed)
+    wrong = F.json_object_keys("value").isNull() | F.col("r").isNull() | F.col("r.__bad").isNotNull()
+    where = F.concat(F.lit("not a record: "), F.col("__file"), F.lit(": "), F.substring("value", 1, 200))
+    rows = rows.where(F.when(wrong, F.raise_error(where)).otherwise(F.lit(True)))
+    return rows.select(*[F.col("r")[f].alias(f) for f in schema.fieldNames()])
 
 
 def cases(spark: SparkSession, path: str, element: str) -> DataFrame:
@@ -45,9 +48,59 @@ def artifacts(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return rows.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def vector_index(spark: SparkSession, path: str, id_col: str = "id", vector_col: str = "vector", tolerance: float = 1e-4) -> DataFrame:
-    """A vector table whose every row is checked as it is read: finite, of one width, of unit norm."""
+def manifest_sha256(files: DataFrame) -> DataFrame:
+    """(sha256) of a source: of its one file, or of the canonical list of its files (name, bytes, sha256) in order of name; no files are an error."""
+    listed = files.agg(F.sort_array(F.collect_list(F.struct("name", "bytes", "sha256"))).alias("f"))
+    one = F.transform("f", lambda x: F.struct(x["bytes"].alias("bytes"), x["name"].alias("name"), x["sha256"].alias("sha256")))
+    digest = F.when(F.size("f") == 0, F.raise_error(F.lit("no source artifacts"))).when(F.size("f") == 1, F.get("f", F.lit(0))["sha256"]).otherwise(F.sha2(F.to_json(one), 256))
+    return listed.select(digest.alias("sha256"))
+
+
+def registry(spark: SparkSession, path: str, key: str, required: tuple[str, ...]) -> list[dict]:
+    """A small list of entries from a JSON file, read through Spark so that any store will do: each has the required fields and an id of its own."""
+    import json
+
+    found = json.loads(spark.read.text(path, wholetext=True).first().value)
+    entries = found if isinstance(found, list) else next(iter(v for v in found.values() if isinstance(v, list)), [])
+    lacks = [e for e in entries if set(required) - set(e)]
+    if lacks or len({e[key] for e in entries}) < len(entries):
+        raise ValueError("a registry entry lacks fields or has another's id")
+    return entries
+
+
+def zip_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, member, line, value): the lines of all text members of ZIP files, members in order of name. An archive is one task; its members are streamed and never held whole."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    def lines(batches):
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for member in sorted(n for n in z.namelist() if not n.endswith("/")):
+                        with z.open(member) as f:
+                            held = []
+                            for i, raw in enumerate(io.TextIOWrapper(f, encoding="utf-8", newline="\n")):
+                                held.append((name, member, i, raw.rstrip("\r\n")))
+                                if len(held) == 10_000:
+                                    yield pd.DataFrame(held, columns=["archive", "member", "line", "value"])
+                                    held = []
+                            if held:
+                                yield pd.DataFrame(held, columns=["archive", "member", "line", "value"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "content").mapInPandas(lines, "archive string, member string, line long, value string")
+
+
+def vector_index(spark: SparkSession, path: str, id_col: str = "id", vector_col: str = "vector", tolerance: float = 1e-4, expected: int | None = None) -> DataFrame:
+    """A vector table whose every row is checked as it is read: finite, of one width, of unit norm. With `expected`, the number of rows and that ids are single are checked first."""
     rows = spark.read.parquet(path)
+    if expected is not None:
+        faults = [r.fault for r in index_faults(rows, id_col, expected).where("n > 0").collect()]
+        if faults:
+            raise ValueError(f"vector index has {', '.join(faults)}")
     v = F.col(vector_col)
     norm = F.sqrt(dot(v, v))
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x))

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators.ranking import postings
+from ..functions.text import tokens
+from ..operators.ranking import dot
 
 
 def canonical_json(rows: DataFrame) -> Column:
@@ -18,19 +23,79 @@ def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
     rows.select(canonical_json(rows).alias("value")).write.mode("append" if append else "overwrite").text(path)
 
 
-def write_postings(docs: DataFrame, id_col: str, text: Column, path: str, buckets: int | None = None) -> None:
-    """An inverted index (term, doc_id, tf, dl), ranged by term so that a query's terms prune files by their statistics."""
-    table = postings(docs, id_col, text).select("term", "doc_id", "tf", "dl")
+def write_json(spark: SparkSession, path: str, value: object) -> None:
+    """One canonical JSON value as a file of any store that Spark writes to: written beside its place and moved there, so a reader sees the old or the new one whole."""
+    import json
+
+    jvm = spark._jvm
+    place, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".next")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()))
+    finally:
+        out.close()
+    if fs.exists(place):
+        fs.delete(place, False)
+    if not fs.rename(beside, place):
+        raise OSError(f"{path} could not be put in place")
+
+
+def append_record(records: DataFrame, path: str, identity: str) -> None:
+    """Checkpoint records of a run, with its identity, as further committed files of a log."""
+    write_jsonl(records.withColumn("identity", F.lit(identity)), path, append=True)
+
+
+def write_vector_index(vectors: DataFrame, path: str, id_col: str = "id", vector_col: str = "vector") -> None:
+    """A vector table that `readers.vector_index` reads, each vector of unit norm and ranged by id."""
+    norm = F.sqrt(dot(F.col(vector_col), F.col(vector_col)))
+    unit = F.transform(vector_col, lambda x: (x / norm).cast("float"))
+    vectors.withColumn(vector_col, unit).repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(path)
+
+
+def embed(texts: DataFrame, id_col: str, text_col: str, encode: Callable[[list[str]], list[list[float]]], path: str, batch: int = 256) -> None:
+    """Vectors of texts by a model, `batch` texts at a time, appended to a table; a run that was cut off goes on with the texts that have none yet."""
+    spark = texts.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    rows = texts.select(id_col, text_col)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        rows = rows.join(spark.read.parquet(path).select(id_col), id_col, "left_anti")
+    schema = T.StructType([texts.schema[id_col], T.StructField("vector", T.ArrayType(T.FloatType()))])
+
+    def run(batches):
+        for frame in batches:
+            for i in range(0, len(frame), batch):
+                part = frame.iloc[i : i + batch]
+                yield pd.DataFrame({id_col: part[id_col], "vector": [list(map(float, v)) for v in encode(part[text_col].fillna("").tolist())]})
+
+    rows.mapInPandas(run, schema).write.mode("append").parquet(path)
+
+
+def write_postings(docs: DataFrame, id_col: str, title: Column, text: Column, path: str, buckets: int | None = None) -> None:
+    """A full-text index: postings (term, doc_id, title_tf, text_tf), ranged by term so that a query's terms prune files by their statistics, and pages (doc_id, page_id, title_length, text_length) to look titles up."""
+    words = docs.select(F.col(id_col).alias("doc_id"), title.alias("title"), tokens(title).alias("tw"), tokens(text).alias("bw"))
+    both = F.concat(F.transform("tw", lambda w: F.struct(w.alias("term"), F.lit(1).alias("t"), F.lit(0).alias("b"))), F.transform("bw", lambda w: F.struct(w.alias("term"), F.lit(0).alias("t"), F.lit(1).alias("b"))))
+    table = words.select("doc_id", F.explode(both).alias("x")).groupBy("x.term", "doc_id").agg(F.sum("x.t").alias("title_tf"), F.sum("x.b").alias("text_tf"))
     table = table.repartitionByRange(buckets, "term") if buckets else table.repartitionByRange("term")
-    table.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path)
+    table.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(path + "/postings")
+    words.select("doc_id", F.translate("title", " ", "_").alias("page_id"), F.size("tw").alias("title_length"), F.size("bw").alias("text_length")).write.mode("overwrite").parquet(path + "/pages")
+
+
+def read_postings(spark: SparkSession, path: str, terms: list[str]) -> DataFrame:
+    """(term, doc_id, title_tf, text_tf, title_length, text_length) of a query's terms."""
+    return spark.read.parquet(path + "/postings").where(F.col("term").isin(terms)).join(spark.read.parquet(path + "/pages"), "doc_id")
 
 
-def publish(report: DataFrame, required: list[str], status: str) -> DataFrame:
-    """A report without timing columns, with a status; a required column that is missing is an error."""
+#: What a published report leaves out.
+TIMINGS = ("latency_ms_per_query", "ranking_latency_ms_per_query")
+
+
+def publish(report: DataFrame, required: list[str], status: str, timings: tuple[str, ...] = TIMINGS) -> DataFrame:
+    """A report without its timing columns, with a status; a required column that is missing is an error."""
     missing = [c for c in required if c not in report.columns]
     if missing:
         raise ValueError(f"report lacks {', '.join(missing)}")
-    return report.drop(*[c for c in report.columns if "latency" in c or c.endswith("_ms")]).withColumn("status", F.lit(status))
+    return report.drop(*timings).withColumn("status", F.lit(status))
 
 
 def differs(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -38,6 +103,11 @@ def differs(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
 
 
+def gate_summary(decisions: list, decision: str) -> str:
+    """A pull request's summary: the decision and the table of its metrics."""
+    return f"## {decision}\n\n" + markdown_table(decisions, ["metric", "baseline", "candidate", "delta", "decision"])
+
+
 def markdown_table(rows: list, columns: list[str]) -> str:
     """A small collected summary as Markdown."""
     cell = lambda v: "n/a" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)

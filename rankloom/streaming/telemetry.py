@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..staging import new_path
+
 
 def windowed(events: DataFrame, width: str, lateness: str = "2 hours") -> DataFrame:
     """(window, event_type, n, total, highest) by event time; events later than the watermark are left out of closed windows."""
@@ -15,22 +14,17 @@ def windowed(events: DataFrame, width: str, lateness: str = "2 hours") -> DataFr
     return timed.withWatermark("ts", lateness).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("highest"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return at or "file://" + tempfile.mkdtemp(prefix="rankloom-stream-")
-
-
 def run_windows(spark: SparkSession, path: str, width: str) -> DataFrame:
-    """Drain the table's files as a stream into the shared folder; the last update of a window is its result."""
+    """Drain the table's files as a stream into the shared folder; the last update of a window is its result. A table's files come in no order of time, so no event is late."""
     schema = spark.read.parquet(path).schema
     path = path[:-1] + "[" + path[-1] + "]"  # as a pattern the source takes a single file as well as a folder
-    base = f"{shared_folder(spark)}/rankloom-windows-{uuid.uuid4().hex}"
+    base = new_path(spark, "windows")
     out = base + "/out"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("at", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch-{number}")
 
-    stream = windowed(spark.readStream.schema(schema).parquet(path), width)
+    stream = windowed(spark.readStream.schema(schema).parquet(path), width, "36500 days")
     query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", base + "/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     changes = spark.read.option("recursiveFileLookup", "true").parquet(out)
@@ -38,15 +32,22 @@ def run_windows(spark: SparkSession, path: str, width: str) -> DataFrame:
     return last.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", F.col("last.n").alias("n"), F.round("last.total", 6).alias("total"), F.col("last.highest").alias("highest"))
 
 
-def merge_latest(batch: DataFrame, target: str, key: str, order: str) -> None:
-    """For foreachBatch: keep the last record of each key of `target` and the batch, in a new version of the table."""
+def merge_latest(batch: DataFrame, number: int, target: str, key: str, order: str) -> None:
+    """For foreachBatch: the last record of each key of the table so far and the batch, as version `number` of the table. A version is never changed once it is there: a batch that is
+    played again writes the same one, and a crash leaves the version before."""
     spark = batch.sparkSession
-    log = batch
-    try:
-        log = spark.read.parquet(target).unionByName(batch)
-    except Exception as e:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    before = latest_version(spark, target, number)
+    log = batch if before is None else spark.read.schema(batch.schema).parquet(before).unionByName(batch)
     rows = log.groupBy(key).agg(F.max_by(F.struct(*log.columns), order).alias("row")).select("row.*")
-    rows.write.mode("overwrite").parquet(target + "-next")
-    spark.read.parquet(target + "-next").write.mode("overwrite").parquet(target)
+    rows.write.mode("overwrite").parquet(f"{target}/version-{number:012d}")
+
+
+def latest_version(spark: SparkSession, target: str, below: int | None = None) -> str | None:
+    """The newest whole version of a table (older than `below`), if there is one."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(at):
+        return None
+    names = [s.getPath().getName() for s in fs.listStatus(at)]
+    whole = [n for n in names if n.startswith("version-") and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS")) and (below is None or int(n[8:]) < below)]
+    return f"{target}/{max(whole)}" if whole else None

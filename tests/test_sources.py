@@ -1,4 +1,5 @@
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -35,7 +36,7 @@ def test_written_lines_are_canonical(spark, tmp_path):
     writers.write_jsonl(d, str(tmp_path / "out"))
     assert spark.read.text(str(tmp_path / "out")).first().value == '{"a":null,"b":1,"c":"x"}'
     assert writers.differs(d, d).count() == 0 and writers.differs(d, d.limit(0)).count() == 1
-    assert writers.publish(d.withColumn("p50_ms", F.lit(1)), ["b"], "final").columns == ["b", "a", "c", "status"]
+    assert writers.publish(d.withColumn("latency_ms_per_query", F.lit(1)), ["b"], "final").columns == ["b", "a", "c", "status"]
     with pytest.raises(ValueError):
         writers.publish(d, ["gone"], "final")
 
@@ -90,3 +91,90 @@ def test_natural_questions_votes(spark):
     assert got["nq:1"].documents[0].sentences == ["a b"]
     assert (got["nq:2"].answerability, got["nq:2"].answers) == ("unanswerable", [])
     assert got["nq:3"].answers == ["a b", "c"] and got["nq:4"].answers == ["yes"]
+
+
+def test_sources_of_other_shapes(spark, tmp_path):
+    cols = "id string, question string, answer string, type string, level string, supporting_facts struct<title: array<string>, sent_id: array<int>>, context struct<title: array<string>, sentences: array<array<string>>>"
+    spark.createDataFrame([(f"q{i}", "who?", "me", "t", "l", (["T"], [1]), (["T", "U"], [["s0", "s1"], ["x"]])) for i in range(30)], cols).repartition(3).write.parquet(str(tmp_path / "shards"))
+    drawn = benchmarks.sampled_shards(spark, str(tmp_path / "shards"), "id", 5)
+    assert drawn.count() == 5
+    cases = benchmarks.normalize_many(benchmarks.from_columns(drawn), "_id", benchmarks.hotpotqa, 4)
+    assert [c.supporting_evidence[0].text for c in cases.collect()] == ["s1"] * 4
+    report = {(r.measure, r.value): r.n for r in benchmarks.conversion_report(cases, 8).collect()}
+    assert report["answerability", "answerable"] == 4 and report["cases", "0.500000 of source lost"] == 4
+    with pytest.raises(ValueError):
+        benchmarks.normalize_many(benchmarks.from_columns(drawn), "_id", benchmarks.hotpotqa, 9)
+    with pytest.raises(Exception, match="duplicate id"):
+        benchmarks.normalize_many(benchmarks.from_columns(drawn.union(drawn)), "_id", benchmarks.hotpotqa).collect()
+
+
+def test_fever_source_leaves_out_claims_without_their_pages(spark):
+    claims = spark.createDataFrame([(i, "SUPPORTS", "c", [[("P" if i % 3 else "Gone", 0)]]) for i in range(60)] + [(100, "REFUTES", "d", [[("Caf\u00e9", 0)]])], "id long, label string, claim string, evidence array<array<struct<page: string, sentence: int>>>")
+    pages = spark.createDataFrame([("P", ["p0"]), ("Cafe\u0301", ["q0"])], "page string, sentences array<string>")
+    kept, lost = benchmarks.fever_source(claims, pages, 41)
+    assert {r.id for r in kept.collect()} == {i for i in range(60) if i % 3} | {100} and {r.id: r.missing_pages for r in lost.collect()} == {i: ["Gone"] for i in range(0, 60, 3)}
+
+
+def test_compaction_hashes_the_whole_row(spark):
+    row = "id string, document struct<title: string, html: string, tokens: struct<token: array<string>, is_html: array<boolean>, start_byte: array<int>>>, question struct<text: string>, long_answer_candidates struct<start_token: array<int>, end_token: array<int>>, annotations struct<long_answer: array<struct<candidate_index: int>>, short_answers: array<struct<text: array<string>>>, yes_no_answer: array<int>>"
+    make = lambda html: spark.createDataFrame([("1", ("T", html, (["a"], [False], [0])), ("q",), ([0], [1]), ([(0,)] * 5, [([],)] * 5, [-1] * 5))], row)
+    a, b = (benchmarks.compact_natural_questions(make(h)) for h in ("x", "y"))
+    assert a.first()._source_record_sha256 != b.first()._source_record_sha256 and "html:string" not in a.schema.simpleString()
+    assert benchmarks.natural_questions(a).first().answerability == "answerable"
+
+
+def test_archives_registries_and_manifests(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    with zipfile.ZipFile(tmp_path / "in" / "w.zip", "w") as z:
+        z.writestr("b.jsonl", "3\n")
+        z.writestr("a.jsonl", "1\n2")
+    got = readers.zip_lines(spark, str(tmp_path / "in")).collect()
+    assert [(r.member, r.line, r.value) for r in got] == [("a.jsonl", 0, "1"), ("a.jsonl", 1, "2"), ("b.jsonl", 0, "3")]
+    (tmp_path / "r.json").write_text(json.dumps({"benchmarks": [{"id": "a", "x": 1}, {"id": "b", "x": 2}]}))
+    assert len(readers.registry(spark, str(tmp_path / "r.json"), "id", ("id", "x"))) == 2
+    with pytest.raises(ValueError):
+        readers.registry(spark, str(tmp_path / "r.json"), "id", ("id", "y"))
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "doc.md").write_text("# A\ntext")
+    files = readers.artifacts(spark, str(tmp_path / "m"))
+    one = files.first()
+    assert (one["name"], one["bytes"]) == ("doc.md", 8) and readers.manifest_sha256(files).first().sha256 == one.sha256
+    (tmp_path / "m" / "e.md").write_text("x")
+    assert readers.manifest_sha256(readers.artifacts(spark, str(tmp_path / "m"))).first().sha256 != one.sha256
+    assert sorted((r.doc_id, r.text) for r in readers.markdown(spark, str(tmp_path / "m")).collect()) == [("doc", "# A\ntext"), ("e", "x")]
+
+
+def test_sinks(spark, tmp_path):
+    writers.write_json(spark, str(tmp_path / "v.json"), {"b": 1, "a": "é"})
+    writers.write_json(spark, str(tmp_path / "v.json"), {"b": 2})
+    assert json.loads((tmp_path / "v.json").read_text()) == {"b": 2} and not (tmp_path / "v.json.next").exists()
+    v = spark.createDataFrame([("a", [3.0, 4.0]), ("b", [0.0, 2.0])], "id string, vector array<double>")
+    writers.write_vector_index(v, str(tmp_path / "v"))
+    assert readers.vector_index(spark, str(tmp_path / "v"), expected=2).count() == 2
+    with pytest.raises(ValueError):
+        readers.vector_index(spark, str(tmp_path / "v"), expected=3)
+    texts = spark.createDataFrame([(i, f"t{i}") for i in range(7)], "id int, text string")
+    encode = lambda ts: [[float(len(t)), 1.0] for t in ts]
+    writers.embed(texts.where("id < 3"), "id", "text", encode, str(tmp_path / "e"), 2)
+    writers.embed(texts, "id", "text", encode, str(tmp_path / "e"), 2)
+    assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "e")).collect()) == list(range(7))
+    docs = spark.createDataFrame([(1, "Big Cat", "a cat sat"), (2, "Dog", "no")], "id int, title string, body string")
+    writers.write_postings(docs, "id", F.col("title"), F.col("body"), str(tmp_path / "p"))
+    got = [tuple(r) for r in writers.read_postings(spark, str(tmp_path / "p"), ["cat"]).select("doc_id", "title_tf", "text_tf", "page_id", "text_length").collect()]
+    assert got == [(1, 1, 1, "Big_Cat", 3)]
+    rows = spark.createDataFrame([("b1", 1, True)], "batch_id string, sequence int, valid boolean")
+    writers.append_record(rows, str(tmp_path / "log"), "run")
+    writers.append_record(rows, str(tmp_path / "log"), "run")
+    assert spark.read.json(str(tmp_path / "log")).count() == 2
+    assert writers.gate_summary([{"metric": "m", "baseline": 0.5, "candidate": None, "delta": None, "decision": "REJECT"}], "REJECT").splitlines()[-1] == "| m | 0.5000 | n/a | n/a | REJECT |"
+
+
+def test_latest_versions_survive_a_replay(spark, tmp_path):
+    from rankloom.streaming import telemetry
+
+    t, ddl = str(tmp_path / "t"), "k string, at int, v string"
+    telemetry.merge_latest(spark.createDataFrame([("a", 1, "x"), ("b", 1, "y")], ddl), 0, t, "k", "at")
+    for _ in range(2):
+        telemetry.merge_latest(spark.createDataFrame([("a", 2, "z"), ("b", 0, "old")], ddl), 1, t, "k", "at")
+    newest = telemetry.latest_version(spark, t)
+    assert newest.endswith("1") and sorted((r.k, r.v) for r in spark.read.parquet(newest).collect()) == [("a", "z"), ("b", "y")]
