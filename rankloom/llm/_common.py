@@ -140,6 +140,28 @@ def settled(docs: DataFrame) -> DataFrame:
         return Stage(docs.sparkSession, "rows").write("rows", docs)
 
 
+#: The largest filter that `may_be_in` sends to all tasks: 32 MB, whatever the input.
+FILTER_BITS = 1 << 28
+_WORD = 1 << 15  # bits in one bitmap of bitmap_construct_agg
+
+
+def may_be_in(rows: DataFrame, column: str, keys: DataFrame, stage: Stage, name: str) -> DataFrame:
+    """`rows` and `__may`: false only if the value of `column` is not among the first column of `keys` (a staged table).
+
+    A hashed bitmap of sixteen bits a key, of FILTER_BITS at most, is sent to all tasks; where it fills up, more rows may be in. DataFrame operators only.
+    """
+    bits = min(FILTER_BITS, max(_WORD, 1 << (16 * keys.count() - 1).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    at = keys.select(place(F.col(keys.columns[0])).alias("p"))
+    maps = at.groupBy(F.expr(f"p div {_WORD}").alias("__bucket")).agg(F.bitmap_construct_agg(F.col("p") % _WORD).alias("__map"))
+    maps = stage.write(name, maps)  # at most FILTER_BITS / 8 bytes
+    found = rows.withColumn("__place", place(F.col(column))).join(F.broadcast(maps), F.expr(f"__place div {_WORD}") == F.col("__bucket"), "left")
+    byte = F.substring("__map", (F.expr(f"__place % {_WORD} div 8") + 1).cast("int"), F.lit(1))
+    bit = F.expr("shiftright(cast(conv(hex(__byte), 16, 10) as int), cast(__place % 8 as int)) & 1 = 1")
+    found = found.withColumn("__byte", byte).withColumn("__may", F.coalesce(bit, F.lit(False)))
+    return found.drop("__place", "__bucket", "__map", "__byte")
+
+
 def pick(docs: DataFrame, column: str) -> Column:
     """A column by its exact name, also if the name holds dots."""
     return docs["`" + column.replace("`", "``") + "`"]

@@ -3,11 +3,10 @@
 The rows' digests, with id and content locator (file and row index), go to a log in the shared folder. A stream over the log keeps, for
 each digest, the smallest id, its locator and a count in RocksDB state: no watermark, so nothing expires. A run's state is its own: it is deleted
 with the run's other tables. Every hit is then checked against the full bytes at its group's locator; rows whose bytes differ although
-the digests agree are grouped by their bytes instead. Only texts of groups with several rows leave their scan where Spark finds the list of these
-small enough to broadcast. DataFrame operators only.
+the digests agree are grouped by their bytes instead. A hashed bitmap of bounded size keeps all other texts in their scan. DataFrame operators only.
 
 A digest that a third of all rows share is summed before it is shuffled, and its rows meet the group's one kept row in
-salted parts of about SALT_ROWS rows.
+salted parts of about 1 / PARTS of all rows.
 
 Defined cases: a null text equals the empty text. Texts are compared whole, however long, after each run of ASCII white space became one space. Ties
 in the id (repeated rows) go to the smaller locator, so one of them is kept. A null id counts as larger than all others. Empty input, empty result.
@@ -21,9 +20,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOCATOR, WS, Stage, clean_text, pick, settled, with_locator
+from ._common import LOCATOR, WS, Stage, clean_text, may_be_in, pick, settled, with_locator
 
-SALT_ROWS = 2000
+#: A group of more than 1 / PARTS of all rows meets its rows in parts.
+PARTS = 1000
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
@@ -81,24 +81,24 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     log = stage.write("log", placed.select(LOCATOR, "id", digest(body).alias("digest"), sha256(body).alias("text_sha256") if digest is not sha256 else F.lit(None).cast("string").alias("text_sha256")))
     groups = stage.write("groups", keep_state(spark, stage.paths["log"], log, stage, files_per_batch).where("n > 1"))
     stage.drop("state", "progress")
-    salts = F.ceil(F.col("n") / SALT_ROWS).cast("int")
-    groups = groups.select("digest", "n", F.col("first.id").alias("keep_id"), F.col(f"first.{LOCATOR}").alias("keep_at"), salts.alias("salts"))
-    # each group meets its rows in `salts` parts; a row's part follows from its locator
-    parts = stage.write("parts", groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))))
-    members = log.join(groups.select("digest", "salts").withColumnRenamed("digest", "d"), F.col("digest") == F.col("d"), "left").drop("d")
-    members = members.withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64(LOCATOR), F.col("salts")).cast("int")))
-    members = members.drop("salts").join(parts.select("digest", "salt", "n", "keep_id", "keep_at"), ["digest", "salt"], "left")
-    members = stage.write("members", members)
+    groups = groups.select("digest", "n", F.col("first.id").alias("keep_id"), F.col(f"first.{LOCATOR}").alias("keep_at"))
+    # groups of more than 1 / PARTS of all rows, PARTS at most, meet their rows in parts; a row's part follows from its locator
+    share = F.lit(max(log.count(), 1) / PARTS)
+    large = groups.where(F.col("n") > share).select(F.col("digest").alias("d"), F.ceil(F.col("n") / share).cast("int").alias("salts"))
+    in_parts = lambda rows: rows.join(F.broadcast(large), F.col("digest") == F.col("d"), "left").drop("d").withColumn("salts", F.coalesce("salts", F.lit(1)))
+    parts = stage.write("parts", in_parts(groups).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
+    members = in_parts(log).withColumn("salt", F.pmod(F.xxhash64(LOCATOR), F.col("salts")).cast("int")).drop("salts")
+    members = stage.write("members", members.join(parts, ["digest", "salt"], "left"))
     stage.drop("log", "groups")
     # full bytes of hits and of what they hit
     hits = stage.write("hits", members.where("keep_at is not null").select(F.col(LOCATOR).alias("at"), "digest", "salt", "keep_at"))
-    texts = placed.select(LOCATOR, body.alias("body")).join(hits, F.col(LOCATOR) == F.col("at")).drop(LOCATOR)
-    texts = stage.write("texts", texts)
+    texts = may_be_in(placed.select(LOCATOR, "text"), LOCATOR, hits, stage, "hit-filter").where("__may").drop("__may")
+    texts = stage.write("texts", texts.join(hits, F.col(LOCATOR) == F.col("at")).select("at", "digest", "salt", "keep_at", body.alias("body")))
     kept = texts.where("at = keep_at").select("digest", F.col("body").alias("keep_body"))
     kept = kept.join(parts.select("digest", "salt"), "digest")
     differ = texts.where("at <> keep_at").join(kept, ["digest", "salt"]).where(F.col("body") != F.col("keep_body")).select("at", "digest", "body")
     differ = stage.write("differ", differ)
-    stage.drop("texts", "hits", "parts")
+    stage.drop("texts", "hits", "hit-filter", "parts")
     out = members
     if not differ.isEmpty():  # equal digests of different bytes: group these rows by their bytes
         own = differ.join(members.select(F.col(LOCATOR).alias("at"), "id"), "at")
@@ -122,9 +122,10 @@ def report(docs: DataFrame, **columns: str) -> DataFrame:
 
 def drop_rows(docs: DataFrame, dropped: DataFrame, stage: Stage) -> DataFrame:
     """The rows of `docs`, which must be settled, but those at the locators of `dropped`."""
-    placed = with_locator(docs)
-    dropped = stage.write("dropped", dropped.select(LOCATOR))  # written, its size is known: where it is small no text is shuffled
-    return placed.join(dropped, LOCATOR, "left_anti").select(*[pick(placed, c) for c in docs.columns])
+    dropped = stage.write("dropped", dropped.select(LOCATOR))
+    rows = may_be_in(with_locator(docs), LOCATOR, dropped, stage, "drop-filter")
+    kept = rows.where("not __may").unionByName(rows.where("__may").join(dropped, LOCATOR, "left_anti"))
+    return kept.select(*[pick(kept, c) for c in docs.columns])
 
 
 def filter_documents(docs: DataFrame, **columns: str) -> DataFrame:
