@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernels
-from ._common import LOCATOR, Stage, pick, settled, small_batches, tidy, with_locator
+from ._common import LOCATOR, Stage, may_be_in, pick, settled, small_batches, tidy, with_locator
 from .components import components
 from .exact_dedup import drop_rows
 
@@ -287,16 +287,17 @@ def _screen(pairs: DataFrame, bands: Bands) -> DataFrame:
     return pairs.select("a", "b", "an", "bn", "abits", "bbits").mapInArrow(tidy(run), "a long, b long, differ long")
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, placed: DataFrame, k: int, bands: Bands) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, placed: DataFrame, k: int, bands: Bands, stage: Stage, name: str) -> DataFrame:
     """Those pairs (a, b) that reach the threshold, by the sorted arrays of their texts, which are read again for these nodes only.
 
-    The texts of all a of one b meet b's, in parts of about BLOCK members; each member's text is sent once a pair and b's once a part.
+    The texts of all a of one b meet b's, in parts of about BLOCK members; each member's text is sent once a pair and b's once a part. A hashed bitmap keeps all other texts in their scan.
     """
     parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
     members = pairs.join(parts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("role"), F.col("a").alias("node"))
     heads = parts.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("b").alias("node"))
-    sent = members.unionByName(heads).join(nodes.select("node", "loc"), "node")
-    sent = placed.select("loc", "text").join(sent, "loc").select("b", "part", "role", "node", "text")
+    sent = stage.write(f"sent-{name}", members.unionByName(heads).join(nodes.select("node", "loc"), "node").select("loc", "b", "part", "role", "node"))
+    texts = may_be_in(placed.select("loc", "text"), "loc", sent, stage, f"filter-{name}").where("__may").drop("__may")
+    sent = texts.join(sent, "loc").select("b", "part", "role", "node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head = np.zeros(0, np.uint64)
@@ -313,7 +314,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, placed: DataFrame, k: int, ban
             ok = batch.filter(pa.array(keep, pa.bool_()))
             yield pa.RecordBatch.from_arrays([ok.column(3), ok.column(0)], names=["a", "b"])
 
-    return sent.repartition("b", "part").sortWithinPartitions("b", "part", "role").mapInArrow(tidy(run), "a long, b long")
+    links = stage.write(f"links-{name}", sent.repartition("b", "part").sortWithinPartitions("b", "part", "role").mapInArrow(tidy(run), "a long, b long"))
+    stage.drop(f"sent-{name}", f"filter-{name}")
+    return links
 
 
 def _across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
@@ -399,9 +402,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     stage.drop("pairs")
     # most nodes belong where their nearest least member does: that link first, and of the others those that components leave open
     known = stage.write("best", screened.groupBy("a").agg(F.min_by("b", F.struct("differ", "b")).alias("b")))
-    links = stage.write("links", _verified(known, nodes, placed, k, bands))
+    links = _verified(known, nodes, placed, k, bands, stage, "best")
     comps = stage.write("comps", components(links, stage, "first"))
-    stage.drop("links")
+    stage.drop("links-best")
     open_rows = stage.write("open-rows", _open_members(met.where("kind = 3").select(F.col("b").alias("key"), F.col("a").alias("node")).distinct(), comps))
     left = stage.write("left", _across(screened.join(known, ["a", "b"], "left_anti"), comps))
     stage.drop("met", "screened")
@@ -415,7 +418,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         more = stage.write(f"more-{name}", both.select("a", "b"))
         if more.isEmpty():  # a nearest partner may be one that was counted before, so the whole round still comes
             continue
-        late = stage.write(f"links-{name}", _verified(more, nodes, placed, k, bands))
+        late = _verified(more, nodes, placed, k, bands, stage, name)
         if not late.isEmpty():
             both = late.union(comps.where("node <> comp").select(F.col("node").alias("a"), F.col("comp").alias("b")))
             comps = stage.write(f"comps-{name}", components(both, stage, name))
