@@ -66,7 +66,7 @@ def slug_heading_keys(spark, d):
 @named("""WITH dl AS (SELECT n_chars, quality FROM documents JOIN labels USING (doc_id)), s AS (SELECT n_chars / (n_chars + 1000.0::DOUBLE) AS score, quality FROM dl), t AS (SELECT unnest(range(5, 96)) / 100.0::DOUBLE AS threshold),
 c AS (SELECT threshold, count(*) FILTER (WHERE score >= threshold) AS kept, count(*) FILTER (WHERE score >= threshold AND quality = 1) AS good, (SELECT count(*) FROM s WHERE quality = 1) AS all_good FROM t, s GROUP BY threshold)
 SELECT threshold, kept, good / nullif(kept, 0)::DOUBLE AS precision, good / all_good::DOUBLE AS recall FROM c""")
-def kfold_threshold_sweep(spark, d):
+def threshold_sweep(spark, d):
     """Precision and recall of a fixed score at thresholds from 0.05 to 0.95, from sums by score step: a row meets one step, not 91 thresholds."""
     s = _labelled(spark, d).select((F.col("n_chars") / (F.col("n_chars") + 1000.0)).alias("score"), "quality")
     thresholds = [i / 100.0 for i in range(5, 96)]
@@ -109,14 +109,14 @@ def validation_violations(spark, d):
 
 
 @named("""WITH e AS (SELECT conv_id, turn, sha256(conv_id || ':' || turn || ':' || coalesce(text, '')) AS h FROM conversations),
-c AS (SELECT *, lag(h) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place FROM e)
-SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE turn <> place) AS broken_sequence, sha256(string_agg(coalesce(prev, '') || h, '' ORDER BY turn)) AS chain FROM c GROUP BY conv_id""")
+p AS (SELECT *, CASE WHEN conv_id % 7 = 0 AND turn = 2 THEN 'forged' ELSE lag(h) OVER w END AS named, lag(h) OVER w AS before, row_number() OVER w - 1 AS place FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, count(*) AS n, count(*) FILTER (WHERE turn <> place) AS broken_sequence, count(*) FILTER (WHERE named IS DISTINCT FROM before) AS broken_links FROM p GROUP BY conv_id""")
 def hash_chain_check(spark, d):
+    """Each conversation as a ledger whose turns name the digest of the turn before; in some the third names another."""
     e = table(spark, d, "conversations").select("conv_id", "turn", F.sha2(F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))), 256).alias("h"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = e.withColumn("prev", F.lag("h").over(w)).withColumn("place", F.row_number().over(w) - 1)
-    chain = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", F.concat(F.coalesce("prev", F.lit("")), "h").alias("x")))), lambda s: s["x"]), "")
-    return c.groupBy("conv_id").agg(F.count("*").alias("n"), F.count_if(F.col("turn") != F.col("place")).alias("broken_sequence"), F.sha2(chain, 256).alias("chain"))
+    before = F.lag("h").over(Window.partitionBy("conv_id").orderBy("turn"))
+    e = e.withColumn("named", F.when((F.col("conv_id") % 7 == 0) & (F.col("turn") == 2), "forged").otherwise(before))
+    return corpus.hash_chain(e, "conv_id", "turn", "named", "h")
 
 
 @named("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

@@ -134,7 +134,7 @@ def test_sections_respect_fences(spark):
 
 
 def test_hash_chain(spark):
-    e = spark.createDataFrame([("l", 1, None, "a"), ("l", 2, "a", "b"), ("l", 4, "x", "c")], "ledger string, seq int, prev string, h string")
+    e = spark.createDataFrame([("l", 0, None, "a"), ("l", 1, "a", "b"), ("l", 3, "x", "c")], "ledger string, seq int, prev string, h string")
     got = corpus.hash_chain(e, "ledger", "seq", "prev", "h").first()
     assert (got.n, got.broken_sequence, got.broken_links) == (3, 1, 1)
 
