@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import anchors, stats
 from ..functions.text import NEGATION
+from . import metrics
 from .contracts import loads
 
 
@@ -24,6 +25,8 @@ COVERAGE_FIELDS = ("required_claim_id", "status", "generated_claim_ids", "ration
 SUPPORT_TASK = "generated_claim_support"
 ACCEPTS, FALLBACKS = ("supported", "covered"), ("unsupported", "missing")
 SEVERE = ("high", "critical")
+#: What a judge must reach in a bake-off.
+MOST_FALSE_ACCEPTS, LEAST_AGREEMENT, LEAST_KAPPA = 0.02, 0.90, 0.80
 
 _NEGATIVE = re.compile(NEGATION)
 VERDICT = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("codes", T.ArrayType(T.StringType())), T.StructField("claims", T.LongType()), T.StructField("accepted", T.LongType()), T.StructField("rate", T.DoubleType()), T.StructField("passes", T.BooleanType())])
@@ -294,6 +297,56 @@ def score(predictions: DataFrame, human: DataFrame, sets: list[str] | None = Non
     return out.withColumns({"false_accept_rate": stats.rate(F.col("false_accept_count"), n), "false_accept_upper": stats.wilson_upper(F.col("false_accept_count"), n), "false_reject_rate": stats.rate(F.col("false_reject_count"), n)})
 
 
+def bakeoff(records: DataFrame, human: DataFrame) -> DataFrame:
+    """A row a judge of records (profile, group_id, valid, tasks, verdicts, calls, retry_history): validity at the first try and in the end, agreement with people (task_id, human), false
+    accepts and rejects, calls, latency, cost and usage, and whether it reaches each target.
+
+    tasks: array of (task_id, case_id, task_type, lane, severity); verdicts: of (task_id, decision), the last of a task counts; calls: of (latency_ms, cost, usage: a map); retry_history: of
+    (valid, calls), the first try first, empty or null where there was one try. Costs that no call reports are null, not 0. A judged task that no person has judged is an error.
+    """
+    tries = F.coalesce(F.size(F.filter("retry_history", lambda x: x.isNotNull())), F.lit(0))
+    tries = F.when(tries > 0, tries).otherwise(0)
+    first = F.when(tries > 0, F.get("retry_history", F.lit(0))["valid"]).otherwise(F.col("valid"))
+    now, before = (F.when(c.isNotNull(), c) for c in (F.col("calls"), F.flatten(F.col("retry_history")["calls"])))
+    costs = lambda c: F.filter(c["cost"], lambda x: x.isNotNull())
+    total = lambda c: F.when(F.size(costs(c)) > 0, F.aggregate(costs(c), F.lit(0.0), lambda a, x: a + x))
+    count = lambda c: F.when(c.isNotNull(), F.size(c)).otherwise(0)
+    group = records.groupBy("profile").agg(
+        F.sum(F.when(F.coalesce(first, F.lit(False)), F.size("tasks")).otherwise(0)).alias("first_pass_valid_task_count"), F.count_if(tries > 0).alias("retried_group_count"),
+        F.sum(count(now)).alias("call_count"), F.sum(total(now)).alias("reported_cost"), F.sum(count(now) + count(before)).alias("call_count_with_retries"),
+        F.sum(F.when(total(now).isNotNull() | total(before).isNotNull(), F.coalesce(total(now), F.lit(0.0)) + F.coalesce(total(before), F.lit(0.0)))).alias("reported_cost_with_retries"),
+    )
+    rows = records.select("profile", "valid", "verdicts", F.explode("tasks").alias("t")).select("profile", "valid", "t.task_id", "t.task_type", "t.severity", F.try_element_at(F.filter("verdicts", lambda v: v["task_id"] == F.col("t.task_id")), F.lit(-1))["decision"].alias("decision"))
+    rows = rows.withColumn("valid", F.coalesce(F.col("valid") & F.col("decision").isNotNull(), F.lit(False))).join(human.select("task_id", "human"), "task_id", "left")
+    rows = rows.where(F.when(~F.col("valid") | F.col("human").isNotNull(), F.lit(True)).otherwise(F.raise_error(F.lit("a judged task that no person has judged"))))
+    yes, pair = accept_of(F.col("task_type")), F.col("valid")
+    wrong_yes, wrong_no = pair & (F.col("decision") == yes) & (F.col("human") != yes), pair & (F.col("human") == yes) & (F.col("decision") != yes)
+    tasks = rows.groupBy("profile").agg(
+        F.count("*").alias("task_count"), F.count_if(pair).alias("valid_task_count"), F.count_if(wrong_yes).alias("false_accept_count"), F.count_if(wrong_no).alias("false_reject_count"),
+        F.count_if(wrong_yes & F.col("severity").isin(*SEVERE)).alias("severe_false_accept_count"), F.count_if(pair & (F.col("human") != F.col("decision"))).alias("disagreement_count"),
+    )
+    agreed = kappa_of(rows.where("valid"), "human", "decision", ["profile"]).drop("n")
+    calls = records.select("profile", F.explode("calls").alias("c")).select("profile", F.col("c.latency_ms").cast("double").alias("ms"), "c.usage")
+    marks = metrics.nearest_rank_percentiles(calls, "ms", (0.5, 0.95, 0.99), ["profile"])
+    marks = marks.groupBy("profile").agg(*[F.max(F.when(F.col("fraction") == f, F.col("value"))).alias(f"latency_p{f * 100:.0f}") for f in (0.5, 0.95, 0.99)])
+    used = calls.select("profile", F.explode("usage").alias("k", "u")).groupBy("profile", "k").agg(F.sum("u").alias("u"))
+    used = used.groupBy("profile").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "u")))).alias("usage_totals"))
+    out = group.join(tasks, "profile", "left")
+    for part in (agreed, calls.groupBy("profile").agg(F.avg("ms").alias("latency_mean")), marks, used):
+        out = out.join(part, "profile", "left")
+    n, good = F.coalesce("task_count", F.lit(0)), F.coalesce("valid_task_count", F.lit(0))
+    out = out.withColumns({"task_count": n, "valid_task_count": good} | {c: F.coalesce(c, F.lit(0)) for c in ("false_accept_count", "false_reject_count", "severe_false_accept_count", "disagreement_count")})
+    out = out.withColumns({
+        "validity_rate": stats.rate(good, n), "first_pass_validity_rate": stats.rate(F.col("first_pass_valid_task_count"), n),
+        "false_accept_rate": stats.rate(F.col("false_accept_count"), good), "false_reject_rate": stats.rate(F.col("false_reject_count"), good),
+    })
+    reached = lambda c: F.coalesce(c, F.lit(False))
+    return out.withColumns({
+        "all_valid": n == good, "no_severe_false_accept": F.col("severe_false_accept_count") == 0, "few_false_accepts": reached(F.col("false_accept_rate") <= MOST_FALSE_ACCEPTS),
+        "enough_agreement": reached(F.col("exact_agreement") >= LEAST_AGREEMENT), "enough_kappa": reached(F.col("cohen_kappa") >= LEAST_KAPPA),
+    })
+
+
 def expand(tasks: DataFrame, records: DataFrame, profile: str) -> DataFrame:
     """(task_id, decision, fail_closed) of one judge: each task of a group without a valid record fails closed."""
     v = task_verdicts(records.where(F.col("profile") == profile)).select("group_id", "task_id", "decision")

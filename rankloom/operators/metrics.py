@@ -140,13 +140,16 @@ def macro(rows: DataFrame, group: str, metrics: list[str]) -> DataFrame:
     return by.unionByName(top).unionByName(micro)
 
 
-def nearest_rank_percentiles(rows: DataFrame, value: str, fractions: tuple[float, ...]) -> DataFrame:
-    """(fraction, value): the element at round((n - 1) * fraction), halves to even. Ranks are found by counts over distinct values."""
-    by = rows.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    run = running(by, F.col("v"), ["n"])
-    total = rows.agg(F.count(value).alias("total"))
-    want = total.select(F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"), "total").withColumn("at", F.bround((F.col("total") - 1) * F.col("fraction"), 0).cast("long"))
-    return run.join(F.broadcast(want), (F.col("at") >= F.col("upto_n") - F.col("n")) & (F.col("at") < F.col("upto_n"))).select("fraction", F.col("v").alias("value"))  # a row a fraction
+def nearest_rank_percentiles(rows: DataFrame, value: str, fractions: tuple[float, ...], by: list[str] | None = None) -> DataFrame:
+    """([by,] fraction, value): the element at round((n - 1) * fraction), halves to even. Ranks are found by counts over distinct values."""
+    by = by or []
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("n"))
+    run = running(counts, F.col("v"), ["n"], by or None)
+    total = rows.groupBy(*by).agg(F.count(value).alias("total"))
+    want = total.select(*by, F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("fraction"), "total").withColumn("at", F.bround((F.col("total") - 1) * F.col("fraction"), 0).cast("long"))
+    here = (F.col("at") >= F.col("upto_n") - F.col("n")) & (F.col("at") < F.col("upto_n"))
+    both = run.join(want, by).where(here) if by else run.join(F.broadcast(want), here)  # a row a fraction
+    return both.select(*by, "fraction", F.col("v").alias("value"))
 
 
 def linear_percentiles(rows: DataFrame, value: str, fractions: tuple[float, ...], by: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,18 +50,28 @@ def fold_of(key: Column, folds: int = 5) -> Column:
     return F.pmod(F.xxhash64(key.cast("string")), F.lit(folds)).cast("int")
 
 
-def out_of_fold(rows: DataFrame, key: str, label: str = "label", folds: int = 5, ridge: float = 0.01) -> DataFrame:
-    """The rows (with `features`, an array, and a label 0 or 1) and `probability`, from a model that has seen no row of the same key's fold. A fold whose others have one label only gets that label's share."""
+#: Families of models and how each is grown; those of trees differ from run to run only by their seed.
+FAMILIES = {
+    "logistic_regression": lambda: LogisticRegression(regParam=0.01),
+    "random_forest": lambda: RandomForestClassifier(numTrees=200, maxDepth=8, minInstancesPerNode=5, featureSubsetStrategy="0.8", seed=42),
+    "gradient_boosting": lambda: GBTClassifier(maxIter=100, maxDepth=3, minInstancesPerNode=5, seed=42),
+}
+
+
+def out_of_fold(rows: DataFrame, key: str, label: str = "label", folds: int = 5, family: str = "logistic_regression", balanced: bool = False) -> DataFrame:
+    """The rows (with `features`, an array, and a label 0 or 1) and `probability`, from a model that has seen no row of the same key's fold. A fold whose others have one label only gets that label's share.
+    `balanced`: both labels weigh the same in training."""
     kept = rows.columns
-    data = rows.withColumn("__fold", fold_of(F.col(key), folds)).withColumn("__x", array_to_vector("features"))
+    data = rows.withColumn("__fold", fold_of(F.col(key), folds)).withColumn("__x", array_to_vector("features")).withColumn("__y", F.col(label).cast("double"))
     out = None
     for f in range(folds):
         train, rest = data.where(F.col("__fold") != f), data.where(F.col("__fold") == f)
-        rate = train.agg(F.avg(F.col(label).cast("double")).alias("r")).first().r
+        rate = train.agg(F.avg("__y").alias("r")).first().r
         if rate is None or rate in (0.0, 1.0):
             one = rest.select(*kept, F.lit(float(rate or 0.0)).alias("probability"))
         else:
-            model = LogisticRegression(featuresCol="__x", labelCol="__y", regParam=ridge, probabilityCol="__p", rawPredictionCol="__raw", predictionCol="__guess").fit(train.withColumn("__y", F.col(label).cast("double")))
+            weight = F.when(F.col("__y") == 1.0, 0.5 / rate).otherwise(0.5 / (1.0 - rate)) if balanced else F.lit(1.0)
+            model = FAMILIES[family]().setFeaturesCol("__x").setLabelCol("__y").setProbabilityCol("__p").setRawPredictionCol("__raw").setPredictionCol("__guess").setWeightCol("__w").fit(train.withColumn("__w", weight))
             one = model.transform(rest).select(*kept, F.get(vector_to_array("__p"), F.lit(1)).alias("probability"))
         out = one if out is None else out.unionByName(one)
     return out
