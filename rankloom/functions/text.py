@@ -44,11 +44,11 @@ def tokens(text: Column) -> Column:
 
 
 def alnum_tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), 1))
+    return F.array_distinct(F.regexp_extract_all(casefold(text), F.lit(r"([a-z0-9]+)"), 1))
 
 
 def question_tokens(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9][a-z0-9_.:/-]*)"), 1))
+    return F.array_distinct(F.regexp_extract_all(casefold(text), F.lit(r"([a-z0-9][a-z0-9_.:/-]*)"), 1))
 
 
 def fts_terms(text: Column) -> Column:

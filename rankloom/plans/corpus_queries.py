@@ -33,7 +33,7 @@ def evidence_fingerprints(spark, d):
     return corpus.fingerprint(table(spark, d, "documents"), F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.coalesce("text", F.lit(""))), ["source"])
 
 
-@named(r"""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_.:/-]*')) AS t FROM benchmark),
+@named(r"""WITH t AS (SELECT item_id, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[a-z0-9][a-z0-9_.:/-]*')) AS t FROM benchmark),
 p AS (SELECT x.item_id AS a, y.item_id AS b, len(list_intersect(x.t, y.t)) AS i, len(x.t) + len(y.t) AS n FROM t x JOIN t y ON x.item_id < y.item_id)
 SELECT a, b, round(i / (n - i), 9) AS jaccard FROM p WHERE i > 0 AND i / (n - i) >= 0.15::DOUBLE""")
 def near_duplicate_jaccard(spark, d):
