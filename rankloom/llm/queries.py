@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, exact_dedup, language_id, line_dedup, mixing, ngram_jaccard, secrets, toxicity, url_filter
+from . import chat_format, decontaminate, exact_dedup, filter_audit, hard_negatives, language_id, line_dedup, mixing, ngram_jaccard, secrets, substring_dedup, toxicity, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +58,20 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.report(table(spark, sf_dir, "conversations"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", relabelled.cast("int")), F.col("vec_id") % 100 == 0)
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -71,6 +85,9 @@ QUERIES: dict[str, Query] = {
         op8_toxicity,
         op9_decontamination,
         op10_chat_format,
+        op11_hard_negatives,
+        op12_substring_dedup,
+        op13_filter_audit,
     )
 }
 
@@ -80,4 +97,7 @@ SQL: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.REPORT_SQL,
     "op6_mixing": mixing.MIX_SQL.format(own="doc_id", docs="documents"),
     "op10_chat_format": chat_format.REPORT_SQL,
+    "op11_hard_negatives": hard_negatives.MINE_SQL,
+    "op12_substring_dedup": substring_dedup.REPORT_SQL,
+    "op13_filter_audit": filter_audit.REPORT_SQL,
 }
