@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
+from ..functions import stems
 from ..functions.text import composed, fts_terms, sentences, title_candidates, tokens
 from ..staging import spread, staged
+from . import inverted
 
 K1, B = 1.2, 0.75
 
@@ -244,43 +246,49 @@ def compress(rows: DataFrame, query: str, stored: str, max_chars: int, keys: lis
     return doc.select(*keys, text.alias("text"))
 
 
-def two_stage(docs: DataFrame, id_col: str, title: Column, text: Column, queries: DataFrame, query_id: str, query: Column, k: int, limit: int = 100, focus: int = 8) -> DataFrame:
+def two_stage(docs: DataFrame, id_col: str, title: Column, text: Column, queries: DataFrame, query_id: str, query: Column, k: int, limit: int = 100, focus: int = 8, stemmed: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): documents named by title, or with all of a query's longest terms, ranked by BM25 within these candidates.
 
     Candidates are documents whose title, its blanks as underscores, is a run of words of the query; the best `limit` documents with all of the `focus` longest terms; and,
-    while a query of three terms or more has fewer than k, the best `limit` with all of these but one, the first left out first. A query's candidates, at most
-    (focus + 1) x limit and those named, are ranked by BM25 over titles and texts with counts among the candidates.
+    while a query of three terms or more has fewer than k, the best `limit` with all of these but one, the first left out first. They are found by words and ordered by
+    the BM25 of all of the query's words; or, `stemmed`, found by stems, titles weighing three times, and ordered by the BM25 of the terms asked for. A query's candidates, at most
+    (focus + 1) x limit and those named, are ranked by BM25 over the words of titles and texts with counts among the candidates. Documents are scored only if they have all, or all but one, of the longest terms.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(title, F.lit("")).alias("title"), F.concat_ws(" ", title, text).alias("all"))
+    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(title, F.lit("")).alias("title"), F.coalesce(text, F.lit("")).alias("text"))
     q = staged(queries.select(F.col(query_id).alias("query_id"), query.alias("q"), fts_terms(query).alias("terms"), title_candidates(query).alias("names")), "queries").where(F.size("terms") > 0)
     longest = F.slice(F.array_sort(F.transform("terms", lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1, focus)
-    focused = q.select("query_id", F.posexplode(longest["w"]).alias("place", "term"), F.size(longest).alias("need"))
-    terms = query_terms(q, "query_id", F.col("q"))
-    posted = postings(d, "doc_id", F.col("all"), terms)
+    asked = staged(q.select("query_id", F.posexplode(longest["w"]).alias("place", "term"), F.size(longest).alias("need")), "focused")
+    focused = asked.withColumn("term", F.get(stems.stem("term"), F.lit(0))) if stemmed else asked
+    terms = staged(inverted.term_rows(q, "query_id", F.col("q")), "terms")
+    both = F.concat_ws(" ", "title", "text")
+    words = inverted.index(d, "doc_id", [(both, 1.0)], terms)
+    found = inverted.index(d, "doc_id", [(F.col("title"), 3.0), (F.col("text"), 1.0)], focused, analyser="stems", floor=True) if stemmed else words
     by_title = d.select("doc_id", F.translate(composed(F.col("title")), " ", "_").alias("name")).where("name <> ''")
     named = q.select("query_id", F.explode("names").alias("name")).join(by_title, "name").select("query_id", "doc_id").distinct()
-    # how many of the longest terms a document has, and, if all but one, which one is missing
-    have = posted.where("term IS NOT NULL").join(focused, "term").groupBy("query_id", "doc_id", "need").agg(F.count("*").alias("n"), F.sum("place").alias("places"))
-    near = have.where("n >= need - 1").withColumn("tier", F.when(F.col("n") == F.col("need"), -1).otherwise((F.col("need") * (F.col("need") - 1) / 2 - F.col("places")).cast("int")))
-    scored = lexical(posted, terms).select("query_id", "doc_id", "score").join(near.select("query_id", "doc_id", "need", "tier"), ["query_id", "doc_id"])
+    need = asked.select("query_id", "need").distinct()
+    near = inverted.having(found, focused, 1).join(need, "query_id").withColumn("score", F.aggregate("weights", F.lit(0.0), lambda acc, w: acc + w))
+    if not stemmed:
+        near = near.drop("score").join(inverted.of_documents(words, terms, near).select("query_id", "doc_id", "score"), ["query_id", "doc_id"])
+    near = staged(near, "near")
     # a document with all terms is a hit of every relaxed expression too
-    strict = staged(top_k(scored.where("tier = -1"), limit).select("query_id", "doc_id"), "strict")
+    strict = staged(top_k(near.where("missing = 0"), limit).select("query_id", "doc_id"), "strict")
     first = strict.unionByName(named).distinct()
     short = q.select("query_id").join(first.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k).select("query_id", F.coalesce("have", F.lit(0)).alias("have"))
-    relaxed = scored.where("need > 2").join(short, "query_id").withColumn("tiers", F.when(F.col("tier") >= 0, F.array("tier")).otherwise(F.sequence(F.lit(0), F.col("need") - 1)))
-    relaxed = top_k(relaxed.select("query_id", "doc_id", "score", "have", F.explode("tiers").alias("leaves")), limit, ["query_id", "leaves"])
+    each = F.posexplode("weights").alias("leaves", "w")
+    relaxed = near.where("need > 2").join(short, "query_id").select("query_id", "doc_id", "score", "have", "missing", each).where("missing = 0 OR w = 0")
+    relaxed = top_k(relaxed.withColumn("score", F.col("score") - F.col("w")) if stemmed else relaxed, limit, ["query_id", "leaves"])
     fresh = relaxed.join(first, ["query_id", "doc_id"], "left_anti").groupBy("query_id", "have", "doc_id").agg(F.min("leaves").alias("leaves"))
     by_tier = Window.partitionBy("query_id").orderBy("leaves").rangeBetween(Window.unboundedPreceding, -1)
     # an expression is asked while those before it have left fewer than k
     fresh = fresh.withColumn("before", F.col("have") + F.count("*").over(by_tier)).where(F.col("before") < k).select("query_id", "doc_id")
-    found = staged(first.unionByName(fresh).distinct(), "candidates")
-    pairs = found.join(posted.where("term IS NULL").select("doc_id", "dl"), "doc_id")
-    lengths = pairs.groupBy("query_id").agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avg_dl"))
-    tf = found.join(posted.where("term IS NOT NULL"), "doc_id").join(terms.select("query_id", "term"), ["query_id", "term"])
-    df = tf.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(lengths, "query_id")
+    candidates = staged(first.unionByName(fresh).distinct(), "candidates")
+    counts = inverted.of_documents(words, terms, candidates, "tf")  # of every candidate, also those without a term
+    lengths = counts.groupBy("query_id").agg(F.count("*").alias("n_docs"), F.avg("length").alias("avg_dl"))
+    tf = counts.select("query_id", "doc_id", F.col("length").alias("dl"), F.posexplode("weights").alias("place", "tf")).where("tf > 0")
+    df = tf.groupBy("query_id", "place").agg(F.count("*").alias("df")).join(lengths, "query_id")
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.greatest(F.col("avg_dl"), F.lit(1.0))))
-    scores = tf.join(df, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.sum(weight).alias("s"))
-    return top_k(found.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("s", F.lit(0.0)).alias("score")), k)
+    scores = tf.join(df, ["query_id", "place"]).groupBy("query_id", "doc_id").agg(F.sum(weight).alias("s"))
+    return top_k(candidates.join(scores, ["query_id", "doc_id"], "left").select("query_id", "doc_id", F.coalesce("s", F.lit(0.0)).alias("score")), k)

@@ -7,13 +7,14 @@ labels stand for relevance. `labels` are two raters.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as tx
-from ..operators import metrics, policy, ranking, sampling
+from ..operators import inverted, metrics, policy, ranking, sampling
 from ..staging import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,36 +62,43 @@ FROM h GROUP BY k"""
 _WORDS = r"list_filter(regexp_split_to_array(regexp_replace(replace(lower(coalesce({0}, '')), 'ß', 'ss'), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda x: x NOT IN ('', 'a', 'an', 'the'))"
 
 
-def _lexical(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, doc_id, source, score, tf, inner) of each item and document with one of its words, written once: one scan of the texts serves all that a query makes of it."""
-    docs, terms = table(spark, d, "documents"), ranking.query_terms(table(spark, d, "benchmark"), "item_id", F.col("text"))
-    return staged(ranking.lexical(ranking.postings(docs, "doc_id", F.col("text"), terms, ["source"]), terms, keep=["source"]), "lexical")
+class Lexical(NamedTuple):
+    """An index of the documents with the items' words, a block of one source each, and the items' terms."""
 
+    index: inverted.Index
+    terms: DataFrame
 
-def _gold(spark: SparkSession, d: str, found: DataFrame) -> DataFrame:
+
+def _lexical(spark: SparkSession, d: str) -> Lexical:
+    """Written once: one scan of the texts serves all that a query makes of it."""
+    terms = staged(inverted.term_rows(table(spark, d, "benchmark"), "item_id", F.col("text")), "terms")
+    return Lexical(inverted.index(table(spark, d, "documents"), "doc_id", [(F.col("text"), 1.0)], terms, part="source"), terms)
+
+
+def _gold(spark: SparkSession, d: str, found: Lexical) -> DataFrame:
     """Documents that contain an item word for word.
 
     Such a document has each of the item's inner words as a word; only documents that have them all are searched. Items of two words or less have no inner
     word; they are a stated query set against all rows.
     """
-    words = tx.tokens(F.col("passage"))
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage")).withColumn("need", F.size(F.array_distinct(F.slice(words, 2, F.greatest(F.size(words) - 2, F.lit(0))))))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("passage"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    near = staged(found.join(items, "query_id").where("need > 0 AND inner >= need").select("query_id", "doc_id", "passage"), "near-gold")
+    inner = found.terms.where("inner")
+    near = staged(inverted.having(found.index, inner).select("query_id", "doc_id").join(items, "query_id"), "near-gold")
     gold = docs.join(near, "doc_id").where(F.col("text").contains(F.col("passage"))).select("query_id", "doc_id")
-    short = items.where("need = 0")
+    short = items.join(inner, "query_id", "left_anti")
     if not short.isEmpty():
         gold = gold.unionByName(docs.join(short, F.col("text").contains(F.col("passage"))).select("query_id", "doc_id"))
     return staged(gold, "gold")
 
 
-def _bm25_ranks(found: DataFrame, k: int) -> DataFrame:
-    return ranking.top_k(found.select("query_id", "doc_id", "source", "score"), k)
+def _bm25_ranks(found: Lexical, k: int) -> DataFrame:
+    return inverted.search(found.index, found.terms, k).withColumnRenamed("part", "source")
 
 
-def _tf_ranks(found: DataFrame, k: int) -> DataFrame:
+def _tf_ranks(found: Lexical, k: int) -> DataFrame:
     """A second lexical ranking: plain counts of query terms."""
-    return ranking.top_k(found.select("query_id", "doc_id", "source", F.col("tf").cast("double").alias("score")), k)
+    return inverted.search(found.index, found.terms, k, "tf").withColumnRenamed("part", "source")
 
 
 def _vectors(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -120,7 +128,9 @@ SELECT query_id, source, doc_id, round(score, 6) AS score, rank FROM rr WHERE ra
 def bm25_topk_per_source(spark, d):
     """Ranks within each source as candidate set; documents without a query term rank last and are kept."""
     docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
-    scores = ranking.bm25_scores(docs, "doc_id", F.col("text"), ranking.query_terms(items, "item_id", F.col("text")), group="source")
+    terms = staged(inverted.term_rows(items, "item_id", F.col("text")), "terms")
+    found = inverted.index(docs, "doc_id", [(F.col("text"), 1.0)], terms, part="source", own_counts=True)
+    scores = inverted.search(found, terms, 4, per_part=True).withColumnRenamed("part", "source").drop("rank")
     # of documents without a query term only the first two of a source can be ranked: add those
     blank = docs.select("source", "doc_id").withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
     spare = scores.groupBy("query_id", "source").agg(F.count("*").alias("have"))
@@ -180,9 +190,7 @@ SELECT query_id, doc_id, round(score, 9) AS score, rank FROM fr WHERE rank <= 8"
 
 def _fused(spark, d, weights, c):
     found = _lexical(spark, d)
-    by = lambda score: found.select("query_id", "doc_id", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "doc_id")).alias("rank"))
-    fused = ranking.reciprocal_rank_fusion([by(F.round("score", 9)), by(F.col("tf"))], weights, c)
-    return ranking.top_k(fused, 8).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
+    return inverted.fused(found.index, found.terms, 8, weights, c).select("query_id", "doc_id", F.round("score", 9).alias("score"), "rank")
 
 
 @named(_fused_sql(1.0, 1.0, 60))
@@ -198,7 +206,9 @@ def rrf_weighted(spark, d):
 @named(f"""WITH {_BM25}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY round(score, 9) DESC, doc_id) AS g FROM bm) WHERE g = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM b) SELECT query_id, source, doc_id, rank FROM r WHERE rank <= 4""")
 def topk_distinct_group(spark, d):
-    return ranking.top_k_distinct(_lexical(spark, d), 4, "source").select("query_id", "source", "doc_id", "rank")
+    found = _lexical(spark, d)
+    best = inverted.search(found.index, found.terms, 1, per_part=True).withColumnRenamed("part", "source").drop("rank")
+    return ranking.top_k_distinct(best, 4, "source").select("query_id", "source", "doc_id", "rank")
 
 
 @named(f"WITH {_BM25}, {_GOLD}, r AS (SELECT * FROM bmr), " + _RMETRICS.format(ks="1, 2, 5, 10"))
@@ -443,4 +453,4 @@ def holdout_split(spark, d):
     return sampling.holdout(table(spark, d, "documents").select("doc_id"), "doc_id", "confirmation:")
 
 
-from . import corpus_queries, evaluation_queries  # noqa: E402, F401  (register their queries)
+from . import corpus_queries, evaluation_queries, search_queries  # noqa: E402, F401  (register their queries)
