@@ -93,7 +93,7 @@ def _distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((rows**2).sum(1)[:, None] - 2 * (rows @ centres.T) + (centres**2).sum(1), 0)
 
 
-def _reader(lists: np.ndarray):
+def _reader(lists: np.ndarray, part: int):
     """Rows of id, label and vector as parts of the list of their nearest centroid, each with its radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,9 +117,9 @@ def _reader(lists: np.ndarray):
             near = _distances(m, lists).argmin(axis=1)
             for k in np.unique(near).tolist():
                 mine = np.flatnonzero(near == k)
-                for a in range(0, len(mine), PART):
-                    piece = mine[a : a + PART]
-                    if sum(len(x[0]) for x in held.get(k, [])) + len(piece) > PART:
+                for a in range(0, len(mine), part):
+                    piece = mine[a : a + part]
+                    if sum(len(x[0]) for x in held.get(k, [])) + len(piece) > part:
                         yield emit(k)
                     held.setdefault(k, []).append((ids[piece], labels[piece], m[piece]))
         for k in sorted(held):
@@ -143,8 +143,8 @@ def _windows(scores: list[int] | None, kth: list[int | None] | None, low: int, h
     return out
 
 
-def _router(centres: np.ndarray, radii: np.ndarray, low: int, high: int, count: int, first: bool):
-    """Anchors with the scores that make their windows, as blocks for each list that they visit: first their PROBE best, then what the k-th score leaves."""
+def _router(centres: np.ndarray, radii: np.ndarray, low: int, high: int, count: int, first: bool, block: int, probe: int):
+    """Anchors with the scores that make their windows, as blocks for each list that they visit: first their `probe` best, then what the k-th score leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
@@ -171,10 +171,10 @@ def _router(centres: np.ndarray, radii: np.ndarray, low: int, high: int, count:
                 meets = lambda lo, i=i, w=w: ((most[i][:, None] >= w[:, lo]) & (least[i][:, None] <= w[:, 1])).any(axis=1) & (radii >= 0)
                 inside = np.flatnonzero(meets(0))
                 order = inside[np.argsort(-most[i][inside], kind="stable")]
-                visit = order[:PROBE] if first else order[PROBE:][meets(2)[order[PROBE:]]]
+                visit = order[:probe] if first else order[probe:][meets(2)[order[probe:]]]
                 for k in visit.tolist():
                     held.setdefault(k, []).append((own, label, m[i], w))
-                    if len(held[k]) >= BLOCK:
+                    if len(held[k]) >= block:
                         yield emit(k)
         for k in sorted(held):
             yield emit(k)
@@ -225,16 +225,19 @@ def _by_window(first: DataFrame, keep: int) -> DataFrame:
     return kth.groupBy("anchor").agg(F.map_from_entries(F.collect_list("s")).alias("known"))
 
 
-def mine(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90) -> DataFrame:
-    """For each anchor and each of its first `positives` rows of the same label, the first `negatives` rows of other labels that score low to high percent of the positive."""
+def mine(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", label_col: str = "label", vector_col: str = "embedding", positives: int = 5, negatives: int = 10, low: int = 30, high: int = 90, lists: int = LISTS, part: int = PART, block: int = BLOCK, probe: int = PROBE) -> DataFrame:
+    """For each anchor and each of its first `positives` rows of the same label, the first `negatives` rows of other labels that score low to high percent of the positive.
+
+    The other arguments change how it is done, not what is found.
+    """
     spark, stage = vectors.sparkSession, Stage(vectors.sparkSession, "negatives")
     rows = vectors.select(pick(vectors, id_col).cast("long").alias("id"), pick(vectors, label_col).cast("long").alias("label"), pick(vectors, vector_col).alias("vector"), is_anchor.alias("anchor"))
     rows = rows.where("id is not null and label is not null and vector is not null")
     drawn = rows.select("vector", F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).select("vector").toArrow()
     sample, used = _matrix(drawn["vector"])
-    centres = fit(sample[used])
-    small_batches(spark, PART)
-    parts = stage.write("lists", rows.select("id", "label", "vector").mapInArrow(tidy(_reader(centres)), _PACKED + ", radius double"))
+    centres = fit(sample[used], lists)
+    small_batches(spark, part)
+    parts = stage.write("lists", rows.select("id", "label", "vector").mapInArrow(tidy(_reader(centres, part)), _PACKED + ", radius double"))
     radii = np.full(len(centres), -1.0)
     for r in parts.groupBy("list").agg(F.max("radius").alias("radius")).collect():  # LISTS rows at most
         radii[r["list"]] = r["radius"]
@@ -246,8 +249,8 @@ def mine(vectors: DataFrame, is_anchor: Column, id_col: str = "vec_id", label_co
         """(anchor, window, score, id, rank) of the first `keep` of each window, in two rounds of visits."""
 
         def visits(asked: DataFrame, first: bool) -> DataFrame:
-            small_batches(spark, BLOCK)
-            blocks = stage.write(f"{name}-blocks-{first}", asked.mapInArrow(tidy(_router(centres, radii, low, high, count, first)), spark_schema(BLOCKS)))
+            small_batches(spark, block)
+            blocks = stage.write(f"{name}-blocks-{first}", asked.mapInArrow(tidy(_router(centres, radii, low, high, count, first, block, probe)), spark_schema(BLOCKS)))
             small_batches(spark, 4)
             pairs = blocks.join(parts.drop("radius"), "list")
             found = pairs.mapInArrow(tidy(_visitor(same, keep, count)), spark_schema(FOUND))
