@@ -45,7 +45,9 @@ def mined(spark, rows, **options):
 
 def vector_rows(rng, n, width=6, labels=4):
     centres = rng.normal(size=(labels, width))
-    return [(i, int(l := rng.integers(labels)), [float(x) for x in (c := centres[l] + rng.normal(size=width)) / np.linalg.norm(c)]) for i in range(n)]
+    of = rng.integers(labels, size=n)
+    v = centres[of] + rng.normal(size=(n, width))
+    return [(i, int(of[i]), (v[i] / np.linalg.norm(v[i])).tolist()) for i in range(n)]
 
 
 @pytest.mark.parametrize("options", [{}, {"lists": 5, "part": 7, "block": 3, "probe": 1}, {"lists": 1, "probe": 1, "part": 11}])
