@@ -140,18 +140,19 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     stage.drop("blocks", "anchors", "anchor-filter")
     index = stage.write("index", shared.groupBy("anchor", "block").agg(F.min("id").alias("first")))  # every block once, with its first owner
     parted = index.groupBy("anchor").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("anchor", F.lit(True).alias("parted"))
-    index = index.join(parted, "anchor", "left").select("anchor", "block", "first", F.coalesce("parted", F.lit(False)).alias("parted"))
+    # written: only joins of two plain shuffles are split where a key is hot
+    index = stage.write("parted", index.join(parted, "anchor", "left").select("anchor", "block", "first", F.coalesce("parted", F.lit(False)).alias("parted")))
     looked = stage.write("looked", shared.join(index, ["anchor", "block"]).where("id > first or parted").select("id", "row", "start", "size", (F.col("id") > F.col("first")).alias("copied")))
-    stage.drop("shared", "index")
+    stage.drop("shared", "index", "parted")
     copied = looked.where("copied").select("id", "row", "start", (F.col("start") + F.col("size") + (window - 1)).alias("stop"))
     asked = stage.write("asked", looked.where("not copied").groupBy("id", "row").agg(F.collect_list(F.struct("start", "size")).alias("asked")))  # a document's own blocks
     texts = may_be_in(named, "row", asked.select("row"), stage, "asked-filter").where("__may").drop("__may").join(asked, ["id", "row"])
     windows = stage.write("windows", texts.mapInArrow(tidy(_window_rows(window, anchor)), f"id {kind}, row long, anchor long, hash long, start long"))
     stage.drop("asked", "asked-filter")
-    firsts = windows.groupBy("anchor", "hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last")
+    firsts = stage.write("firsts", windows.groupBy("anchor", "hash").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last"))
     edges = windows.join(firsts, ["anchor", "hash"]).where("id > first").select("id", "row", "start", (F.col("start") + window).alias("stop"))
     spans = stage.write("spans", copied.unionByName(edges).groupBy("id", "row").agg(F.collect_list(F.struct("start", "stop")).alias("spans")))
-    stage.drop("looked", "windows")
+    stage.drop("looked", "windows", "firsts")
     rows = may_be_in(placed, "row", spans.select("row"), stage, "span-filter")
     cut = rows.where("__may").drop("__may").join(spans, ["id", "row"], "left")
     rest = rows.where("not __may").drop("__may").withColumn("spans", F.lit(None).cast(dict(spans.dtypes)["spans"]))
