@@ -139,11 +139,11 @@ def parse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     shared = stage.write("shared", shared)
     stage.drop("blocks", "anchors", "anchor-filter")
     index = stage.write("index", shared.groupBy("anchor", "block").agg(F.min("id").alias("first")))  # every block once, with its first owner
-    parted = index.groupBy("anchor").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("anchor", F.lit(True).alias("parted"))
     # written: only joins of two plain shuffles are split where a key is hot
+    parted = stage.write("contested", index.groupBy("anchor").agg(F.min("first").alias("a"), F.max("first").alias("b")).where("a < b").select("anchor", F.lit(True).alias("parted")))
     index = stage.write("parted", index.join(parted, "anchor", "left").select("anchor", "block", "first", F.coalesce("parted", F.lit(False)).alias("parted")))
     looked = stage.write("looked", shared.join(index, ["anchor", "block"]).where("id > first or parted").select("id", "row", "start", "size", (F.col("id") > F.col("first")).alias("copied")))
-    stage.drop("shared", "index", "parted")
+    stage.drop("shared", "index", "contested", "parted")
     copied = looked.where("copied").select("id", "row", "start", (F.col("start") + F.col("size") + (window - 1)).alias("stop"))
     asked = stage.write("asked", looked.where("not copied").groupBy("id", "row").agg(F.collect_list(F.struct("start", "size")).alias("asked")))  # a document's own blocks
     texts = may_be_in(named, "row", asked.select("row"), stage, "asked-filter").where("__may").drop("__may").join(asked, ["id", "row"])
