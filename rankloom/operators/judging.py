@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import anchors, stats
-from ..functions.text import NEGATION
+from ..functions.text import loses_negation
 from . import metrics
-from .contracts import loads
+from .contracts import Rules, broken, field, given, has_text, is_kind, items, json_value, keys, string
 
 
 #: The contract's version, statuses and fields of both lanes, task types with the verdicts that accept and that a failure falls back to.
@@ -28,135 +25,135 @@ SEVERE = ("high", "critical")
 #: What a judge must reach in a bake-off.
 MOST_FALSE_ACCEPTS, LEAST_AGREEMENT, LEAST_KAPPA = 0.02, 0.90, 0.80
 
-_NEGATIVE = re.compile(NEGATION)
-VERDICT = T.StructType([T.StructField("valid", T.BooleanType()), T.StructField("codes", T.ArrayType(T.StringType())), T.StructField("claims", T.LongType()), T.StructField("accepted", T.LongType()), T.StructField("rate", T.DoubleType()), T.StructField("passes", T.BooleanType())])
-
-
-def _lost(reference: str, candidate: str) -> Iterator[str]:
-    if anchors.missing(reference, candidate):
-        yield "exact_anchor_missing"
-    if _NEGATIVE.search(reference) and not _NEGATIVE.search(candidate):
-        yield "explicit_negation_missing"
-
-
-def _shape(judgment: object, field: str) -> tuple[list, list[str]]:
-    """The verdicts of a judgment and what is wrong with its outer form."""
-    if not isinstance(judgment, dict):
-        return [], ["root_type"]
-    verdicts = judgment.get(field)
-    codes = ["fields"] * (set(judgment) != {"schema_version", field}) + ["schema_version"] * (judgment.get("schema_version") != VERSION) + ["verdicts_type"] * (not isinstance(verdicts, list))
-    return verdicts if isinstance(verdicts, list) else [], codes
-
-
-def _common(verdict: dict, fields: tuple[str, ...], statuses: tuple[str, ...]) -> Iterator[str]:
-    if set(verdict) != set(fields):
-        yield "verdict_fields"
-    if verdict.get("status") not in statuses:
-        yield "status"
-    if not (isinstance(verdict.get("rationale"), str) and verdict["rationale"].strip()):
-        yield "rationale"
-
-
-def _evidence(items: list, cited: list[str], texts: dict[str, str]) -> Iterator[str]:
-    seen = set()
-    for item in items:
-        if not (isinstance(item, dict) and set(item) == {"citation_id", "quote"}):
-            yield "evidence_fields"
-            continue
-        source, quote = item["citation_id"], item["quote"]
-        if (str(source), str(quote)) in seen:
-            yield "duplicate_evidence"
-        seen.add((str(source), str(quote)))
-        if source not in cited:
-            yield "uncited_evidence"
-        elif not (isinstance(quote, str) and quote.strip()):
-            yield "empty_quote"
-        elif quote not in texts.get(source, ""):
-            yield "quote_not_found"
-
-
-def support_codes(judgment: object, claims: list[dict], sources: dict[str, str]) -> tuple[list[str], int]:
-    """What is wrong with a support judgment of an answer's claims, given the sources' texts, and how many claims it supports (0 if anything is wrong)."""
-    verdicts, codes = _shape(judgment, "claim_verdicts")
-    if codes == ["root_type"]:
-        return codes, 0
-    for place, v in enumerate(verdicts):
-        if not isinstance(v, dict):
-            codes.append("verdict_type")
-            continue
-        codes += _common(v, SUPPORT_FIELDS, SUPPORT_STATUSES)
-        status, evidence = v.get("status"), v.get("evidence")
-        if not isinstance(evidence, list):
-            codes.append("evidence_type")
-            evidence = []
-        if status in ("supported", "contradicted") and not evidence:
-            codes.append("evidence_required")
-        if status == "unsupported" and evidence:
-            codes.append("unsupported_with_evidence")
-        claim = claims[place] if place < len(claims) else {"text": "", "citation_ids": []}
-        codes += _evidence(evidence, claim["citation_ids"], sources)
-        if status == "supported" and place < len(claims):
-            codes += _lost(claim["text"], "\n".join(sources.get(c, "") for c in claim["citation_ids"]))
-    if [v.get("generated_claim_id") for v in verdicts if isinstance(v, dict)] != [f"g{i}" for i in range(1, len(claims) + 1)]:
-        codes.append("id_order")
-    return codes, 0 if codes else sum(v["status"] == "supported" for v in verdicts)
-
-
-def coverage_codes(judgment: object, required: list[str], claims: list[str]) -> tuple[list[str], int]:
-    """What is wrong with a coverage judgment of required claims by an answer's claims, and how many it finds covered (0 if anything is wrong)."""
-    verdicts, codes = _shape(judgment, "required_claim_verdicts")
-    if codes == ["root_type"]:
-        return codes, 0
-    by_id = {f"g{i}": t for i, t in enumerate(claims, 1)}
-    for place, v in enumerate(verdicts):
-        if not isinstance(v, dict):
-            codes.append("verdict_type")
-            continue
-        codes += _common(v, COVERAGE_FIELDS, COVERAGE_STATUSES)
-        status, links = v.get("status"), v.get("generated_claim_ids")
-        if not isinstance(links, list):
-            codes.append("generated_claim_ids_type")
-            links = []
-        names = [str(x) for x in links]
-        if len(set(names)) < len(names):
-            codes.append("duplicate_generated_claim_id")
-        strange = set(names) - set(by_id)
-        if strange:
-            codes.append("unknown_generated_claim_id")
-        if status == "missing" and links:
-            codes.append("missing_with_links")
-        if status in ("covered", "contradicted") and not links:
-            codes.append("verdict_without_links")
-        if status == "covered" and not strange and place < len(required):
-            codes += [f"coverage_{c}" for c in _lost(required[place], " ".join(by_id[x] for x in names))]
-    if [v.get("required_claim_id") for v in verdicts if isinstance(v, dict)] != [f"r{i}" for i in range(1, len(required) + 1)]:
-        codes.append("id_order")
-    return codes, 0 if codes else sum(v["status"] == "covered" for v in verdicts)
-
-
-def _verdict(codes: list[str], n: int, good: int) -> dict:
-    return {"valid": not codes, "codes": codes, "claims": n, "accepted": good, "rate": good / n if n else 0.0, "passes": bool(n) and good == n}
-
-
-@F.pandas_udf(VERDICT)
-def support(judgment: pd.Series, claims: pd.Series, sources: pd.Series) -> pd.DataFrame:
-    """Of judgments (JSON), claims and sources (JSON arrays of text and citation_ids, of citation_id and text)."""
-    rows = []
-    for j, c, s in zip(judgment, claims, sources, strict=True):
-        own = loads(c) or []
-        codes, good = support_codes(loads(j), own, {x["citation_id"]: x["text"] for x in loads(s) or []})
-        rows.append(_verdict(codes, len(own), good))
-    return pd.DataFrame(rows, columns=VERDICT.names)
-
-
-@F.pandas_udf(VERDICT)
-def coverage(judgment: pd.Series, required: pd.Series, claims: pd.Series) -> pd.DataFrame:
-    """Of judgments (JSON), the required claims' texts and the answer's (arrays)."""
-    rows = []
-    for j, r, c in zip(judgment, required, claims, strict=True):
-        codes, good = coverage_codes(loads(j), list(r), list(c))
-        rows.append(_verdict(codes, len(r), good))
-    return pd.DataFrame(rows, columns=VERDICT.names)
+#: What a verdict gets of a lane: the fields and statuses of its own, and which status accepts.
+_SUPPORT = ("claim_verdicts", "generated_claim_id", "g", SUPPORT_FIELDS, SUPPORT_STATUSES, ACCEPTS[0])
+_COVERAGE = ("required_claim_verdicts", "required_claim_id", "r", COVERAGE_FIELDS, COVERAGE_STATUSES, ACCEPTS[1])
+
+
+def _same(found: Column, wanted: tuple[str, ...]) -> Column:
+    return (F.size(found) == len(wanted)) & F.forall(found, lambda k: k.isin(*wanted))
+
+
+def _codes(rules: Rules, of: Column) -> Column:
+    return F.transform(broken(rules, of), lambda e: e["code"])
+
+
+def _forms(fields: tuple[str, ...], statuses: tuple[str, ...]) -> Rules:
+    """What a verdict of either lane must be."""
+    return [
+        ("verdict_type", "", lambda v: ~v["object"]),
+        ("verdict_fields", "", lambda v: v["object"] & ~_same(v["keys"], fields)),
+        ("status", "", lambda v: v["object"] & ~F.coalesce(v["status"].isin(*statuses), F.lit(False))),
+        ("rationale", "", lambda v: v["object"] & ~has_text(v["rationale"])),
+    ]
+
+
+SUPPORT_RULES: Rules = [
+    ("evidence_type", "", lambda v: v["object"] & ~is_kind(v["links"], "ARRAY")),
+    ("evidence_required", "", lambda v: v["status"].isin("supported", "contradicted") & (F.size(v["evidence"]) == 0)),
+    ("unsupported_with_evidence", "", lambda v: (v["status"] == "unsupported") & (F.size(v["evidence"]) > 0)),
+]
+EVIDENCE_RULES: Rules = [
+    ("evidence_fields", "", lambda e: ~e["formed"]),
+    ("duplicate_evidence", "", lambda e: e["formed"] & F.array_contains(e["earlier"], e["key"])),
+    ("uncited_evidence", "", lambda e: e["formed"] & ~e["cited"]),
+    ("empty_quote", "", lambda e: e["formed"] & e["cited"] & ~e["quote"].rlike(r"(?U)\S")),
+    ("quote_not_found", "", lambda e: e["formed"] & e["cited"] & e["quote"].rlike(r"(?U)\S") & ~F.contains(e["source"], e["quote"])),
+]
+COVERAGE_RULES: Rules = [
+    ("generated_claim_ids_type", "", lambda v: v["object"] & ~is_kind(v["links"], "ARRAY")),
+    ("duplicate_generated_claim_id", "", lambda v: F.size(F.array_distinct(v["names"])) < F.size(v["names"])),
+    ("unknown_generated_claim_id", "", lambda v: F.size(v["strange"]) > 0),
+    ("missing_with_links", "", lambda v: (v["status"] == "missing") & (F.size(v["names"]) > 0)),
+    ("verdict_without_links", "", lambda v: v["status"].isin("covered", "contradicted") & (F.size(v["names"]) == 0)),
+]
+
+
+def _lost(reference: Column, candidate: Column, prefix: str = "") -> Column:
+    """What a candidate must keep of a reference and doesn't."""
+    anchor = F.when(F.size(anchors.missing_anchors(reference, candidate)) > 0, F.lit(f"{prefix}exact_anchor_missing"))
+    return F.array_compact(F.array(anchor, F.when(loses_negation(reference, candidate), F.lit(f"{prefix}explicit_negation_missing"))))
+
+
+def _judged(judgment: Column, count: Column, lane: tuple, own: Callable[[Column, Column], Column]) -> Column:
+    """The verdict on a judgment: codes of its outer form, of each verdict (those of `own` with them) and of the verdicts' order."""
+    field_name, id_name, letter, fields, statuses, accepts = lane
+
+    def verdicts(v: Column) -> Column:
+        return F.transform(items(field(v, field_name)), lambda x: F.struct(
+            is_kind(x, "OBJECT").alias("object"), keys(x).alias("keys"), string(field(x, "status")).alias("status"), field(x, "rationale").alias("rationale"),
+            field(x, fields[2]).alias("links"), items(field(x, fields[2])).alias("evidence"), string(field(x, id_name)).alias("id"),
+        ))
+
+    def verdict(v: Column) -> Column:
+        outer = F.array_compact(F.array(
+            F.when(~_same(keys(v), ("schema_version", field_name)), F.lit("fields")), F.when(~string(field(v, "schema_version")).eqNullSafe(VERSION), F.lit("schema_version")),
+            F.when(~is_kind(field(v, field_name), "ARRAY"), F.lit("verdicts_type")),
+        ))
+
+        def of(all_: Column) -> Column:
+            each = F.flatten(F.transform(all_, lambda x, i: F.concat(_codes(_forms(fields, statuses), x), own(x, i))))
+            wanted = F.when(count > 0, F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.concat(F.lit(letter), i.cast("string")))).otherwise(F.array().cast("array<string>"))
+            found = F.transform(F.filter(all_, lambda x: x["object"]), lambda x: x["id"])
+            order = F.when(found.eqNullSafe(wanted), F.array().cast("array<string>")).otherwise(F.array(F.lit("id_order")))
+            codes = F.when(is_kind(v, "OBJECT"), F.concat(outer, each, order)).otherwise(F.array(F.lit("root_type")))
+            good = F.size(F.filter(all_, lambda x: x["status"] == accepts))
+            return given(codes, lambda c: given(F.when(F.size(c) == 0, good).otherwise(0).cast("long"), lambda n: F.struct(
+                (F.size(c) == 0).alias("valid"), c.alias("codes"), count.cast("long").alias("claims"), n.alias("accepted"), F.when(count > 0, n / count).otherwise(0.0).alias("rate"), ((count > 0) & (n == count)).alias("passes"),
+            )))
+
+        return given(verdicts(v), of)
+
+    return given(json_value(judgment), verdict)
+
+
+def support(judgment: Column, claims: Column, sources: Column) -> Column:
+    """The verdict on a judgment (JSON) that claims are supported; claims and sources: JSON arrays of text and citation_ids, of citation_id and text."""
+    said = F.coalesce(F.from_json(claims, "array<struct<text:string,citation_ids:array<string>>>"), F.from_json(F.lit("[]"), "array<struct<text:string,citation_ids:array<string>>>"))
+    texts = F.from_json(sources, "array<struct<citation_id:string,text:string>>")
+    text_of = lambda name: F.coalesce(F.get(F.filter(texts, lambda s: s["citation_id"] == name), F.lit(0))["text"], F.lit(""))
+
+    def own(v: Column, i: Column) -> Column:
+        cited = F.coalesce(F.get(said, i)["citation_ids"], F.array().cast("array<string>"))
+
+        def piece(e: Column) -> Column:
+            source, quote = string(field(e, "citation_id")), F.coalesce(string(field(e, "quote")), F.lit(""))
+            return F.struct(
+                (is_kind(e, "OBJECT") & _same(keys(e), ("citation_id", "quote"))).alias("formed"), F.to_json(e).alias("key"), F.coalesce(F.array_contains(cited, source), F.lit(False)).alias("cited"),
+                quote.alias("quote"), text_of(source).alias("source"),
+            )
+
+        def evidence(pieces: Column) -> Column:
+            names = ("formed", "key", "cited", "quote", "source")
+            earlier = lambda k: F.slice(F.transform(pieces, lambda p: p["key"]), F.lit(1), k)
+            return F.flatten(F.transform(pieces, lambda p, k: _codes(EVIDENCE_RULES, F.struct(*[p[n].alias(n) for n in names], earlier(k).alias("earlier")))))
+
+        claim = F.get(said, i)
+        lost = _lost(claim["text"], F.array_join(F.transform(cited, text_of), "\n"))
+        kept = F.when((v["status"] == "supported") & claim.isNotNull(), lost).otherwise(F.array().cast("array<string>"))
+        return F.concat(_codes(SUPPORT_RULES, v), given(F.transform(v["evidence"], piece), evidence), F.coalesce(kept, F.array().cast("array<string>")))
+
+    return _judged(judgment, F.size(said), _SUPPORT, own)
+
+
+def coverage(judgment: Column, required: Column, claims: Column) -> Column:
+    """The verdict on a judgment (JSON) that an answer's claims cover the required ones (arrays of texts)."""
+
+    def own(v: Column, i: Column) -> Column:
+        names = F.transform(v["evidence"], lambda x: F.coalesce(string(x), F.to_json(x)))
+        place = lambda n: F.when(n.rlike(r"^g[1-9]\d{0,8}$"), F.substring(n, 2, 9).cast("int"))
+        strange = F.filter(names, lambda n: ~F.coalesce(place(n) <= F.size(claims), F.lit(False)))
+        parsed = F.struct(*[v[c].alias(c) for c in ("object", "status", "links")], names.alias("names"), strange.alias("strange"))
+
+        def of(x: Column) -> Column:
+            said = F.array_join(F.transform(x["names"], lambda n: F.get(claims, place(n) - 1)), " ")
+            needed = F.get(required, i)
+            kept = F.when((x["status"] == "covered") & (F.size(x["strange"]) == 0) & needed.isNotNull(), _lost(needed, said, "coverage_"))
+            return F.concat(_codes(COVERAGE_RULES, x), F.coalesce(kept, F.array().cast("array<string>")))
+
+        return given(parsed, of)
+
+    return _judged(judgment, F.size(required), _COVERAGE, own)
 
 
 def claim_level_pass(valid: Column, supported: Column, covered: Column) -> Column:

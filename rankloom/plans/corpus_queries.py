@@ -272,4 +272,4 @@ def lost_anchors(spark, d):
     u = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     both = u.join(a, ["conv_id", "turn"])
-    return both.select("conv_id", "turn", F.array_join(anchors.missing_anchors("question", "answer"), " ").alias("missing"), tx.loses_negation(F.col("question"), F.col("answer")).alias("lost_negation"))
+    return both.select("conv_id", "turn", F.array_join(anchors.missing_anchors(F.col("question"), F.col("answer")), " ").alias("missing"), tx.loses_negation(F.col("question"), F.col("answer")).alias("lost_negation"))

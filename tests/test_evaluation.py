@@ -79,20 +79,38 @@ def test_support_and_coverage_verdicts(spark):
     v = lambda i, status, evidence, **kw: {"generated_claim_id": i, "status": status, "evidence": evidence, "rationale": "r"} | kw
     judged = lambda *vs: {"schema_version": "1.0.0", "claim_verdicts": list(vs)}
     one, two = v("g1", "supported", [{"citation_id": "S1", "quote": "about 20"}]), v("g2", "supported", [{"citation_id": "S2", "quote": "never"}])
-    assert judging.support_codes(judged(one, two), claims, sources) == ([], 2)
-    assert judging.support_codes(judged(two, one), claims, sources)[0] == ["uncited_evidence", "uncited_evidence", "id_order"]
-    assert judging.support_codes(judged(one, v("g2", "unsupported", [], rationale=" ")), claims, sources) == (["rationale"], 0)
-    assert judging.support_codes(judged(one, v("g2", "supported", [{"citation_id": "S2", "quote": "always"}])), claims, {"S1": "it waits 5 seconds, about 20", "S2": "it is safe"})[0] == ["exact_anchor_missing", "quote_not_found", "explicit_negation_missing"]
-    assert judging.support_codes(judged(v("g1", "supported", []), v("g2", "maybe", None)), claims, sources)[0] == ["evidence_required", "status", "evidence_type"]
-    assert judging.support_codes([], claims, sources) == (["root_type"], 0)
+    texts = lambda m: json.dumps([{"citation_id": k, "text": t} for k, t in m.items()])
+    changed = {"S1": "it waits 5 seconds, about 20", "S2": "it is safe"}
+    again, always = [{"citation_id": "S1", "quote": "about 20"}] * 2, [{"citation_id": "S2", "quote": "always"}]
+    runs = [
+        (judged(one, two), sources, [], 2),
+        (judged(two, one), sources, ["uncited_evidence", "uncited_evidence", "id_order"], 0),
+        (judged(one, v("g2", "unsupported", [], rationale=" ")), sources, ["rationale"], 0),
+        (judged(one, v("g2", "supported", always)), changed, ["exact_anchor_missing", "quote_not_found", "explicit_negation_missing"], 0),
+        (judged(v("g1", "supported", []), v("g2", "maybe", None)), sources, ["evidence_required", "status", "evidence_type"], 0),
+        (judged(v("g1", "supported", again), v("g2", "unsupported", always, more=1)), sources, ["duplicate_evidence", "verdict_fields", "unsupported_with_evidence", "quote_not_found"], 0),
+        (judged(v("g1", "contradicted", [{"citation_id": "S1", "quote": " "}, 3]), 7), sources, ["evidence_fields", "empty_quote", "verdict_type", "id_order"], 0),
+        ({"schema_version": "2", "claim_verdicts": 1, "x": 2}, sources, ["fields", "schema_version", "verdicts_type", "id_order"], 0),
+        ([], sources, ["root_type"], 0),
+    ]
+    d = spark.createDataFrame([(n, json.dumps(j), json.dumps(claims), texts(o)) for n, (j, o, *_) in enumerate(runs)], "n int, j string, c string, o string")
+    got = {r.n: r.s for r in d.select("n", judging.support(F.col("j"), F.col("c"), F.col("o")).alias("s")).collect()}
+    assert [(sorted(got[n].codes), got[n].accepted, got[n].valid) for n in range(len(runs))] == [(sorted(codes), good, not codes) for *_, codes, good in runs]
     c = lambda i, status, links, **kw: {"required_claim_id": i, "status": status, "generated_claim_ids": links, "rationale": "r"} | kw
     covered = lambda *vs: {"schema_version": "1.0.0", "required_claim_verdicts": list(vs)}
     need, have = ["waits 20 seconds", "not safe"], [x["text"] for x in claims]
-    assert judging.coverage_codes(covered(c("r1", "covered", ["g1"]), c("r2", "missing", [])), need, have) == ([], 1)
-    assert judging.coverage_codes(covered(c("r1", "covered", ["g2"]), c("r2", "covered", ["g1", "g1", "g9"])), need, have)[0] == ["coverage_exact_anchor_missing", "duplicate_generated_claim_id", "unknown_generated_claim_id"]
-    assert judging.coverage_codes(covered(c("r1", "missing", ["g1"]), c("r2", "contradicted", [])), need, have)[0] == ["missing_with_links", "verdict_without_links"]
+    runs = [
+        (covered(c("r1", "covered", ["g1"]), c("r2", "missing", [])), [], 1),
+        (covered(c("r1", "covered", ["g2"]), c("r2", "covered", ["g1", "g1", "g9"])), ["coverage_exact_anchor_missing", "duplicate_generated_claim_id", "unknown_generated_claim_id"], 0),
+        (covered(c("r1", "missing", ["g1"]), c("r2", "contradicted", [])), ["missing_with_links", "verdict_without_links"], 0),
+        (covered(c("r1", "covered", "g1")), ["generated_claim_ids_type", "verdict_without_links", "coverage_exact_anchor_missing", "id_order"], 0),
+        (covered(c("r1", "covered", ["g1"]), c("r2", "covered", ["g1"])), ["coverage_explicit_negation_missing"], 0),
+    ]
+    d = spark.createDataFrame([(n, json.dumps(j), need, have) for n, (j, *_) in enumerate(runs)], "n int, j string, need array<string>, have array<string>")
+    got = {r.n: r.s for r in d.select("n", judging.coverage(F.col("j"), F.col("need"), F.col("have")).alias("s")).collect()}
+    assert [(sorted(got[n].codes), got[n].accepted) for n in range(len(runs))] == [(sorted(codes), good) for _, codes, good in runs]
     row = (json.dumps(judged(one, two)), json.dumps(claims), json.dumps([{"citation_id": k, "text": t} for k, t in sources.items()]), json.dumps(covered(c("r1", "covered", ["g1"]))), need[:1], have)
-    d = spark.createDataFrame([row], "s string, c string, o string, k string, need array<string>, have array<string>").select(judging.support("s", "c", "o").alias("s"), judging.coverage("k", "need", "have").alias("k"))
+    d = spark.createDataFrame([row], "s string, c string, o string, k string, need array<string>, have array<string>").select(judging.support(F.col("s"), F.col("c"), F.col("o")).alias("s"), judging.coverage(F.col("k"), F.col("need"), F.col("have")).alias("k"))
     r = d.withColumn("p", judging.claim_level_pass(F.lit(True), F.col("s"), F.col("k"))).first()
     assert r.p and (r.s.accepted, r.s.rate, r.k.claims) == (2, 1.0, 1)
 

@@ -38,11 +38,26 @@ def test_nli_retention_and_attempts(spark):
 
 def test_anchors(spark):
     text = "See https://x.example/a1. Set `Max Retries` to $3 in conf/app.yml, 20 failed requests, twice 1.5% `2`"
-    assert anchors.find(text) == ["https://x.example/a1", "max retries", "2", "conf/app.yml", "3", "20", "1.5%", "<numeric-unit:20:request>", "<quantity:twice>"]
-    assert anchors.missing("20 failed requests", "requests of about 20") == [] and anchors.missing("20 requests", "20 of the many other requests") == ["<numeric-unit:20:request>"]
-    assert anchors.missing("limit 7, twice", "limit 8, two times") == ["7"] and anchors.missing("once", "never") == ["<quantity:once>"] and anchors.find(None) == []
-    r = spark.createDataFrame([("limit 7, do not", "limit 8")], "a string, b string").select(anchors.exact_anchors("a").alias("x"), anchors.missing_anchors("a", "b").alias("m"), tx.loses_negation(F.col("a"), F.col("b")).alias("n")).first()
-    assert r.x == ["7"] and r.m == ["7"] and r.n
+    runs = [
+        (text, "", ["https://x.example/a1", "max retries", "2", "conf/app.yml", "3", "20", "1.5%", "<numeric-unit:20:request>", "<quantity:twice>"], None),
+        ("20 failed requests", "requests of about 20", None, []),
+        ("20 requests", "20 of the many other requests", None, ["<numeric-unit:20:request>"]),
+        ("limit 7, twice", "limit 8, two times", None, ["7"]),
+        ("once", "never", ["<quantity:once>"], ["<quantity:once>"]),
+        (None, "x", [], []),
+        ("a/b/https://y.example/1", "https://y.example/1", ["https://y.example/1"], []),  # a path that runs into an address is none
+        ("1.5.2 a/2b #9 `x/1`", None, ["x/1", "a/2b", "1.5.2", "9"], ["x/1", "a/2b", "1.5.2", "9"]),
+        ("costs $5 (5)", "5", ["5"], []),
+        ("2 hosts", "with hosts at most 2", ["2", "<numeric-unit:2:host>"], []),
+    ]
+    d = spark.createDataFrame([(n, a, b) for n, (a, b, *_) in enumerate(runs)], "n int, a string, b string")
+    got = {r.n: r for r in d.select("n", anchors.exact_anchors(F.col("a")).alias("x"), anchors.missing_anchors(F.col("a"), F.col("b")).alias("m")).collect()}
+    for n, (_, _, exact, missing) in enumerate(runs):
+        assert exact is None or got[n].x == exact
+        assert missing is None or got[n].m == missing
+    lost = tx.loses_negation(F.col("a"), F.col("b"))
+    assert spark.createDataFrame([("limit 7, do not", "limit 8")], "a string, b string").select(lost.alias("n")).first().n
+
 
 def test_distinct_prefix_length_looks_beyond_sixty_vectors(spark, tmp_path):
     rows = [(0, [1.0, 0.0], 0)] + [(i, [1.0 - i / 1000, 0.0], i % 4) for i in range(1, 80)] + [(80, [0.1, 0.0], 4)]

@@ -182,57 +182,35 @@ def test_citation_metrics_parsing_and_rendering(spark):
     assert "pattern" in contracts.response_format([], ["answer"])["json_schema"]["schema"]["properties"]["claims"]["items"]["properties"]["citation_ids"]["items"]
 
 
-def batch(*ids, benchmark="hotpotqa"):
-    return [{"case_id": i, "benchmark_id": benchmark, "citation_ids": ["D1", "D2"]} for i in ids]
-
-
-def test_each_repair_is_recorded():
+def test_provider_output_is_read_and_checked(spark):
     r = lambda i, p="x", c=("D1",): {"case_id": i, "prediction": p, "citation_ids": list(c)}
-    good = json.dumps({"results": [r("case-1"), r("case-2")]}, separators=(",", ":"))
-    two, one = batch("case-1", "case-2"), batch("case-1")
-    flat = "{" + ",".join(json.dumps(r(i))[1:-1] for i in ("case-1", "case-2")) + "}"
-    merged = '{"results":[' + flat + "]}"
-    runs = {
-        good: (two, []),
-        f"```json\n{good}\n```": (two, ["stripped_markdown_fence"]),
-        good + "`": (two, ["stripped_trailing_backtick"]),
-        good[:-1]: (two, ["restored_missing_root_closer"]),
-        flat: (two, ["regrouped_flattened_result_fields"]),
-        merged: (two, ["split_merged_result_fields"]),
-        good + "}": (two, ["stripped_extra_trailing_closer"]),
-        json.dumps(r("case-1")) + "," + json.dumps(r("case-2")): (two, ["wrapped_comma_separated_results", "wrapped_results_array"]),
-        json.dumps([r("case-1"), r("case-2")]): (two, ["wrapped_results_array"]),
-        json.dumps([r("case-1"), r("case-2")])[1:]: (two, ["restored_missing_array_opener", "wrapped_results_array"]),
-        json.dumps(r("case-1")): (one, ["wrapped_single_result"]),
-        json.dumps({"results": [r("cas-1"), r("case-2")]}): (two, ["restored_near_case_id_from_frozen_order"]),
-    }
-    for text, (b, events) in runs.items():
-        value, got, error = provider.repair(text, b)
-        assert (got, error) == (events, None) and provider.output_violations(value, b) == [], text
-    fever = batch("case-1", benchmark="fever")
-    value, got, _ = provider.repair(json.dumps({"results": [{"case_id": "case-1", "prediction": "__UNANSWERABLE__"}]}), fever)
-    assert got == ["canonicalized_fever_abstention_label", "restored_empty_abstention_citations"] and provider.output_violations(value, fever) == []
-    nq = batch("case-1", benchmark="natural_questions")
-    value, got, _ = provider.repair(json.dumps({"results": [r("case-1", ["a", "b"])]}), nq)
-    assert got == ["serialized_nq_prediction_string_array"] and value["results"][0]["prediction"] == "a; b" and len(provider.EVENTS) == 14
-    assert provider.repair("Sure: {}", one)[2] == "invalid_json" and provider.repair(None, one)[2] == "invalid_json"
-
-
-def test_output_violations_and_slots(spark):
-    b = batch("c1", "c2", benchmark="fever")
-    bad = {"results": [{"case_id": "c1", "prediction": "maybe", "citation_ids": ["D9"]}, {"case_id": "c1", "prediction": "not_enough_info", "citation_ids": ["D1"]}]}
-    assert provider.output_violations(bad, b) == ["c1: citations", "c1: label", "c2: order", "c2: abstention_cites"]
-    assert provider.output_violations([], b) == ["root"] and provider.output_violations({"results": []}, b) == ["result_count"]
-    fine = lambda item: {"case_id": item["case_id"], "prediction": "refutes", "citation_ids": []}
-    value, again = provider.recover_slots(bad, b, fine)
-    assert again == ["c1", "c2"] and provider.output_violations(value, b) == []
-    assert provider.recover_slots(bad, b, lambda item: {})[0] is bad
-    old = [{"citation_ids": ["D1"]}, {"citation_ids": []}]
-    done = {"results": [{"case_id": "c1", "citation_ids": ["D2"]}, {"case_id": "c2", "citation_ids": ["D1", "D2"]}]}
-    assert provider.completion_violations(done, b, old) == ["c1: removed"]
-    rows_ = spark.createDataFrame([("x", [("c1", "fever", ["D1"])]), (json.dumps(fine({"case_id": "c1"})), [("c1", "fever", ["D1"])])], "raw string, batch array<struct<case_id:string,benchmark_id:string,citation_ids:array<string>>>")
-    got = [(r.repaired.error, r.repaired.events, r.repaired.violations) for r in provider.audited(rows_, "raw", "batch").collect()]
-    assert got == [("invalid_json", [], ["invalid_json"]), (None, ["wrapped_single_result"], [])]
+    good = json.dumps({"results": [r("c1"), r("c2")]}, separators=(",", ":"))
+    two, fever = [("c1", "hotpotqa", ["D1", "D2"]), ("c2", "hotpotqa", ["D1", "D2"])], [("c1", "fever", ["D1", "D2"]), ("c2", "fever", ["D1", "D2"])]
+    runs = [
+        (good, two, [], None, []),
+        (f" ```json\n{good}\n```", two, ["stripped_markdown_fence"], None, []),
+        (good + "`", two, ["stripped_trailing_backtick"], None, []),
+        (good[:-1], two, ["restored_missing_root_closer"], None, []),
+        (good + "}", two, ["stripped_extra_trailing_closer"], None, []),
+        (json.dumps([r("c1"), r("c2")]), two, ["wrapped_results_array"], None, []),
+        (json.dumps(r("c1")), two[:1], ["wrapped_single_result"], None, []),
+        ("Sure: " + good, two, [], "invalid_json", ["invalid_json"]),
+        (good + " done", two, [], "invalid_json", ["invalid_json"]),
+        (None, two, [], "invalid_json", ["invalid_json"]),
+        ('{"results": []}', two, [], None, ["result_count"]),
+        (json.dumps({"results": [r("c1", "maybe", ["D9"]), r("c1", "not_enough_info")]}), fever, [], None, ["c1: citations", "c1: label", "c2: order", "c2: abstention_cites"]),
+        (json.dumps({"results": [{"case_id": "c1"}, r("c2", " ", ["D1", "D1"])]}), two, [], None, ["c1: fields", "c2: empty_prediction", "c2: citations"]),
+    ]
+    d = spark.createDataFrame([(n, raw, b) for n, (raw, b, *_) in enumerate(runs)], "n int, raw string, batch array<struct<case_id:string,benchmark_id:string,citation_ids:array<string>>>")
+    out = {x.n: x.repaired for x in provider.audited(d, "raw", "batch").collect()}
+    assert [(out[n].events, out[n].error, out[n].violations) for n in range(len(runs))] == [(e, error, v) for _, _, e, error, v in runs]
+    assert json.loads(out[1].value) == json.loads(good) and out[7].value is None
+
+
+def test_only_whole_texts_are_json(spark):
+    texts = ["{}", " [1] ", "{}}", "{} x", '1,"end"]', "", "1", None, "{}] {", '"a"']
+    d = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "n int, t string")
+    assert sorted(r.n for r in d.where(contracts.json_value(F.col("t")).isNotNull()).collect()) == [0, 1, 6, 9]
 
 
 def test_majority_gate_and_shards(spark):
