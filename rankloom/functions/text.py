@@ -22,20 +22,32 @@ SENTINEL = "__UNANSWERABLE__"
 
 @cache
 def _folds() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """What case folding changes beyond lower case: letters for letters, and letters for several."""
-    lower = [c for c in map(chr, range(0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c != c.casefold()]
+    """What case folding changes beyond lower case: letters for letters, and letters for several; the sharp s is apart."""
+    lower = [c for c in map(chr, range(0x20000)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c != c.casefold() and c != "ß"]
     one = [c for c in lower if len(c.casefold()) == 1]
     return "".join(one), "".join(c.casefold() for c in one), tuple((c, c.casefold()) for c in lower if len(c.casefold()) > 1)
 
 
+def _ranges(letters: str) -> str:
+    """A class of letters by ranges: a regular expression tries the members of a class one after another."""
+    points, out = sorted(map(ord, letters)), []
+    for p in points:
+        if out and out[-1][1] == p - 1:
+            out[-1][1] = p
+        else:
+            out.append([p, p])
+    return "[" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in out) + "]"
+
+
 def casefold(text: Column) -> Column:
-    """Full case folding in the JVM: lower case, and beyond it where a text is not ASCII. Only texts with letters that fold to several pay for these."""
+    """Full case folding in the JVM: lower case with the sharp s as two; the other letters that fold further are rare, and only texts that have one pay for them."""
     ones, to, many = _folds()
-    wide = F.translate(F.lower(text), ones, to)
-    rare = "[" + "".join(c for c, _ in many) + "]"
+    low = F.replace(F.lower(text), F.lit("ß"), F.lit("ss"))
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in many])
-    wide = F.when(wide.rlike(rare), F.aggregate(pairs, wide, lambda acc, p: F.replace(acc, p["a"], p["b"]))).otherwise(wide)
-    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(wide)
+    wide = F.aggregate(pairs, F.translate(low, ones, to), lambda acc, p: F.replace(acc, p["a"], p["b"]))
+    rare = ones + "".join(c for c, _ in many)
+    beyond = rf"[µ\x{{{min(ord(c) for c in rare if c != 'µ'):x}}}-\x{{10ffff}}]"  # what most texts don't have, by two members
+    return F.when(low.rlike(beyond) & low.rlike(_ranges(rare)), wide).otherwise(low)
 
 
 def tokens(text: Column) -> Column:
