@@ -29,7 +29,10 @@ def shared_dir(spark: SparkSession) -> str:
     if at:
         return at.rstrip("/")
     if not conf.get("spark.master", "").startswith("local[") and conf.get("spark.master", "") != "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_rankloom"
+        house = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if spark._jvm.org.apache.hadoop.fs.Path(house).toUri().getScheme() in (None, "file"):
+            raise ValueError("a cluster needs spark.checkpoint.dir, or a warehouse that all machines share")
+        return house + "/_rankloom"
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="rankloom-"))
         atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
@@ -48,6 +51,11 @@ def delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def there(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def release(spark: SparkSession, paths: list[str] | None = None) -> None:
     """Delete staged tables: those of `paths`, or all that this session has left."""
     for entry in [e for e in _staged if e[0] is spark and (paths is None or e[1] in paths)]:

@@ -1,7 +1,8 @@
 """Exact deduplication as a stateful stream with disk-backed keyed state that never expires.
 
 The rows' digests, with id and content locator (file and row index), go to a log in the shared folder. A stream over the log keeps, for
-each digest, the smallest id, its locator and a count in RocksDB state: no watermark, so nothing expires. A run's state is its own: it is deleted
+each digest, the smallest id, its locator and a count in RocksDB state: no watermark, so nothing expires. With a `state` folder a later run goes on from what
+earlier ones have kept: its documents meet theirs, its report has its own rows only, and the row that stays is the smallest of all runs so far. Without one, the state is deleted
 with the run's other tables. Every hit is then checked against the full bytes at its group's locator; rows whose bytes differ although
 the digests agree are grouped by their bytes instead. A hashed bitmap of bounded size keeps all other texts in their scan. DataFrame operators only.
 
@@ -16,11 +17,13 @@ Further columns are not read, whatever their names.
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import LOCATOR, WS, Stage, clean_text, may_be_in, pick, settled, with_locator
+from ._common import LOCATOR, WS, Stage, clean_text, may_be_in, pick, settled, there, with_locator
 
 #: A group of more than 1 / PARTS of all rows meets its rows in parts.
 PARTS = 1000
@@ -45,11 +48,12 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def keep_state(spark: SparkSession, log_path: str, log: DataFrame, stage: Stage, files_per_batch: int = 4096) -> DataFrame:
-    """(digest, first, n) after the whole log has gone through the stateful stream; `first` orders by id, then locator."""
+def keep_state(spark: SparkSession, log_path: str, log: DataFrame, stage: Stage | None, files_per_batch: int = 4096) -> DataFrame:
+    """(digest, first, n) after the whole log has gone through the stateful stream; `first` orders by id, then locator. Without a stage the state lasts beside the log."""
     out, state = f"{log_path}-state", f"{log_path}-progress"
-    stage.adopt("state", out)
-    stage.adopt("progress", state)
+    if stage is not None:
+        stage.adopt("state", out)
+        stage.adopt("progress", state)
     before = {k: spark.conf.get(k, None) for k in _STATE}
     for k, v in _STATE.items():
         spark.conf.set(k, v)
@@ -66,20 +70,60 @@ def keep_state(spark: SparkSession, log_path: str, log: DataFrame, stage: Stage,
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     schema = state_rows.withColumn("at", F.lit(0)).schema
-    changes = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out) if query.lastProgress else spark.createDataFrame([], schema)
+    changes = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out) if there(spark, out) else spark.createDataFrame([], schema)
     if query.lastProgress and query.lastProgress["batchId"] == 0:
         return changes.drop("at")
     return changes.groupBy("digest").agg(F.max_by(F.struct("first", "n"), "at").alias("last")).select("digest", "last.first", "last.n")
 
 
-def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 4096) -> DataFrame:
-    """A row for each input row: its locator, id, keep_id, group_size, kept and text_sha256."""
+def _earlier_texts(spark: SparkSession, state: str, groups: DataFrame, log: DataFrame) -> DataFrame:
+    """(digest, keep_body) of groups whose kept row came in an earlier run, read again from where it lies."""
+    gone = groups.join(log.select(F.col(LOCATOR).alias("keep_at")), "keep_at", "left_anti").withColumn("file", F.substring_index("keep_at", "#", 1))
+    files = spark.read.parquet(f"{state}/files").distinct().join(gone.select("file").distinct(), "file", "left_semi").groupBy("path", "id_name", "text_name").agg(F.first("file").alias("file"))
+    out = None
+    for names, paths in _by_names(files).items():
+        old = spark.read.parquet(*paths)
+        rows = with_locator(old, [pick(old, names[1]).cast("string").alias("text")])
+        found = rows.join(gone.select("digest", "keep_at"), F.col(LOCATOR) == F.col("keep_at")).select("digest", normal(F.col("text")).alias("keep_body"))
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else gone.select("digest", F.lit(None).cast("string").alias("keep_body")).limit(0)
+
+
+def _by_names(files: DataFrame) -> dict[tuple[str, str], list[str]]:
+    """The paths of input files (Spark's driver lists them to read them) by the names of their columns."""
+    out: dict[tuple[str, str], list[str]] = {}
+    for r in files.toLocalIterator():
+        out.setdefault((r.id_name, r.text_name), []).append(r.path)
+    return out
+
+
+def _lasting(docs: DataFrame, state: str) -> DataFrame:
+    """`docs`, if its rows lie in files, else a copy beside the state: a later run must be able to read a kept row again."""
+    try:
+        docs.select("_metadata.file_path")
+        return docs
+    except AnalysisException:
+        path = f"{state}/rows-{uuid4().hex}"
+        docs.write.parquet(path)
+        return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
+def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256, files_per_batch: int = 4096, state: str | None = None) -> DataFrame:
+    """A row for each input row: its locator, id, keep_id, group_size, kept and text_sha256. `state`: a shared folder that this run goes on from and leaves for the next."""
     spark, stage = docs.sparkSession, Stage(docs.sparkSession, "exact")
+    docs = _lasting(docs, state) if state else docs
     key, text = pick(docs, id_col), pick(docs, text_col)
     placed = with_locator(docs, [key.alias("id"), text.cast("string").alias("text")], stage)
     body = normal(F.col("text"))
     log = stage.write("log", placed.select(LOCATOR, "id", digest(body).alias("digest"), sha256(body).alias("text_sha256") if digest is not sha256 else F.lit(None).cast("string").alias("text_sha256")))
-    groups = stage.write("groups", keep_state(spark, stage.paths["log"], log, stage, files_per_batch).where("n > 1"))
+    if state:
+        log.write.mode("append").parquet(f"{state}/log")
+        places = docs.select(F.hex(F.xxhash64("_metadata.file_path")).alias("file"), F.col("_metadata.file_path").alias("path"), F.lit(id_col).alias("id_name"), F.lit(text_col).alias("text_name")).distinct()
+        places.write.mode("append").parquet(f"{state}/files")
+        held = keep_state(spark, f"{state}/log", log, None, files_per_batch)
+    else:
+        held = keep_state(spark, stage.paths["log"], log, stage, files_per_batch)
+    groups = stage.write("groups", held.where("n > 1"))
     stage.drop("state", "progress")
     groups = groups.select("digest", "n", F.col("first.id").alias("keep_id"), F.col(f"first.{LOCATOR}").alias("keep_at"))
     # groups of more than 1 / PARTS of all rows, PARTS at most, meet their rows in parts; a row's part follows from its locator
@@ -89,12 +133,14 @@ def decide(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dige
     parts = stage.write("parts", in_parts(groups).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts"))
     members = in_parts(log).withColumn("salt", F.pmod(F.xxhash64(LOCATOR), F.col("salts")).cast("int")).drop("salts")
     members = stage.write("members", members.join(parts, ["digest", "salt"], "left"))
-    stage.drop("log", "groups")
+    stage.drop(*([] if state else ["log", "groups"]))  # with a state, earlier texts are found by them
     # full bytes of hits and of what they hit
     hits = stage.write("hits", members.where("keep_at is not null").select(F.col(LOCATOR).alias("at"), "digest", "salt", "keep_at"))
     texts = may_be_in(placed.select(LOCATOR, "text"), LOCATOR, hits, stage, "hit-filter").where("__may").drop("__may")
     texts = stage.write("texts", texts.join(hits, F.col(LOCATOR) == F.col("at")).select("at", "digest", "salt", "keep_at", body.alias("body")))
     kept = texts.where("at = keep_at").select("digest", F.col("body").alias("keep_body"))
+    if state:
+        kept = kept.unionByName(_earlier_texts(spark, state, groups, log))
     kept = kept.join(parts.select("digest", "salt"), "digest")
     differ = texts.where("at <> keep_at").join(kept, ["digest", "salt"]).where(F.col("body") != F.col("keep_body")).select("at", "digest", "body")
     differ = stage.write("differ", differ)

@@ -29,16 +29,17 @@ def held_out(id_column: Column, folds: int = 5) -> Column:
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs_per_lang: int = 400, snippet: int = 600) -> dict[str, bytes]:
-    """A dictionary a language: of `docs_per_lang` texts drawn by hash (all, where there are fewer) a window of `snippet` characters each, whole."""
+    """A dictionary a language: of `docs_per_lang` texts drawn by hash (all, where there are fewer) a window of `snippet` characters each, whole, anywhere in the text by another hash."""
     key, text, lang = pick(docs, id_col), pick(docs, text_col), pick(docs, lang_col).cast("string")
     usable = lang.isNotNull() & key.isNotNull() & ~held_out(key) & text.rlike(r"\p{L}")
     rows = docs.where(usable).select(key.cast("string").alias("k"), text.cast("string").alias("t"), lang.alias("l"))
     counts = {r.l: r.n for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row a language
     if not counts:
         return {}
-    u = F.conv(F.substring(F.md5("k"), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    hashed = lambda at: F.conv(F.substring(F.md5("k"), at, 8), 16, 10).cast("double") / float(1 << 32)
+    u, place = hashed(1), hashed(9)  # whether a text is drawn says nothing of where its window lies
     rate = F.create_map(*[F.lit(x) for l, n in counts.items() for x in (l, min(1.0, 1.5 * docs_per_lang / n))])
-    start = F.floor(u * F.greatest(F.length("t") - snippet, F.lit(0))).cast("int") + 1
+    start = F.floor(place * F.greatest(F.length("t") - snippet, F.lit(0))).cast("int") + 1
     drawn = rows.where(u < rate[F.col("l")]).select("l", u.alias("u"), "k", F.substring("t", start, F.lit(snippet)).alias("s"))
     parts: dict[str, list[bytes]] = {}
     for r in sorted(drawn.collect(), key=lambda r: (r.l, r.u, r.k, r.s)):  # languages x 1.5 docs_per_lang windows, bounded by the parameters

@@ -71,6 +71,25 @@ def test_exact_dedup_equals_a_plain_loop(spark, corpus, digest):
     assert sorted(normal(r.text) for r in kept.collect()) == sorted(groups)
 
 
+def test_exact_dedup_goes_on_from_its_state(spark, corpus, tmp_path):
+    """Three runs over parts of the rows, the last two over the state of those before, report what one run over all does, each of its own rows."""
+    rows = sorted({(r[0], *r[1:]) for r in corpus if r[0] is not None}, key=lambda r: r[0])  # later runs have larger ids, so no kept row is overtaken
+    docs_of(spark, rows).write.parquet(f"{tmp_path}/all")
+    whole = {(r.doc_id, r.keep_id, r.kept, r.text_sha256) for r in exact_dedup.report(spark.read.parquet(f"{tmp_path}/all")).collect()}
+    got, at = set(), f"file://{tmp_path}/state"
+    for n, (a, b) in enumerate([(0, 90), (90, 91), (91, 10**6)]):
+        part = docs_of(spark, rows[a:b])
+        if n != 1:  # the second run's rows lie in no file
+            part.write.parquet(f"{tmp_path}/part{n}")
+            part = spark.read.parquet(f"{tmp_path}/part{n}")
+        got |= {(r.doc_id, r.keep_id, r.kept, r.text_sha256) for r in exact_dedup.report(part, state=at).collect()}
+    assert got == whole
+    # texts that agree in their digest only are told apart from those of earlier runs too
+    one = lambda c: F.substring(exact_dedup.sha256(c), 1, 1)
+    first = {(r.doc_id, r.kept) for r in exact_dedup.report(spark.read.parquet(f"{tmp_path}/part0"), state=f"{at}-short", digest=one).collect()}
+    assert first == {(i, k) for i, _, k, _ in whole if i in {r[0] for r in rows[:90]}}
+
+
 def test_exact_dedup_in_several_batches(spark, corpus, tmp_path):
     """The log is streamed file by file: state goes on from batch to batch."""
     docs_of(spark, corpus).repartition(7).write.parquet(f"{tmp_path}/docs")

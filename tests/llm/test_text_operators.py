@@ -77,6 +77,13 @@ def test_language_equals_a_plain_loop_of_compressions(spark):
     assert one.best(b"some words") == ("a", 0.0)
 
 
+def test_windows_lie_anywhere_in_texts(spark):
+    """Texts that all begin alike: however many there are, few windows show the beginning."""
+    rows = [(i, "OPENING " * 40 + f"body{i} " * 1200, "en", "s", 0) for i in range(1500)]
+    learned = language_id.fit(spark.createDataFrame(rows, DOCS), docs_per_lang=100, snippet=100)["en"].split(b"\n")
+    assert len(learned) == 100 and sum(b"OPENING" in w for w in learned) < 20
+
+
 def test_language_of_an_empty_table(spark):
     assert language_id.identify(spark.createDataFrame([], DOCS)).count() == 0
     unlabelled = spark.createDataFrame([(1, "some text", None, None, 9)], DOCS)
