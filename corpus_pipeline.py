@@ -10,6 +10,8 @@ empty result, and further columns pass through (but names that the last stage ad
 
 from __future__ import annotations
 
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 
 from rankloom.llm import _common, decontaminate, exact_dedup, mixing, ngram_jaccard, toxicity
@@ -39,22 +41,24 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, keep_columns=True)
 
 
+#: The tables that the last stage staged, by thread and folder: runs in two threads, or over two folders, don't touch each other's.
+_own: dict[tuple[int, str], list[str]] = {}
+
+
 def _stage(function):
     """The stage before has been written, so the tables that it staged can go; those of other callers stay."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        _common.release(spark, _own)
+        run = threading.get_ident(), sf_dir
+        _common.release(spark, _own.pop(run, []))
         before = _common.staged(spark)
         out = function(spark, docs, sf_dir)
-        _own[:] = _common.staged(spark) - before
+        _own[run] = sorted(_common.staged(spark) - before)
         return out
 
     return run_stage
 
 
-#: The tables that the last stage staged.
-_own: list[str] = []
-
 STAGES = [
     ("toxicity", _stage(drop_toxic)),
     ("exact_dedup", _stage(drop_copies)),
@@ -67,17 +71,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents, each written as Parquet to the shared folder and read again."""
+    """The stages over documents, each written as Parquet to the shared folder and read again. What the last one reads stays until `_common.release(spark)`."""
     docs = _table(spark, sf_dir, "documents")
-    before = None
+    before: list[str] = []
     for k, (name, function) in enumerate(STAGES):
         out = function(spark, docs, sf_dir)
         if k == len(STAGES) - 1:
             return out
-        path = f"{_common.shared_dir(spark)}/rankloom-pipeline-{_common.uuid.uuid4().hex}-{name}"
+        path = _common.new_path(spark, f"pipeline-{name}")
         out.write.parquet(path)
         docs = spark.read.parquet(path)
-        if before:
-            _common.delete(spark, before)
-        before = path
+        _common.release(spark, before)
+        before = [path]
     return docs
