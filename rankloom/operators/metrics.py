@@ -13,17 +13,14 @@ from ..functions import stats
 from ..functions.text import SENTINEL, casefold, normalize_answer
 from ..staging import staged
 
-#: Parts of a sort order that running sums are made of.
-RANGES = 64
-
-
 def running(by: DataFrame, key: Column, sums: list[str], group: list[str] | None = None) -> DataFrame:
     """`by`, a row for each distinct key (and group), with the running sums up to and with each row as `upto_*`: sorted by ranges, whose totals are added up apart, so
     no task holds all keys."""
     group = group or []
-    rows = staged(by.withColumn("__k", key).repartitionByRange(RANGES, *group, "__k").withColumn("__p", F.spark_partition_id()), "ranges")
+    # as many ranges as the input's size asks for: adaptive execution merges small ones
+    rows = staged(by.withColumn("__k", key).repartitionByRange(*group, "__k").withColumn("__p", F.spark_partition_id()), "ranges")
     before = Window.partitionBy(*group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    totals = rows.groupBy(*group, "__p").agg(*[F.sum(c).alias(f"__{c}") for c in sums])  # at most RANGES rows a group
+    totals = rows.groupBy(*group, "__p").agg(*[F.sum(c).alias(f"__{c}") for c in sums])  # a row a range and group
     starts = totals.select(*group, "__p", *[F.coalesce(F.sum(f"__{c}").over(before), F.lit(0)).alias(f"__{c}") for c in sums])
     within = Window.partitionBy(*group, "__p").orderBy("__k").rowsBetween(Window.unboundedPreceding, 0)
     starts = starts.select(*[F.col(g).alias(f"__g{i}") for i, g in enumerate(group)], F.col("__p").alias("__range"), *[f"__{c}" for c in sums])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions.text import alnum_tokens, normalize_answer
+from ..staging import staged
+from . import random_trees
+from .metrics import running
 
 #: The thresholds of a sweep, the least citation precision of a selector, and the features of a candidate document.
 GRID = tuple(i / 100.0 for i in range(5, 96))
@@ -46,8 +51,15 @@ def logistic(features: Column, weights: list[float], bias: float) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-700.0), F.least(F.lit(700.0), z))))
 
 
-def fold_of(key: Column, folds: int = 5) -> Column:
-    return F.pmod(F.xxhash64(key.cast("string")), F.lit(folds)).cast("int")
+def stratified_folds(rows: DataFrame, key: str, label: str = "label", folds: int = 5, seed: int = 42) -> DataFrame:
+    """(key, fold): exact strata. Of each label the keys go to the folds in turn, in an order drawn by hash, and a label begins where the one before it ended, so a label's and all keys' numbers
+    differ by one at most between folds. A key is one unit, whose label is the largest of its rows (null: a stratum of its own).
+
+    The turn is a running count over ranges of the order, so no task holds a label whole.
+    """
+    one = rows.groupBy(F.col(key).alias("__key")).agg(F.max(label).alias("__label")).withColumn("one", F.lit(1))
+    one = staged(one.withColumn("__at", F.struct(F.coalesce(F.col("__label").cast("double"), F.lit(-1.0)), F.xxhash64(F.col("__key").cast("string"), F.lit(seed)), F.col("__key").cast("string"))), "strata")
+    return running(one, F.col("__at"), ["one"]).select(F.col("__key").alias(key), F.pmod(F.col("upto_one") - 1, F.lit(folds)).cast("int").alias("fold"))
 
 
 #: Families of models and how each is grown; those of trees differ from run to run only by their seed.
@@ -56,23 +68,29 @@ FAMILIES = {
     "random_forest": lambda: RandomForestClassifier(numTrees=200, maxDepth=8, minInstancesPerNode=5, featureSubsetStrategy="0.8", seed=42),
     "gradient_boosting": lambda: GBTClassifier(maxIter=100, maxDepth=3, minInstancesPerNode=5, seed=42),
 }
+#: The family that MLlib doesn't have.
+GROWN = {"extra_trees": random_trees.Growth(trees=100, depth=10, leaf=4, share=0.9)}
 
 
 def out_of_fold(rows: DataFrame, key: str, label: str = "label", folds: int = 5, family: str = "logistic_regression", balanced: bool = False) -> DataFrame:
     """The rows (with `features`, an array, and a label 0 or 1) and `probability`, from a model that has seen no row of the same key's fold. A fold whose others have one label only gets that label's share.
-    `balanced`: both labels weigh the same in training."""
+    Folds are strata of the label. Rows without a label are scored, but not learned from. `balanced`: both labels weigh the same in training."""
     kept = rows.columns
-    data = rows.withColumn("__fold", fold_of(F.col(key), folds)).withColumn("__x", array_to_vector("features")).withColumn("__y", F.col(label).cast("double"))
+    data = staged(rows.join(stratified_folds(rows, key, label, folds).withColumnRenamed("fold", "__fold"), key), "folds")
+    data = data.withColumn("__x", array_to_vector("features")).withColumn("__y", F.col(label).cast("double"))
     out = None
     for f in range(folds):
-        train, rest = data.where(F.col("__fold") != f), data.where(F.col("__fold") == f)
+        train, rest = data.where((F.col("__fold") != f) & F.col("__y").isNotNull()), data.where(F.col("__fold") == f)
         rate = train.agg(F.avg("__y").alias("r")).first().r
         if rate is None or rate in (0.0, 1.0):
             one = rest.select(*kept, F.lit(float(rate or 0.0)).alias("probability"))
+        elif family in GROWN:
+            growth = replace(GROWN[family], balanced=balanced)
+            one = random_trees.score(rest.select(*kept), random_trees.grow(train.select("features", F.col("__y").alias("label")), growth))
         else:
             weight = F.when(F.col("__y") == 1.0, 0.5 / rate).otherwise(0.5 / (1.0 - rate)) if balanced else F.lit(1.0)
             model = FAMILIES[family]().setFeaturesCol("__x").setLabelCol("__y").setProbabilityCol("__p").setRawPredictionCol("__raw").setPredictionCol("__guess").setWeightCol("__w").fit(train.withColumn("__w", weight))
-            one = model.transform(rest).select(*kept, F.get(vector_to_array("__p"), F.lit(1)).alias("probability"))
+            one = model.transform(rest.drop("__y")).select(*kept, F.get(vector_to_array("__p"), F.lit(1)).alias("probability"))
         out = one if out is None else out.unionByName(one)
     return out
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from rankloom.functions.text import tokens
 from rankloom.operators import contracts, corpus, metrics, policy, provider, ranking, sampling
+from rankloom.staging import staged
 
 
 def rows(df, *cols):
@@ -76,7 +77,7 @@ def test_running_sums_and_percentiles_equal_plain_python(spark, monkeypatch):
     import random
     import statistics
 
-    monkeypatch.setattr(metrics, "RANGES", 5)
+    monkeypatch.setattr(metrics, "staged", lambda df, tag: staged(df.repartitionByRange(5, "__k").withColumn("__p", F.spark_partition_id()), tag))  # several ranges, however small
     rng = random.Random(4)
     data = [(rng.choice("ab"), rng.choice([rng.random(), 0.5, -1.0])) for _ in range(300)] + [("a", None), ("c", 7.0)]
     r = spark.createDataFrame(data, "g string, v double")
