@@ -48,12 +48,16 @@ def abstain_below(rows: DataFrame, score: Column, threshold: float, sentinel: st
     return rows.withColumn("prediction", F.when(low, sentinel).otherwise(F.col("prediction"))).withColumn("citations", F.when(low, F.array().cast("array<string>")).otherwise(F.col("citations")))
 
 
+#: The labels of a fact check, as everywhere else.
+SUPPORTS, REFUTES, NO_INFO = "supports", "refutes", "not_enough_info"
+
+
 def nli_decision(rows: DataFrame, least: float = 0.75, ratio: float = 20.0) -> DataFrame:
     """(case_id, label, citations) of sentence scores (case_id, document_id, entail, contradict): the stronger side if it reaches `least`, citing what is within a factor of its best."""
     best = rows.groupBy("case_id").agg(F.max("entail").alias("e"), F.max("contradict").alias("c"))
-    side = F.when(F.greatest("e", "c") < least, "NOT_ENOUGH_INFO").when(F.col("e") >= F.col("c"), "SUPPORTED").otherwise("REFUTED")
+    side = F.when(F.greatest("e", "c") < least, NO_INFO).when(F.col("e") >= F.col("c"), SUPPORTS).otherwise(REFUTES)
     joined = rows.join(best.withColumn("label", side), "case_id")
-    own = F.when(F.col("label") == "SUPPORTED", F.col("entail")).when(F.col("label") == "REFUTED", F.col("contradict"))
+    own = F.when(F.col("label") == SUPPORTS, F.col("entail")).when(F.col("label") == REFUTES, F.col("contradict"))
     cite = F.when(own >= F.greatest("e", "c") / ratio, F.col("document_id"))
     return joined.groupBy("case_id", "label").agg(F.array_sort(F.collect_set(cite)).alias("citations"))
 

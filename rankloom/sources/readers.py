@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -14,14 +14,36 @@ def jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame
     return spark.read.schema(schema).json(path)
 
 
-def strict_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """As `jsonl`, with a row that is no object of this schema failing the query where it is met, with its file and text (files are split, so a line has no number). Values of another type than the schema's are such rows."""
+def _parsed(lines: DataFrame, schema: StructType) -> DataFrame:
+    """`lines` (value, ...) with `r`, the record, and `wrong`: no object of this schema; values of another type than the schema's are wrong too."""
+    full = schema if "__bad" in schema.fieldNames() else StructType([*schema.fields, StructField("__bad", StringType())])
+    rows = lines.withColumn("r", F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+    return rows.withColumn("wrong", F.json_object_keys("value").isNull() | F.col("r").isNull() | F.col("r.__bad").isNotNull())
+
+
+def jsonl_faults(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """(file, line, value) of the lines that are no record of this schema, lines counted from 1, blank ones too.
+
+    A file is read in splits, which know where they begin but not how many lines come before: a split's lines are counted, and the counts of a file's earlier splits added up. Only faults meet these counts.
+    """
+    places = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    lines = spark.read.text(path).select("value", *places)
+    splits = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("file", "block", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("lines"))
+    wrong = _parsed(lines.where(F.trim("value") != ""), schema).where("wrong")
+    return wrong.join(splits, ["file", "block"]).select("file", (F.col("lines") + F.col("at") - F.col("first") + 1).alias("line"), "value")
+
+
+def strict_jsonl(spark: SparkSession, path: str, schema: StructType, numbered: bool = False) -> DataFrame:
+    """As `jsonl`, with a row that is no object of this schema failing the query where it is met, with its file and text. `numbered`: the files are read through first, and the first fault is
+    raised at once with its line's number."""
+    if numbered and (fault := jsonl_faults(spark, path, schema).orderBy("file", "line").first()):
+        raise ValueError(f"not a record: {fault.file}:{fault.line}: {fault.value[:200]}")
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file")).where(F.trim("value") != "")
-    parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}) if "__bad" in schema.fieldNames() else F.from_json("value", StructType([*schema.fields, StructField("__bad", StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"})
-    rows = lines.withColumn("r", parsed)
-    wrong = F.json_object_keys("value").isNull() | F.col("r").isNull() | F.col("r.__bad").isNotNull()
+    rows = _parsed(lines, schema)
     where = F.concat(F.lit("not a record: "), F.col("__file"), F.lit(": "), F.substring("value", 1, 200))
-    rows = rows.where(F.when(wrong, F.raise_error(where)).otherwise(F.lit(True)))
+    rows = rows.where(F.when(F.col("wrong"), F.raise_error(where)).otherwise(F.lit(True)))
     return rows.select(*[F.col("r")[f].alias(f) for f in schema.fieldNames()])
 
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,7 +26,8 @@ def write_jsonl(rows: DataFrame, path: str, append: bool = False) -> None:
 
 
 def write_json(spark: SparkSession, path: str, value: object) -> None:
-    """One canonical JSON value as a file of any store that Spark writes to: written beside its place and moved there, so a reader sees the old or the new one whole."""
+    """One canonical JSON value as a file of any store that Spark writes to: written beside its place and renamed over it in one step, so a reader sees the old or the new one whole, also if
+    the writer dies between."""
     import json
 
     jvm = spark._jvm
@@ -35,10 +38,10 @@ def write_json(spark: SparkSession, path: str, value: object) -> None:
         out.write(bytearray(json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()))
     finally:
         out.close()
-    if fs.exists(place):
-        fs.delete(place, False)
-    if not fs.rename(beside, place):
-        raise OSError(f"{path} could not be put in place")
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), spark._jsc.hadoopConfiguration()).rename(fs.makeQualified(beside), fs.makeQualified(place), how)
 
 
 def append_record(records: DataFrame, path: str, identity: str) -> None:
@@ -53,6 +56,58 @@ def write_vector_index(vectors: DataFrame, path: str, id_col: str = "id", vector
     vectors.withColumn(vector_col, unit).repartitionByRange(id_col).sortWithinPartitions(id_col).write.mode("overwrite").parquet(path)
 
 
+def mean_pooled(rows: DataFrame, id_col: str, hidden: str, mask: str) -> DataFrame:
+    """(id, vector): of a text's token vectors (an array of arrays) the mean of those that its mask (an array of 0 and 1) lets through, of unit norm.
+
+    A text without such tokens, or with a null, has a vector of zeros if its width is known from its tokens, else an empty one.
+    """
+    schema = T.StructType([rows.schema[id_col], T.StructField("vector", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for tokens_, lets in zip(batch[hidden].to_pylist(), batch[mask].to_pylist(), strict=True):
+                h = np.array(tokens_ or np.zeros((0, 0)), np.float64)
+                w = np.array((lets or [])[: len(h)] + [0] * (len(h) - len(lets or [])), np.float64)
+                out.append(unit(w @ h / max(w.sum(), 1e-9)) if len(h) else [])
+            yield pa.RecordBatch.from_arrays([batch[id_col], pa.array(out, pa.list_(pa.float32()))], [id_col, "vector"])
+
+    return rows.select(id_col, hidden, mask).mapInArrow(run, schema)
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    norm = np.sqrt((v**2).sum())
+    return v / norm if norm else v
+
+
+def mean_pooled_tokens(tokens_: DataFrame, id_col: str, vector: str, mask: Column) -> DataFrame:
+    """As `mean_pooled`, of a row a token: a task adds up what it has of a text, so a text's tokens are shuffled as one sum a task, however many it has."""
+    sums = T.StructType([tokens_.schema[id_col], T.StructField("s", T.ArrayType(T.DoubleType())), T.StructField("n", T.DoubleType())])
+    schema = T.StructType([tokens_.schema[id_col], T.StructField("vector", T.ArrayType(T.FloatType()))])
+
+    def add(ids: list, vectors: list, counts: list) -> dict:
+        total: dict = {}
+        for i, v, n in zip(ids, vectors, counts, strict=True):
+            held = total.setdefault(i, [np.zeros(len(v)), 0.0])
+            held[0] = held[0] + np.array(v)
+            held[1] += n
+        return total
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            w = np.asarray(batch["w"].to_numpy(zero_copy_only=False), np.float64)
+            x = np.asarray(batch["v"].flatten().to_numpy(zero_copy_only=False), np.float64).reshape(batch.num_rows, -1) * w[:, None]
+            total = add(batch[id_col].to_pylist(), x, w)
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), batch.schema.field(id_col).type), pa.array([t[0] for t in total.values()], pa.list_(pa.float64())), pa.array([t[1] for t in total.values()], pa.float64())], [id_col, "s", "n"])
+
+    def whole(key: tuple, table: pa.Table) -> pa.Table:
+        rows = list(add(["all"] * table.num_rows, table["s"].to_pylist(), table["n"].to_pylist()).values())
+        return pa.table({id_col: table[id_col][:1], "vector": pa.array([unit(rows[0][0] / max(rows[0][1], 1e-9))], pa.list_(pa.float32()))})
+
+    rows = tokens_.select(id_col, F.col(vector).cast("array<double>").alias("v"), F.coalesce(mask.cast("double"), F.lit(0.0)).alias("w")).where("v is not null")
+    return rows.mapInArrow(partial, sums).groupBy(id_col).applyInArrow(whole, schema)
+
+
 def embed(texts: DataFrame, id_col: str, text_col: str, encode: Callable[[list[str]], list[list[float]]], path: str, batch: int = 256) -> None:
     """Vectors of texts by a model, `batch` texts at a time, appended to a table; a run that was cut off goes on with the texts that have none yet."""
     spark = texts.sparkSession

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..staging import new_path
@@ -14,17 +14,49 @@ def windowed(events: DataFrame, width: str, lateness: str = "2 hours") -> DataFr
     return timed.withWatermark("ts", lateness).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"), F.max("value").alias("highest"))
 
 
-def run_windows(spark: SparkSession, path: str, width: str) -> DataFrame:
-    """Drain the table's files as a stream into the shared folder; the last update of a window is its result. A table's files come in no order of time, so no event is late."""
+def _source(path: str) -> str:
+    return path[:-1] + "[" + path[-1] + "]"  # as a pattern the source takes a single file as well as a folder
+
+
+def arrivals(spark: SparkSession, path: str) -> DataFrame:
+    """(file, first, last, before): of each file of events its first and last time, and the last time of the files that came before it, by modification time, then path."""
+    rows = spark.read.parquet(path).select(F.col("ts").cast("timestamp").alias("ts"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("at"))
+    files = rows.groupBy("file", "at").agg(F.min("ts").alias("first"), F.max("ts").alias("last"))
+    order = Window.orderBy("at", "file").rowsBetween(Window.unboundedPreceding, -1)  # a row a file, which the driver lists anyway
+    return files.select("file", "first", "last", F.max("last").over(order).alias("before"))
+
+
+def disorder(spark: SparkSession, path: str) -> float:
+    """The least lateness, in seconds, by which no event of the files in their order is late: how far a file's events go back behind those before it."""
+    behind = F.max(F.unix_micros("before") - F.unix_micros("first"))
+    return max(arrivals(spark, path).agg(behind.alias("n")).first().n or 0, 0) / 1e6
+
+
+def late_events(spark: SparkSession, path: str, width: str, lateness: str) -> DataFrame:
+    """The side output of a run that takes a file a batch: events whose window had closed, by the watermark of the files before, when they came."""
+    events = spark.read.parquet(path)
+    rows = events.select("*", F.col("_metadata.file_path").alias("__file")).join(F.broadcast(arrivals(spark, path).select(F.col("file").alias("__file"), "before")), "__file")  # a row a file
+    closed = F.window(F.col("ts").cast("timestamp"), width)["end"] <= F.col("before") - F.expr(f"interval {lateness}")
+    return rows.where(closed).select(*events.columns)
+
+
+def run_windows(spark: SparkSession, path: str, width: str, lateness: str | None = None, files_per_batch: int | None = None) -> DataFrame:
+    """Drain the table's files as a stream into the shared folder; the last update of a window is its result.
+
+    A window's state is dropped when the watermark passes its end. `lateness` unset: the disorder of the files, so windows close as early as they can without an event being late. Set
+    to less, late events are left out: `late_events` has them.
+    """
     schema = spark.read.parquet(path).schema
-    path = path[:-1] + "[" + path[-1] + "]"  # as a pattern the source takes a single file as well as a folder
+    lateness = lateness or f"{int(disorder(spark, path) * 1000) + 1} milliseconds"
     base = new_path(spark, "windows")
     out = base + "/out"
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("at", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch-{number}")
 
-    stream = windowed(spark.readStream.schema(schema).parquet(path), width, "36500 days")
+    source = spark.readStream.schema(schema)
+    source = source.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else source
+    stream = windowed(source.parquet(_source(path)), width, lateness)
     query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", base + "/progress").trigger(availableNow=True).start()
     query.awaitTermination()
     changes = spark.read.option("recursiveFileLookup", "true").parquet(out)

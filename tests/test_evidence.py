@@ -27,7 +27,7 @@ def test_prefix_pair_union_and_abstention(spark):
 
 def test_nli_retention_and_attempts(spark):
     n = spark.createDataFrame([("a", "d1", 0.9, 0.1), ("a", "d2", 0.01, 0.2), ("b", "d1", 0.3, 0.4)], "case_id string, document_id string, entail double, contradict double")
-    assert sorted((x.case_id, x.label, tuple(x.citations)) for x in evidence.nli_decision(n).collect()) == [("a", "SUPPORTED", ("d1",)), ("b", "NOT_ENOUGH_INFO", ())]
+    assert sorted((x.case_id, x.label, tuple(x.citations)) for x in evidence.nli_decision(n).collect()) == [("a", "supports", ("d1",)), ("b", "not_enough_info", ())]
     spans = spark.createDataFrame([("a", 0, "x y"), ("a", 0, "gone"), ("b", 0, "z")], "case_id string, evidence_set int, text string")
     ctx = spark.createDataFrame([("a", "w x y"), ("b", "z")], "case_id string, context string")
     r = evidence.retention(spans, ctx).first()

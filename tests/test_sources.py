@@ -1,6 +1,9 @@
+import datetime
 import json
+import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -169,6 +172,79 @@ def test_sinks(spark, tmp_path):
     assert writers.gate_summary([{"metric": "m", "baseline": 0.5, "candidate": None, "delta": None, "decision": "REJECT"}], "REJECT").splitlines()[-1] == "| m | 0.5000 | n/a | n/a | REJECT |"
 
 
+def test_faults_have_line_numbers_of_split_files(spark, tmp_path):
+    rng = random.Random(1)
+    texts = {"a.jsonl": [], "b.jsonl": []}
+    bad = set()
+    for name, lines in texts.items():
+        for n in range(1, 400):
+            kind = rng.random()
+            lines.append("" if kind < 0.1 else '{"id": 3' if kind < 0.15 else f'[{n}]' if kind < 0.2 else json.dumps({"id": "x" * rng.randrange(30)}))
+            if 0.1 <= kind < 0.2:
+                bad.add((name, n, lines[-1]))
+        (tmp_path / name).write_text("\n".join(lines) + rng.choice(["", "\n"]))
+    schema = StructType.fromDDL("id string")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")  # files in several splits
+    try:
+        assert spark.read.text(f"{tmp_path}/*.jsonl").rdd.getNumPartitions() > 4
+        got = {(r.file.rsplit("/", 1)[1], r.line, r.value) for r in readers.jsonl_faults(spark, f"{tmp_path}/*.jsonl", schema).collect()}
+        assert got == bad
+        line = min(n for name, n, _ in bad if name == "a.jsonl")
+        with pytest.raises(ValueError, match=f"a.jsonl:{line}:"):
+            readers.strict_jsonl(spark, f"{tmp_path}/*.jsonl", schema, numbered=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_token_vectors_are_pooled(spark):
+    rng = np.random.default_rng(2)
+    texts = {i: (rng.normal(size=(n, 4)), rng.integers(0, 2, n)) for i, n in enumerate([1, 3, 40, 7])} | {9: (np.ones((2, 4)), np.zeros(2, int))}
+
+    def want(h, m):
+        v = (h * m[:, None]).sum(0) / max(m.sum(), 1)
+        return pytest.approx(v / (np.linalg.norm(v) or 1), abs=1e-6)
+
+    rows = spark.createDataFrame([(i, h.tolist(), m.tolist()) for i, (h, m) in texts.items()] + [(20, None, None), (21, [], [])], "id int, h array<array<double>>, m array<int>")
+    got = {r.id: r.vector for r in writers.mean_pooled(rows, "id", "h", "m").collect()}
+    assert got.pop(20) == got.pop(21) == [] and {i: want(*x) for i, x in texts.items()} == got
+    tokens = spark.createDataFrame([(i, x.tolist(), int(y)) for i, (h, m) in texts.items() for x, y in zip(h, m, strict=True)], "id int, v array<float>, m int")
+    got = {r.id: r.vector for r in writers.mean_pooled_tokens(tokens.repartition(5), "id", "v", F.col("m")).collect()}
+    assert {i: want(*x) for i, x in texts.items()} == got
+
+
+def test_windows_close_and_late_events_are_left_aside(spark, tmp_path):
+    import os
+
+    from rankloom.streaming import telemetry
+
+    rng = random.Random(5)
+    at = datetime.datetime(2024, 1, 1)
+    for k in range(6):  # a file covers an hour and goes back a third of one at most; one event of the fourth file goes back three hours
+        rows = [(at + datetime.timedelta(minutes=60 * k + rng.uniform(-20, 59)), rng.choice("ab"), rng.random()) for _ in range(40)] + [(at + datetime.timedelta(minutes=60 * k + 59), "a", 1.0)]
+        rows += [(at + datetime.timedelta(minutes=5), "a", 9.0)] if k == 3 else []
+        path = f"{tmp_path}/f{k}"
+        spark.createDataFrame(rows, "ts timestamp, event_type string, value double").coalesce(1).write.parquet(path)
+        part = next(n for n in os.listdir(path) if n.startswith("part-"))
+        os.makedirs(f"{tmp_path}/events", exist_ok=True)
+        os.rename(f"{path}/{part}", f"{tmp_path}/events/{9 - k}.parquet")
+        os.utime(f"{tmp_path}/events/{9 - k}.parquet", (1_700_000_000 + 60 * k,) * 2)
+    path = f"{tmp_path}/events"
+    events = spark.read.parquet(path)
+
+    def batch(df):
+        w = df.groupBy(F.window("ts", "30 minutes"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 6).alias("total"))
+        return sorted((r.window.start.strftime("%Y-%m-%d %H:%M:%S"), r.event_type, r.n, r.total) for r in w.collect())
+
+    run = lambda **kw: sorted((r.window_start, r.event_type, r.n, r.total) for r in telemetry.run_windows(spark, path, "30 minutes", files_per_batch=1, **kw).collect())
+    assert 10_000 < telemetry.disorder(spark, path) < 10_500  # 174 minutes back
+    assert run() == batch(events)  # by the data's own disorder no event is late
+    late = telemetry.late_events(spark, path, "30 minutes", "25 minutes")
+    assert [(r.event_type, r.value) for r in late.collect()] == [("a", 9.0)]
+    assert run(lateness="25 minutes") == batch(events.exceptAll(late))
+    assert telemetry.late_events(spark, path, "30 minutes", "0 seconds").count() >= 1
+
+
 def test_latest_versions_survive_a_replay(spark, tmp_path):
     from rankloom.streaming import telemetry
 
