@@ -150,7 +150,8 @@ def judge_integer(text: Column) -> Column:
 
 
 def percent(value: Column) -> Column:
-    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.1f%%", value * 100))
+    """One decimal, halves to the even digit; `n/a` for null."""
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.1f%%", F.bround(value * 100, 1)))
 
 
 def negated(text: Column) -> Column:

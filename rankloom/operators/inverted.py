@@ -211,7 +211,7 @@ def _scores(row: dict, weight: np.ndarray, local: np.ndarray) -> np.ndarray:
     spans = [slice(row["starts"][k], row["starts"][k + 1]) for k in local]
     at = np.concatenate([row["at"][s] for s in spans])
     total = np.bincount(at, np.concatenate([weight[s] for s in spans]), len(row["ids"]))
-    return np.where(np.bincount(at, minlength=len(row["ids"])) > 0, np.round(total, 9), -np.inf)
+    return np.where(np.bincount(at, minlength=len(row["ids"])) > 0, total, -np.inf)
 
 
 def _weights(row: dict, weight: np.ndarray, local: np.ndarray) -> np.ndarray:
@@ -230,7 +230,7 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 def _first_of(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+    return np.lexsort((ids, -np.round(scores, 9)))[:k]
 
 
 def _searcher(asked: Asked, k: int, by: str, per_part: bool, names: list[str], types: list[pa.DataType]):
@@ -245,12 +245,12 @@ def _searcher(asked: Asked, k: int, by: str, per_part: bool, names: list[str], t
             part = row["part"]
             for q in np.flatnonzero(np.bincount(asked.query[there], minlength=len(asked.ids))).tolist():
                 held = best.get((q, part if per_part else None))
-                kth = held[0][k - 1] if held is not None and len(held[0]) >= k else -np.inf
+                kth = np.round(held[0][k - 1], 9) if held is not None and len(held[0]) >= k else -np.inf
                 if bound[q] < kth:
                     continue  # no document of the block can be among the first k
                 mine = local[asked.bounds[q] : asked.bounds[q + 1]]
                 s = _scores(row, weight, mine[mine >= 0])
-                keep = np.flatnonzero((s > -np.inf) & (s >= kth))
+                keep = np.flatnonzero((s > -np.inf) & (np.round(s, 9) >= kth))
                 if not len(keep):
                     continue
                 parts = np.full(len(keep), part, object)
@@ -284,13 +284,13 @@ def _types(schema: T.StructType) -> tuple[list[str], list[pa.DataType]]:
 
 
 def search(found: Index, terms: DataFrame, k: int, by: str = "bm25", per_part: bool = False) -> DataFrame:
-    """(query_id, doc_id, part, score, rank) of each query's first k documents with a term of it, or of its first k of each part. `by`: "bm25", or "tf" for plain counts."""
+    """Ranked by score rounded to nine digits, then id: (query_id, doc_id, part, score, rank) of each query's first k documents with a term of it, or of its first k of each part. `by`: "bm25", or "tf" for plain counts."""
     if k < 1:
         raise ValueError("k must be at least 1")
     queries = by_query(terms)
     schema = T.StructType([queries.schema["query_id"], T.StructField("doc_id", found.id_type), T.StructField("part", found.part_type), T.StructField("score", T.DoubleType())])
     rows = _over(found, queries, schema, lambda asked: _searcher(asked, k, by, per_part, *_types(schema)), "found")
-    order = Window.partitionBy("query_id", *(["part"] if per_part else [])).orderBy(F.desc("score"), "doc_id")
+    order = Window.partitionBy("query_id", *(["part"] if per_part else [])).orderBy(F.desc(F.round("score", 9)), "doc_id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -343,7 +343,7 @@ def of_documents(found: Index, terms: DataFrame, wanted: DataFrame, by: str = "b
                 out: list[tuple] = []
                 for q, docs in docs_of.items():
                     w = _weights(row, row["w"] if by == "bm25" else row["tf"], local[asked.bounds[q] : asked.bounds[q + 1]])
-                    out += [(q, d, row["lengths"][d].as_py(), round(float(w[:, d].sum()), 9), w[:, d].tolist()) for d in docs]
+                    out += [(q, d, row["lengths"][d].as_py(), float(w[:, d].sum()), w[:, d].tolist()) for d in docs]
                 if out:
                     q, d, n, t, w = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array([asked.ids[i] for i in q], types[0]), row["ids"].take(pa.array(d)), pa.array(n, types[2]), pa.array(t), pa.array(w, types[4])], names)
@@ -367,7 +367,7 @@ def ranks(found: Index, terms: DataFrame, wanted: DataFrame, by: str = "bm25") -
         firsts = []
         for docs in asked.asked_docs:
             ids = _ids(pa.array([d.doc_id for d in docs], types[1]))
-            firsts.append((np.array([d.score for d in docs]), ids))
+            firsts.append((np.round(np.array([d.score for d in docs]), 9), ids))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = [np.zeros(len(s), np.int64) for s, _ in firsts]
@@ -376,7 +376,7 @@ def ranks(found: Index, terms: DataFrame, wanted: DataFrame, by: str = "bm25") -
                 local, ids = asked.local(row["terms"]), _ids(row["ids"])
                 for q in np.flatnonzero(np.bincount(asked.query[local >= 0], minlength=len(asked.ids))).tolist():
                     mine = local[asked.bounds[q] : asked.bounds[q + 1]]
-                    s = _scores(row, weight, mine[mine >= 0])
+                    s = np.round(_scores(row, weight, mine[mine >= 0]), 9)
                     top, own = firsts[q]
                     near = s >= top.min()
                     n[q] += ((s[near] > top[:, None]) | ((s[near] == top[:, None]) & (ids[near] < own[:, None]))).sum(axis=1)

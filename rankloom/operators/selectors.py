@@ -58,7 +58,7 @@ def stratified_folds(rows: DataFrame, key: str, label: str = "label", folds: int
     The turn is a running count over ranges of the order, so no task holds a label whole.
     """
     one = rows.groupBy(F.col(key).alias("__key")).agg(F.max(label).alias("__label")).withColumn("one", F.lit(1))
-    one = staged(one.withColumn("__at", F.struct(F.coalesce(F.col("__label").cast("double"), F.lit(-1.0)), F.xxhash64(F.col("__key").cast("string"), F.lit(seed)), F.col("__key").cast("string"))), "strata")
+    one = staged(one.withColumn("__at", F.struct(F.coalesce(F.col("__label").cast("double"), F.lit(-1.0)), F.sha2(F.concat(F.lit(f"{seed}:"), F.col("__key").cast("string")), 256))), "strata")
     return running(one, F.col("__at"), ["one"]).select(F.col("__key").alias(key), F.pmod(F.col("upto_one") - 1, F.lit(folds)).cast("int").alias("fold"))
 
 

@@ -453,4 +453,4 @@ def holdout_split(spark, d):
     return sampling.holdout(table(spark, d, "documents").select("doc_id"), "doc_id", "confirmation:")
 
 
-from . import corpus_queries, evaluation_queries, search_queries  # noqa: E402, F401  (register their queries)
+from . import corpus_queries, evaluation_queries, record_queries, search_queries  # noqa: E402, F401  (register their queries)

@@ -138,9 +138,3 @@ def evidence_blocks(spark, d):
     """Blocks of evidence of all documents, with the headings above them."""
     b = corpus.blocks(table(spark, d, "documents"), "doc_id", F.col("text"))
     return b.select("doc_id", "block", "evidence_id", F.array_join("heading_path", " > ").alias("path"), "block_type", "start_line", "end_line", "word_count")
-
-
-@named()
-def document_sections(spark, d):
-    """Sections of all documents."""
-    return corpus.sections(table(spark, d, "documents"), "doc_id", F.col("text"))
