@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats
 from ..functions import text as tx
-from ..operators import cases, contracts, corpus, freezes, gates, judging, lifecycle, scoring, selectors
+from ..operators import audits, cases, contracts, corpus, freezes, gates, judging, lifecycle, rechecks, scoring, selectors
 from .catalogue import named, table
 
 _FOLD = "replace(lower({0}), 'ß', 'ss')"
@@ -405,3 +405,50 @@ def expected_actions(spark, d):
     answerability = F.when(F.col("quality") == 1, "answerable").otherwise("unanswerable")
     reason = F.when(F.col("quality") == 1, F.lit(None).cast("string")).when(F.col("toxic") == 1, "abstain_unauthorized").otherwise("abstain_absent")
     return rows.select("doc_id", scoring.expected_action(answerability, reason).alias("action"))
+
+
+# rechecks and audits: a conversation's turns as rounds; documents as the cases of a run
+
+
+_ROUNDS = "ro AS (SELECT conv_id, turn, coalesce(text, '') AS text, turn % 3 <> 2 AS valid FROM conversations)"
+
+
+def _rounds(spark, d):
+    rows = table(spark, d, "conversations").select(F.col("conv_id").alias("case_id"), "turn", F.coalesce("text", F.lit("")).alias("prediction"), F.array("role").alias("citation_ids"))
+    first = rows.where("turn = 0").select("case_id", "prediction", "citation_ids")
+    value = F.struct("prediction", "citation_ids")
+    before = F.last(F.when(F.col("turn") % 3 != 2, value), ignorenulls=True).over(Window.partitionBy("case_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1))
+    log = rows.withColumn("before", before).where("turn > 0 AND turn % 3 <> 2").select(F.col("turn").cast("int").alias("version"), "case_id", "before", value.alias("after"), F.lit("recheck").alias("reason"))
+    return first, log.join(first.select("case_id"), "case_id", "left_semi").select("version", "case_id", "before", "after", "reason")
+
+
+@named(f"WITH {_ROUNDS}, f AS (SELECT conv_id FROM ro WHERE turn = 0) SELECT conv_id AS case_id, arg_max(text, turn) AS prediction, max(turn)::INT AS version FROM ro JOIN f USING (conv_id) WHERE turn <= 4 AND (valid OR turn = 0) GROUP BY conv_id")
+def recheck_replay(spark, d):
+    """Results as they were after the fourth round."""
+    return rechecks.replayed(*_rounds(spark, d), 4).select("case_id", "prediction", "version")
+
+
+@named("SELECT 1 AS case_id, 1 AS version WHERE false")
+def recheck_log_faults(spark, d):
+    """Changes that don't follow from the one before: none, as the log is whole."""
+    out = rechecks.log_faults(*_rounds(spark, d))
+    return out.select(F.col("case_id").cast("int").alias("case_id"), "version")
+
+
+_AUDITED = """au AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'fever' WHEN 1 THEN 'hotpotqa' ELSE 'natural_questions' END AS benchmark_id, quality = 1 AS joint, quality = 1 OR doc_id % 10 <> 7 AS evidence, doc_id % 17 = 0 AS closed FROM labels)"""
+
+
+@named(f"""WITH {_AUDITED}
+SELECT 'benchmark_known' AS check, 0 AS n UNION ALL SELECT 'zero_fail_closed', count(*) FROM au WHERE closed UNION ALL SELECT 'joint_has_evidence', count(*) FROM au WHERE joint AND NOT evidence
+UNION ALL SELECT 'joint_is_answered', count(*) FROM au WHERE joint AND closed UNION ALL SELECT 'precision_is_a_share', 0 UNION ALL SELECT 'recall_is_a_share', 0
+UNION ALL SELECT 'ids_unique', 0 UNION ALL SELECT 'counts_exact', 1 UNION ALL SELECT 'metrics_recompute', 1 UNION ALL SELECT 'macro_gate', CASE WHEN (SELECT avg(r) FROM (SELECT avg(joint::INT) AS r FROM au GROUP BY benchmark_id)) >= 0.6 THEN 0 ELSE 1 END""")
+def run_audit(spark, d):
+    """Labelled documents as the cases of a run, whose report has one metric wrong and whose suite has one case too many."""
+    i, good = F.col("doc_id"), F.col("quality") == 1
+    metric = lambda m: {"joint_correct": good, "evidence_complete": good | (i % 10 != 7)}.get(m, F.lit(1.0) if m in ("citation_precision", "citation_recall", "answer_exact_match", "answer_f1") else F.lit(True))
+    name = F.when(i % 3 == 0, "fever").when(i % 3 == 1, "hotpotqa").otherwise("natural_questions")
+    rows = table(spark, d, "labels").select(i.alias("case_id"), name.alias("benchmark_id"), (i % 17 == 0).alias("fail_closed"), *[metric(m).alias(m) for m in scoring.CASE_METRICS])
+    report = audits.by_metric(scoring.aggregate(rows))
+    wrong = (F.col("benchmark_id") == "fever") & (F.col("metric") == "case_count")
+    targets = rows.groupBy("benchmark_id").agg((F.count("*") + F.max((F.col("benchmark_id") == "hotpotqa").cast("int"))).alias("target"))
+    return audits.run_audit(rows, report.withColumn("value", F.when(wrong, -1.0).otherwise(F.col("value"))), targets).select("check", "n")
