@@ -1,4 +1,4 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
 The benchmark is a stated set of items, taken in blocks of a bounded number of n-grams; one pass over the corpus for each block, each text by itself.
 A text's words are aligned with an item (match 2, mismatch -1, gap -1) where enough of the item's word pairs stand near one another, and
@@ -6,6 +6,9 @@ the item is reported where the local score reaches `threshold` of the item's own
 from the threshold and the costs alone (see `Items`): a range left out can't reach the threshold, so the result is that of
 aligning every text with every item, whatever the size of the corpus and however often an item or a pair stands in it.
 
+Candidates come from an item's rarest seeds only: an alignment that reaches the threshold holds `least` of an item's g seeds, so one of any g - least + 1 of them is among these; the rarest are those
+that the fewest places of the benchmark share, which is what a hit costs. The other seeds are looked up for candidates alone. How rare a seed is changes what is looked up, not what is found.
+
 Seeds that lie on near diagonals share one window, so a text costs as much as its seeds span. A text of any length is hashed whole.
 
 Defined cases: null or empty texts and items have no seeds. An item of fewer than `k` words is one seed as a whole sequence and must be found
@@ -77,21 +80,33 @@ class Items:
         self.least = np.where(pairs > 0, pairs, -(-self.need // MATCH))
         self.short = [i for i, n in enumerate(size) if 0 < n < k]
         long = [i for i, n in enumerate(size) if n >= k]
-        self.seeds = [s for s in (_Seeds(self.words, [i for i in long if (pairs[i] > 0) == (length == 2)], length) for length in (1, 2)) if len(s.grams)]
+        self.seeds = [s for s in (self._seeds([i for i in long if (pairs[i] > 0) == (length == 2)], length) for length in (1, 2)) if len(s[0].grams)]
+
+    def _seeds(self, of: list[int], length: int) -> tuple[_Seeds, _Seeds]:
+        """The rarest seeds of each item, as many as it takes for one of them to be in every alignment, and the others."""
+        grams = [kernels.ngrams(self.words[i], length) for i in of]
+        size = np.array([len(g) for g in grams], np.int64)
+        all_grams = np.concatenate([*grams, np.zeros(0, np.uint64)])
+        item, place = np.repeat(np.array(of, np.int64), size), np.concatenate([*map(np.arange, size), np.zeros(0, np.int64)]).astype(np.int64)
+        _, which, shared = np.unique(all_grams, return_inverse=True, return_counts=True)
+        order = np.lexsort((place, all_grams, shared[which], np.repeat(np.arange(len(of)), size)))
+        rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
+        keep = rank < np.maximum(np.repeat(size, size) - self.least[item] + 1, 1)
+        rare, rest = order[keep], order[~keep]
+        return tuple(_Seeds(length, all_grams[x], item[x], place[x], len(self.ids)) for x in (rare, rest))
 
 
 class _Seeds:
-    """The n-grams of some items, sorted, with the item and place of each."""
+    """Some n-grams of items with the item and place of each: sorted by n-gram, and by item with the number of its n-gram among the distinct ones."""
 
-    def __init__(self, words: list[np.ndarray], of: list[int], length: int):
+    def __init__(self, length: int, grams: np.ndarray, item: np.ndarray, place: np.ndarray, n_items: int):
         self.length = length
-        grams = [kernels.ngrams(words[i], length) for i in of]
-        all_grams = np.concatenate([*grams, np.zeros(0, np.uint64)])
-        order = np.argsort(all_grams, kind="stable")
-        self.grams = all_grams[order]
-        self.item = np.repeat(np.array(of, np.int64), [len(g) for g in grams])[order]
-        self.place = np.concatenate([*(np.arange(len(g)) for g in grams), np.zeros(0, np.int64)])[order]
+        order = np.argsort(grams, kind="stable")
+        self.grams, self.item, self.place = grams[order], item[order], place[order]
         self.distinct = np.unique(self.grams)
+        by_item = np.argsort(self.item, kind="stable")
+        self.own_gram, self.own_place = np.searchsorted(self.distinct, self.grams[by_item]), self.place[by_item]
+        self.own_start = np.searchsorted(self.item[by_item], np.arange(n_items + 1))
 
 
 def _isin(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -101,6 +116,17 @@ def _isin(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[np.minimum(at, len(sorted_values) - 1)] == x
 
 
+def _spans(sorted_values: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value begins among sorted ones, and how often it stands there."""
+    left = np.searchsorted(sorted_values, x, "left")
+    return left, np.searchsorted(sorted_values, x, "right") - left
+
+
+def _each(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at `start` and are n long, one after another."""
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+
 class _Filter:
     """A cheap first test: a bit for each value of the low bits."""
 
@@ -141,28 +167,54 @@ def _ranges(at: np.ndarray, overlap: int) -> Iterator[tuple[int, int]]:
         yield first, int(at[-1])
 
 
-def _windows(h: np.ndarray, at: np.ndarray, a: int, b: int, items: Items, tests: list[_Filter]) -> Iterator[tuple[int, int, int, int, int]]:
+def _windows(h: np.ndarray, at: np.ndarray, a: int, b: int, items: Items, tests: list[tuple[_Filter, _Filter]]) -> Iterator[tuple[int, int, int, int, int]]:
     """(text, item, from, to, seeds): the word ranges in a..b that hold an item's least number of seeds and whose item would begin near one another.
 
     All seeds of an alignment that reaches the threshold begin within the item's reach, so it lies in one range.
     """
     found, overlap, total = [], int((items.size + items.reach).max(initial=0)), 0
-    for seeds, test in zip(items.seeds, tests, strict=True):
-        grams = kernels.ngrams(h[a:b], seeds.length)
+    can_halve = b - a > 2 * overlap + 2
+
+    def places(grams: np.ndarray, seeds: _Seeds, test: _Filter) -> tuple[np.ndarray, np.ndarray]:
+        """Where seeds stand that don't reach over a text's end, and in which text."""
         hit = test.find(grams)
         text = np.searchsorted(at, hit + a, "right") - 1
         inside = hit + a + seeds.length <= at[text + 1]
-        hit, text = hit[inside], text[inside]
-        left, right = np.searchsorted(seeds.grams, grams[hit], "left"), np.searchsorted(seeds.grams, grams[hit], "right")
-        n = right - left
+        return hit[inside], text[inside]
+
+    for (rare, rest), (rare_test, rest_test) in zip(items.seeds, tests, strict=True):
+        grams = kernels.ngrams(h[a:b], rare.length)
+        hit, text = places(grams, rare, rare_test)
+        left, n = _spans(rare.grams, grams[hit])
         total += int(n.sum())
-        if total > PAIRS and b - a > 2 * overlap + 2:  # frequent pairs: two overlapping halves
-            half = (a + b - overlap) // 2
-            yield from _windows(h, at, a, half + overlap, items, tests)
-            yield from _windows(h, at, half, b, items, tests)
-            return
-        pair = np.repeat(left - np.cumsum(n) + n, n) + np.arange(n.sum())
-        found.append((np.repeat(text, n), seeds.item[pair], seeds.place[pair], np.repeat(hit + a, n) - seeds.place[pair]))
+        if total > PAIRS and can_halve:
+            break
+        pair = _each(left, n)
+        text, item = np.repeat(text, n), rare.item[pair]
+        found.append((text, item, rare.place[pair], np.repeat(hit + a, n) - rare.place[pair]))
+        # the other seeds of the items that a text may hold
+        asked = np.unique(text * len(items.ids) + item)
+        text, item = asked // len(items.ids), asked % len(items.ids)
+        n = rest.own_start[item + 1] - rest.own_start[item]
+        total += int(n.sum())
+        if total > PAIRS and can_halve:
+            break
+        own = _each(rest.own_start[item], n)
+        text, item = np.repeat(text, n), np.repeat(item, n)
+        hit, of = places(grams, rest, rest_test) if len(own) else (own, own)
+        key = of * len(rest.distinct) + np.searchsorted(rest.distinct, grams[hit])
+        order = np.argsort(key, kind="stable")
+        left, n = _spans(key[order], text * len(rest.distinct) + rest.own_gram[own])
+        total += int(n.sum())
+        if total > PAIRS and can_halve:
+            break
+        place = np.repeat(rest.own_place[own], n)
+        found.append((np.repeat(text, n), np.repeat(item, n), place, hit[order[_each(left, n)]] + a - place))
+    if total > PAIRS and can_halve:  # frequent pairs: two overlapping halves
+        half = (a + b - overlap) // 2
+        yield from _windows(h, at, a, half + overlap, items, tests)
+        yield from _windows(h, at, half, b, items, tests)
+        return
     if not found:
         return
     text, item, place, begin = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -189,7 +241,7 @@ def _aligned(rows: DataFrame, items: Items, id_type: T.DataType, item_type: T.Da
 
     overlap = int((items.size + items.reach).max(initial=0))
 
-    def align(h: np.ndarray, at: np.ndarray, tests: list[_Filter]) -> Iterator[tuple[int, int, float, int, int]]:
+    def align(h: np.ndarray, at: np.ndarray, tests: list[tuple[_Filter, _Filter]]) -> Iterator[tuple[int, int, float, int, int]]:
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for piece in _ranges(at, overlap):
             for r, i, a, b, seeds in _windows(h, at, *piece, items, tests):
@@ -213,7 +265,7 @@ def _aligned(rows: DataFrame, items: Items, id_type: T.DataType, item_type: T.Da
                     yield r, i, 1.0, p, p + len(items.words[i])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tests = [_Filter(s.distinct) for s in items.seeds]
+        tests = [(_Filter(rare.distinct), _Filter(rest.distinct)) for rare, rest in items.seeds]
         for batch in batches:
             data, offsets = kernels.text_buffers(batch.column(2))
             h, _, _, at = kernels.words(data, offsets)
