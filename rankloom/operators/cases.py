@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import evidence_cluster, question_tokens
 from .corpus import near_pairs
 from .lifecycle import ensure, unique
+from .metrics import numbered
 from .sampling import stratified
 
 #: The reasons that each abstention allows, the first one being its default; the lanes and states of migrated cases; the nearness that two questions may not reach.
@@ -190,7 +191,7 @@ def overlap_audit(cases: DataFrame, most: float = MOST_ALIKE, top: int = 5) -> D
 
 def packets(cases: DataFrame, order: str, size: int) -> DataFrame:
     """Cases in review packets of so many, in order."""
-    return cases.withColumn("packet", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))  # a review queue, read by people
+    return numbered(cases, F.col(order), "__place").withColumn("packet", F.floor(F.col("__place") / size)).drop("__place")
 
 
 def calibration_labels(decisions: DataFrame, tasks: DataFrame) -> DataFrame:

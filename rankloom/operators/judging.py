@@ -218,8 +218,8 @@ def invalid_groups(records: DataFrame) -> DataFrame:
 def task_groups(tasks: DataFrame, order: str) -> DataFrame:
     """The tasks with `group_no`: groups of case and type, numbered as they first come."""
     first = tasks.groupBy("case_id", "task_type").agg(F.min(order).alias("__first"))
-    numbered = first.withColumn("group_no", F.row_number().over(Window.orderBy("__first")))  # a row a group; what is numbered is one queue of tasks
-    return tasks.join(numbered.drop("__first"), ["case_id", "task_type"])
+    places = metrics.numbered(first, F.col("__first"), "__place").withColumn("group_no", (F.col("__place") + 1).cast("int"))
+    return tasks.join(places.drop("__first", "__place"), ["case_id", "task_type"])
 
 
 def resolve(task_type: Column, first: Column, second: Column, adjudicator: Column, maximum: Column | None = None) -> tuple[Column, Column]:

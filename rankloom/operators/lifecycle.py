@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_sha256
 from . import policy
+from .metrics import numbered
 
 #: A provider file's limits, and a ledger's first event.
 MAX_REQUESTS, MAX_BYTES, MAX_TOKENS = 50_000, 190_000_000, 1_000_000
@@ -121,9 +122,10 @@ def chained(events: DataFrame, start: int = 0, previous: str | None = None) -> D
 def ledger_faults(events: DataFrame, ledger: str | None = None) -> DataFrame:
     """([ledger,] n, broken_sequence, broken_links, broken_digests, bad_start): sequences count from 0, each event names the digest before it and has its own digest right, and the first opens the ledger."""
     by = [ledger] if ledger else []
-    w = Window.partitionBy(*by).orderBy("sequence")
-    own = event_sha256(events.drop(*by))
-    rows = events.withColumn("__place", F.row_number().over(w) - 1).withColumn("__before", F.lag("event_sha256").over(w)).withColumn("__own", own)
+    # a ledger's events meet the ones before them by their places, so that a large ledger is no single task
+    rows = numbered(events.withColumn("__own", event_sha256(events.drop(*by))), F.col("sequence"), "__place", by)
+    before = rows.select(*by, (F.col("__place") + 1).alias("__place"), F.col("event_sha256").alias("__before"))
+    rows = rows.join(before, [*by, "__place"], "left")
     return rows.groupBy(*by).agg(
         F.count("*").alias("n"), F.count_if(F.col("sequence") != F.col("__place")).alias("broken_sequence"), F.count_if(~F.col("previous_event_sha256").eqNullSafe(F.col("__before"))).alias("broken_links"),
         F.count_if(F.col("__own") != F.col("event_sha256")).alias("broken_digests"), F.count_if((F.col("__place") == 0) & (F.col("event_type") != FIRST_EVENT)).alias("bad_start"),

@@ -28,6 +28,12 @@ def running(by: DataFrame, key: Column, sums: list[str], group: list[str] | None
     return out.select(*by.columns, *[(F.col(f"upto_{c}") + F.col(f"__{c}")).alias(f"upto_{c}") for c in sums])
 
 
+def numbered(rows: DataFrame, order: Column, name: str, group: list[str] | None = None) -> DataFrame:
+    """The rows with their place in an order (within a group), from 0, as a running count over ranges: no task holds the whole order."""
+    out = running(rows.withColumn("__one", F.lit(1)), order, ["__one"], group)
+    return out.withColumn(name, F.col("upto___one") - 1).drop("__one", "upto___one")
+
+
 def _same(group: list[str]) -> Column:
     on = F.col("__p") == F.col("__range")
     for i, g in enumerate(group):

@@ -340,6 +340,20 @@ def test_normalized_faults_and_spot_audit(spark):
     assert r.supporting_evidence[0].document_title == "T" and (r.vote_count, r.answerable_votes, r.unanswerable_votes) == (2, 1, 1)
 
 
+def test_places_in_an_order_and_task_groups(spark):
+    from rankloom.operators import metrics
+
+    rng = random.Random(8)
+    rows = [(i, rng.choice("ab"), rng.random()) for i in range(200)]
+    d = spark.createDataFrame(rows, "i int, g string, x double").repartition(5)
+    whole = sorted(rows, key=lambda r: r[2])
+    assert set(got(metrics.numbered(d, F.col("x"), "n"), "i", "n")) == {(r[0], n) for n, r in enumerate(whole)}
+    parts = [(r[0], n) for g in "ab" for n, r in enumerate(r for r in whole if r[1] == g)]
+    assert set(got(metrics.numbered(d, F.col("x"), "n", ["g"]), "i", "n")) == set(parts)
+    tasks = spark.createDataFrame([(3, "b", "s"), (1, "a", "s"), (2, "a", "c"), (4, "a", "s"), (5, "b", "s")], "at int, case_id string, task_type string")
+    assert got(judging.task_groups(tasks, "at"), "at", "group_no") == [(1, 1), (2, 2), (3, 3), (4, 1), (5, 3)]
+
+
 def test_selectors(spark):
     w = spark.createDataFrame([("a", "big red dog", [("D1", "d1", "Red Dog", "the red dog ran"), ("D2", "d2", "Cat", "a cat and the dog")])], "case_id string, query string, contexts array<struct<citation_id: string, document_id: string, title: string, text: string>>")
     run = lambda p, c: spark.createDataFrame([("a", p, c)], "case_id string, prediction string, cited_document_ids array<string>")
