@@ -105,10 +105,10 @@ def _ids(column: pa.Array) -> np.ndarray:
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str] | None = None, own: bool = False) -> DataFrame:
     """(query_id, doc_id, *keep, score, rank) of a stated set of queries (query_id, query) over all vectors (doc_id, vector, *keep).
 
-    Queries come in blocks of bounded size; a block meets each Arrow batch as one matrix product, which passes on the first k of each query only. `own`: whether a
-    vector may be found for the query with its id.
+    Queries come in blocks of bounded size; a block meets each Arrow batch as one matrix product, which passes on the first k of each query only. A block's result is written when there
+    is a next one, so a plan never holds more than one block. `own`: whether a vector may be found for the query with its id.
     """
-    keep, parts = keep or [], None
+    keep, parts, last = keep or [], None, None
     v = vectors.select("doc_id", "vector", *keep)
     schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *[v.schema[c] for c in ("doc_id", *keep)], T.StructField("score", T.DoubleType())])
     id_type = to_arrow_type(queries.schema["query_id"].dataType)
@@ -127,11 +127,12 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str]
                 cols = [batch.column(0).take(pa.array(at)), *[batch.column(2 + i).take(pa.array(at)) for i in range(len(keep))]]
                 yield pa.RecordBatch.from_arrays([pa.array(names[q]).cast(id_type), *cols, pa.array(scores[q, at])], names=schema.names)
 
-        one = v.mapInArrow(run, schema)
-        parts = one if parts is None else parts.unionByName(one)
-    if parts is None:
-        parts = vectors.sparkSession.createDataFrame([], schema)
-    return top_k(parts, k)
+        if last is not None:  # a further block: the one before is written, and its matrix can go
+            one = staged(top_k(last, k), "dense")
+            parts = one if parts is None else parts.unionByName(one)
+        last = v.mapInArrow(run, schema)
+    last = top_k(vectors.sparkSession.createDataFrame([], schema) if last is None else last, k)
+    return last if parts is None else parts.unionByName(last)
 
 
 def dense_first_ranks(queries: DataFrame, vectors: DataFrame, group: str) -> DataFrame:
@@ -160,30 +161,50 @@ def dense_first_ranks(queries: DataFrame, vectors: DataFrame, group: str) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(names[ok]).cast(query_type), batch.column(2).take(pa.array(first[ok])), pa.array(top[ok]), batch.column(0).take(pa.array(first[ok]))], names=best_schema.names)
 
         rows = v.mapInArrow(best, best_schema).groupBy("query_id", group).agg(F.min_by(F.struct("score", "doc_id"), F.struct(-F.col("score"), "doc_id")).alias("b"))
-        # as many rows as queries of the block times groups
-        firsts = {(r.query_id, r[group]): (r.b.score, r.b.doc_id) for r in rows.collect()}
-        keys = sorted(firsts, key=str)
+        firsts = staged(rows.select("query_id", group, "b.score", "b.doc_id"), "firsts")
         place = {q: i for i, q in enumerate(ids)}
-        which = np.array([place[q] for q, _ in keys], np.int64)
-        top, doc_at = np.array([firsts[k][0] for k in keys]), np.array([firsts[k][1] for k in keys])
-
-        def before(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, matrix: np.ndarray = matrix, keys: list = keys, which: np.ndarray = which, top: np.ndarray = top, doc_at: np.ndarray = doc_at) -> Iterator[pa.RecordBatch]:
-            n = np.zeros(len(keys), np.int64)
-            for batch, scores in dense_batches(batches, matrix):
-                doc = _ids(batch.column(0))
-                scores[names[:, None] == doc[None, :]] = -np.inf
-                for at in range(0, len(keys), 1024):
-                    s, t, d = scores[which[at : at + 1024]], top[at : at + 1024, None], doc_at[at : at + 1024, None]
-                    n[at : at + 1024] += ((s > t) | ((s == t) & (doc[None, :] < d))).sum(1)
-            yield pa.RecordBatch.from_pylist([{"query_id": q, group: g, "n": int(c)} for (q, g), c in zip(keys, n, strict=True)], schema=to_arrow_schema(count_schema))
-
-        counted = v.mapInArrow(before, count_schema).groupBy("query_id", group).agg((F.sum("n") + 1).cast("int").alias("rank"))
-        out = counted if out is None else out.unionByName(counted)
+        for piece in _pieces(firsts):
+            keys = [(r.query_id, r[group]) for r in piece]
+            which = np.array([place[q] for q, _ in keys], np.int64)
+            top, doc_at = np.array([r.score for r in piece]), np.array([r.doc_id for r in piece])
+            counted = staged(_places(v, group, names, matrix, keys, which, top, doc_at, count_schema), "places")
+            out = counted if out is None else out.unionByName(counted)
     if out is None:
         return vectors.sparkSession.createDataFrame([], T.StructType([best_schema["query_id"], best_schema[group], T.StructField("rank", T.IntegerType())]))
     return out
 
 
+#: Rows of queries and groups whose vectors are counted in one pass.
+FIRSTS = 500_000
+
+
+def _pieces(rows: DataFrame) -> Iterator[list]:
+    held: list = []
+    for r in rows.toLocalIterator():
+        held.append(r)
+        if len(held) == FIRSTS:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
+def _places(v: DataFrame, group: str, names: np.ndarray, matrix: np.ndarray, keys: list, which: np.ndarray, top: np.ndarray, doc_at: np.ndarray, schema: T.StructType) -> DataFrame:
+    """(query_id, group, rank): how many vectors come before each of some stated ones, and one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(keys), np.int64)
+        for batch, scores in dense_batches(batches, matrix):
+            doc = _ids(batch.column(0))
+            scores[names[:, None] == doc[None, :]] = -np.inf
+            for at in range(0, len(keys), 1024):
+                s, t, d = scores[which[at : at + 1024]], top[at : at + 1024, None], doc_at[at : at + 1024, None]
+                n[at : at + 1024] += ((s > t) | ((s == t) & (doc[None, :] < d))).sum(1)
+        yield pa.RecordBatch.from_pylist([{"query_id": q, group: g, "n": int(c)} for (q, g), c in zip(keys, n, strict=True)], schema=to_arrow_schema(schema))
+
+    return v.mapInArrow(run, schema).groupBy("query_id", group).agg((F.sum("n") + 1).cast("int").alias("rank"))
+
+
 def reciprocal_rank_fusion(rankings: list[DataFrame], weights: list[float] | None = None, constant: int = 60) -> DataFrame:
     """(query_id, doc_id, score): the weighted sum of 1 / (constant + rank) over rankings."""
     weights = weights or [1.0] * len(rankings)
