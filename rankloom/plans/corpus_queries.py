@@ -182,7 +182,7 @@ def cascade_resolve(spark, d):
 def structured_answer_validation(spark, d):
     """Assistant turns as answers of varied form, checked against the contract."""
     c = table(spark, d, "conversations").where("role = 'assistant'")
-    claim = F.struct(F.when(F.col("conv_id") % 5 == 1, "c2").otherwise("c1").alias("id"), F.substring("text", 1, 80).alias("text"), F.when(F.col("conv_id") % 5 == 2, F.array(F.lit("S9"))).otherwise(F.array(F.lit("S1"))).alias("citation_ids"))
+    claim = F.struct(F.when(F.col("conv_id") % 5 == 1, "c2").otherwise("c1").alias("id"), F.col("text").alias("text"), F.when(F.col("conv_id") % 5 == 2, F.array(F.lit("S9"))).otherwise(F.array(F.lit("S1"))).alias("citation_ids"))
     answer = F.to_json(F.struct(F.lit(contracts.VERSION).alias("schema_version"), F.when(F.col("conv_id") % 5 == 3, "abstain_absent").otherwise("answer").alias("action"), F.lit(None).cast("string").alias("response"), F.array(claim).alias("claims")), {"ignoreNullFields": "false"})
     raw = F.when(F.col("conv_id") % 5 == 4, F.concat(F.lit("Here: "), answer)).otherwise(answer)
     rows = c.select("conv_id", "turn", raw.alias("raw"))
@@ -194,7 +194,7 @@ def provider_json_repair(spark, d):
     """Pairs of assistant turns as a model might return them for a batch of two, repaired and validated; every repair is named."""
     c = table(spark, d, "conversations").where("role = 'assistant'").select((F.col("turn") / 4).cast("int").alias("pair"), "conv_id", "turn", "text")
     case = F.concat(F.lit("case-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
-    result = F.struct(case.alias("case_id"), F.substring(F.coalesce("text", F.lit("")), 1, 40).alias("prediction"), F.array(F.lit("D1")).alias("citation_ids"))
+    result = F.struct(case.alias("case_id"), F.coalesce("text", F.lit("")).alias("prediction"), F.array(F.lit("D1")).alias("citation_ids"))
     rows = c.groupBy("conv_id", "pair").agg(F.sort_array(F.collect_list(F.struct("turn", result.alias("r"), F.struct(case.alias("case_id"), F.lit("hotpotqa").alias("benchmark_id"), F.array(F.lit("D1"), F.lit("D2")).alias("citation_ids")).alias("b")))).alias("x"))
     rows = rows.select("conv_id", "pair", F.col("x.b").alias("batch"), F.concat(F.lit('{"results":'), F.to_json("x.r"), F.lit("}")).alias("good"))
     k = F.col("conv_id") % 5

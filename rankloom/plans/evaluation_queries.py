@@ -15,7 +15,7 @@ _NAMES = "CASE item_id % 3 WHEN 0 THEN 'hotpotqa' WHEN 1 THEN 'natural_questions
 _SCORED = f"""{_BM25}, {_GOLD},
 gd AS (SELECT query_id, list_sort(list(doc_id::VARCHAR)) AS gold FROM gold GROUP BY query_id),
 tp AS (SELECT query_id, list(doc_id::VARCHAR ORDER BY rank) AS got FROM bmr WHERE rank <= 4 GROUP BY query_id),
-w0 AS (SELECT item_id AS case_id, {_NAMES} AS benchmark_id, substr(text, 1, 24) AS a, coalesce(gold, []) AS gold, coalesce(got, []) AS got FROM benchmark LEFT JOIN gd ON gd.query_id = item_id LEFT JOIN tp ON tp.query_id = item_id),
+w0 AS (SELECT item_id AS case_id, {_NAMES} AS benchmark_id, text AS a, coalesce(gold, []) AS gold, coalesce(got, []) AS got FROM benchmark LEFT JOIN gd ON gd.query_id = item_id LEFT JOIN tp ON tp.query_id = item_id),
 w1 AS (SELECT *, len(gold) > 0 AS has_gold, case_id % 5 = 4 AS fail_closed, CASE WHEN case_id % 5 = 4 THEN CASE benchmark_id WHEN 'fever' THEN 'not_enough_info' ELSE '{tx.SENTINEL}' END
    WHEN benchmark_id = 'fever' THEN CASE case_id % 4 WHEN 0 THEN 'supports' WHEN 1 THEN 'Not_enough_info' ELSE 'refutes' END
    ELSE CASE case_id % 4 WHEN 0 THEN '{tx.SENTINEL}' WHEN 1 THEN trim('The ' || a || '.') ELSE trim(a || ' and more') END END AS prediction,
@@ -36,7 +36,7 @@ scored AS (SELECT * EXCLUDE (fv), CASE WHEN fv THEN label_correct ELSE answer_ex
 
 
 def _scored(spark, d):
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 3 == 0, "hotpotqa").when(F.col("item_id") % 3 == 1, "natural_questions").otherwise("fever").alias("benchmark_id"), F.col("text").alias("query"), F.substring("text", 1, 24).alias("a"))
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("case_id"), F.when(F.col("item_id") % 3 == 0, "hotpotqa").when(F.col("item_id") % 3 == 1, "natural_questions").otherwise("fever").alias("benchmark_id"), F.col("text").alias("query"), F.col("text").alias("a"))
     found = _lexical(spark, d)
     gold = _gold(spark, d, found).select(F.col("query_id").alias("case_id"), F.col("doc_id").cast("string").alias("document_id"))
     has = gold.select("case_id").distinct().withColumn("some", F.lit(True))
