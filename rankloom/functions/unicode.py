@@ -20,11 +20,6 @@ def nfkd(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKD", t))
 
 
-@pandas_udf(StringType())
-def full_casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else t.casefold())
-
-
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)?")
 
 
