@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import corpus, gates, judging, scoring
+from ..operators import gates, judging, scoring
 from .catalogue import _BM25, _GOLD, _WORDS, _bm25_ranks, _gold, _lexical, _wilson_sql, named, table
 
 _NAMES = "CASE item_id % 3 WHEN 0 THEN 'hotpotqa' WHEN 1 THEN 'natural_questions' ELSE 'fever' END"
@@ -131,10 +131,3 @@ def paired_by_benchmark(spark, d):
     """Cases whose evidence alone is complete against those that are right jointly, by benchmark."""
     rows = _scored(spark, d)
     return gates.paired_by_benchmark(rows.select("case_id", "benchmark_id", "joint_correct"), rows.select("case_id", "benchmark_id", F.col("evidence_complete").alias("joint_correct"))).drop("p_value")
-
-
-@named()
-def evidence_blocks(spark, d):
-    """Blocks of evidence of all documents, with the headings above them."""
-    b = corpus.blocks(table(spark, d, "documents"), "doc_id", F.col("text"))
-    return b.select("doc_id", "block", "evidence_id", F.array_join("heading_path", " > ").alias("path"), "block_type", "start_line", "end_line", "word_count")

@@ -167,6 +167,36 @@ def document_sections(spark, d):
     return corpus.sections(table(spark, d, "documents"), "doc_id", F.col("text"))
 
 
+# fences by the parity of their marks, depths of headings by running least values, blocks by the number of lines that begin one
+_BLOCKS = rf"""ls AS (SELECT doc_id, {_LINES} AS l FROM documents), lt AS (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM ls),
+ln AS (SELECT doc_id, unnest(l) AS line, unnest(range(1, len(l) + 1)) AS n FROM lt),
+b0 AS (SELECT *, regexp_matches(line, '^\s*(```|~~~)') AS fence, regexp_replace(line, '^{_SPACE}+|{_SPACE}+$', '', 'g') = '' AS bare FROM ln),
+b1 AS (SELECT *, coalesce(sum(fence::INT) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM b0),
+b2 AS (SELECT *, CASE WHEN NOT inside AND NOT fence AND regexp_matches(line, '^#{{1,4}}\s+') THEN length(regexp_extract(line, '^(#{{1,4}})\s', 1)) END AS level, regexp_replace(regexp_replace(line, '^#{{1,4}}\s+', ''), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS t FROM b1),
+b3 AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM b2),
+b4 AS (SELECT *, CASE WHEN k > 0 THEN least(k, k + min(level - k) OVER (PARTITION BY doc_id ORDER BY n)) ELSE 0 END AS depth FROM b3),
+b5 AS (SELECT *, [{', '.join(f"last_value(CASE WHEN level IS NOT NULL AND depth = {d} THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" for d in range(1, 5))}] AS p,
+  NOT inside AND bare AS blank, NOT inside AND regexp_matches(line, '^\s*(?:[-*+]|\d+[.)])\s+') AS item, regexp_matches(line, '^[ \t]') AS indented FROM b4),
+b6 AS (SELECT *, CASE WHEN depth > 0 THEN p[1:depth] ELSE ['intro'] END AS path, coalesce(lag(blank OR level IS NOT NULL OR (inside AND fence)) OVER (PARTITION BY doc_id ORDER BY n), true) AS free FROM b5),
+b7 AS (SELECT *, coalesce(last_value(CASE WHEN item OR NOT indented OR free THEN item END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS of_item FROM b6),
+b8 AS (SELECT *, sum((level IS NOT NULL OR (NOT inside AND NOT blank AND (free OR fence OR item OR (of_item AND NOT indented))))::INT) OVER (PARTITION BY doc_id ORDER BY n) AS number FROM b7),
+b9 AS (SELECT doc_id, number, min(n)::INT AS start_line, max(n)::INT AS end_line, max(CASE WHEN level IS NOT NULL THEN t END) AS title, arg_min(path, n) AS path,
+  regexp_replace(string_agg(regexp_replace(line, '{_SPACE}+$', ''), chr(10) ORDER BY n), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS body FROM b8 WHERE NOT blank GROUP BY doc_id, number),
+ba AS (SELECT *, coalesce(title, body) AS text FROM b9),
+bb AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY number) - 1)::INT AS block, split_part(text, chr(10), 1) AS one, split_part(text, chr(10), 2) AS two,
+  doc_id || '::' || regexp_replace(regexp_replace(lower(path[-1]), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') || '::span-' || substr(sha256(text), 1, 16) AS base FROM ba WHERE title IS NOT NULL OR (text <> '' AND NOT starts_with(text, '<!--'))),
+bc AS (SELECT *, row_number() OVER (PARTITION BY doc_id, base ORDER BY block) AS again FROM bb)"""
+
+
+@named(rf"""WITH {_BLOCKS} SELECT doc_id, block, base || CASE WHEN again > 1 THEN '-' || again ELSE '' END AS evidence_id, array_to_string(path, ' > ') AS path,
+CASE WHEN title IS NOT NULL THEN 'heading' WHEN regexp_matches(one, '^\s*(```|~~~)') THEN 'code' WHEN regexp_matches(one, '^\s*>') THEN 'quote' WHEN regexp_matches(one, '^\s*(?:[-*+]|\d+[.)])\s+') THEN 'list'
+  WHEN contains(one, '|') AND regexp_matches(two, '\|?\s*:?-{{3,}}') THEN 'table' ELSE 'prose' END AS block_type, start_line, end_line, len(list_filter(regexp_split_to_array(text, '{_SPACE}+'), lambda w: w <> ''))::INT AS word_count FROM bc""")
+def evidence_blocks(spark, d):
+    """Blocks of evidence of all documents, with the headings above them."""
+    b = corpus.blocks(table(spark, d, "documents"), "doc_id", F.col("text"))
+    return b.select("doc_id", "block", "evidence_id", F.array_join("heading_path", " > ").alias("path"), "block_type", "start_line", "end_line", "word_count")
+
+
 # cases: documents as evidence of conversations' questions
 
 _CASES = """cs AS (SELECT conv_id AS id, 'q' || conv_id AS question, conv_id % 4 <> 3 AS answerable, CASE WHEN conv_id % 4 <> 3 THEN list_sort(list(DISTINCT 'd' || (conv_id + turn) % 50 || '::' || role)) ELSE [] END AS relevant, 'a' || conv_id AS answer FROM conversations GROUP BY conv_id)"""
