@@ -111,21 +111,25 @@ def auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
     return parts.agg(stats.rate(F.sum("won"), F.sum("p") * F.sum("q")).alias("auc"))
 
 
-def risk_coverage(rows: DataFrame, score: str, answerable: Column) -> DataFrame:
+def risk_coverage(rows: DataFrame, score: str, answerable: Column, one_kind: bool = False) -> DataFrame:
     """One row a threshold: null (nothing answered) and each distinct score. Answered rows and their share, the share of them that no answer exists for
-    (selective risk, 0 if none is answered), false answers and refusals with rates and 95 % intervals. Rows of one kind only are an error."""
+    (selective risk, 0 if none is answered), false answers and refusals with rates and 95 % intervals. Rows of one kind only are an error; if `one_kind`, they
+    are not, and a rate over no rows is NaN, its interval NaN to 1."""
     by = rows.groupBy(F.col(score).alias("threshold")).agg(F.count("*").alias("n"), F.count_if(answerable).alias("a"))
     run = running(by, -F.col("threshold"), ["n", "a"]).select(F.col("threshold").cast("double").alias("threshold"), F.col("upto_n").alias("n"), F.col("upto_a").alias("a"))
     total = staged(rows.agg(F.count("*").alias("tn"), F.count_if(answerable).alias("ta")), "totals")
     none = total.select(F.lit(None).cast("double").alias("threshold"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("a"))
     both = (F.col("ta") > 0) & (F.col("tn") > F.col("ta"))
-    out = run.unionByName(none).crossJoin(F.broadcast(total)).where(F.when(both, F.lit(True)).otherwise(F.raise_error(F.lit("answerable and unanswerable rows are needed"))))  # one row
+    out = run.unionByName(none).crossJoin(F.broadcast(total))  # one row
+    if not one_kind:
+        out = out.where(F.when(both, F.lit(True)).otherwise(F.raise_error(F.lit("answerable and unanswerable rows are needed"))))
     wrong, refused, bad = F.col("n") - F.col("a"), F.col("ta") - F.col("a"), F.col("tn") - F.col("ta")
     (a_low, a_high), (r_low, r_high) = stats.wilson(wrong, bad), stats.wilson(refused, F.col("ta"))
+    known = lambda value, empty=float("nan"): F.coalesce(value, F.lit(empty))
     return out.select(
-        "threshold", F.col("n").alias("answered_cases"), stats.rate(F.col("n"), F.col("tn")).alias("coverage"), F.coalesce(stats.rate(wrong, F.col("n")), F.lit(0.0)).alias("selective_risk"),
-        wrong.alias("false_answer_count"), stats.rate(wrong, bad).alias("false_answer_rate"), a_low.alias("false_answer_low"), a_high.alias("false_answer_high"),
-        refused.alias("false_refusal_count"), stats.rate(refused, F.col("ta")).alias("false_refusal_rate"), r_low.alias("false_refusal_low"), r_high.alias("false_refusal_high"),
+        "threshold", F.col("n").alias("answered_cases"), known(stats.rate(F.col("n"), F.col("tn"))).alias("coverage"), known(stats.rate(wrong, F.col("n")), 0.0).alias("selective_risk"),
+        wrong.alias("false_answer_count"), known(stats.rate(wrong, bad)).alias("false_answer_rate"), known(a_low).alias("false_answer_low"), known(a_high, 1.0).alias("false_answer_high"),
+        refused.alias("false_refusal_count"), known(stats.rate(refused, F.col("ta"))).alias("false_refusal_rate"), known(r_low).alias("false_refusal_low"), known(r_high, 1.0).alias("false_refusal_high"),
     )
 
 
