@@ -315,7 +315,8 @@ def risk_coverage_curve(spark, d):
 
 @named(f"WITH {_TOP1}, {_CURVE} SELECT * FROM curve WHERE false_answer_rate <= 0.5 AND false_refusal_rate <= 0.6 ORDER BY coverage DESC, false_answer_rate, threshold DESC NULLS FIRST LIMIT 1")
 def select_operating_point(spark, d):
-    return metrics.operating_point(metrics.risk_coverage(_answerable_top1(spark, d), "score", F.col("answerable")), 0.5, 0.6)
+    """Over items that all have gold, or none, no threshold is feasible: a rate over no rows is below no limit."""
+    return metrics.operating_point(metrics.risk_coverage(_answerable_top1(spark, d), "score", F.col("answerable"), one_kind=True), 0.5, 0.6)
 
 
 _DL = "dl AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"

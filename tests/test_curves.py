@@ -18,7 +18,7 @@ def tables(request, spark, tmp_path_factory):
     return str(at)
 
 
-@pytest.mark.parametrize("name", ["risk_coverage_curve"])
+@pytest.mark.parametrize("name", ["risk_coverage_curve", "select_operating_point"])
 def test_curves_equal_their_sql(spark, tables, name):
     got = QUERIES[name](spark, tables)
     con = duckdb.connect()
